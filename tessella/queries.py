@@ -1,0 +1,7 @@
+"""Registry of the library's own queries and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "table_pipeline"

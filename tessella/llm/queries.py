@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets
+from . import langid, packing, quality_rules, secrets
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,5 +26,7 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+QUERIES["op1_word_backoff"] = langid.query
+QUERIES["op3_line_frequency"] = quality_rules.query
 QUERIES["op8_pattern_packing"] = op8_pattern_packing
 QUERIES["op10_secret_ledger"] = secrets.query

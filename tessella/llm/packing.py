@@ -36,7 +36,7 @@ END_ID = 0
 #: Entries of the per-worker memo of encoded units; at the bound it is emptied.
 MEMO = 400_000
 #: Rows a rank window sorts together, about.
-RANK_ROWS = 20_000
+RANK_ROWS = 2_000
 #: Patterns enumerated for each length in the histogram.
 PATTERNS_PER_LENGTH = 6
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, packing, quality_rules, secrets
+from . import fingerprints, langid, minhash, packing, quality_rules, secrets
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,7 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_word_backoff"] = langid.query
 QUERIES["op3_line_frequency"] = quality_rules.query
+QUERIES["op4_bag_minhash"] = minhash.query
 QUERIES["op5_order_minhash"] = fingerprints.query
 QUERIES["op8_pattern_packing"] = op8_pattern_packing
 QUERIES["op10_secret_ledger"] = secrets.query

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, langid, minhash, packing, quality_rules, secrets
+from . import fingerprints, html_extract, langid, minhash, packing, pii, quality_rules, secrets
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,5 +31,6 @@ QUERIES["op3_line_frequency"] = quality_rules.query
 QUERIES["op4_bag_minhash"] = minhash.query
 QUERIES["op5_order_minhash"] = fingerprints.query
 QUERIES["op6_minimum_cut"] = html_extract.query
+QUERIES["op7_feistel_pseudonyms"] = pii.query
 QUERIES["op8_pattern_packing"] = op8_pattern_packing
 QUERIES["op10_secret_ledger"] = secrets.query

@@ -22,6 +22,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,12 @@ class UnitEncoder(dict):
         return self.raw(units[0]) + b"".join([self.raw(" " + u) if u[-1].isspace() else self[u] for u in units[1:]])
 
 
+@lru_cache(maxsize=2)
+def unit_encoder(ranks_path: str, pattern: str) -> UnitEncoder:
+    """One encoder for each worker process, so that its memo outlives a task."""
+    return UnitEncoder(ranks_path, pattern)
+
+
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids; only the first may be shorter than the capacity."""
     first = n % capacity or capacity
@@ -100,7 +107,7 @@ def tokenise(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAP
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = UnitEncoder(ranks_path, pattern)
+        bpe = unit_encoder(ranks_path, pattern)
         for batch in batches:
             out: list[tuple] = []
             tokens: list[np.ndarray] = []

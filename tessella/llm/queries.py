@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, langid, minhash, packing, pii, quality_rules, secrets
+from . import fingerprints, html_extract, langid, minhash, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,11 +26,17 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_table(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES["op1_word_backoff"] = langid.query
+QUERIES["op2_streaming_viterbi"] = op2_streaming_viterbi
 QUERIES["op3_line_frequency"] = quality_rules.query
 QUERIES["op4_bag_minhash"] = minhash.query
 QUERIES["op5_order_minhash"] = fingerprints.query
 QUERIES["op6_minimum_cut"] = html_extract.query
 QUERIES["op7_feistel_pseudonyms"] = pii.query
 QUERIES["op8_pattern_packing"] = op8_pattern_packing
+QUERIES["op9_weak_labels"] = quality_classifier.query
 QUERIES["op10_secret_ledger"] = secrets.query

@@ -20,6 +20,7 @@ rows are encoded alike; an empty table gives no rows; other columns pass unread.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 MARK = "▁"
-MEMO = 300_000
+MEMO = 500_000
 #: Characters between two looks for a meeting point.
 STRIDE = 64
 
@@ -96,6 +97,12 @@ class Codec(dict):
         # pieces that merging can make, and the last merge of each longer one
         self.split = {p: parts for p in self.ids if len(p) > 1 and (parts := self.last_merge(p))} if self.bpe else {}
         self._valid = {p for p in self.ids if len(p) == 1 or p in self.split}
+        self._ends: dict = {}
+        for p in self._valid:
+            node = self._ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = p
         self._stretch = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     # merges
@@ -195,18 +202,24 @@ class Codec(dict):
 
     def window(self, s: str) -> list[str]:
         """The path of a stretch that fits in one window, so that nothing is committed before its end.  BPE models only."""
-        valid, known, fits, longest = self._valid, self._fits, self.fits, self.longest
+        ends, valid, known, fits = self._ends, self._valid, self._fits, self.fits
         last: list[str] = [""]
-        for i in range(1, len(s) + 1):
-            for j in range(max(i - longest, 0), i):
-                p = s[j:i]
-                if p in valid:
-                    a = last[j]
-                    if not a or a not in valid or (ok := known.get((a, p))) or (ok is None and fits(a, p)):
-                        last.append(p)
-                        break
+        for i in range(len(s)):
+            # pieces that end here, by walking back through the tree of reversed pieces
+            node, found = ends, []
+            for k in range(i, -1, -1):
+                node = node.get(s[k])
+                if node is None:
+                    break
+                if "" in node:
+                    found.append(node[""])
+            for p in reversed(found):
+                a = last[i + 1 - len(p)]
+                if not a or a not in valid or (ok := known.get((a, p))) or (ok is None and fits(a, p)):
+                    last.append(p)
+                    break
             else:
-                last.append(s[i - 1])
+                last.append(s[i])
         out = []
         at = len(s)
         while at:
@@ -227,7 +240,7 @@ class Codec(dict):
         return out
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.asarray(self.viterbi(stretch), dtype="<i4").tobytes()
+        ids = array("i", self.viterbi(stretch)).tobytes()
         if len(stretch) <= 48:
             if len(self) >= self.memo:
                 self.clear()

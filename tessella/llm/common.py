@@ -47,5 +47,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def matched(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``names`` in which nulls are equal; the columns of ``names`` come from ``left``."""
+    other = right.withColumnsRenamed({n: f"__{n}" for n in names})
+    same = [left[n].eqNullSafe(other[f"__{n}"]) for n in names]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return left.join(other, on, how).drop(*[f"__{n}" for n in names])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

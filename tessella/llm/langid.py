@@ -10,7 +10,7 @@ the sample reach the driver.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; a text whose words
 have no known n-gram at all gets the commonest learned language with an even score; without any
-learned language everything is ``und``; an empty table gives no rows; other columns pass unread.
+learned language everything is ``und``; a null doc_id is neither learned from nor held out; an empty table gives no rows; other columns pass unread.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ class Backoff:
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from its text alone."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample

@@ -36,8 +36,8 @@ BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
 SPACES = r"[ \t-\r]+"
 
-#: Shares of the remaining members that serve as pivots in the rounds after the second.
-PIVOT_SHARES = (1 / 64, 1 / 8, 1.0)
+#: Further pivots of a bucket in each round after the first, about; at last every member is one.
+PIVOTS = (2, 8, 64, None)
 
 U = np.uint64
 _GOLDEN = U(0x9E3779B97F4A7C15)
@@ -204,28 +204,35 @@ def sized(pairs: DataFrame, threshold: float) -> DataFrame:
     return fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
-    """Verified links (a, b) that connect all alike nodes; members: (key, node, n) of buckets with several nodes."""
-    pivot = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"))
-    pairs = members.join(pivot, "key").where("node <> a").withColumnsRenamed({"node": "b", "n": "n_b"})
+def links(members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified links (a, b) that connect all alike nodes; members: (key, node, n) of buckets with several nodes.
+
+    The first pivot of a bucket is the node whose buckets are fullest: the copies of an original meet it
+    in more bands than one another, so most groups close at once.  A bucket is settled when its members
+    that haven't been pivots lie in one component.  The others get a growing number of further pivots,
+    each tested against the members of other components, at last all of them.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    fullness = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("full"))
+    members = cut(members.join(fullness, "node"), "members")
+    pivot = members.groupBy("key").agg(F.max(F.struct("full", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"))
+    pairs = members.join(pivot, "key").where("node <> a").select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
     tested = cut(sized(pairs, threshold), "pairs")
     found = cut(similar(tested, bags, threshold), "similar")
     done = pivot.select("key", F.col("a").alias("node"))
-    for share in (None, *PIVOT_SHARES):
-        # a bucket whose members without the pivots already tested lie in one component is settled
+    for target in PIVOTS:
         comps = components(found)
         left = members.join(done, ["key", "node"], "left_anti").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        left = cut(left, "members")
-        open_ = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        left = cut(left.join(open_, "key", "left_semi"), "members")
+        left = cut(left, "left")
+        open_ = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.max(F.struct("full", "node")).alias("top")).where("x <> y")
+        left = cut(left.join(open_.select("key", "size", F.col("top.node").alias("top")), "key"), "left")
         if left.isEmpty():
             break
-        if share is None:
-            pivots = left.groupBy("key", F.col("comp").alias("comp_a")).agg(F.min(F.struct("node", "n")).alias("p")).select("key", "comp_a", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"))
-        else:
-            pivots = left.where(F.pmod(F.xxhash64("node"), F.lit(1 << 16)) < int(share * (1 << 16))).select("key", F.col("comp").alias("comp_a"), F.col("node").alias("a"), F.col("n").alias("n_a"))
-        crossing = pivots.join(left, "key").where((F.col("comp") != F.col("comp_a")) & (F.least("n", "n_a") >= threshold * F.greatest("n", "n_a")))
-        pairs = cut(sized(crossing.withColumnsRenamed({"node": "b", "n": "n_b"}), threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
+        chosen = F.lit(True) if target is None else (F.col("node") == F.col("top")) | (F.pmod(F.xxhash64("node", "key"), F.col("size")) < target)
+        pivots = left.where(chosen).select("key", F.col("comp").alias("comp_a"), F.col("node").alias("a"), F.col("n").alias("n_a"))
+        near = (F.col("comp") != F.col("comp_a")) & (F.least("n", "n_a") >= threshold * F.greatest("n", "n_a"))
+        crossing = pivots.join(left, "key").where(near).select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
+        pairs = cut(sized(crossing, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = cut(found.union(similar(pairs, bags, threshold)), "similar")
         tested = tested.union(pairs)
         done = cut(done.union(pivots.select("key", F.col("a").alias("node"))), "done")

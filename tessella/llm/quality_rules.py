@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pick, read_table, text_or_empty
+from .common import cut, matched, pick, read_table, text_or_empty
 
 #: A line in more distinct documents of one host is frequent.
 MAX_DOCS = 20
@@ -120,7 +120,7 @@ def frequent_lines(counted: DataFrame, max_docs: int = MAX_DOCS, differ: float =
 def removals(counted: DataFrame, frequent: DataFrame) -> DataFrame:
     """doc_id, text_hash, removed: the hashes of frequent lines in each document that has any."""
     own = counted.select("doc_id", "text_hash", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    hit = own.join(frequent, own["h"].eqNullSafe(frequent["h"]) & own["host"].eqNullSafe(frequent["host"]), "left_semi")
+    hit = matched(own, frequent, ["h", "host"], "left_semi")
     return hit.groupBy("doc_id", "text_hash").agg(F.collect_set("h").alias("removed"))
 
 
@@ -130,7 +130,7 @@ def judged(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     counted = cut(base(pick(docs, *names)), "lines")
     distinct = counted.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "host", "lines")
     gone = removals(distinct, frequent_lines(distinct, max_docs))
-    joined = counted.join(gone, ["doc_id", "text_hash"], "left")
+    joined = matched(counted, gone, ["doc_id", "text_hash"], "left")
     kept_lines = F.filter("lines", lambda x: ~F.array_contains(F.col("removed"), x["h"]))
     left = F.when(F.col("removed").isNull(), F.col("n_words")).otherwise(F.aggregate(kept_lines, F.lit(0).cast("long"), lambda s, x: s + x["n"]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -149,7 +149,7 @@ def apply(docs: DataFrame) -> DataFrame:
     """``docs`` without its frequent lines and without the documents that are rejected; columns as they were."""
     verdict = judged(docs).where("kept").select("doc_id", F.col("text_hash").alias("_h"), F.col("removed").alias("_removed")).dropDuplicates(["doc_id", "_h"])
     names = docs.columns
-    d = docs.withColumn("_h", F.xxhash64(text_or_empty())).join(verdict, ["doc_id", "_h"])
+    d = matched(docs.withColumn("_h", F.xxhash64(text_or_empty())), verdict, ["doc_id", "_h"])
     cleaned = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: (F.length(F.translate(x, SPACE, "")) == 0) | ~F.array_contains(F.col("_removed"), line_hash(x))), "\n")
     d = d.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(cleaned))
     if "n_chars" in names:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, pick, read_table, shared_dir, text_or_empty
+from .common import bounded_batches, cut, matched, pick, read_table, shared_dir, text_or_empty
 
 #: Raised whenever a rule changes; blobs are then scanned anew.
 RULE_VERSION = "2024-1"
@@ -107,7 +107,8 @@ def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) ->
     # One path stands for each unseen blob.  Only ids and hashes are shuffled to choose it, and counts combine map-side.
     unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(known, "blob", "left_anti")
     # A repeated row of one id is scanned as often as it is repeated; the ledger keeps one entry.
-    texts = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"), text_or_empty().alias("text")).join(unseen, ["doc_id", "blob"], "left_semi")
+    texts = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"), text_or_empty().alias("text"))
+    texts = matched(texts, unseen, ["blob", "doc_id"], "left_semi")
     scan_blobs(texts, rule_version).dropDuplicates(["blob"]).write.mode("append").parquet(ledger_path)
     entries = open_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("findings").alias("findings"))
     return paths.join(entries, "blob").select("doc_id", "blob", "findings")

@@ -9,9 +9,9 @@ the probability of their weighted Jaccard similarity.  A document's processes st
 latest slot.
 
 Signatures are banded.  Equal texts are one node.  In each bucket one pivot is tested against all, and
-the verified links are closed into components; as long as a bucket holds several components, further
-pivots are tested across them, until no candidate pair of different components is untested.  So pairs
-are never spelled out within a group of alike texts, and still no link between components is lost.
+the verified links are closed into components.  Nodes of buckets that still hold several components are
+joined across them by the rare elements that alike bags must share, which is exact.  So pairs are never
+spelled out within a group of alike texts, and no link between components is lost.
 
 Defined results: a null text is the empty text; texts without words, and texts shorter than five words,
 are alike only if their words are equal; repeated rows and copies share a class; class_id is the least
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, pick, read_table, text_or_empty
@@ -36,9 +37,6 @@ BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
 SPACES = r"[ \t-\r]+"
 
-#: Further pivots of a bucket in each round after the first, about; at last every member is one.
-PIVOTS = (2, 8, 64, None)
-
 U = np.uint64
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
@@ -209,8 +207,7 @@ def links(members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) ->
 
     The first pivot of a bucket is the node whose buckets are fullest: the copies of an original meet it
     in more bands than one another, so most groups close at once.  A bucket is settled when its members
-    that haven't been pivots lie in one component.  The others get a growing number of further pivots,
-    each tested against the members of other components, at last all of them.
+    other than the pivot lie in one component; those of the others are joined exactly.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     fullness = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("full"))
@@ -220,23 +217,34 @@ def links(members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) ->
     tested = cut(sized(pairs, threshold), "pairs")
     found = cut(similar(tested, bags, threshold), "similar")
     done = pivot.select("key", F.col("a").alias("node"))
-    for target in PIVOTS:
-        comps = components(found)
-        left = members.join(done, ["key", "node"], "left_anti").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        left = cut(left, "left")
-        open_ = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.max(F.struct("full", "node")).alias("top")).where("x <> y")
-        left = cut(left.join(open_.select("key", "size", F.col("top.node").alias("top")), "key"), "left")
-        if left.isEmpty():
-            break
-        chosen = F.lit(True) if target is None else (F.col("node") == F.col("top")) | (F.pmod(F.xxhash64("node", "key"), F.col("size")) < target)
-        pivots = left.where(chosen).select("key", F.col("comp").alias("comp_a"), F.col("node").alias("a"), F.col("n").alias("n_a"))
-        near = (F.col("comp") != F.col("comp_a")) & (F.least("n", "n_a") >= threshold * F.greatest("n", "n_a"))
-        crossing = pivots.join(left, "key").where(near).select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
-        pairs = cut(sized(crossing, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = cut(found.union(similar(pairs, bags, threshold)), "similar")
-        tested = tested.union(pairs)
-        done = cut(done.union(pivots.select("key", F.col("a").alias("node"))), "done")
-    return found
+    comps = components(found)
+    left = members.join(done, ["key", "node"], "left_anti").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    left = cut(left, "left")
+    open_ = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    nodes = cut(left.join(open_, "key", "left_semi").select("node", "comp").distinct(), "unsettled")
+    if nodes.isEmpty():
+        return found
+    pairs = cut(crossing(nodes, bags, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
+    return cut(found.union(similar(pairs, bags, threshold)), "similar")
+
+
+def crossing(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, comp) in different components that can be alike, by prefix filtering.
+
+    Elements are ordered from rare to common.  Two bags with the similarity share one of the first
+    n - ceil(threshold * n) + 1 elements of either, whatever the order; rare elements first makes those
+    shared prefixes few, as what an edit puts in is rare and what many copies share is not.
+    """
+    own = bags.join(nodes, "node").select("node", "comp", F.size("bag").alias("n"), F.explode("bag").alias("e"))
+    common = own.groupBy("e").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("f", "e"))
+    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    first = cut(own.join(common.where("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("k", rank).where((F.col("k") <= prefix) & (F.col("f") > 1)).select("e", "k", "node", "comp", "n"), "prefixes")
+    other = first.select("e", F.col("k").alias("k_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
+    # If this is the first element both share, no more than what follows it in either can be shared besides.
+    reach = 1 + F.least(F.col("n") - F.col("k"), F.col("n_b") - F.col("k_b"))
+    near = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (reach >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-6)
+    return first.join(other, "e").where(near).select(F.col("node").alias("a"), "b").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

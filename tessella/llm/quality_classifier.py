@@ -185,6 +185,8 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         z = total / np.maximum(lengths, 1) + w[-1]
         return pd.Series(np.where(lengths > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0))
 
+    # A filter on the score must stay above it: pushed below, it would split the text anew for every word.
+    score = score.asNondeterministic()
     names = docs.columns
     words = docs.withColumn("_words", F.filter(F.split(text_or_empty(), SPACES), lambda w: w != ""))
     out = words.withColumn("_slots", features()).withColumn("quality_score", score("_slots"))

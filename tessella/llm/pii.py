@@ -227,5 +227,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonymised(pick(read_table(spark, sf_dir, "documents"), "doc_id", "text"))
-    counts = [F.coalesce(F.size(F.filter("found", lambda x, k=k: x["kind"] == k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", "text", *counts)
+
+    def count(kind: str) -> Column:
+        return F.coalesce(F.size(F.filter("found", lambda x: x["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", "text", *map(count, KINDS))

@@ -38,8 +38,8 @@ def to_type(c: Column, name: str) -> Column:
     if name in FLOAT_TYPES:
         return c.cast(FLOAT_TYPES[name])
     least, most, held = INTEGER_TYPES[name]
-    whole = c.cast("decimal(38,6)").cast("decimal(38,0)") if name == "uint64" else c
-    low, high = (F.lit(v).cast("decimal(20,0)") if abs(v) >= 2**63 else F.lit(v) for v in (least, most))
+    whole = F.floor(c.cast("decimal(38,6)")) if name == "uint64" else c
+    low, high = (F.lit(str(v)).cast("decimal(20,0)") if name == "uint64" else F.lit(v) for v in (least, most))
     return F.when(whole.between(low, high), whole.cast(held))
 
 

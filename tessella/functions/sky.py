@@ -32,23 +32,29 @@ def _general(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.$", "")
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once and stays one node of the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sexagesimal(units: Column, form: str) -> Column:
+    """Whole units and minutes by ``form``, then the seconds."""
+
+    def text(u: Column) -> Column:
+        minutes = lambda m: F.concat(F.format_string(form, F.floor(u), F.floor(m)), _bound((m - F.floor(m)) * 60, _general), F.lit("s"))
+        return _bound((u - F.floor(u)) * 60, minutes)
+
+    return _bound(units, text)
+
+
 def degree_to_ra(c: Column) -> Column:
     """Degrees as ``HHhMMmSs``; NULL outside 0..360."""
-    hours = c / 15
-    h = F.floor(hours)
-    m = F.floor((hours - h) * 60)
-    s = ((hours - h) * 60 - m) * 60
-    return F.when(c.between(0, 360), F.concat(F.format_string("%02dh%02dm", h, m), _general(s), F.lit("s")))
+    return F.when(c.between(0, 360), _sexagesimal(c / 15, "%02dh%02dm"))
 
 
 def degree_to_dec(c: Column) -> Column:
     """Degrees as ``+DDdMMmSs``; NULL outside -90..90."""
-    a = F.abs(c)
-    d = F.floor(a)
-    m = F.floor((a - d) * 60)
-    s = ((a - d) * 60 - m) * 60
-    sign = F.when(c < 0, "-").otherwise("+")
-    return F.when(c.between(-90, 90), F.concat(sign, F.format_string("%02dd%02dm", d, m), _general(s), F.lit("s")))
+    return F.when(c.between(-90, 90), F.concat(F.when(c < 0, "-").otherwise("+"), _sexagesimal(F.abs(c), "%02dd%02dm")))
 
 
 def distance_flat(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -226,10 +226,10 @@ def bin_edges(low: float, high: float, n: int, start: float | None = None) -> tu
     return low, width
 
 
-def bin_of(c: Column, low: float, width: float, n: int) -> Column:
-    """The bin, from 0, of values in the range; the last one includes the greatest value."""
+def bin_of(c: Column, low: float, width: float, n: int, high: float | None = None) -> Column:
+    """The bin, from 0, of values in the range; the last one includes the greatest value ``high``."""
     k = F.floor((c - low) / width)
-    return F.when((c >= low) & (c <= low + n * width), F.least(k, F.lit(n - 1)))
+    return F.when((c >= low) & (c <= (low + n * width if high is None else high)), F.least(k, F.lit(n - 1)))
 
 
 def value_range(df: DataFrame, value: str) -> tuple[float, float]:
@@ -243,7 +243,8 @@ def histogram(df: DataFrame, value: str, n: int = 100, low: float | None = None,
         a, b = value_range(df, value)
         low, high = a if low is None else low, b if high is None else high
     low, width = bin_edges(low, high, n, start)
-    counts = df.select(bin_of(F.col(value).cast("double"), low, width, n).alias("bin")).dropna().groupBy("bin").count()
+    top = high if start is None else None
+    counts = df.select(bin_of(F.col(value).cast("double"), low, width, n, top).alias("bin")).dropna().groupBy("bin").count()
     out = df.sparkSession.range(n).withColumnRenamed("id", "bin").join(F.broadcast(counts), "bin", "left")  # at most n rows
     out = out.select("bin", (F.lit(low) + F.col("bin") * width + width / 2).alias("center"), F.coalesce("count", F.lit(0)).cast("long").alias("number"))
     whole = W.partitionBy()
@@ -263,7 +264,7 @@ def histogram_2d(df: DataFrame, x: str, y: str, nx: int = 100, ny: int = 20) ->
     """bin_dim1, bin_dim2 (centres), hist_number over the full grid."""
     (ax, bx), (ay, by) = value_range(df, x), value_range(df, y)
     wx, wy = (bx - ax) / nx, (by - ay) / ny
-    counts = df.select(bin_of(F.col(x).cast("double"), ax, wx, nx).alias("i"), bin_of(F.col(y).cast("double"), ay, wy, ny).alias("j")).dropna().groupBy("i", "j").count()
+    counts = df.select(bin_of(F.col(x).cast("double"), ax, wx, nx, bx).alias("i"), bin_of(F.col(y).cast("double"), ay, wy, ny, by).alias("j")).dropna().groupBy("i", "j").count()
     grid = df.sparkSession.range(nx * ny).select((F.col("id") % nx).alias("i"), F.floor(F.col("id") / nx).alias("j"))
     center = lambda k, a, w: F.lit(a) + F.col(k) * w + w / 2
     return grid.join(counts, ["i", "j"], "left").select(center("i", ax, wx).alias("bin_dim1"), center("j", ay, wy).alias("bin_dim2"), F.coalesce("count", F.lit(0)).cast("long").alias("hist_number"))

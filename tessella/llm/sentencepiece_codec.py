@@ -73,8 +73,19 @@ def is_bpe(model_file: str) -> bool:
     return False
 
 
+def is_plain(model_file: str) -> bool:
+    """Whether the normaliser (field 3) only adds a leading space and marks spaces: name (1) identity, no
+    removal of white space (4), a leading space (3) and marks (5)."""
+    with open(model_file, "rb") as f:
+        for number, value in _fields(f.read()):
+            if number == 3:
+                rules = dict(_fields(value))
+                return rules.get(1) == b"identity" and not rules.get(2) and rules.get(3, 1) == 1 and rules.get(4, 1) == 0 and rules.get(5, 1) == 1
+    return False
+
+
 class Codec(dict):
-    """Encoder and decoder of one model; as a dict, the memo of stretches."""
+    """Encoder and decoder of one model; as a dict, the younger half of the memo of units."""
 
     def __init__(self, model_file: str, memo: int = MEMO, stride: int = STRIDE):
         import sentencepiece
@@ -88,7 +99,10 @@ class Codec(dict):
         self.byte_ids = {int(self.sp.id_to_piece(i)[3:5], 16): i for i in range(size) if self.sp.is_byte(i)}
         self.longest = max(map(len, self.ids), default=1)
         self.crossed = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.pieces = [None if special[i] else self.sp.id_to_piece(i) for i in range(size)]
+        # with the mark as a space, as decoding gives them
+        self.pieces = [None if special[i] else self.sp.id_to_piece(i).replace(MARK, " ") for i in range(size)]
+        self.plain = not self.crossed and is_plain(model_file)
+        self._older: dict[str, bytes] = {}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.lowest = min(self.scores.values(), default=0.0) - 10
         self._fits: dict[tuple[str, str], bool] = {}
@@ -239,27 +253,33 @@ class Codec(dict):
                 out.append(self.sp.unk_id())
         return out
 
-    def __missing__(self, stretch: str) -> bytes:
-        ids = array("i", self.viterbi(stretch)).tobytes()
-        if len(stretch) <= 48:
-            if len(self) >= self.memo:
-                self.clear()
-            self[stretch] = ids
+    def __missing__(self, unit: str) -> bytes:
+        """The ids of a unit behind one mark; the memo's older half is asked before the lattice."""
+        ids = self._older.get(unit)
+        if ids is None:
+            ids = array("i", self.viterbi(MARK + unit)).tobytes()
+            if len(unit) > 48:
+                return ids
+        if len(self) >= self.memo:  # the present half becomes the older one, and what is in use moves on
+            self._older = dict(self)
+            self.clear()
+        self[unit] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text."""
-        s = self.sp.normalize(text or "")
-        if not s:
+        if not text:
             return np.empty(0, "<i4")
+        if self.plain and "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text:
+            return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), dtype="<i4")
+        s = self.sp.normalize(text)
         if self.crossed:
             return np.asarray(self.viterbi(s), dtype="<i4")
-        if MARK + MARK in s or s[-1] == MARK:
-            stretches = self._stretch.findall(s)
-        else:
-            head, *rest = s.split(MARK)
-            stretches = [head] * bool(head) + [MARK + x for x in rest]
-        return np.frombuffer(b"".join(map(self.__getitem__, stretches)), dtype="<i4")
+        parts = []
+        for x in self._stretch.findall(s):
+            one = x[0] == MARK and len(x) > 1 and x[1] != MARK
+            parts.append(self[x[1:]] if one else array("i", self.viterbi(x)).tobytes())
+        return np.frombuffer(b"".join(parts), dtype="<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, the mark as a space, the leading space that encoding adds removed."""
@@ -277,7 +297,7 @@ class Codec(dict):
                     at = end
                 else:
                     at += 1
-        text = "".join(parts).replace(MARK, " ")
+        text = "".join(parts)
         return text[1:] if text[:1] == " " else text
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scalars, stats, tables  # noqa: F401  (they register their queries)
+from . import groups, joins, scalars, stats, tables  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "table_pipeline"

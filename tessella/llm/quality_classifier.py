@@ -34,51 +34,60 @@ FUNCTION_WORDS = (
     " der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei"
     " el los las y en del se por con para una su al lo como más pero sus le ya o este sí porque esta son entre cuando muy sin sobre"
 ).split()
+FUNCTION_WORDS += [w.capitalize() for w in FUNCTION_WORDS]
 
 LABELLERS = ("symbols", "capitals", "exclamations", "bars", "function_words", "line_ends", "repeated_lines", "repeated_words", "word_length", "variety", "plain_words")
 
 
+#: A word in the shapes text: letters within joints, one mark before and one after.
+PLAIN = r"(?<!\S)[(\"'«„“]?[aA]+(?:['’-][aA]+)*[,.;:!?)\"'»”]?(?!\S)"
+CAPITAL = r"(?<!\S)[^a\s]*A[^a\s]*(?!\S)"
+
+
+def shapes(text: Column) -> Column:
+    """The text with each run of small letters as a, of capitals as A, of digits as 9; words stay apart."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "9")
+
+
 def votes(text: Column) -> dict[str, Column]:
     """The vote of each labeller: 1 good, 0 bad, 2 none."""
-    words, lines = F.col("_words"), F.col("_lines")
+    words, lines, shape = F.col("_words"), F.col("_lines"), F.col("_shape")
     n = F.greatest(F.size(words), F.lit(1))
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))
-    capitals = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
-    of_words = lambda test: F.size(F.filter(words, test)) / n
+    share = lambda x: x / n
+    count = lambda chars: share(F.length(text) - F.length(F.translate(text, chars, "")))
     n_lines = F.greatest(F.size(lines), F.lit(1))
     enough = F.size(words) >= FEW_WORDS
 
-    def vote(good: Column, bad: Column, when: Column = enough) -> Column:
-        return F.when(~when, 2).when(bad, 0).when(good, 1).otherwise(2)
+    def vote(good: Column, bad: Column) -> Column:
+        return F.when(~enough, 2).when(bad, 0).when(good, 1).otherwise(2)
 
-    share = lambda x: x / n
-    word_length = F.length(F.regexp_replace(text, r"\s+", "")) / n
-    common = of_words(lambda w: F.lower(F.rtrim(w)).isin(FUNCTION_WORDS))
-    plain = of_words(lambda w: w.rlike(r"^[(\"'«„“]?\p{L}[\p{L}'’-]*[,.;:!?)\"'»”]?$"))
+    symbols, bangs, bars = count("#*$%&<>{}\\"), count("!"), count("|")
+    capitals, plain = share(F.regexp_count(shape, F.lit(CAPITAL))), share(F.regexp_count(shape, F.lit(PLAIN)))
+    length = F.length(text) / n  # of a word with its space
+    common = share(F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS))))
     ends = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;\"'»”)]\s*$"))) / n_lines
     doubled = (F.size(lines) - F.size(F.array_distinct(lines))) / n_lines
-    variety = F.size(F.array_distinct(words)) / n
-    again = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))) / n
+    variety = share(F.size(F.array_distinct(words)))
+    again = share(F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))))
     return {
-        "symbols": vote(share(count("#*$%&<>{}\\")) < 0.03, share(count("#*$%&<>{}\\")) > 0.15),
-        "capitals": vote(capitals < 0.15 * letters, capitals > 0.4 * letters),
-        "exclamations": vote(share(count("!")) < 0.03, share(count("!")) > 0.15),
-        "bars": vote(share(count("|")) < 0.02, share(count("|")) > 0.15),
+        "symbols": vote(symbols < 0.03, symbols > 0.15),
+        "capitals": vote(capitals < 0.15, capitals > 0.4),
+        "exclamations": vote(bangs < 0.03, bangs > 0.15),
+        "bars": vote(bars < 0.02, bars > 0.15),
         "function_words": vote(common > 0.12, common < 0.04),
         "line_ends": vote(ends >= 0.6, ends < 0.2),
         "repeated_lines": vote(doubled < 0.1, (doubled > 0.4) & (F.size(lines) > 3)),
         "repeated_words": vote(again < 0.05, again > 0.25),
-        "word_length": vote(word_length.between(2.5, 9.5), (word_length < 2) | (word_length > 14)),
+        "word_length": vote(length.between(3.5, 10.5), (length < 3) | (length > 15)),
         "variety": vote(variety > F.lit(0.35), variety < 0.12),
         "plain_words": vote(plain > 0.85, plain < 0.6),
     }
 
 
 def with_parts(docs: DataFrame) -> DataFrame:
-    """Adds _text, _words and _lines (those with a word)."""
+    """Adds _text, _words, _shape and _lines (those with a word)."""
     d = docs.withColumn("_text", text_or_empty())
-    d = d.withColumn("_words", F.filter(F.split("_text", SPACES), lambda w: w != ""))
+    d = d.withColumns({"_words": F.filter(F.split("_text", SPACES), lambda w: w != ""), "_shape": shapes(F.col("_text"))})
     return d.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
 
 
@@ -119,9 +128,14 @@ def estimate(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> dict
 
 def features() -> Column:
     """Hashed words and word shapes of a document; a word equal to the one before it has a shape of its own."""
-    shape = lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "9")
     slot = lambda kind, x: F.pmod(F.xxhash64(kind, x), F.lit(DIMENSIONS)).cast("int")
-    return F.concat(F.transform("_words", lambda w: slot(F.lit(0), F.lower(w))), F.transform("_words", lambda w, i: slot(F.when(w == F.get(F.col("_words"), i - 1), 2).otherwise(1), shape(w))))
+    again = lambda i: F.when(F.get(F.col("_words"), i) == F.get(F.col("_words"), i - 1), 2).otherwise(1)
+    return F.concat(F.transform("_words", lambda w: slot(F.lit(0), w)), F.transform("_shapes", lambda s, i: slot(again(i), s)))
+
+
+def with_shapes(df: DataFrame) -> DataFrame:
+    """Adds _shapes, the shape of each of _words."""
+    return df.withColumn("_shapes", F.filter(F.split("_shape", SPACES), lambda w: w != ""))
 
 
 def counted(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +177,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     total = max(sum(r["count"] for r in table), 1)
     share = min(1.0, sample / total)
     chosen = d.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = chosen.where(F.size("_words") > 0).select(pattern(F.col("_text")).alias("pattern"), features().alias("slots")).toPandas()
+    rows = with_shapes(chosen).where(F.size("_words") > 0).select(pattern(F.col("_text")).alias("pattern"), features().alias("slots")).toPandas()
     model["weights"] = train_scorer(list(rows["slots"].map(np.asarray)), rows["pattern"].map(model["posterior"]).to_numpy(dtype=float) if len(rows) else np.empty(0))
     return model
 
@@ -188,7 +202,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     # A filter on the score must stay above it: pushed below, it would split the text anew for every word.
     score = score.asNondeterministic()
     names = docs.columns
-    words = docs.withColumn("_words", F.filter(F.split(text_or_empty(), SPACES), lambda w: w != ""))
+    words = with_shapes(docs.withColumns({"_words": F.filter(F.split(text_or_empty(), SPACES), lambda w: w != ""), "_shape": shapes(text_or_empty())}))
     out = words.withColumn("_slots", features()).withColumn("quality_score", score("_slots"))
     return out.withColumn("kept", F.col("quality_score") >= KEEP).select(*names, "quality_score", "kept")
 

@@ -75,13 +75,9 @@ class Cosmology:
         return self.distance_modulus(z) - 2.5 * F.log10(1 + z)
 
     def comoving_volume(self, z: Column) -> Column:
-        """Mpc^3 over the full sky."""
-        # the square of the distance to t is itself an integral: substitute its value along the way
-        def shell(t: Column) -> Column:
-            d = self.integral(lambda u: 1 / self.expansion(u), F.lit(0.0), t)
-            return d * d / self.expansion(t)
-
-        return self.integral(shell, F.lit(0.0), z) * (4 * np.pi * self.hubble_distance**3)
+        """Mpc^3 over the full sky.  The distance's own derivative is 1 / E, so its square integrates to a third of its cube."""
+        d = self.proper_distance(z)
+        return 4 * np.pi / 3 * d * d * d
 
     def age(self, z: Column) -> Column:
         """Ga since the start: the integral to infinity in terms of a = 1 / (1 + z), squared for a smooth integrand."""

@@ -90,7 +90,7 @@ def label_components(on: DataFrame, connectivity: int | None = None, dims: Seque
     of a component's length; each round is written, and the next starts from there.
     """
     names = list(dims)
-    cell = F.struct(*names)
+    cell = F.struct(*reversed(names))  # ordered as the raster, whose first axis runs fastest
     links = cut(send(on.select(*names).withColumn("from", cell), offsets(len(dims), connectivity), dims, ("from",)).join(on.select(*names), names, "left_semi").select(cell.alias("cell"), "from"), "links")
     state = cut(on.select(cell.alias("cell"), cell.alias("root")), "roots")
     while True:
@@ -101,7 +101,7 @@ def label_components(on: DataFrame, connectivity: int | None = None, dims: Seque
         settled = jumped.where("old <> root").isEmpty()
         state = jumped.select("cell", "root")
         if settled:
-            return state.select("cell.*", "root")
+            return state.select(*[F.col("cell").getField(d).alias(d) for d in names], "root")
 
 
 def connected_components(cells: DataFrame, connectivity: int | None = None, dims: Sequence[str] = XY) -> DataFrame:

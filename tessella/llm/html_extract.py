@@ -28,6 +28,7 @@ BLOCK = frozenset("address article aside blockquote body button canvas caption c
 SPACED = frozenset("br td th img input label wbr".split()) - {"wbr"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg textarea noembed noframes xmp math audio video canvas".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 OUTSIDE = frozenset("nav footer aside form button select option menu dialog head title legend fieldset".split())
 INSIDE = frozenset("article main".split())
@@ -44,7 +45,7 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=
 WORDS = re.compile(r"[a-z]+")
 
 # Weights of the classifier; positive speaks for content.
-WEIGHT = {"bias": -0.6, "inside": 4.0, "outside": -8.0, "header": -5.0, "bad": -7.0, "good": 1.5, "links": -4.0, "length": 2.0, "sentence": 0.8, "heading": 0.2, "notice": -1.5}
+WEIGHT = {"bias": -0.6, "inside": 4.0, "outside": -8.0, "header": -5.0, "bad": -7.0, "good": 1.5, "links": -4.0, "length": 2.0, "sentence": 0.8, "prose": 0.9, "notice": -1.5}
 #: Smoothness between neighbours; more if they have one parent, and between the children of one parent.
 NEXT_TO, SIBLINGS, SAME_PARENT = 0.3, 0.5, 0.3
 
@@ -74,11 +75,11 @@ class Node:
 
 
 class Block:
-    __slots__ = ("node", "text", "linked", "heading")
+    __slots__ = ("node", "text", "linked", "prose")
 
     def __init__(self, node: Node, text: str, linked: int):
         self.node, self.text, self.linked = node, text, linked
-        self.heading = node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        self.prose = node.tag in PROSE
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -149,7 +150,7 @@ def score(b: Block) -> float:
     """The classifier: above 0 for content."""
     n, w = b.node, WEIGHT
     z = w["bias"] + w["length"] * min(len(b.text) / 120, 1.0) + w["links"] * min(b.linked / max(len(b.text), 1), 1.0)
-    z += w["inside"] * n.inside + w["outside"] * n.outside + w["header"] * n.header + w["bad"] * n.bad + w["good"] * n.good + w["heading"] * b.heading
+    z += w["inside"] * n.inside + w["outside"] * n.outside + w["header"] * n.header + w["bad"] * n.bad + w["good"] * n.good + w["prose"] * b.prose
     z += w["sentence"] * (b.text[-1] in ".!?…:;\"”»)") + w["notice"] * (b.text[0] == "©" or "©" in b.text[:40])
     return z
 

@@ -146,7 +146,7 @@ def redact(docs: DataFrame, ledger_path: str, mask: str = "[secret]") -> DataFra
         return pd.Series(out, dtype=object)
 
     marked = docs.withColumn("_blob", F.sha2(text_or_empty(), 256)).join(spans, "_blob", "left")
-    return marked.withColumn("text", F.when(F.col("_found").isNotNull(), hide("text", "_found")).otherwise(F.col("text")))
+    marked = marked.withColumn("text", F.when(F.col("_found").isNotNull(), hide("text", "_found")).otherwise(F.col("text")))
     if "n_chars" in names:
         marked = marked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return marked.select(*names)

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch.  With texts of a few KB a batch stays near 2 MB, and near 60 MB when every text is very long.
-BATCH_ROWS = 512
+#: Rows in an Arrow batch.  With texts of a few KB a batch stays near 1 MB, and near 30 MB when every text is very long.
+BATCH_ROWS = 256
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,20 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def lean(run):
+    """``run`` over the batches of a task; when it ends, Arrow gives back the memory it keeps for reuse."""
+
+    def freed(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return freed
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees (``spark.checkpoint.dir``); a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

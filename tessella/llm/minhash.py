@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, pick, read_table, text_or_empty
+from .common import bounded_batches, cut, lean, pick, read_table, text_or_empty
 
 K = 5
 THRESHOLD = 0.8
@@ -36,6 +36,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
 SPACES = r"[ \t-\r]+"
+#: Shingles whose signatures are worked out together.
+CHUNK = 150_000
 
 U = np.uint64
 _GOLDEN = U(0x9E3779B97F4A7C15)
@@ -143,14 +145,20 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, doc, n = flat(batch.column(2))
-            bands = band_hashes(bag_signatures(doc, h, len(n)))
-            bands = bands[n > 0]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            parts, at = [], 0
+            while at < len(n):  # so many documents at once as hold CHUNK shingles, or one
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, side="right")) - 1)
+                own = slice(ends[at], ends[stop])
+                parts.append(band_hashes(bag_signatures(doc[own] - at, h[own], stop - at)))
+                at = stop
+            bands = np.concatenate(parts)[n > 0] if parts else np.empty((0, BANDS), np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), lists], names=["doc_id", "node", "n", "bands"])
 
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), shingles(text_or_empty()).alias("shingles"))
-    return rows.mapInArrow(run, f"doc_id {kind}, node long, n long, bands array<long>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, node long, n long, bands array<long>")
 
 
 def numbered_elements(rows: DataFrame) -> DataFrame:
@@ -166,7 +174,7 @@ def numbered_elements(rows: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(e))], names=["node", "bag"])
 
-    return rows.mapInArrow(run, "node long, bag array<int>")
+    return rows.mapInArrow(lean(run), "node long, bag array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, pick
+from .common import bounded_batches, cut, lean, pick
 
 CAPACITY = 2048
 END_ID = 0
-#: Entries of the per-worker memo of encoded units; at the bound it is emptied.
-MEMO = 400_000
+#: Entries of each half of the per-worker memo of encoded units.
+MEMO = 100_000
 #: Rows a rank window sorts together, about.
 RANK_ROWS = 2_000
 #: Patterns enumerated for each length in the histogram.
@@ -60,15 +60,20 @@ class UnitEncoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._memo = memo
+        self._older: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
         if not unit or unit[0].isspace() or unit[-1].isspace():
             raise KeyError(unit)  # not a unit of its own: the text is split the careful way
-        ids = self.raw(" " + unit)
-        if len(unit) <= 48:
-            if len(self) >= self._memo:
-                self.clear()
-            self[unit] = ids
+        ids = self._older.get(unit)
+        if ids is None:
+            ids = self.raw(" " + unit)
+            if len(unit) > 48:
+                return ids
+        if len(self) >= self._memo:  # the present half becomes the older one, and what is in use moves on
+            self._older = dict(self)
+            self.clear()
+        self[unit] = ids
         return ids
 
     def raw(self, text: str) -> bytes:
@@ -129,7 +134,7 @@ def tokenise(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAP
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def patterns_for(hist: np.ndarray, capacity: int, per_length: int = PATTERNS_PER_LENGTH) -> list[tuple[int, ...]]:

@@ -190,14 +190,8 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     @F.pandas_udf("double")
     def score(slots: pd.Series) -> pd.Series:
         w = shared.value
-        rows = [np.asarray(x) for x in slots]
-        lengths = np.array([len(x) for x in rows], dtype=np.int64)
-        if not lengths.sum():
-            return pd.Series(np.zeros(len(rows)))
-        each = w[np.concatenate([x for x in rows if len(x)]).astype(np.int64)]
-        total = np.bincount(np.repeat(np.arange(len(rows)), lengths), weights=each, minlength=len(rows))
-        z = total / np.maximum(lengths, 1) + w[-1]
-        return pd.Series(np.where(lengths > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0))
+        z = np.array([w[x].mean() if len(x) else -np.inf for x in slots]) + w[-1]
+        return pd.Series(np.where(np.isinf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -50, 50)))))
 
     # A filter on the score must stay above it: pushed below, it would split the text anew for every word.
     score = score.asNondeterministic()

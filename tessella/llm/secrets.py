@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, matched, pick, read_table, shared_dir, text_or_empty
+from .common import bounded_batches, cut, lean, matched, pick, read_table, shared_dir, text_or_empty
 
 #: Raised whenever a rule changes; blobs are then scanned anew.
 RULE_VERSION = "2024-1"
@@ -95,7 +95,7 @@ def scan_blobs(texts: DataFrame, rule_version: str) -> DataFrame:
             found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scanner.spans(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rule_version] * len(found), pa.string()), pa.array(found, kind)], names=["blob", "rule_version", "findings"])
 
-    return texts.select("blob", "text").mapInArrow(run, f"blob string, rule_version string, findings array<{FINDING}>")
+    return texts.select("blob", "text").mapInArrow(lean(run), f"blob string, rule_version string, findings array<{FINDING}>")
 
 
 def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:

@@ -49,51 +49,60 @@ def shapes(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "9")
 
 
-def votes(text: Column) -> dict[str, Column]:
-    """The vote of each labeller: 1 good, 0 bad, 2 none."""
-    words, lines, shape = F.col("_words"), F.col("_lines"), F.col("_shape")
+def measures() -> dict[str, Column]:
+    """What the labellers look at, each worked out once for a document."""
+    text, words, lines, shape = F.col("_text"), F.col("_words"), F.col("_lines"), F.col("_shape")
     n = F.greatest(F.size(words), F.lit(1))
-    share = lambda x: x / n
-    count = lambda chars: share(F.length(text) - F.length(F.translate(text, chars, "")))
     n_lines = F.greatest(F.size(lines), F.lit(1))
-    enough = F.size(words) >= FEW_WORDS
+    count = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
+    return {
+        "symbols": count("#*$%&<>{}\\"),
+        "exclamations": count("!"),
+        "bars": count("|"),
+        "capitals": F.regexp_count(shape, F.lit(CAPITAL)) / n,
+        "plain_words": F.regexp_count(shape, F.lit(PLAIN)) / n,
+        "word_length": F.length(text) / n,  # with its space
+        "function_words": F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS))) / n,
+        "line_ends": F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;\"'»”)]\s*$"))) / n_lines,
+        "repeated_lines": (F.size(lines) - F.size(F.array_distinct(lines))) / n_lines,
+        "repeated_words": F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))) / n,
+        "variety": F.size(F.array_distinct(words)) / n,
+    }
+
+
+def votes() -> dict[str, Column]:
+    """The vote of each labeller on its measure: 1 good, 0 bad, 2 none."""
+    m = {k: F.col(f"_m_{k}") for k in LABELLERS}
 
     def vote(good: Column, bad: Column) -> Column:
-        return F.when(~enough, 2).when(bad, 0).when(good, 1).otherwise(2)
-
-    symbols, bangs, bars = count("#*$%&<>{}\\"), count("!"), count("|")
-    capitals, plain = share(F.regexp_count(shape, F.lit(CAPITAL))), share(F.regexp_count(shape, F.lit(PLAIN)))
-    length = F.length(text) / n  # of a word with its space
-    common = share(F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS))))
-    ends = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;\"'»”)]\s*$"))) / n_lines
-    doubled = (F.size(lines) - F.size(F.array_distinct(lines))) / n_lines
-    variety = share(F.size(F.array_distinct(words)))
-    again = share(F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))))
+        return F.when(F.size("_words") < FEW_WORDS, 2).when(bad, 0).when(good, 1).otherwise(2)
+
     return {
-        "symbols": vote(symbols < 0.03, symbols > 0.15),
-        "capitals": vote(capitals < 0.15, capitals > 0.4),
-        "exclamations": vote(bangs < 0.03, bangs > 0.15),
-        "bars": vote(bars < 0.02, bars > 0.15),
-        "function_words": vote(common > 0.12, common < 0.04),
-        "line_ends": vote(ends >= 0.6, ends < 0.2),
-        "repeated_lines": vote(doubled < 0.1, (doubled > 0.4) & (F.size(lines) > 3)),
-        "repeated_words": vote(again < 0.05, again > 0.25),
-        "word_length": vote(length.between(3.5, 10.5), (length < 3) | (length > 15)),
-        "variety": vote(variety > F.lit(0.35), variety < 0.12),
-        "plain_words": vote(plain > 0.85, plain < 0.6),
+        "symbols": vote(m["symbols"] < 0.03, m["symbols"] > 0.15),
+        "capitals": vote(m["capitals"] < 0.15, m["capitals"] > 0.4),
+        "exclamations": vote(m["exclamations"] < 0.03, m["exclamations"] > 0.15),
+        "bars": vote(m["bars"] < 0.02, m["bars"] > 0.15),
+        "function_words": vote(m["function_words"] > 0.12, m["function_words"] < 0.04),
+        "line_ends": vote(m["line_ends"] >= 0.6, m["line_ends"] < 0.2),
+        "repeated_lines": vote(m["repeated_lines"] < 0.1, (m["repeated_lines"] > 0.4) & (F.size("_lines") > 3)),
+        "repeated_words": vote(m["repeated_words"] < 0.05, m["repeated_words"] > 0.25),
+        "word_length": vote(m["word_length"].between(3.5, 10.5), (m["word_length"] < 3) | (m["word_length"] > 15)),
+        "variety": vote(m["variety"] > 0.35, m["variety"] < 0.12),
+        "plain_words": vote(m["plain_words"] > 0.85, m["plain_words"] < 0.6),
     }
 
 
 def with_parts(docs: DataFrame) -> DataFrame:
-    """Adds _text, _words, _shape and _lines (those with a word)."""
+    """Adds _text, _words, _shape, _lines (those with a word) and the measures."""
     d = docs.withColumn("_text", text_or_empty())
     d = d.withColumns({"_words": F.filter(F.split("_text", SPACES), lambda w: w != ""), "_shape": shapes(F.col("_text"))})
-    return d.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
+    d = d.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
+    return d.withColumns({f"_m_{k}": c for k, c in measures().items()})
 
 
-def pattern(text: Column) -> Column:
+def pattern() -> Column:
     """The votes as digits, in the order of LABELLERS."""
-    v = votes(text)
+    v = votes()
     return F.concat(*[v[k].cast("string") for k in LABELLERS])
 
 
@@ -172,12 +181,12 @@ def train_scorer(rows: list[np.ndarray], target: np.ndarray, rounds: int = 60, r
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The label model over all documents and the scorer over the sample."""
     d = with_parts(pick(docs, "doc_id", "text"))
-    table = d.groupBy(pattern(F.col("_text")).alias("pattern")).count().collect()  # at most 3^11 rows
+    table = d.groupBy(pattern().alias("pattern")).count().collect()  # at most 3^11 rows
     model = estimate([r["pattern"] for r in table], np.array([r["count"] for r in table]))
     total = max(sum(r["count"] for r in table), 1)
     share = min(1.0, sample / total)
     chosen = d.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = with_shapes(chosen).where(F.size("_words") > 0).select(pattern(F.col("_text")).alias("pattern"), features().alias("slots")).toPandas()
+    rows = with_shapes(chosen).where(F.size("_words") > 0).select(pattern().alias("pattern"), features().alias("slots")).toPandas()
     model["weights"] = train_scorer(list(rows["slots"].map(np.asarray)), rows["pattern"].map(model["posterior"]).to_numpy(dtype=float) if len(rows) else np.empty(0))
     return model
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import cosmology as co
@@ -16,6 +17,25 @@ def _z(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 20 + 0.1).alias("z"))
 
 
+def _sum(f: str, low: str, high: str) -> str:
+    """SQL of the Gauss-Legendre sum of ``f`` over t."""
+    x, w = np.polynomial.legendre.leggauss(co.NODES)
+    half, middle = f"(({high}-{low})/2)", f"(({high}+{low})/2)"
+    return f"{half}*(" + "+".join(f"{wi!r}*" + f.replace("{t}", f"({middle}+{half}*({xi!r}))") for xi, wi in zip(x.tolist(), w.tolist())) + ")"
+
+
+_E = "sqrt({l!r}+{k!r}*(1+{t})*(1+{t})+{m!r}*(1+{t})*(1+{t})*(1+{t}))"
+
+
+def _cosmic_sql(name: str) -> str:
+    c = co.Cosmology()
+    e = lambda t: _E.replace("{l!r}", repr(c.lambda0)).replace("{k!r}", repr(c.curvature0)).replace("{m!r}", repr(c.matter0)).replace("{t}", t)
+    d = f"({_sum('1/' + e('{t}'), '0.0', 'z')}*{c.hubble_distance!r})"
+    modulus = f"(5*(log10({d}*(1+z)*1e6)-1))"
+    since = lambda z: f"({_sum('2*{t}/({t}*{t}*' + e('(1/({t}*{t})-1)') + ')', '0.0', f'sqrt(1/(1+{z}))')}/{c.h0_per_second!r}/{365 * co.DAY!r}/1e9)"
+    return {"proper_distance": d, "angular_distance": f"{d}/(1+z)", "luminosity_distance": f"{d}*(1+z)", "distance_modulus": modulus, "absolute_conversion": f"{modulus}-2.5*log10(1+z)", "arcsec_tangential": f"{d}/(1+z)*1000*pi()/180/3600", "age": since("z"), "lookback": f"{since('0.0')}-{since('z')}"}[name]
+
+
 def _cosmic(name, f):
     def run(spark, sf_dir):
         # the expression is long: it is worked out once for each redshift
@@ -23,7 +43,7 @@ def _cosmic(name, f):
         own = d.select("z").distinct().withColumn("result", F.round(f(F.col("z")), 4))
         return d.join(own, "z").select("l_orderkey", "l_linenumber", "result")
 
-    return query(name)(run)
+    return query(name, f"SELECT l_orderkey, l_linenumber, result FROM ({_Z}) JOIN (SELECT z, round({_cosmic_sql(name.removeprefix('cosmology_'))}, 4) AS result FROM (SELECT DISTINCT CAST(z AS DOUBLE) AS z FROM ({_Z}))) USING (z)")(run)
 
 
 _C = co.Cosmology()
@@ -57,7 +77,7 @@ def line_redshift(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(co.line_redshift(5000.0 + F.col("l_extendedprice") / 50, F.lit(co.LINES["lyalpha"])), 9).alias("result"))
 
 
-@query("line_list_at_z")
+@query("line_list_at_z", "SELECT name, wavelength, wavelength * 3.5 AS observed FROM (VALUES " + ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in co.LINES.items()) + ") t(name, wavelength)")
 def line_list_at_z(spark, sf_dir):
     return co.line_table(spark).withColumn("observed", co.line_observed(F.lit(2.5), F.col("wavelength")))
 
@@ -86,10 +106,18 @@ def nights(spark, sf_dir):
     return out.select("event_id", "night", "night_id", F.row_number().over(W.partitionBy("night").orderBy("s", "event_id")).alias("exposure_id"))
 
 
-@query("interpolate_linear")
+_NEAR = "last_value(CASE WHEN v IS NOT NULL THEN {c} END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id {o} ROWS UNBOUNDED PRECEDING)"
+_FILL = (
+    "WITH p AS (SELECT event_type, event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM events),"
+    f" q AS (SELECT *, {_NEAR.format(c='event_id', o='')} AS x0, {_NEAR.format(c='v', o='')} AS y0, {_NEAR.format(c='event_id', o='DESC')} AS x1, {_NEAR.format(c='v', o='DESC')} AS y1 FROM p)"
+    " SELECT event_type, event_id, round(coalesce(v, y0 + (event_id - x0) * (y1 - y0) / (x1 - x0)), 6) AS value FROM q"
+)
+
+
+@query("interpolate_linear", _FILL)
 def interpolate_linear(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
-    return dates.fill_linear(e, "event_id", "value", ["event_type"])
+    return dates.fill_linear(e, "event_id", "value", ["event_type"]).withColumn("value", F.round("value", 6))
 
 
 def _catalogue(spark, sf_dir):

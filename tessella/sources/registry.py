@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fits
 from .text_table import read_text_table, write_text_table
 
 
@@ -17,6 +18,8 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
         return spark.read.csv(path, header=options.pop("header", True), **options)
     if suffix in ("jpg", "jpeg", "tif", "tiff", "png"):
         return spark.read.format("image" if suffix in ("jpg", "jpeg", "png") else "binaryFile").load(path)
+    if suffix in ("fits", "fit", "fts"):
+        return fits.read_table(spark, path, **options)
     raise ValueError(f"no reader for {path}")
 
 

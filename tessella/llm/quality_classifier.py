@@ -54,7 +54,8 @@ def measures() -> dict[str, Column]:
     text, words, lines, shape = F.col("_text"), F.col("_words"), F.col("_lines"), F.col("_shape")
     n = F.greatest(F.size(words), F.lit(1))
     n_lines = F.greatest(F.size(lines), F.lit(1))
-    count = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
+    # marks are counted in the shapes, which are a quarter as long as the text and keep them
+    count = lambda chars: (F.length(shape) - F.length(F.translate(shape, chars, ""))) / n
     return {
         "symbols": count("#*$%&<>{}\\"),
         "exclamations": count("!"),

@@ -241,3 +241,26 @@ def warp_scale_half(spark, sf_dir):
     # brightness is kept: an output cell holds the sum of the cells it covers
     out = gen.warp_scale(image(spark, sf_dir), 0.5, 0.5)
     return _r(out)
+
+
+_LINE = f"SELECT x, sum(v) AS v FROM ({IMAGE}) GROUP BY x"
+
+
+@query("convolve_1d", f"SELECT x, round((coalesce(lag(v) OVER (ORDER BY x), 0) + 2*v + coalesce(lead(v) OVER (ORDER BY x), 0)) / (2 + CASE WHEN lag(v) OVER (ORDER BY x) IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(v) OVER (ORDER BY x) IS NULL THEN 0 ELSE 1 END), 4) AS v FROM ({_LINE})")
+def convolve_1d(spark, sf_dir):
+    line = grid.collapse(image(spark, sf_dir), "y", "sum")
+    return _r(grid.convolve(line, {(-1,): 1.0, (0,): 2.0, (1,): 1.0}, ("x",)), 4)
+
+
+@query("grid_smooth_tiles", f"WITH t AS (SELECT (x-1)//6 AS x, (y-1)//5 AS y, avg(v) AS v FROM ({IMAGE}) GROUP BY 1, 2) SELECT CAST(a.x AS BIGINT) AS x, CAST(a.y AS BIGINT) AS y, round(avg(b.v), 6) AS v FROM t a JOIN t b ON greatest(abs(a.x-b.x), abs(a.y-b.y)) <= 1 GROUP BY a.x, a.y")
+def grid_smooth_tiles(spark, sf_dir):
+    tiles = grid.tile_statistics(image(spark, sf_dir), [6, 5], [F.avg("v").alias("v")]).withColumnsRenamed({"tx": "x", "ty": "y"})
+    return _r(grid.moving_filter(tiles, [3, 3], "mean"))
+
+
+@query("grid_mask_unset", f"SELECT x, y, CAST(count(*) AS BIGINT) AS near FROM (SELECT a.x, a.y FROM ({MASK}) a JOIN ({MASK}) b ON {_N8} WHERE a.v = 1 AND b.v = 0) GROUP BY x, y")
+def grid_mask_unset(spark, sf_dir):
+    """How many unset cells touch each set one."""
+    m = mask(spark, sf_dir)
+    seen = grid.send(m.where("v = 0"), grid.offsets(2, 2)).join(m.where("v = 1").select("x", "y"), ["x", "y"], "left_semi")
+    return seen.groupBy("x", "y").agg(F.count("*").alias("near"))

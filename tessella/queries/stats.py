@@ -119,3 +119,31 @@ def stat_mirrored(spark, sf_dir):
 @query("stat_unique", 'SELECT event_type, min(event_id) AS "first" FROM events GROUP BY event_type')
 def stat_unique(spark, sf_dir):
     return st.unique(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+def _per_type(spark, sf_dir, find):
+    """``find`` of each event type's values; the types are few and their values many, so only this report groups whole."""
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"event_type": [g["event_type"].iloc[0]], "outlier": [find(g["value"].to_numpy(dtype=float))]})
+
+    return table(spark, sf_dir, "events").select("event_type", "value").dropna().groupBy("event_type").applyInPandas(run, "event_type string, outlier double")
+
+
+@query("stat_outlier_distance")
+def stat_outlier_distance(spark, sf_dir):
+    return _per_type(spark, sf_dir, lambda v: st.outlier_by_distance(v, 50, 20.0))
+
+
+@query("stat_outlier_flat")
+def stat_outlier_flat(spark, sf_dir):
+    return _per_type(spark, sf_dir, lambda v: st.flat_outlier(v, 10, 0.05, 3))
+
+
+@query("stat_ascii_histogram")
+def stat_ascii_histogram(spark, sf_dir):
+    """The text plot, a row a line; only the bins reach the driver."""
+    bins = st.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 60).orderBy("bin").collect()
+    plot = st.ascii_plot([(r["center"], r["number"]) for r in bins]).split("\n")
+    return spark.createDataFrame(list(enumerate(plot)), "line int, text string")

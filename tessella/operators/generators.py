@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,3 +160,48 @@ def warp_scale(cells: DataFrame, sx: float, sy: float, covered: float = 1.0) ->
     area = F.sum(F.when(F.col("v").isNotNull(), F.col("w")))
     per = 1.0 / (sx * sy)
     return d.groupBy(F.col("ox").alias("x"), F.col("oy").alias("y")).agg(F.when(area >= covered - 1e-9, F.sum(F.col("v") * F.col("w")) * per).alias("v"))
+
+
+def _clipped_area(xs: np.ndarray, ys: np.ndarray, left: float, low: float) -> float:
+    """Area of a convex polygon inside the unit cell with the given corner, cut by its four sides in turn."""
+    points = list(zip(xs, ys))
+    for axis, side, sign in ((0, left, 1), (0, left + 1, -1), (1, low, 1), (1, low + 1, -1)):
+        kept = []
+        for a, b in zip(points, points[1:] + points[:1]):
+            da, db = sign * (a[axis] - side), sign * (b[axis] - side)
+            if da >= 0:
+                kept.append(a)
+            if da * db < 0:
+                t = da / (da - db)
+                kept.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+        points = kept
+        if not points:
+            return 0.0
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1]))) / 2
+
+
+def warp(cells: DataFrame, steps: Sequence[tuple], covered: float = 1.0) -> DataFrame:
+    """Area-weighted resampling by any of the steps; brightness is kept.
+
+    A cell's corners are mapped, the output cells in their bounding box are the only candidates, and the
+    overlap is that of the mapped polygon with each.  Output cells less than ``covered`` are blank.
+    """
+    m = warp_matrix(steps)
+
+    def mapped(x: Column, y: Column) -> tuple[Column, Column]:
+        w = m[2][0] * x + m[2][1] * y + m[2][2]
+        return (m[0][0] * x + m[0][1] * y + m[0][2]) / w, (m[1][0] * x + m[1][1] * y + m[1][2]) / w
+
+    corners = [mapped(F.col("x") - i, F.col("y") - j) for i, j in ((1, 1), (0, 1), (0, 0), (1, 0))]
+    d = cells.withColumns({"_px": F.array(*[c[0] for c in corners]), "_py": F.array(*[c[1] for c in corners])})
+    span = lambda c: F.explode(F.sequence((F.floor(F.array_min(c)) + 1).cast("int"), F.greatest(F.ceil(F.array_max(c)), F.floor(F.array_min(c)) + 1).cast("int")))
+    d = d.withColumn("ox", span("_px")).withColumn("oy", span("_py"))
+
+    @F.pandas_udf("double")
+    def overlap(px: pd.Series, py: pd.Series, ox: pd.Series, oy: pd.Series) -> pd.Series:
+        return pd.Series([_clipped_area(a, b, i - 1, j - 1) for a, b, i, j in zip(px, py, ox, oy)])
+
+    corner = lambda i: F.struct(F.get("_px", F.lit(i)).alias("x"), F.get("_py", F.lit(i)).alias("y"))
+    d = d.withColumns({"w": overlap("_px", "_py", "ox", "oy"), "whole": F.abs(polygon_area(F.array(*map(corner, range(4)))))})
+    area = F.sum(F.when(F.col("v").isNotNull(), F.col("w")))
+    return d.groupBy(F.col("ox").alias("x"), F.col("oy").alias("y")).agg(F.sum("w").alias("_any"), F.when(area >= covered - 1e-9, F.sum(F.col("v") * F.col("w") / F.col("whole"))).alias("v")).where("_any > 1e-9").drop("_any")

@@ -264,3 +264,19 @@ def grid_mask_unset(spark, sf_dir):
     m = mask(spark, sf_dir)
     seen = grid.send(m.where("v = 0"), grid.offsets(2, 2)).join(m.where("v = 1").select("x", "y"), ["x", "y"], "left_semi")
     return seen.groupBy("x", "y").agg(F.count("*").alias("near"))
+
+
+@query("warp_general_scale", f"SELECT CAST((x-1)//2 + 1 AS INTEGER) AS x, CAST((y-1)//3 + 1 AS INTEGER) AS y, CASE WHEN count(v) = 6 THEN round(sum(v), 6) END AS v FROM ({IMAGE}) GROUP BY 1, 2")
+def warp_general_scale(spark, sf_dir):
+    return _r(gen.warp(image(spark, sf_dir), [("scale", 0.5, 1 / 3)]))
+
+
+@query("warp_rotate", f"SELECT CAST(1 - y AS INTEGER) AS x, x AS y, round(v, 6) AS v FROM ({IMAGE})")
+def warp_rotate(spark, sf_dir):
+    """A quarter turn maps cells on cells."""
+    return _r(gen.warp(image(spark, sf_dir), [("matrix", [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])]))
+
+
+@query("warp_project")
+def warp_project(spark, sf_dir):
+    return gen.warp(image(spark, sf_dir), [("rotate", 20), ("shear", 0.1, 0.0), ("translate", 3.0, 2.0), ("project", 0.001, 0.0)], covered=0.9)

@@ -280,3 +280,11 @@ def warp_rotate(spark, sf_dir):
 @query("warp_project")
 def warp_project(spark, sf_dir):
     return gen.warp(image(spark, sf_dir), [("rotate", 20), ("shear", 0.1, 0.0), ("translate", 3.0, 2.0), ("project", 0.001, 0.0)], covered=0.9)
+
+
+@query("catalog_rivers")
+def catalog_rivers(spark, sf_dir):
+    """rivernum and riverave of each clump."""
+    from ..operators import catalog as ct
+
+    return ct.clump_rivers(_flooded(spark, sf_dir))

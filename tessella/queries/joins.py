@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sky
 from ..operators import match as mt
+from ..plans.remote import RemoteQuery
 from .registry import query, table
 
 
@@ -120,3 +121,15 @@ def cone_search(spark, sf_dir):
 def box_search_closed_range(spark, sf_dir):
     p = _positions(spark, sf_dir)
     return p.where(sky.in_box(F.col("ra"), F.col("dec"), 180.0, 30.0, 40.0, 20.0) & F.col("c_custkey").between(10, 1200)).select("c_custkey")
+
+
+@query("remote_query_on_table", f"SELECT c_custkey, round(CAST(ra AS DOUBLE), 6) AS ra FROM ({_RADEC}) WHERE degrees(2*asin(sqrt(least(1.0, pow(sin(radians(dec-30)/2),2)+cos(radians(dec))*cos(radians(30.0))*pow(sin(radians(ra-180)/2),2))))) < 25 AND dec >= 20 AND dec <= 40")
+def remote_query_on_table(spark, sf_dir):
+    q = RemoteQuery("edr3", center=(180.0, 30.0), radius=25.0, columns=["c_custkey", "ra"], ranges=[("dec", 20, 40)])
+    return q.on(_positions(spark, sf_dir)).withColumn("ra", F.round("ra", 6))
+
+
+@query("remote_query_text", "SELECT 'SELECT ra, dec FROM gaiaedr3.gaia_source WHERE 1=CONTAINS(POINT(''ICRS'', ra, dec), BOX(''ICRS'', 10, 20, 1, 1)) AND parallax>=0.5 AND parallax<=2' AS text")
+def remote_query_text(spark, sf_dir):
+    q = RemoteQuery("edr3", center=(10, 20), width=[1], columns=["ra", "dec"], ranges=[("parallax", 0.5, 2)])
+    return spark.createDataFrame([(q.text(),)], "text string")

@@ -2,10 +2,9 @@
 
 Lines are normalised (lower case, runs of white space as one space, runs of digits as 0) and hashed.
 For each host the distinct documents of every line are counted.  A line is frequent, and removed,
-when more than ``MAX_DOCS`` documents of one host hold it and these documents differ: each carries
-the least of its own line hashes, and copies of one document, which share that value, must not make
-their own text frequent.  A document is rejected when what is removed exceeds ``DEPLETED`` of its
-words, or when it fails the base rule.
+when more than ``MAX_DOCS`` different texts of one host hold it; copies of one text count once, so
+that they don't make their own text frequent.  A document is rejected when what is removed exceeds
+``DEPLETED`` of its words, or when it fails the base rule.
 
 Everything is built of DataFrame functions.  Positions and hashes are packed in one long, so that
 repeated word windows are found by sorting primitive arrays within a row and no word is shuffled.
@@ -24,8 +23,6 @@ from .common import cut, matched, pick, read_table, text_or_empty
 
 #: A line in more distinct documents of one host is frequent.
 MAX_DOCS = 20
-#: Of the documents that hold a frequent line, at least this share must differ in their least line.
-DIFFER = 0.3
 #: A document that loses more than this share of its words is depleted.
 DEPLETED = 0.7
 MIN_WORDS = 50
@@ -105,16 +102,15 @@ def base(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(counted: DataFrame, max_docs: int = MAX_DOCS, differ: float = DIFFER) -> DataFrame:
+def frequent_lines(counted: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """host, h of the lines to remove.
 
-    The first aggregation also splits a line's rows by the documents' least hash, so one line in a
-    third of all documents meets map-side combined and spread.
+    The distinct rows are dealt out by text as well, so one line in a third of all documents meets
+    map-side combined and spread.
     """
-    own = counted.select("doc_id", "text_hash", "host", F.array_min(F.transform("lines", lambda x: x["h"])).alias("least"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    by_least = own.groupBy("host", "h", "least").agg(F.count("*").alias("docs"))
-    lines = by_least.groupBy("host", "h").agg(F.sum("docs").alias("docs"), F.count("*").alias("differ"))
-    return lines.where((F.col("docs") > max_docs) & (F.col("differ") >= differ * F.col("docs"))).select("host", "h")
+    own = counted.select("text_hash", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    lines = own.distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
+    return lines.where(F.col("docs") > max_docs).select("host", "h")
 
 
 def removals(counted: DataFrame, frequent: DataFrame) -> DataFrame:

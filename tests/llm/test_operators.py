@@ -164,6 +164,20 @@ def test_frequent_lines_go_and_copies_stay(spark, empty):
     assert quality_rules.judged(empty).count() == 0
 
 
+def test_frequent_lines_count_different_texts(spark):
+    rng = random.Random(4)
+    key = lambda t: hashlib.md5(re.sub("[0-9]+", "0", t.lower()).encode()).hexdigest()
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    line = lambda: " ".join(word() for _ in range(60))
+    head, foot = sorted((" ".join(word() for _ in range(4)) for _ in range(4000)), key=key)[:2]  # less than any other line
+    rows = [(i, f"{head}\n{line()}\n{foot}", "h") for i in range(21)] + [(100 + i, f"{head}\n{line()}\n{foot}", "few") for i in range(20)]
+    page = f"{line()}\nshared by pages"
+    rows += [(1000 + i, page, "copied") for i in range(600)] + [(2000 + i, f"{line()}\nshared by pages", "copied") for i in range(200)]
+    by = {r["doc_id"]: r["words_left"] for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {by[i] for i in range(21)} == {60} and {by[100 + i] for i in range(20)} == {68}
+    assert {by[i] for i in by if i >= 1000} == {60}
+
+
 # near-duplicates
 
 

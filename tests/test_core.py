@@ -202,6 +202,23 @@ def test_cosmology(spark):
     assert abs(age - 13.48) < 0.02 and abs(dist - 6607.7) < 1 and abs(volume / 1.51e11 - 1) < 0.02
 
 
+def test_cosmology_takes_every_row(spark, tmp_path):
+    rows = [(5, 1, 0.05), (2000, 1, 0.05), (700000, 2, 0.05), (700001, 1, 0.1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    names = [n for n in QUERIES if n.startswith("cosmology_") and n not in ("cosmology_redshift_of_velocity", "cosmology_comoving_volume")]
+    assert len(names) == 10
+    for name in names:
+        got = {r["l_orderkey"]: r["result"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert set(got) == {5, 2000, 700000, 700001} and got[5] == got[2000] == got[700000] != got[700001], name
+    volumes = {round(r["z"], 6): r["result"] for r in QUERIES["cosmology_comoving_volume"](spark, str(tmp_path)).collect()}
+    assert set(volumes) == {1.1, 2.1} and volumes[1.1] < volumes[2.1]
+    c = Cosmology()
+    z = np.linspace(0, 2.1, 200001)
+    inverse = 1 / np.sqrt(c.lambda0 + c.curvature0 * (1 + z) ** 2 + c.matter0 * (1 + z) ** 3)
+    far = {r["l_orderkey"]: r["result"] for r in QUERIES["cosmology_proper_distance"](spark, str(tmp_path)).collect()}[700001]
+    assert math.isclose(far, np.trapezoid(inverse, z) * c.hubble_distance, rel_tol=1e-6)
+
+
 def test_dates(spark):
     texts = ["1970-01-02", "1970-01-01T00:01:00.25", "01/02/70", "nothing"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.to_seconds(F.col("t")), dates.sub_second(F.col("t"))).collect()

@@ -121,7 +121,7 @@ def interpolate_linear(spark, sf_dir):
 
 
 def _catalogue(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 40")
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("gaussian", "moffat", "sersic", "flat", "circum", "point", "distance")]), (k % 7 + 1).cast("int"))
     return c.select(k.alias("id"), (k * 7 % 50 + 1.0).alias("cx"), (k * 11 % 40 + 1.0).alias("cy"), kinds.alias("kind"), F.lit(3.0).alias("width"), F.lit(2.5).alias("n"), (k * 13 % 180).cast("double").alias("pa"), F.lit(0.7).alias("q"), F.lit(20.0).alias("mag"), F.lit(2.0).alias("trunc"))

@@ -16,7 +16,7 @@ from .registry import query, table
 def source_text_table(spark, sf_dir):
     """A text table written and read back."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.txt"
-    registry.write(table(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    registry.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
     return registry.read(spark, path)
 
 

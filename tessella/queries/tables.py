@@ -71,9 +71,10 @@ def table_sort_head(spark, sf_dir):
     " JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey <= 100) b USING (k)",
 )
 def table_catcolumn(spark, sf_dir):
-    left = table(spark, sf_dir, "orders").where("o_orderkey <= 100").select("o_orderkey", "o_totalprice")
-    right = table(spark, sf_dir, "customer").where("c_custkey <= 100")
-    a, b = positions(left, "o_orderkey"), positions(right, "c_custkey").select("_at", F.col("c_name").alias("c_name-1"))
+    """All orders beside a table of as many rows: the names of their customers, in the same order."""
+    orders = table(spark, sf_dir, "orders")
+    named = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    a, b = positions(orders.select("o_orderkey", "o_totalprice"), "o_orderkey"), positions(named.select("o_orderkey", "c_name"), "o_orderkey").select("_at", F.col("c_name").alias("c_name-1"))
     return a.join(b, "_at").drop("_at")
 
 

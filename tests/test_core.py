@@ -219,6 +219,22 @@ def test_cosmology_takes_every_row(spark, tmp_path):
     assert math.isclose(far, np.trapezoid(inverse, z) * c.hubble_distance, rel_tol=1e-6)
 
 
+def test_whole_tables_are_worked_on(spark, tmp_path):
+    customers = [(k, f"name {k}", float(k % 30)) for k in [0, 3, 40, 101, 1201, 20000, 90000]]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, customers[i % 7][0] if i else None, "O", 2.0 * i) for i, k in enumerate([2, 99, 101, 3000, 3001, 50000, 70000, 90000, 95000])]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in run("source_text_table")} == {(o[0], o[2], o[3]) for o in orders}
+    name_of = {k: n for k, n, _ in customers}
+    assert sorted((r["o_orderkey"], r["o_totalprice"], r["c_name-1"]) for r in run("table_catcolumn")) == [(o[0], o[3], name_of.get(o[1])) for o in orders]
+    in_box = [k for k, _, b in customers if abs(k * 7.3 % 360 - 180) <= 20 and 20 <= b % 90 <= 40]
+    assert sorted(r["c_custkey"] for r in run("box_search_closed_range")) == in_box
+    brightness = 10 ** ((25.0 - 20.0) / 2.5)
+    far = [(k, n, b) for k, n, b in customers if k >= 40 and k % 7 != 6]  # a distance profile isn't scaled
+    assert sum(r["v"] for r in run("generate_profiles")) >= 0.99 * brightness * len(far)
+
+
 def test_dates(spark):
     texts = ["1970-01-02", "1970-01-01T00:01:00.25", "01/02/70", "nothing"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.to_seconds(F.col("t")), dates.sub_second(F.col("t"))).collect()

@@ -152,7 +152,7 @@ _STACK = "SELECT CAST(hour(ts) + 1 AS INTEGER) AS x, CAST(day(ts) AS INTEGER) AS
 
 def _images(spark, sf_dir):
     t = table(spark, sf_dir, "events")
-    kinds = [r[0] for r in t.select("event_type").distinct().orderBy("event_type").limit(3).collect()]
+    kinds = [r[0] for r in t.select("event_type").distinct().orderBy("event_type").collect()]
     base = t.groupBy((F.hour("ts") + 1).alias("x"), F.dayofmonth("ts").alias("y"), "event_type").agg(F.sum("value").alias("v"))
     return [base.where(F.col("event_type") == k).drop("event_type") for k in kinds]
 

@@ -235,6 +235,20 @@ def test_whole_tables_are_worked_on(spark, tmp_path):
     assert sum(r["v"] for r in run("generate_profiles")) >= 0.99 * brightness * len(far)
 
 
+def test_stacks_hold_every_event_type(spark, tmp_path):
+    kinds = ["click", "error", "purchase", "signup", "view", "visit"]
+    rows = [(k, float(10 * i + j)) for i, k in enumerate(kinds) for j in range(2)]
+    events = spark.createDataFrame(rows, "event_type string, value double").withColumn("ts", F.lit("2024-01-02 03:30:00").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    v = np.array([20.0 * i + 1 for i in range(6)])
+    want = {"min": v.min(), "max": v.max(), "sum": v.sum(), "mean": v.mean(), "std": v.std(), "median": np.median(v), "quantile": v[1], "number": 6}
+    want |= {"sigclip_number": 6, "sigclip_median": np.median(v), "sigclip_mean": v.mean(), "sigclip_std": v.std()}
+    got = {k: QUERIES[f"stack_{k}"](spark, str(tmp_path)).collect() for k in want}
+    for k, x in want.items():
+        assert [(r["x"], r["y"]) for r in got[k]] == [(4, 2)] and math.isclose(got[k][0]["v"], x, abs_tol=2e-6), (k, got[k])
+    assert sorted((r["z"], r["v"]) for r in QUERIES["grid_add_dimension"](spark, str(tmp_path)).collect()) == list(zip(range(1, 7), v))
+
+
 def test_dates(spark):
     texts = ["1970-01-02", "1970-01-01T00:01:00.25", "01/02/70", "nothing"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.to_seconds(F.col("t")), dates.sub_second(F.col("t"))).collect()

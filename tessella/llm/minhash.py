@@ -15,7 +15,8 @@ spelled out within a group of alike texts, and no link between components is los
 
 Defined results: a null text is the empty text; texts without words, and texts shorter than five words,
 are alike only if their words are equal; repeated rows and copies share a class; class_id is the least
-doc_id of the class (null ids come last); an empty table gives no rows; other columns pass unread.
+doc_id of the class (null ids come last; a class of null ids only has none and keeps its least node); an
+empty table gives no rows; other columns pass unread.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, lean, pick, read_table, text_or_empty
+from .common import bounded_batches, cut, lean, matched, pick, read_table, text_or_empty
 
 K = 5
 THRESHOLD = 0.8
@@ -256,32 +257,39 @@ def crossing(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_shingles, node: one row per row of ``docs``."""
+    """doc_id, class_id, n_shingles, node, class_node: one row per row of ``docs``; a class without any id is known by its class_node."""
     docs = pick(docs, "doc_id", "text")
     rows = cut(signed(docs), "signatures")
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
     # Each text's bands enter once, by its first row; copies are never dealt out by bucket.
     lead = nodes.select("node", F.col("first").alias("doc_id"))
-    banded = rows.join(lead, ["node", "doc_id"], "left_semi").select("node", "n", F.explode("bands").alias("key"))
+    banded = matched(rows, lead, ["node", "doc_id"], "left_semi").select("node", "n", F.explode("bands").alias("key"))
     several = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
     members = cut(banded.join(several, "key", "left_semi").distinct(), "members")
     wanted = members.select("node").distinct().join(lead, "node")
-    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text")).join(wanted, ["node", "doc_id"], "left_semi")
+    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text"))
+    texts = matched(texts, wanted, ["node", "doc_id"], "left_semi")
     bags = cut(numbered_elements(texts.select("node", shingles(F.col("text")).alias("shingles"))).dropDuplicates(["node"]), "bags")
     comps = components(links(members, bags, threshold))
     named = comps.join(nodes, "node")
-    least = named.groupBy("comp").agg(F.min("first").alias("class_id"))
-    of_node = nodes.join(named.select("node", "comp").join(least, "comp").select("node", "class_id"), "node", "left").select("node", F.coalesce("class_id", "first").alias("class_id"))
-    return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node").select("doc_id", "class_id", "n_shingles", "node")
+    least = named.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("head"))
+    of_node = nodes.join(named.select("node", "comp").join(least, "comp").select("node", "head"), "node", "left")
+    of_node = of_node.select("node", F.coalesce("head.first", "first").alias("class_id"), F.coalesce("head.node", "node").alias("class_node"))
+    return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node").select("doc_id", "class_id", "n_shingles", "node", "class_node")
+
+
+def leads() -> Column:
+    """Whether a row is the one of its class that stays, or a copy of it."""
+    return F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_shingles")
+    return classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", leads().alias("kept"), "n_shingles")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the least doc_id; columns as they were."""
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    kept = classes(docs).where(leads()).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
     names = docs.columns
     marked = docs.withColumn("_node", F.xxhash64(text_or_empty()))
     return marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_node"] == kept["_node"]), "left_semi").dropDuplicates(["doc_id", "_node"]).select(*names)

@@ -229,6 +229,24 @@ def test_classes_equal_brute_force(spark, docs, empty):
     assert {r["doc_id"] for r in minhash.deduplicate(d).collect()} == {min(g) for g in brute_classes(rows)}
 
 
+def test_classes_of_rows_without_ids(spark):
+    rng = random.Random(8)
+    origin = [f"w{rng.randrange(10**5)}" for _ in range(200)]
+    edit = lambda at: " ".join(f"e{k}" if k in at else w for k, w in enumerate(origin))
+    other = [f"v{rng.randrange(10**5)}" for _ in range(120)]
+    texts = [(1, edit({10, 30, 50})), (None, edit({10, 30, 50, 70, 90, 110})), (2, edit({10, 30, 50, 70, 90, 110, 130, 150, 170}))]  # the second bridges the others
+    texts += [(None, " ".join(other)), (None, " ".join(other)), (None, " ".join(["x", *other[1:]])), (None, " ".join([*other[:-1], "y"])), (None, "alone")]
+    got = minhash.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    own = {xxhash.xxh64(t.encode(), seed=42).intdigest(): i for i, (_, t) in enumerate(texts)}
+    groups = {}
+    for r in got:
+        groups.setdefault((r["class_id"], r["class_node"]), set()).add(own[r["node"] % (1 << 64)])
+    want = {frozenset(own[xxhash.xxh64(texts[i][1].encode(), seed=42).intdigest()] for i in g) for g in brute_classes([(i, t) for i, (_, t) in enumerate(texts)])}
+    assert {frozenset(g) for g in groups.values()} == want and len(got) == len(texts) and len(want) == 3
+    kept = minhash.deduplicate(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "None", "None"] and "alone" in {r["text"] for r in kept}
+
+
 def test_signatures_estimate_weighted_jaccard():
     a = np.sort(np.arange(1, 400, dtype=np.int64).repeat(3))
     b = np.sort(np.concatenate([np.arange(1, 400, dtype=np.int64).repeat(2), np.arange(5000, 5399, dtype=np.int64)]))

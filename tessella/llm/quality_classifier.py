@@ -24,6 +24,7 @@ SAMPLE = 4000
 DIMENSIONS = 1 << 18
 KEEP = 0.5
 SPACES = r"[ \t-\r]+"
+WHITE = " \t\n\u000b\f\r"
 #: Densities mean little in shorter texts; the labellers of densities then abstain.
 FEW_WORDS = 8
 
@@ -34,19 +35,30 @@ FUNCTION_WORDS = (
     " der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei"
     " el los las y en del se por con para una su al lo como más pero sus le ya o este sí porque esta son entre cuando muy sin sobre"
 ).split()
-FUNCTION_WORDS += [w.capitalize() for w in FUNCTION_WORDS]
 
 LABELLERS = ("symbols", "capitals", "exclamations", "bars", "function_words", "line_ends", "repeated_lines", "repeated_words", "word_length", "variety", "plain_words")
 
 
 #: A word in the shapes text: letters within joints, one mark before and one after.
 PLAIN = r"(?<!\S)[(\"'«„“]?[aA]+(?:['’-][aA]+)*[,.;:!?)\"'»”]?(?!\S)"
-CAPITAL = r"(?<!\S)[^a\s]*A[^a\s]*(?!\S)"
 
 
 def shapes(text: Column) -> Column:
     """The text with each run of small letters as a, of capitals as A, of digits as 9; words stay apart."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "9")
+    return shapes_of_small(small(text))
+
+
+def small(text: Column) -> Column:
+    """The text with each run of small letters as a, a quarter as long."""
+    return F.regexp_replace(text, r"\p{Ll}+", "a")
+
+
+def shapes_of_small(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"\p{N}+", "9")
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
 def measures() -> dict[str, Column]:
@@ -56,14 +68,17 @@ def measures() -> dict[str, Column]:
     n_lines = F.greatest(F.size(lines), F.lit(1))
     # marks are counted in the shapes, which are a quarter as long as the text and keep them
     count = lambda chars: (F.length(shape) - F.length(F.translate(shape, chars, ""))) / n
+    # runs of small letters are one letter there: without letters it is what the text is without letters
+    letters = F.length(text) - F.length(F.regexp_replace("_small", r"\p{L}+", ""))
+    capitals = F.length("_small") - F.length(F.regexp_replace("_small", r"\p{Lu}+", ""))
     return {
         "symbols": count("#*$%&<>{}\\"),
         "exclamations": count("!"),
         "bars": count("|"),
-        "capitals": F.regexp_count(shape, F.lit(CAPITAL)) / n,
+        "capitals": F.when(letters > 0, capitals / letters),
         "plain_words": F.regexp_count(shape, F.lit(PLAIN)) / n,
-        "word_length": F.length(text) / n,  # with its space
-        "function_words": F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS))) / n,
+        "word_length": F.length(F.translate(text, WHITE, "")) / n,
+        "function_words": F.size(F.filter("_low", lambda w: w.isin(FUNCTION_WORDS))) / n,
         "line_ends": F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;\"'»”)]\s*$"))) / n_lines,
         "repeated_lines": (F.size(lines) - F.size(F.array_distinct(lines))) / n_lines,
         "repeated_words": F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))) / n,
@@ -87,16 +102,17 @@ def votes() -> dict[str, Column]:
         "line_ends": vote(m["line_ends"] >= 0.6, m["line_ends"] < 0.2),
         "repeated_lines": vote(m["repeated_lines"] < 0.1, (m["repeated_lines"] > 0.4) & (F.size("_lines") > 3)),
         "repeated_words": vote(m["repeated_words"] < 0.05, m["repeated_words"] > 0.25),
-        "word_length": vote(m["word_length"].between(3.5, 10.5), (m["word_length"] < 3) | (m["word_length"] > 15)),
+        "word_length": vote(m["word_length"].between(2.5, 9.5), (m["word_length"] < 2) | (m["word_length"] > 14)),
         "variety": vote(m["variety"] > 0.35, m["variety"] < 0.12),
         "plain_words": vote(m["plain_words"] > 0.85, m["plain_words"] < 0.6),
     }
 
 
 def with_parts(docs: DataFrame) -> DataFrame:
-    """Adds _text, _words, _shape, _lines (those with a word) and the measures."""
+    """Adds _text, _words, _low (the words in small letters), _shape, _lines (those with a word) and the measures."""
     d = docs.withColumn("_text", text_or_empty())
-    d = d.withColumns({"_words": F.filter(F.split("_text", SPACES), lambda w: w != ""), "_shape": shapes(F.col("_text"))})
+    d = d.withColumns({"_words": words_of(F.col("_text")), "_low": words_of(F.lower("_text")), "_small": small(F.col("_text"))})
+    d = d.withColumn("_shape", shapes_of_small(F.col("_small")))
     d = d.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
     return d.withColumns({f"_m_{k}": c for k, c in measures().items()})
 
@@ -140,7 +156,7 @@ def features() -> Column:
     """Hashed words and word shapes of a document; a word equal to the one before it has a shape of its own."""
     slot = lambda kind, x: F.pmod(F.xxhash64(kind, x), F.lit(DIMENSIONS)).cast("int")
     again = lambda i: F.when(F.get(F.col("_words"), i) == F.get(F.col("_words"), i - 1), 2).otherwise(1)
-    return F.concat(F.transform("_words", lambda w: slot(F.lit(0), w)), F.transform("_shapes", lambda s, i: slot(again(i), s)))
+    return F.concat(F.transform("_low", lambda w: slot(F.lit(0), w)), F.transform("_shapes", lambda s, i: slot(again(i), s)))
 
 
 def with_shapes(df: DataFrame) -> DataFrame:
@@ -206,7 +222,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     # A filter on the score must stay above it: pushed below, it would split the text anew for every word.
     score = score.asNondeterministic()
     names = docs.columns
-    words = with_shapes(docs.withColumns({"_words": F.filter(F.split(text_or_empty(), SPACES), lambda w: w != ""), "_shape": shapes(text_or_empty())}))
+    words = with_shapes(docs.withColumns({"_words": words_of(text_or_empty()), "_low": words_of(F.lower(text_or_empty())), "_shape": shapes(text_or_empty())}))
     out = words.withColumn("_slots", features()).withColumn("quality_score", score("_slots"))
     return out.withColumn("kept", F.col("quality_score") >= KEEP).select(*names, "quality_score", "kept")
 

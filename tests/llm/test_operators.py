@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -447,6 +448,21 @@ def test_weak_labels_find_junk(spark, docs, empty):
     assert quality_classifier.scored(empty, quality_classifier.fit(empty)).count() == 0
 
 
+def test_measures_by_brute_force(spark, docs):
+    extra = ["Every Word Here Has Only One Capital Letter Of Many", "THE OF AND to In iS it thAT for", "a  \n\n   b \t\t  c d e f g h i", "中文 ABC Ǆǅ ª 12 Éé ß ŉ .. !! ÀÉ", "1 2 3 4 5 6 7 8 9"]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    names = ("capitals", "function_words", "word_length")
+    kind = lambda t, k: sum(unicodedata.category(c).startswith(k) for c in t)
+    for r in quality_classifier.with_parts(d).select("text", "_low", *[f"_m_{n}" for n in names]).collect():
+        t = r["text"] or ""
+        w, letters = words(t), kind(t, "L")
+        common = sum(x.lower() in quality_classifier.FUNCTION_WORDS for x in w)
+        want = (kind(t, "Lu") / letters if letters else None, common / max(len(w), 1), sum(map(len, w)) / max(len(w), 1))
+        assert tuple(r[f"_m_{n}"] for n in names) == pytest.approx(want) and r["_low"] == [x.lower() for x in w], t
+    slots = quality_classifier.with_shapes(quality_classifier.with_parts(spark.createDataFrame([(1, "One TWO one"), (2, "one two One")], "doc_id long, text string"))).orderBy("doc_id").select(quality_classifier.features().alias("s")).collect()
+    assert slots[0]["s"][:3] == slots[1]["s"][:3] and slots[0]["s"][0] == slots[0]["s"][2]
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng = np.random.default_rng(2)
     good = rng.random(20000) < 0.8

@@ -18,6 +18,7 @@ doc_id and text are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -48,17 +49,21 @@ class UnitEncoder(dict):
     """Byte-level BPE, memoised by unit.
 
     A text is split at each single space between two non-space characters.  The pre-tokeniser always
-    starts a new token there and looks no further, so units are encoded apart and joined.
+    starts a new token there and looks no further, so units are encoded apart and joined.  Before that a
+    text is split at the ``added`` tokens of the tokenizer, which have ids of their own.
     """
 
     _boundary = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, ranks_path: str, pattern: str, memo: int = MEMO):
+    def __init__(self, ranks_path: str, pattern: str, memo: int = MEMO, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._added = {token: np.array([i], dtype="<u4").tobytes() for token, i in (added or {}).items()}
+        # the longest of those that begin at one place
+        self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
         self._memo = memo
         self._older: dict[str, bytes] = {}
 
@@ -81,6 +86,12 @@ class UnitEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit words."""
+        if self._marks is None or not self._marks.search(text):
+            return self.plain(text)
+        return b"".join([self._added[part] if k % 2 else self.plain(part) for k, part in enumerate(self._marks.split(text))])
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if not text:
             return b""
         units = text.split(" ")
@@ -95,9 +106,18 @@ class UnitEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def unit_encoder(ranks_path: str, pattern: str) -> UnitEncoder:
+def unit_encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> UnitEncoder:
     """One encoder for each worker process, so that its memo outlives a task."""
-    return UnitEncoder(ranks_path, pattern)
+    return UnitEncoder(ranks_path, pattern, added=dict(added))
+
+
+def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a tokenizer's JSON file with their ids; those that take white space or bounds into account are refused."""
+    with open(json_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError(f"added tokens of {json_path} that aren't matched as they stand")
+    return tuple((t["content"], t["id"]) for t in found)
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -106,13 +126,13 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def tokenise(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """One row per piece, with its ids if asked for."""
     bounded_batches(docs.sparkSession)
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = unit_encoder(ranks_path, pattern)
+        bpe = unit_encoder(ranks_path, pattern, added)
         for batch in batches:
             out: list[tuple] = []
             tokens: list[np.ndarray] = []
@@ -307,9 +327,9 @@ def place(pieces: DataFrame, runs: dict[int, np.ndarray]) -> DataFrame:
     return pieces.mapInArrow(run, schema + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset: one row per piece."""
-    pieces = cut(tokenise(pick(docs, "doc_id", "text"), ranks_path, pattern, capacity, with_ids), "pieces")
+    pieces = cut(tokenise(pick(docs, "doc_id", "text"), ranks_path, pattern, capacity, with_ids, added), "pieces")
     hist = histogram(pieces, capacity)
     out = ranked(pieces, int(hist.sum()))
     return place(out, slots(plan_packing(hist, capacity), capacity)).select(*pieces.columns, "sequence_id", "offset")

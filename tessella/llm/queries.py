@@ -23,7 +23,7 @@ def tokenizer(name: str) -> str:
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=packing.added_tokens(tokenizer("byte_bpe_50k.json")))
 
 
 def op2_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -418,6 +418,22 @@ def test_units_equal_whole_texts():
         assert np.frombuffer(enc.encode(s), "<u4").tolist() == hf.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_added_tokens_have_the_library_s_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessella.llm.queries import op8_pattern_packing
+
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"{mark}{mark} x  {mark}\n\ny", f"a{mark}b <|endoftext| > {mark[:-1]}", f"two words{mark} it's", "no mark", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in op8_pattern_packing(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*hf.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), t
+    assert packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")) == ((mark, 50256),)
+
+
 def test_plans_use_the_histogram_exactly():
     rng = np.random.default_rng(1)
     for capacity, lengths in ((64, rng.integers(1, 65, 5000)), (2048, np.minimum(2048, rng.lognormal(6, 1, 20000).astype(int) + 1)), (16, np.full(9, 16)), (16, np.array([], int)), (16, np.full(7, 9))):

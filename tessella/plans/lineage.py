@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder every executor sees (``spark.checkpoint.dir``).
+
+    Where none is set, a local master gets a temporary one; on a cluster that is an error, since a folder
+    of the driver's machine is not the executors'.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -21,4 +27,15 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessella_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for the given frames, once nothing that is still read depends on them."""
+    for df in frames:
+        path = getattr(df, "_tessella_path", None)
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

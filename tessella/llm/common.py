@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, discard, shared_dir  # noqa: F401  (the operators take them from here)
+from ..plans.skew import spread_join  # noqa: F401
+
 #: Rows in an Arrow batch.  With texts of a few KB a batch stays near 1 MB, and near 30 MB when every text is very long.
 BATCH_ROWS = 256
 
@@ -36,26 +36,6 @@ def lean(run):
     return freed
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there,
-    so a lost executor costs a reread and never a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input can't clash with those of an operator."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -73,3 +53,35 @@ def matched(left: DataFrame, right: DataFrame, names: list[str], how: str = "inn
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def held(df: DataFrame, *names: str) -> DataFrame:
+    """``row``, a struct of all columns of ``df``, beside the named ones: further columns may have any names.
+
+    ``row.*`` gives the columns back as they were.
+    """
+    return df.select(F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row"), *[F.col(f"`{n}`") for n in names])
+
+
+def with_text(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``docs`` from ``row`` of ``df``, with ``text`` in place of theirs and its length in n_chars."""
+    new = df.select("row", text.alias("text"))
+    own = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return new.select(*[own.get(n, F.col(f"row.`{n}`")).alias(n) for n in docs.columns])
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but for those that an operator gives a value of its own."""
+    return [n for n in df.columns if n not in names]
+
+
+def hash_below(share: float, *columns: Column | str) -> Column:
+    """True for about ``share`` of all rows: those whose 64-bit hash lies in the lowest part of its range.
+
+    Rows alike in all ``columns`` have one hash, so columns that tell rows apart belong in it.
+    """
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*columns) < F.lit(int(share * 2**64) - 2**63)

@@ -5,12 +5,15 @@ n-grams of the greatest length; if none of them is known the next shorter length
 single characters.  A document's score per language is the mean over its words.
 
 The model is fitted on a bounded sample: about ``TRAIN_DOCS`` documents of each language, chosen by
-a hash of the id, in plain aggregations over the cluster.  Only counts that occur at least twice in
-the sample reach the driver.
+a hash of id and text, in plain aggregations over the cluster.  Words, and n-grams that occur at least
+``LEAST_COUNT`` times, of this sample reach the driver.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; a text whose words
 have no known n-gram at all gets the commonest learned language with an even score; without any
-learned language everything is ``und``; a null doc_id is neither learned from nor held out; an empty table gives no rows; other columns pass unread.
+learned language everything is ``und``; a null doc_id is neither learned from nor held out; repeated
+rows are learned from once and predicted alike; languages that score alike go by their names; a very long
+text is read in stretches of about ``STRETCH`` characters, cut between words; an empty table gives no
+rows; other columns pass unread.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pick, read_table
+from .common import bounded_batches, hash_below, pick, read_table
 
 #: About so many documents of each language are learned from.
 TRAIN_DOCS = 1000
 LONGEST_GRAM = 5
+#: n-grams seen less often say little; words are known from once on.
 LEAST_COUNT = 2
 MEMO = 200_000
 #: Very long texts are read in stretches of about so many characters.
@@ -46,13 +50,17 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def sampled(rows: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
-    """About ``per_lang`` rows of each language: all below a hash threshold that its count sets."""
+    """lang, text of about ``per_lang`` different rows of each language, and never more than twice as many of all.
+
+    A row is taken if the 64-bit hash of its id and text lies below a threshold that its language's count
+    sets; equal rows have one hash and are learned from once.
+    """
     counts = rows.groupBy("lang").count().collect()
     keep = F.lit(False)
     for r in counts:
-        share = min(1.0, per_lang / r["count"])
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    return rows.where(keep)
+        keep = keep | ((F.col("lang") == r["lang"]) & hash_below(per_lang / r["count"], "doc_id", "text"))
+    chosen = rows.where(keep).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).dropDuplicates(["lang", "h"])
+    return chosen.select("lang", "text").limit(2 * per_lang * max(len(counts), 1))
 
 
 def fit(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> dict | None:
@@ -67,7 +75,7 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> dict | None:
     grams = grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     both = words.select("lang", F.lit(0).alias("k"), "gram", "n").unionByName(grams)
     totals = {(r["lang"], r["k"]): r["t"] for r in both.groupBy("lang", "k").agg(F.sum("n").alias("t")).collect()}
-    table = both.where(F.col("n") >= LEAST_COUNT).toPandas()
+    table = both.where((F.col("n") >= LEAST_COUNT) | (F.col("k") == 0)).toPandas()
     words.unpersist()
     langs = sorted({lang for lang, _ in totals})
     if not langs:

@@ -3,11 +3,13 @@
 Overlapping heuristic labellers vote good, bad or nothing on each document.  Their votes make at most
 3^11 patterns; the counts of the patterns over all documents are all that expectation-maximisation
 needs to estimate the share of good documents and how each labeller votes on either kind.  The posterior
-of a pattern labels documents, and on a bounded sample of them (about ``SAMPLE`` rows, by a hash) a
-logistic scorer over hashed words and word shapes is trained.  The scorer then judges every document.
+of a pattern labels documents, and on a bounded sample of them (about ``SAMPLE`` different rows, by a
+64-bit hash, at most twice as many) a logistic scorer over hashed words and word shapes is trained.  The scorer then judges every document.
 
 Defined results: a null text is the empty text; a text without words scores 0 and is rejected; if no
-documents exist the scorer is even and no rows come out; repeated rows score alike; all columns pass.
+documents exist the scorer is even and no rows come out; repeated rows score alike; a score of exactly
+``KEEP`` is kept; very long texts are read whole, within one row; all columns pass, but for input
+columns named quality_score or kept, in whose place the operator's own come.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pick, read_table, text_or_empty
+from .common import bounded_batches, hash_below, held, others, pick, read_table, text_or_empty
 
 #: About so many documents train the scorer.
 SAMPLE = 4000
@@ -201,9 +203,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     table = d.groupBy(pattern().alias("pattern")).count().collect()  # at most 3^11 rows
     model = estimate([r["pattern"] for r in table], np.array([r["count"] for r in table]))
     total = max(sum(r["count"] for r in table), 1)
-    share = min(1.0, sample / total)
-    chosen = d.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = with_shapes(chosen).where(F.size("_words") > 0).select(pattern().alias("pattern"), features().alias("slots")).toPandas()
+    # equal rows have one hash and are learned from once; the limit binds even a sample that chance made large
+    chosen = pick(docs, "doc_id", "text").where(hash_below(sample / total, "doc_id", "text", F.lit(7)))
+    chosen = chosen.withColumn("h", F.xxhash64("doc_id", "text")).dropDuplicates(["h"]).drop("h").limit(2 * sample)
+    rows = with_shapes(with_parts(chosen)).where(F.size("_words") > 0).select(pattern().alias("pattern"), features().alias("slots")).toPandas()
     model["weights"] = train_scorer(list(rows["slots"].map(np.asarray)), rows["pattern"].map(model["posterior"]).to_numpy(dtype=float) if len(rows) else np.empty(0))
     return model
 
@@ -221,10 +224,10 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
 
     # A filter on the score must stay above it: pushed below, it would split the text anew for every word.
     score = score.asNondeterministic()
-    names = docs.columns
-    words = with_shapes(docs.withColumns({"_words": words_of(text_or_empty()), "_low": words_of(F.lower(text_or_empty())), "_shape": shapes(text_or_empty())}))
-    out = words.withColumn("_slots", features()).withColumn("quality_score", score("_slots"))
-    return out.withColumn("kept", F.col("quality_score") >= KEEP).select(*names, "quality_score", "kept")
+    names = others(docs, "quality_score", "kept")
+    words = with_shapes(held(docs, "text").withColumns({"_words": words_of(text_or_empty()), "_low": words_of(F.lower(text_or_empty())), "_shape": shapes(text_or_empty())}))
+    out = words.withColumn("_slots", features()).withColumn("_score", score("_slots")).select("row", "_score")
+    return out.select(*[F.col(f"row.`{n}`") for n in names], F.col("_score").alias("quality_score"), (F.col("_score") >= KEEP).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,4 +237,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; columns as they were."""
-    return scored(docs, fit(docs)).where("kept").select(*docs.columns)
+    whole = held(docs, "text", "doc_id")
+    return scored(whole, fit(whole)).where("kept").select("row.*")

@@ -10,8 +10,10 @@ Everything is built of DataFrame functions.  Positions and hashes are packed in
 repeated word windows are found by sorting primitive arrays within a row and no word is shuffled.
 
 Defined results: a null text has no words and fails the base rule; a null host is a host of its own;
-repeated rows get the same verdict each and count as one document; an empty table gives no rows;
-other columns pass unread.
+repeated rows get the same verdict each and count as one document; a line in exactly ``MAX_DOCS`` texts
+stays, and so does a document that loses exactly ``DEPLETED`` per cent of its words; a text may have
+2^26 words, as positions are packed in as many bits; an empty table gives no rows; other columns pass
+unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, matched, pick, read_table, text_or_empty
+from .common import cut, held, matched, pick, read_table, text_or_empty, with_text
 
 #: A line in more distinct documents of one host is frequent.
 MAX_DOCS = 20
-#: A document that loses more than this share of its words is depleted.
-DEPLETED = 0.7
+#: A document that loses more than this part of its words, in per cent, is depleted; at exactly so many it stays.
+DEPLETED = 70
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 
@@ -61,17 +63,39 @@ def packed_windows(words: str) -> Column:
 
 
 def repeated_starts(words: str, packed: str) -> Column:
-    """Positions of windows that have an equal one, in order.  Equal hashes are checked word by word."""
+    """Positions of windows that have an equal one, in order.  Equal hashes are checked word by word.
 
-    def equal(x: Column, y: Column) -> Column:
-        i, j = (v.bitwiseAND(F.lit(PLACE_MASK)).cast("int") for v in (x, y))
-        same = F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0
-        for k in range(WINDOW):
+    Windows of equal packed hashes but different words could part two equal ones in the sort.  A text with
+    such windows, one in thousands of millions, is sorted by its whole hashes instead.
+    """
+    place = lambda v: v.bitwiseAND(F.lit(PLACE_MASK)).cast("int")
+
+    def alike(x: Column, y: Column) -> Column:
+        return F.coalesce(F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0, F.lit(False))
+
+    def same_words(x: Column, y: Column) -> Column:
+        i, j = place(x), place(y)
+        same = F.get(F.col(words), i) == F.get(F.col(words), j)
+        for k in range(1, WINDOW):
             same = same & (F.get(F.col(words), i + k) == F.get(F.col(words), j + k))
         return F.coalesce(same, F.lit(False))
 
-    found = F.filter(packed, lambda x, k: equal(x, F.get(F.col(packed), k - 1)) | equal(x, F.get(F.col(packed), k + 1)))
-    return F.sort_array(F.transform(found, lambda x: x.bitwiseAND(F.lit(PLACE_MASK))))
+    equal = lambda x, y: alike(x, y) & same_words(x, y)
+    at = lambda k: F.get(F.col(packed), k)
+    found = F.filter(packed, lambda x, k: equal(x, at(k - 1)) | equal(x, at(k + 1)))
+    plain = F.transform(found, lambda x: x.bitwiseAND(F.lit(PLACE_MASK)))
+    collided = F.exists(F.transform(packed, lambda x, k: alike(x, at(k + 1)) & ~same_words(x, at(k + 1))), lambda c: c)
+    return F.sort_array(F.when(collided, repeated_by_words(words)).otherwise(plain))
+
+
+def repeated_by_words(words: str) -> Column:
+    """The same positions by a sort of the windows themselves."""
+    word = lambda i: F.get(F.col(words), i)
+    window = lambda i: F.struct(F.array(*(word(i + k) for k in range(WINDOW))).alias("w"), i.cast("long").alias("i"))
+    ordered = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), window))
+    # a transform over a one-element array binds the sorted windows once
+    found = F.transform(F.array(ordered), lambda o: F.filter(o, lambda x, k: F.coalesce(x["w"] == F.get(o, k - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(o, k + 1)["w"], F.lit(False))))
+    return F.transform(F.element_at(found, 1), lambda x: x["i"])
 
 
 def covered(starts: str) -> Column:
@@ -82,7 +106,7 @@ def covered(starts: str) -> Column:
 
 def base(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, host, the base counts, and the lines with a word as (hash, words)."""
-    host = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    host = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     d = docs.select("doc_id", host.alias("host"), text_or_empty().alias("text"))
     d = d.withColumn("words", words_of(F.col("text")))
     d = d.withColumn("packed", packed_windows("words"))
@@ -131,7 +155,7 @@ def judged(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     left = F.when(F.col("removed").isNull(), F.col("n_words")).otherwise(F.aggregate(kept_lines, F.lit(0).cast("long"), lambda s, x: s + x["n"]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = joined.withColumn("words_left", left).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= (1 - DEPLETED) * F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("words_left") >= (100 - DEPLETED) * F.col("n_words")))
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left"]
@@ -143,11 +167,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """``docs`` without its frequent lines and without the documents that are rejected; columns as they were."""
-    verdict = judged(docs).where("kept").select("doc_id", F.col("text_hash").alias("_h"), F.col("removed").alias("_removed")).dropDuplicates(["doc_id", "_h"])
-    names = docs.columns
-    d = matched(docs.withColumn("_h", F.xxhash64(text_or_empty())), verdict, ["doc_id", "_h"])
-    cleaned = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: (F.length(F.translate(x, SPACE, "")) == 0) | ~F.array_contains(F.col("_removed"), line_hash(x))), "\n")
-    d = d.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(cleaned))
-    if "n_chars" in names:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*names)
+    verdict = judged(docs).where("kept").select("doc_id", "text_hash", "removed").dropDuplicates(["doc_id", "text_hash"])
+    d = matched(held(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64(text_or_empty())), verdict, ["doc_id", "text_hash"])
+    cleaned = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: (F.length(F.translate(x, SPACE, "")) == 0) | ~F.array_contains(F.col("removed"), line_hash(x))), "\n")
+    return with_text(d, docs, F.when(F.col("removed").isNull(), F.col("text")).otherwise(cleaned))

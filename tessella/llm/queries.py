@@ -48,11 +48,10 @@ w AS (SELECT doc_id, source, text, list_filter(string_split_regex(text, '[ \x09-
 g AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) t(k) WHERE n > 1 GROUP BY doc_id),
-l AS (SELECT doc_id, source, len(list_filter(string_split_regex(line, '[ \x09-\x0d]+'), lambda x: x <> '')) AS n, substr(md5(regexp_replace(trim(regexp_replace(lower(line), '[ \x09-\x0d]+', ' ', 'g')), '[0-9]+', '0', 'g')), 1, 15) AS h FROM (SELECT doc_id, source, unnest(lines) AS line FROM w)),
-m AS (SELECT doc_id, min(h) AS least FROM l GROUP BY doc_id),
-f AS (SELECT source, h FROM (SELECT DISTINCT doc_id, source, h FROM l) JOIN m USING (doc_id) GROUP BY source, h HAVING count(*) > 20 AND count(DISTINCT least) >= 0.3 * count(*)),
-gone AS (SELECT doc_id, sum(n) AS n FROM l JOIN f USING (source, h) GROUP BY doc_id),
+l AS (SELECT doc_id, source, text, len(list_filter(string_split_regex(line, '[ \x09-\x0d]+'), lambda x: x <> '')) AS n, substr(md5(regexp_replace(trim(regexp_replace(lower(line), '[ \x09-\x0d]+', ' ', 'g')), '[0-9]+', '0', 'g')), 1, 15) AS h FROM (SELECT doc_id, source, text, unnest(lines) AS line FROM w)),
+f AS (SELECT source, h FROM (SELECT DISTINCT source, h, text FROM l) GROUP BY source, h HAVING count(*) > 20),
+gone AS (SELECT doc_id, sum(n) AS n FROM l JOIN f ON l.h = f.h AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
 b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ws) - coalesce(gone.n, 0) AS BIGINT) AS words_left FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
-SELECT *, NOT base_failed AND words_left >= (1 - 0.7) * n_words AS kept FROM v
+SELECT *, NOT base_failed AND 100 * words_left >= 30 * n_words AS kept FROM v
 """

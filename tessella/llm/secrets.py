@@ -1,12 +1,15 @@
 """Secret scans with an incremental blob ledger.
 
 Each text is a version of a path (its document) and is addressed by the SHA-256 of its content.  The
-ledger is a Parquet table of (blob, rule_version, findings).  A scan takes the blobs of the given
-versions that have no entry under the present rule version, scans one copy of each, appends the
-findings and joins them back to every path that holds the blob.
+ledger is a Parquet table of (blob, rule_version, findings), partitioned by the rule version.  A scan
+takes the blobs of the given versions that have no entry under the present rule version, scans one copy
+of each, appends the findings and joins them back to every path that holds the blob.  A blob of many
+paths is dealt out for that join.
 
 Defined results: a null text is the empty text; equal texts share one scan, whatever their number;
-an empty table gives no rows; other columns of the input pass by untouched.
+repeated rows come out as often as they occur; spans that begin together are in the order of their kinds;
+a very long text is scanned whole, in one row; an empty table gives no rows; other columns of the input
+pass by untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, lean, matched, pick, read_table, shared_dir, text_or_empty
-
-#: Raised whenever a rule changes; blobs are then scanned anew.
-RULE_VERSION = "2024-1"
+from .common import bounded_batches, cut, held, lean, matched, pick, read_table, shared_dir, spread_join, text_or_empty, with_text
 
 # The rules.  Base kinds first, in their order; (kind, pattern, group measured, least length).
 BASE_RULES = (
@@ -41,6 +41,9 @@ MORE_RULES = (
 )
 KINDS = [r[0] for r in (*BASE_RULES, *MORE_RULES)]
 
+#: Derived from the rules: when one changes, the ledger has no entries of the new version and blobs are scanned anew.
+RULE_VERSION = hashlib.sha256(repr((BASE_RULES, MORE_RULES)).encode()).hexdigest()[:16]
+
 FINDING = "struct<kind:string,start:int,end:int>"
 
 
@@ -80,7 +83,7 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     schema = f"blob string, rule_version string, findings array<{FINDING}>"
     if not store.exists(folder):
-        spark.createDataFrame([], schema).write.parquet(path)
+        spark.createDataFrame([], schema).write.partitionBy("rule_version").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -98,20 +101,24 @@ def scan_blobs(texts: DataFrame, rule_version: str) -> DataFrame:
     return texts.select("blob", "text").mapInArrow(lean(run), f"blob string, rule_version string, findings array<{FINDING}>")
 
 
-def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
-    """doc_id, blob, findings of every version; the ledger at ``ledger_path`` is brought up to date first."""
+def update(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Bring the ledger at ``ledger_path`` up to date with the texts of ``docs``; returns its (blob, findings) of the rule version."""
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")
     known = open_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).select("blob")
-    paths = blobs(docs)
     # One path stands for each unseen blob.  Only ids and hashes are shuffled to choose it, and counts combine map-side.
-    unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(known, "blob", "left_anti")
+    unseen = blobs(docs).groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(known, "blob", "left_anti")
     # A repeated row of one id is scanned as often as it is repeated; the ledger keeps one entry.
     texts = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"), text_or_empty().alias("text"))
     texts = matched(texts, unseen, ["blob", "doc_id"], "left_semi")
-    scan_blobs(texts, rule_version).dropDuplicates(["blob"]).write.mode("append").parquet(ledger_path)
-    entries = open_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("findings").alias("findings"))
-    return paths.join(entries, "blob").select("doc_id", "blob", "findings")
+    scan_blobs(texts, rule_version).dropDuplicates(["blob"]).write.mode("append").partitionBy("rule_version").parquet(ledger_path)
+    return open_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("findings").alias("findings"))
+
+
+def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """doc_id, blob, findings of every version; the ledger at ``ledger_path`` is brought up to date first."""
+    entries = update(docs, ledger_path, rule_version)
+    return spread_join(blobs(pick(docs, "doc_id", "text")), entries, "blob", "doc_id").select("doc_id", "blob", "findings")
 
 
 def own_ledger(spark: SparkSession) -> str:
@@ -122,8 +129,7 @@ def own_ledger(spark: SparkSession) -> str:
 def redact(docs: DataFrame, ledger_path: str, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask`` (overlapping spans as one); columns as they were."""
     bounded_batches(docs.sparkSession)
-    names = docs.columns
-    spans = scan(docs, ledger_path).where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")).dropDuplicates(["_blob"])
+    entries = update(docs, ledger_path).where(F.size("findings") > 0)
 
     @F.pandas_udf("string")
     def hide(texts, founds):
@@ -145,11 +151,9 @@ def redact(docs: DataFrame, ledger_path: str, mask: str = "[secret]") -> DataFra
             out.append("".join(parts))
         return pd.Series(out, dtype=object)
 
-    marked = docs.withColumn("_blob", F.sha2(text_or_empty(), 256)).join(spans, "_blob", "left")
-    marked = marked.withColumn("text", F.when(F.col("_found").isNotNull(), hide("text", "_found")).otherwise(F.col("text")))
-    if "n_chars" in names:
-        marked = marked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.select(*names)
+    whole = held(docs, "doc_id", "text").withColumn("blob", F.sha2(text_or_empty(), 256))
+    marked = spread_join(whole, entries, "blob", "doc_id", "left")
+    return with_text(marked, docs, F.when(F.col("findings").isNotNull(), hide("text", "findings")).otherwise(F.col("text")))
 
 
 def joined(spans) -> str:

@@ -2,8 +2,8 @@
 
 A document is the multiset of its five-word shingles.  Each shingle's weight axis is cut into the
 dyadic intervals [0, 1), [1, 2), [2, 4), [4, 8), ...; each interval has a Poisson process in time whose
-rate is its length, seeded by shingle and interval alone.  A point also draws a place in its interval,
-level by level, and a signature slot; it counts for a document if its place lies below the shingle's
+rate is its length, seeded by shingle and interval alone.  A point also draws a place in its interval
+and a signature slot; it counts for a document if its place lies below the shingle's
 multiplicity there.  A slot keeps the earliest point that counts, so two documents agree in a slot with
 the probability of their weighted Jaccard similarity.  A document's processes stop once they pass its
 latest slot.
@@ -16,7 +16,8 @@ spelled out within a group of alike texts, and no link between components is los
 Defined results: a null text is the empty text; texts without words, and texts shorter than five words,
 are alike only if their words are equal; repeated rows and copies share a class; class_id is the least
 doc_id of the class (null ids come last; a class of null ids only has none and keeps its least node); an
-empty table gives no rows; other columns pass unread.
+empty table gives no rows; a very long text is one row of 2^31 shingles at most, worked out apart from
+others; equally full pivots go by their hash; other columns pass unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, lean, matched, pick, read_table, text_or_empty
+from .common import bounded_batches, cut, discard, held, lean, matched, pick, read_table, spread_join, text_or_empty
 
 K = 5
 THRESHOLD = 0.8
@@ -163,7 +164,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def numbered_elements(rows: DataFrame) -> DataFrame:
-    """node, bag: each shingle with its occurrence number as 32-bit hashes, from (node, shingles)."""
+    """node, bag: each shingle with its occurrence number as 64-bit hashes, from (node, shingles)."""
     bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +172,11 @@ def numbered_elements(rows: DataFrame) -> DataFrame:
             h, doc, n = flat(batch.column(1))
             first, length = runs(doc, h)
             occurrence = np.arange(len(h)) - np.repeat(first, length)
-            e = (mix(h.view(U) + occurrence.astype(U) * _GOLDEN) >> U(32)).astype(np.uint32).view(np.int32)
+            e = mix(h.view(U) + occurrence.astype(U) * _GOLDEN).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(e))], names=["node", "bag"])
 
-    return rows.mapInArrow(lean(run), "node long, bag array<int>")
+    return rows.mapInArrow(lean(run), "node long, bag array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,15 +187,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct(), "links")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "comp"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         lower = cut(lower, "labels")
         target = lower.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        jumped = cut(lower.join(target, "comp").select("node", "old", F.col("further").alias("comp")), "labels")
-        done = jumped.where("old <> comp").isEmpty()
-        labels = jumped.select("node", "comp")
-        if done:
-            return labels
+        jumped = cut(spread_join(lower, target, "comp", "node").select("node", "old", F.col("further").alias("comp")), "labels")
+        discard(labels, lower)
+        if jumped.where("old <> comp").isEmpty():
+            discard(both)
+            return jumped
+        labels = jumped
 
 
 def similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -202,7 +204,8 @@ def similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     left = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
     right = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
     both = F.size(F.array_intersect("bag_a", "bag_b"))
-    return pairs.join(left, "a").join(right, "b").where(both >= threshold * (F.size("bag_a") + F.size("bag_b") - both)).select("a", "b")
+    # one pivot may be tested against a large part of all nodes, never the other way round
+    return spread_join(pairs, left, "a", "b").join(right, "b").where(both >= threshold * (F.size("bag_a") + F.size("bag_b") - both)).select("a", "b")
 
 
 def sized(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -218,19 +221,20 @@ def links(members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) ->
     in more bands than one another, so most groups close at once.  A bucket is settled when its members
     other than the pivot lie in one component; those of the others are joined exactly.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    fullness = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("full"))
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("_n")), "sizes")
+    known = {"counts": sizes, "total": members.count()}
+    fullness = spread_join(members, sizes.withColumnRenamed("_n", "size"), "key", "node", **known).groupBy("node").agg(F.sum("size").alias("full"))
     members = cut(members.join(fullness, "node"), "members")
     pivot = members.groupBy("key").agg(F.max(F.struct("full", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"))
-    pairs = members.join(pivot, "key").where("node <> a").select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    pairs = spread_join(members, pivot, "key", "node", **known).where("node <> a").select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
     tested = cut(sized(pairs, threshold), "pairs")
     found = cut(similar(tested, bags, threshold), "similar")
     done = pivot.select("key", F.col("a").alias("node"))
-    comps = components(found)
+    comps = components(found).select("node", "comp")
     left = members.join(done, ["key", "node"], "left_anti").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     left = cut(left, "left")
     open_ = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    nodes = cut(left.join(open_, "key", "left_semi").select("node", "comp").distinct(), "unsettled")
+    nodes = cut(spread_join(left, open_, "key", "node", "left_semi", **known).select("node", "comp").distinct(), "unsettled")
     if nodes.isEmpty():
         return found
     pairs = cut(crossing(nodes, bags, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -253,7 +257,7 @@ def crossing(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     # If this is the first element both share, no more than what follows it in either can be shared besides.
     reach = 1 + F.least(F.col("n") - F.col("k"), F.col("n_b") - F.col("k_b"))
     near = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (reach >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-6)
-    return first.join(other, "e").where(near).select(F.col("node").alias("a"), "b").distinct()
+    return spread_join(first, other, "e", "node").where(near).select(F.col("node").alias("a"), "b").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -264,18 +268,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Each text's bands enter once, by its first row; copies are never dealt out by bucket.
     lead = nodes.select("node", F.col("first").alias("doc_id"))
     banded = matched(rows, lead, ["node", "doc_id"], "left_semi").select("node", "n", F.explode("bands").alias("key"))
-    several = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    members = cut(banded.join(several, "key", "left_semi").distinct(), "members")
+    several = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("_n")).where("x <> y")
+    several = cut(several.select("key", "_n"), "several")
+    members = cut(spread_join(banded, several.select("key"), "key", "node", "left_semi", counts=several, total=BANDS * nodes.count()).distinct(), "members")
     wanted = members.select("node").distinct().join(lead, "node")
     texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text"))
     texts = matched(texts, wanted, ["node", "doc_id"], "left_semi")
     bags = cut(numbered_elements(texts.select("node", shingles(F.col("text")).alias("shingles"))).dropDuplicates(["node"]), "bags")
-    comps = components(links(members, bags, threshold))
+    comps = components(links(members, bags, threshold)).select("node", "comp")
     named = comps.join(nodes, "node")
     least = named.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("head"))
     of_node = nodes.join(named.select("node", "comp").join(least, "comp").select("node", "head"), "node", "left")
     of_node = of_node.select("node", F.coalesce("head.first", "first").alias("class_id"), F.coalesce("head.node", "node").alias("class_node"))
-    return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node").select("doc_id", "class_id", "n_shingles", "node", "class_node")
+    return spread_join(rows.select("doc_id", "node", F.col("n").alias("n_shingles")), cut(of_node, "classes"), "node", "doc_id").select("doc_id", "class_id", "n_shingles", "node", "class_node")
 
 
 def leads() -> Column:
@@ -289,7 +294,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the least doc_id; columns as they were."""
-    kept = classes(docs).where(leads()).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    names = docs.columns
-    marked = docs.withColumn("_node", F.xxhash64(text_or_empty()))
-    return marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_node"] == kept["_node"]), "left_semi").dropDuplicates(["doc_id", "_node"]).select(*names)
+    kept = classes(docs).where(leads()).select("doc_id", "node").distinct()
+    marked = held(docs, "doc_id", "text").select("row", "doc_id", F.xxhash64(text_or_empty()).alias("node"))
+    return matched(marked, kept, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"]).select("row.*")

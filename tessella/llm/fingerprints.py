@@ -12,7 +12,8 @@ array.  No word is ever shuffled.
 Defined results: a null text is the empty text; a text of fewer than five words has one k-mer of all
 its words, one without words has the empty fingerprint; two empty fingerprints are alike (1), an empty
 and another are not (0); equal texts have equal fingerprints.  Rows of one doc_id follow one another by
-the hash of their text; an empty table gives no rows; other columns pass unread.
+the hash of their text; ids that aren't integers are ordered as texts; a text may have 2^26 words, as
+positions are packed in as many bits; an empty table gives no rows; other columns pass unread.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, read_table, text_or_empty
 
@@ -102,7 +104,7 @@ def successors(ids: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "n_chars", F.col("_next.doc_id").alias("next_id"), F.col("_next.h").alias("next_h"))
 
 
-#: Stands for a null doc_id in keys, so that joins are on plain equality and keep their partitioning.
+#: Stands for a null doc_id in keys, so that joins are on plain equality and keep their partitioning; as text where ids are texts.
 NO_ID = -(1 << 63)
 
 
@@ -111,7 +113,10 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once by their key; the part of a text that its predecessor needs travels once more.
     """
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"))
+    kind = docs.schema["doc_id"].dataType
+    whole = isinstance(kind, T.IntegralType)
+    no_id = F.lit(NO_ID) if whole else F.lit(str(NO_ID))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long" if whole else "string"), no_id).alias("doc_id"), text_or_empty().alias("text"))
     d = d.withColumn("h", F.xxhash64("text"))
     follows = cut(successors(d.select("doc_id", "h", F.length("text").cast("long").alias("n_chars"))), "successors")
     # Repeated rows are equal in key and text: the first stands for all, and each copy is its own row of ``follows``.
@@ -123,7 +128,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     sent = sent.select(F.col("_id").alias("doc_id"), F.col("_h").alias("h"), "copies", "n_chars", F.col("sig").alias("next_sig"), F.expr("substring(text, 1, cast(n_chars div 2 as int))").alias("tail"))
     both = one.join(sent, ["doc_id", "h"])
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), "tail")
-    doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+    doc_id = F.when(F.col("doc_id") != no_id, F.col("doc_id")).cast(kind).alias("doc_id")
     both = signature(both.select(doc_id, "n_chars", "copies", "sig", "next_sig", edited.alias("edited")), "edited", "edited_sig")
     return both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "_k")
 

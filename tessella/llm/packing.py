@@ -11,14 +11,16 @@ The plan is a list of (pattern, repeats).  Pieces find their slot by their rank
 same length; ranks come from salted windows, so one length may hold any share of the corpus.
 
 Defined results: a null text is empty and gives one piece holding only the end id; repeated rows
-are packed as often as they occur; an empty table gives no rows; columns of the input other than
-doc_id and text are ignored.
+are packed as often as they occur; doc_id may be null and of any type; pieces that tie take their rank by
+their hash; a very long text is tokenised whole, in one row; an empty table gives no rows; columns of
+the input other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -37,12 +39,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Entries of each half of the per-worker memo of encoded units.
 MEMO = 100_000
-#: Rows a rank window sorts together, about.
-RANK_ROWS = 2_000
 #: Patterns enumerated for each length in the histogram.
 PATTERNS_PER_LENGTH = 6
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
 class UnitEncoder(dict):
@@ -144,7 +144,7 @@ def tokenise(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAP
                     if with_ids:
                         tokens.append(np.frombuffer(own, dtype="<u4").astype(np.int32))
             cols = list(zip(*out)) if out else [()] * 5
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            arrays = [pa.array(c, t) for c, t in zip(cols, (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 ends = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
@@ -153,8 +153,8 @@ def tokenise(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAP
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def patterns_for(hist: np.ndarray, capacity: int, per_length: int = PATTERNS_PER_LENGTH) -> list[tuple[int, ...]]:
@@ -297,8 +297,11 @@ def histogram(pieces: DataFrame, capacity: int) -> np.ndarray:
 
 
 def ranked(pieces: DataFrame, total: int) -> DataFrame:
-    """Adds rank: 0, 1, ... within each length, by windows over (length, salt) and the salts' running totals."""
-    salts = total // RANK_ROWS + 1
+    """Adds rank: 0, 1, ... within each length, by windows over (length, salt) and the salts' running totals.
+
+    Even if all pieces had one length, no window would hold more than about the square root of their number.
+    """
+    salts = math.isqrt(total) + 1
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     bases = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -7,11 +7,17 @@ permutation is walked along its cycle until it meets a valid value.  So a value
 other value of the same format, equal values stay linked across documents, and the key's holder can
 invert it.  E-mail addresses, which are neither numbers nor dates, get keyed hashes of the same shape.
 
+A candidate that fails validation is looked at again: of the runs of its groups the leftmost, and of these
+the longest, that is valid by any kind is taken, and so on behind it; cards must then have the grouping
+of cards, as a long row of numbers holds many runs with a right check digit.
+
 Everything is built of DataFrame functions: texts are split and put together again by the one pattern,
 and the networks are aggregates over their rounds.  Texts without a digit or an @ are passed on as they are.
 
 Defined results: a null text stays null; what fails validation stays as it is; an empty table gives no
-rows; repeated rows are treated alike; all columns of the input are kept.
+rows; repeated rows are treated alike; where several kinds fit, the first of PATTERNS is taken; a very long
+text is read whole, in one row; all columns of the input are kept, whatever their names, but for one
+named found, in whose place the operator's own comes.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, read_table
+from .common import held, others, pick, read_table
 
 #: The default key; a deployment passes its own.
 KEY = "tessella-demonstration-key"
@@ -29,16 +35,42 @@ ROUNDS = 8
 #: Steps along a cycle; every domain here fills at least half of its network's, so 64 steps fail once in 2^64.
 WALK = 64
 
+# The length of an account number by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28"
+    " HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29"
+    " PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()
+
+
+def iban_pattern() -> str:
+    """Account numbers of just the length of their country, whole or in groups of four."""
+    by_length: dict[int, list[str]] = {}
+    for x in IBAN_LENGTHS:
+        by_length.setdefault(int(x[2:]), []).append(x[:2])
+    each = []
+    for n, codes in sorted(by_length.items()):
+        fours, rest = divmod(n - 4, 4)
+        each.append(f"(?:{'|'.join(codes)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return rf"(?<![0-9A-Za-z])(?:{'|'.join(each)})(?![0-9A-Za-z])"
+
+
 # The patterns of candidates, in order of preference.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z][A-Za-z0-9-]++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,30}\.[A-Za-z][A-Za-z0-9-]++",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])",
     "date": r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "iban": iban_pattern(),
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+(])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){11,18}(?![0-9A-Za-z])",
+    # a whole row of numbers; those that end in what may be a date aren't part of it
+    "card": r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){11})[0-9]++(?![A-Za-z]|[./][0-9])(?:[ -][0-9]++(?![A-Za-z]|[./][0-9]))*+",
 }
+#: How cards are written; asked of the parts of a candidate that failed as a whole.
+CARD_GROUPS = r"^(?:[0-9]{12,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+#: Groups and single marks of a candidate, and how many of them a part may have.
+PIECE = "([0-9A-Za-z]++|[^0-9A-Za-z])"
+REACH = 20
 ANY = "|".join(PATTERNS.values())
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 
@@ -189,7 +221,7 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "iban": lambda m: bind(F.regexp_replace(m, " ", ""), lambda v: mod97(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, F.lit(1), F.lit(4)))) == 1),
     "ssn": lambda m: ssn_valid(only_digits(m)),
     "phone": lambda m: F.length(only_digits(m)).between(9, 15),
-    "card": lambda m: bind(only_digits(m), lambda d: (F.length(d) >= 12) & (luhn_sum(d) % 10 == 0)),
+    "card": lambda m: bind(only_digits(m), lambda d: F.length(d).between(12, 19) & (luhn_sum(d) % 10 == 0)),
 }
 PERMUTED: dict[str, Callable[[Column, str], Column]] = {"email": email_hashed, "ip": ip_permuted, "date": date_permuted, "iban": iban_permuted, "ssn": ssn_permuted, "phone": phone_permuted, "card": card_permuted}
 KINDS = list(PATTERNS)
@@ -204,6 +236,35 @@ def kind_of(m: Column) -> Column:
     return out
 
 
+PART = "array<struct<text:string,kind:string>>"
+
+
+def part(text: Column, kind: Column) -> Column:
+    return F.struct(text.alias("text"), kind.cast("string").alias("kind"))
+
+
+def looked_at_again(m: Column) -> Column:
+    """A failed candidate as parts (text, kind): the valid runs of its groups, and what lies between them."""
+
+    def parts(t: Column) -> Column:
+        def longest(i: Column) -> Column:
+            """(last, part) of the longest valid run from ``i``; null if there is none."""
+            ends = F.filter(F.sequence(F.lit(0), F.least(F.lit(REACH), F.size(t) - 1 - i)), lambda n: F.get(t, i + n).rlike("^[0-9A-Za-z]"))
+            run = lambda n: bind(F.array_join(F.slice(t, i + 1, n + 1), ""), lambda x: F.struct((i + n).alias("last"), part(x, F.when(F.length(x).between(7, 42), kind_of(x))).alias("part")))
+            return F.get(F.filter(F.transform(F.reverse(ends), run), lambda r: r["part"]["kind"].isNotNull() & ((r["part"]["kind"] != "card") | r["part"]["text"].rlike(CARD_GROUPS))), F.lit(0))
+
+        def step(s: Column, i: Column) -> Column:
+            begins = F.get(t, i).rlike("^[0-9A-Za-z+(]") & (i > s["last"])
+            plain = F.struct(i.alias("last"), F.concat(s["parts"], F.array(part(F.get(t, i), F.lit(None)))).alias("parts"))
+            taken = lambda r: F.when(r.isNull(), plain).otherwise(F.struct(r["last"].alias("last"), F.concat(s["parts"], F.array(r["part"])).alias("parts")))
+            return F.when(i <= s["last"], s).when(begins, bind(longest(i), taken)).otherwise(plain)
+
+        start = F.struct(F.lit(-1).alias("last"), F.array().cast(PART).alias("parts"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(t) - 1), start, step, lambda s: s["parts"])
+
+    return bind(F.regexp_extract_all(m, F.lit(PIECE), F.lit(1)), lambda t: F.when(F.size(t) < 3, F.array(part(m, F.lit(None)))).otherwise(parts(t)))
+
+
 def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     out = m
     for k in KINDS:
@@ -213,16 +274,17 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with its text pseudonymised, and ``found``: (kind, value, pseudonym) of each valid value in order."""
-    names = docs.columns
-    some = F.col("text").rlike("[0-9@]")
-    d = docs.withColumn("_matches", F.when(some, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))))
-    d = d.withColumn("_kinds", F.transform("_matches", kind_of))
-    d = d.withColumn("_new", F.zip_with("_matches", "_kinds", lambda m, k: F.when(k.isNull(), m).otherwise(pseudonym(m, k, key))))
+    d = held(docs, "text").withColumn("matches", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))))
+    d = d.withColumn("kinds", F.transform("matches", kind_of))
+    d = d.withColumn("parts", F.zip_with("matches", "kinds", lambda m, k: F.when(k.isNull(), looked_at_again(m)).otherwise(F.array(part(m, k)))))
+    new = lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("value"), F.when(p["kind"].isNull(), p["text"]).otherwise(pseudonym(p["text"], p["kind"], key)).alias("pseudonym"))
+    d = d.withColumn("parts", F.transform("parts", lambda ps: F.transform(ps, new)))
     rest = F.split("text", ANY, -1)
-    whole = F.array_join(F.zip_with(F.concat(F.array(F.lit("")), "_new"), rest, lambda m, r: F.concat(m, r)), "")
-    found = F.filter(F.zip_with(F.arrays_zip("_matches", "_new"), "_kinds", lambda x, k: F.struct(k.alias("kind"), x["_matches"].alias("value"), x["_new"].alias("pseudonym"))), lambda x: x["kind"].isNotNull())
-    text = F.when(F.size(F.coalesce("_matches", F.array().cast("array<string>"))) > 0, whole).otherwise(F.col("text"))
-    return d.withColumn("_text", text).withColumn("found", found).select(*[F.col("_text").alias("text") if n == "text" else F.col(f"`{n}`") for n in names], "found")
+    joined = F.transform("parts", lambda ps: F.array_join(F.transform(ps, lambda p: p["pseudonym"]), ""))
+    whole = F.array_join(F.zip_with(F.concat(F.array(F.lit("")), joined), rest, lambda m, r: F.concat(m, r)), "")
+    text = F.when(F.size(F.coalesce("matches", F.array().cast("array<string>"))) > 0, whole).otherwise(F.col("text"))
+    d = d.select("row", text.alias("text"), F.filter(F.flatten("parts"), lambda p: p["kind"].isNotNull()).alias("found"))
+    return d.select(*[F.col("text") if n == "text" else F.col(f"row.`{n}`") for n in others(docs, "found")], "found")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

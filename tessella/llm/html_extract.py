@@ -6,16 +6,20 @@ the capacity to one of two terminals.  Blocks that follow one another, and block
 joined by smoothness edges.  The maximum flow separates content from boilerplate: what stays reachable
 from the content terminal in the residual graph is the article.
 
+Only what is never shown (scripts, styles, templates) or is part of a form is dropped by its element; all
+other text is a block's, and the cut decides.
+
 Defined results: null or empty html gives the empty text; a page that breaks off, leaves tags open or
-nests them wrongly is read as far as it goes; every row gives one row; an empty table gives none; other
-columns pass unread.
+nests them wrongly is read as far as it goes; a very long page is read whole, in one pass that grows with
+its length; a block whose cost is the same either way is boilerplate; every row, repeated ones too, gives
+one row; an empty table gives none; other columns pass unread, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches, read_table
 
 # Names of elements and words in class, id and role.
-BLOCK = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody tfoot thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option p plaintext pre section select summary table tbody tfoot thead title tr ul".split())
 SPACED = frozenset("br td th img input label wbr".split()) - {"wbr"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg textarea noembed noframes xmp math audio video canvas".split())
+#: Their content is never shown, or belongs to a form.
+DROPPED = frozenset("script style template textarea iframe noembed noframes annotation annotation-xml".split())
+#: Their content is shown as it stands.
+VERBATIM = frozenset("xmp plaintext".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 OUTSIDE = frozenset("nav footer aside form button select option menu dialog head title legend fieldset".split())
@@ -40,9 +47,14 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article content post entry story main body text body-text article-body entry-content post-content story-body maincontent".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*(?:>|\Z)|[^<]+|<", re.S)
+# A quote counts only behind an equals sign; one that is never closed doesn't count, so the tag ends at the next >.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+#: Tags behind one that doesn't end: quotes no longer hide a >, so that no stretch of a broken page is read often.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
+CUT_OFF = re.compile(r"<[a-zA-Z/][^<>]*+\Z")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORDS = re.compile(r"[a-z]+")
+NOTICE = re.compile(r"©|\b(?:enable|activate|requires)\s+(?:java\s?script|cookies)", re.I)
 
 # Weights of the classifier; positive speaks for content.
 WEIGHT = {"bias": -0.6, "inside": 4.0, "outside": -8.0, "header": -5.0, "bad": -7.0, "good": 1.5, "links": -4.0, "length": 2.0, "sentence": 0.8, "prose": 0.9, "notice": -1.5}
@@ -82,68 +94,116 @@ class Block:
         self.prose = node.tag in PROSE
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, without those that hold only white space."""
-    root = Node("#", None)
-    stack, found = [root], []
-    parts: list[str] = []
-    linked = links = 0
-    at, end, lowered = 0, len(page), None
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+class Reader:
+    """Reads a page into blocks, in one pass."""
+
+    def __init__(self):
+        root = Node("#", None)
+        self.stack, self.found, self.parts = [root], [], []
+        self.open: Counter[str] = Counter()
+        self.linked, self.link = 0, 0  # characters in links, and the depth at which the open link began
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                found.append(Block(stack[-1], text, linked))
-            parts.clear()
-        linked = 0
-
-    while at < end:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if not (name := m[2]):
-            own = m[0]
-            if own[0] != "<" or own == "<":
-                parts.append(own)
-                if links:
-                    linked += len(own.strip())
-            continue
-        tag, closing = name.lower(), m[1]
-        if tag in RAW:
-            if not closing and not m[3].endswith("/"):
+                self.found.append(Block(self.stack[-1], text, self.linked))
+            self.parts.clear()
+        self.linked = 0
+
+    def text(self, own: str) -> None:
+        self.parts.append(own)
+        if self.link:
+            self.linked += len(own.strip())
+
+    def pop(self) -> None:
+        self.open[self.stack.pop().tag] -= 1
+        if len(self.stack) < self.link:
+            self.link = 0
+
+    def close(self, tag: str) -> None:
+        self.flush()
+        if self.open[tag]:
+            while self.stack[-1].tag != tag:
+                self.pop()
+            self.pop()
+
+    def start(self, tag: str, attributes: str) -> None:
+        self.flush()
+        if tag in VOID:
+            return
+        ends = CLOSES.get(tag, {"p"} if tag != "option" else set()) | {"p"}
+        while len(self.stack) > 1 and self.stack[-1].tag in ends:
+            self.pop()
+        if self.stack[-1].tag in ("title", "option"):
+            self.pop()
+        self.stack.append(Node(tag, self.stack[-1], attributes))
+        self.open[tag] += 1
+
+    def tag(self, tag: str, closing: bool, attributes: str) -> None:
+        if tag == "a":
+            self.link = 0 if closing else len(self.stack)
+        elif tag not in BLOCK:
+            if tag in SPACED:
+                self.parts.append(" ")
+        elif closing:
+            self.close(tag)
+        else:
+            self.start(tag, attributes)
+
+    def read(self, page: str) -> list[Block]:
+        at, end, lowered, pattern = 0, len(page), None, TAG
+        while at < end:
+            begin = page.find("<", at)
+            if begin < 0:
+                begin = end
+            if begin > at:
+                self.text(page[at:begin])
+            at = begin
+            if at == end:
+                break
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                at = end if stop < 0 else stop + 3
+                continue
+            m = pattern.match(page, at)
+            if m is None and pattern is TAG and page[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+                pattern = PLAIN_TAG
+                m = pattern.match(page, at)
+            if m is None:
+                if page.startswith(("<!", "<?", "</"), at):
+                    stop = page.find(">", at)
+                    at = end if stop < 0 else stop + 1
+                elif CUT_OFF.match(page, at):
+                    at = end
+                else:
+                    self.text("<")
+                    at += 1
+                continue
+            at, tag, closing = m.end(), m[2].lower(), bool(m[1])
+            if tag in DROPPED or tag in VERBATIM:
+                if tag in VERBATIM:
+                    self.tag(tag, closing, m[3])
+                else:
+                    self.parts.append(" ")
+                if closing or m[3].endswith("/"):
+                    continue
                 if lowered is None:
                     lowered = page.lower() if len(page.lower()) == len(page) else page
                 stop = lowered.find(f"</{tag}", at)
-                at = end if stop < 0 else stop
-            else:
-                parts.append(" ")
-            continue
-        if tag == "a":
-            links = 0 if closing else 1
-            continue
-        if tag not in BLOCK:
-            if tag in SPACED:
-                parts.append(" ")
-            continue
-        flush()
-        links = 0
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-            continue
-        if tag in VOID:
-            continue
-        ends = CLOSES.get(tag, {"p"} if tag != "option" else set()) | {"p"}
-        while len(stack) > 1 and stack[-1].tag in ends:
-            stack.pop()
-        if stack[-1].tag in ("title", "option"):
-            stack.pop()
-        stack.append(Node(tag, stack[-1], m[3]))
-    flush()
-    return found
+                stop = end if stop < 0 else stop
+                if tag in VERBATIM:
+                    self.text(page[at:stop].replace("&", "&amp;"))
+                at = stop
+                continue
+            self.tag(tag, closing, m[3])
+        self.flush()
+        return self.found
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of a page in order, without those that hold only white space."""
+    return Reader().read(page)
 
 
 def score(b: Block) -> float:
@@ -151,7 +211,7 @@ def score(b: Block) -> float:
     n, w = b.node, WEIGHT
     z = w["bias"] + w["length"] * min(len(b.text) / 120, 1.0) + w["links"] * min(b.linked / max(len(b.text), 1), 1.0)
     z += w["inside"] * n.inside + w["outside"] * n.outside + w["header"] * n.header + w["bad"] * n.bad + w["good"] * n.good + w["prose"] * b.prose
-    z += w["sentence"] * (b.text[-1] in ".!?…:;\"”»)") + w["notice"] * (b.text[0] == "©" or "©" in b.text[:40])
+    z += w["sentence"] * (b.text[-1] in ".!?…:;\"”»)") + w["notice"] * bool(NOTICE.search(b.text[:80]))
     return z
 
 

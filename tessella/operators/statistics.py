@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-from ..plans.table import positions
+from ..plans.lineage import cut, discard
 
 
 def within(df: DataFrame, low: float | None = None, high: float | None = None, ref: str = "", value: str = "") -> DataFrame:
@@ -34,14 +33,48 @@ def rank_of_quantile(n: int, q: float) -> int:
     return int(np.ceil(x - 0.5))
 
 
+def ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value, n (rows alike), upto (rows of the group up to the value), total (rows of the group).
+
+    Equal rows are counted where they are, the counts dealt out by range and the ranges' sums added up: no
+    task sorts a whole group, and a value that fills a group is one row.
+    """
+    keys = list(keys)
+    alike = df.select(*keys, value).dropna().groupBy(*keys, value).agg(F.count("*").alias("n"))
+    dealt = cut(alike.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    ahead = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part", *keys).agg(F.sum("n").alias("_n"))
+    before = sums.select("_part", *keys, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*keys)).alias("total"))
+    own = W.partitionBy("_part", *keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    summed = dealt.withColumn("_own", F.sum("n").over(own)).join(before, ["_part", *keys])
+    return summed.select(*keys, value, "n", (F.col("_before") + F.col("_own")).alias("upto"), "total")
+
+
+def holds(rank: Column) -> Column:
+    """Whether a row of ``ranked`` stands at a rank, from 1."""
+    return (F.col("upto") - F.col("n") < rank) & (rank <= F.col("upto"))
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, median, for groups of any size."""
+    middle = holds(F.floor((F.col("total") + 1) / 2)) | holds(F.floor(F.col("total") / 2) + 1)
+    return ranked(df, keys, value).where(middle).groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("median"))
+
+
+def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``single_values`` of each group, for groups of any size."""
+    d = df.where(F.col(value).isNotNull())
+    return d.groupBy(*keys).agg(*single_values(F.col(value))[:-1]).join(medians(d, keys, value), list(keys), "left")
+
+
 def quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame:
-    """(q, value) by nearest rank.  Values are ranked by range, so no task sorts them all."""
-    rows = df.select(value).dropna()
-    n = rows.count()
+    """(q, value) by nearest rank."""
+    rows = ranked(df, [], value)
+    n = df.where(F.col(value).isNotNull()).count()
     if not n:
         return df.sparkSession.createDataFrame([(float(q), None) for q in qs], f"q double, value {df.schema[value].dataType.simpleString()}")
     wanted = df.sparkSession.createDataFrame([(float(q), rank_of_quantile(n, q) + 1) for q in qs], "q double, _at long")
-    return positions(rows, value).join(F.broadcast(wanted), "_at").select("q", F.col(value).alias("value"))
+    return rows.join(F.broadcast(wanted), holds(F.col("_at"))).select("q", F.col(value).alias("value"))
 
 
 def quantile_range(df: DataFrame, value: str, low: float, high: float | None = None) -> DataFrame:
@@ -64,49 +97,57 @@ def quantile_function(df: DataFrame, value: str, at: float) -> DataFrame:
 # sigma clipping
 
 
-def _clip_round(df: DataFrame, keys: list[str], value: str, bounds: DataFrame | None) -> DataFrame:
+def _clip_round(df: DataFrame, keys: list[str], value: str, bounds: DataFrame | None, crowded: bool) -> DataFrame:
     inside = df if bounds is None else df.join(bounds.select(*keys, "low", "high"), keys).where((F.col(value) > F.col("low")) & (F.col(value) < F.col("high")))
     c = F.col(value).cast("double")
-    return inside.groupBy(*keys).agg(F.count(c).alias("size"), F.median(c).alias("med"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"))
+    rest = [F.count(c).alias("size"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")]
+    if crowded:
+        return inside.groupBy(*keys).agg(*rest).join(medians(inside, keys, value).withColumnRenamed("median", "med"), keys)
+    return inside.groupBy(*keys).agg(*rest, F.median(c).alias("med"))
 
 
-def sigma_clip(df: DataFrame, keys: list[str], value: str, multiple: float, param: float, most: int = 50) -> DataFrame:
+def sigma_clip(df: DataFrame, keys: list[str], value: str, multiple: float, param: float, most: int = 50, crowded: bool = False) -> DataFrame:
     """keys, number, median, mean, std after clipping to median +- multiple * std.
 
+    ``crowded`` groups are too large for one task to hold the values of; their medians are found by rank.
+
     ``param`` of 1 or more is a number of rounds, less is the tolerance on the change of the standard
     deviation.  The number is that after the last clip, the statistics are those of the round before it
     unless the deviation came to 0.  Only bounds per group travel between rounds, never values; a group
     that hasn't settled after ``most`` rounds has blanks.
     """
     df = df.select(*keys, value).dropna()
-    first = _clip_round(df, keys, value, None)
+    first = _clip_round(df, keys, value, None, crowded)
     low = F.greatest(F.coalesce("low", F.lit(float("-inf"))), F.col("med") - multiple * F.col("std"))
     high = F.least(F.coalesce("high", F.lit(float("inf"))), F.col("med") + multiple * F.col("std"))
     state = first.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
-    state = state.withColumns({"low": low, "high": high})
+    state = cut(state.withColumns({"low": low, "high": high}), "clip")
     if param >= 1:
         for _ in range(int(param) - 1):
-            fresh = _clip_round(df, keys, value, state).withColumnsRenamed({c: f"{c}_" for c in ("size", "med", "mean", "std")})
+            fresh = _clip_round(df, keys, value, state, crowded).withColumnsRenamed({c: f"{c}_" for c in ("size", "med", "mean", "std")})
             both = state.join(fresh, keys, "left")  # a group with nothing left keeps its last values
-            state = both.select(*keys, "low", "high", *[F.coalesce(f"{c}_", c).alias(c) for c in ("size", "med", "mean", "std")]).withColumns({"low": low, "high": high})
+            moved = both.select(*keys, "low", "high", *[F.coalesce(f"{c}_", c).alias(c) for c in ("size", "med", "mean", "std")]).withColumns({"low": low, "high": high})
+            old, state = state, cut(moved, "clip")
+            discard(old)
         ends = df.join(state.select(*keys, "low", "high"), keys).where((F.col(value) > F.col("low")) & (F.col(value) < F.col("high"))).groupBy(*keys).agg(F.count("*").alias("left"))
         out = state.join(ends, keys, "left")
         number = F.when(F.col("size") == 1, 1).otherwise(F.coalesce("left", F.lit(0)))
         return out.select(*keys, number.cast("long").alias("number"), F.col("med").alias("median"), "mean", "std")
     single = F.col("size") <= 1
-    state = cut(state.withColumns({"number": F.when(single, F.col("size")), "done": single}), "clip")
+    state = state.withColumns({"number": F.when(single, F.col("size")), "done": single})
     for _ in range(most):
         live = state.where(~F.col("done"))
         if live.isEmpty():
             break
-        fresh = _clip_round(df, keys, value, live).withColumnsRenamed({"size": "size_", "med": "med_", "mean": "mean_", "std": "std_"})
+        fresh = _clip_round(df, keys, value, live, crowded).withColumnsRenamed({"size": "size_", "med": "med_", "mean": "mean_", "std": "std_"})
         both = live.join(fresh, keys, "left")
         flat = F.col("std_") == 0
         settled = F.coalesce(flat | ((F.col("std") - F.col("std_")) / F.nullif(F.col("std_"), F.lit(0.0)) < param), F.lit(True))
         now = lambda old: F.when(~settled | flat, F.col(f"{old}_")).otherwise(F.col(old))
         moved = both.select(*keys, "low", "high", now("size").alias("size"), now("med").alias("med"), now("mean").alias("mean"), now("std").alias("std"), F.when(settled, F.coalesce("size_", F.lit(0))).alias("number"), settled.alias("done"))
         moved = moved.withColumns({"low": low, "high": high})
-        state = cut(state.where("done").unionByName(moved), "clip")
+        old, state = state, cut(state.where("done").unionByName(moved), "clip")
+        discard(old)
     blank = lambda c: F.when(F.col("done"), F.col(c))
     return state.select(*keys, blank("number").cast("long").alias("number"), blank("med").alias("median"), blank("mean").alias("mean"), blank("std").alias("std"))
 
@@ -149,8 +190,8 @@ def _nearest(a: np.ndarray, m: int, i: np.ndarray) -> np.ndarray:
     return np.where(inside & ~(up - mirrored < mirrored - a[m + j - 1]), j - 1, j)
 
 
-def mode_of_sorted(a: np.ndarray, mirror: float = 1.5) -> tuple[float, float, float, float]:
-    """(mode, its quantile, symmetricity, value where symmetry ends) of sorted values.
+def mode_of_sorted(a: np.ndarray, mirror: float = 1.5, step_of: int = 1) -> tuple[float, float, float, float]:
+    """(mode, its quantile, symmetricity, value where symmetry ends) of sorted values, or of every ``step_of``-th of them.
 
     The mode is the index at which the distribution mirrored about it departs least from the actual one,
     found by golden sections between the quantiles 0.01 and 0.55.  Too little symmetry gives blanks.
@@ -162,11 +203,14 @@ def mode_of_sorted(a: np.ndarray, mirror: float = 1.5) -> tuple[float, float, fl
     check = n // 2
     step = check // 1000 if check > 1000 else 1
 
+    def allowed(m: int) -> int:
+        return int(mirror * (m * step_of) ** 0.5 / step_of)
+
     def departure(m: int) -> float:
         i = np.arange(1, min(check, m + 1, n - m), step)
         if not len(i):
             return 0
-        j, error = _nearest(a, m, i), int(mirror * m**0.5)
+        j, error = _nearest(a, m, i), allowed(m)
         return np.inf if (i > j + error).any() else int(np.abs(i - j).max())
 
     low, high = rank_of_quantile(n, 0.01), rank_of_quantile(n, 0.55)
@@ -196,22 +240,35 @@ def mode_of_sorted(a: np.ndarray, mirror: float = 1.5) -> tuple[float, float, fl
     if a[m] <= start:
         return none
     i = np.arange(1, max(top - m, 1))
-    apart = np.flatnonzero(np.abs(i - _nearest(a, m, i)) > int(mirror * m**0.5)) if len(i) else []
+    apart = np.flatnonzero(np.abs(i - _nearest(a, m, i)) > allowed(m)) if len(i) else []
     end = a[m + i[apart[0]]] if len(apart) else a[top]
     symmetry = 0.0 if end == start else (end - a[m]) / (a[m] - start)
     return (float(a[m]), m / (n - 1), float(symmetry), float(end)) if symmetry > LEAST_SYMMETRY else none
 
 
-def mode(df: DataFrame, keys: list[str], value: str, mirror: float = 1.5) -> DataFrame:
-    """keys, mode, modequant, modesym, modesymvalue of each group."""
+#: A group with more values is searched on as many of them, evenly spaced in rank.
+MODE_VALUES = 1 << 20
+
+
+def mode(df: DataFrame, keys: list[str], value: str, mirror: float = 1.5, most: int = MODE_VALUES) -> DataFrame:
+    """keys, mode, modequant, modesym, modesymvalue of each group.
+
+    The search looks at ranks only, so of a group with more than ``most`` values every k-th by rank stands
+    for all, and the mirror's tolerance is that of the whole group; no task holds more than ``most`` values.
+    """
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", mode double, modequant double, modesym double, modesymvalue double"
+    rows = ranked(df, keys, value).withColumn("step", F.ceil(F.col("total") / most))
+    # ranks 1, 1 + step, ... that fall on the row
+    ticks = F.floor((F.col("upto") - 1) / F.col("step")) - F.floor((F.col("upto") - F.col("n") - 1) / F.col("step"))
+    rows = rows.withColumn("ticks", ticks).where("ticks > 0").select(*keys, F.col(value).cast("double").alias("v"), "ticks", "step")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        got = mode_of_sorted(np.sort(group[value].to_numpy(dtype=float)), mirror)
+        group = group.sort_values("v")
+        got = mode_of_sorted(np.repeat(group["v"].to_numpy(), group["ticks"].to_numpy()), mirror, int(group["step"].iloc[0]))
         head = group[keys].iloc[:1].reset_index(drop=True)
         return head.assign(**dict(zip(("mode", "modequant", "modesym", "modesymvalue"), got)))
 
-    return df.select(*keys, value).dropna().groupBy(*keys).applyInPandas(run, schema)
+    return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
 # histograms
@@ -283,30 +340,86 @@ def ascii_plot(hist: list[tuple[float, float]], height: int = 10) -> str:
     return "\n".join(f" |{r}" for r in rows) + "\n |" + "-" * len(hist)
 
 
-def outlier_by_distance(values: np.ndarray, window: int, sigma: float, clip: tuple[float, float] = (3.0, 0.2)) -> float:
-    """The first sorted value whose gap to the one before lies more than ``sigma`` clipped deviations above the clipped median of the ``window`` gaps before it; NaN if none."""
-    v = np.sort(values[~np.isnan(values)])
+# outliers
+
+
+def distance_hits(v: np.ndarray, window: int, sigma: float, clip: tuple[float, float]) -> np.ndarray:
+    """For sorted values, where the gap after a value lies more than ``sigma`` clipped deviations above the
+    clipped median of the ``window`` - 1 gaps before it; False where there aren't as many."""
     gaps = np.diff(v)
-    for k in range(window, len(gaps)):
-        _, med, _, std = sigma_clip_array(gaps[k - window : k], *clip)
-        if std > 0 and (gaps[k] - med) / std > sigma:
-            return float(v[k + 1])
-    return float("nan")
-
-
-def flat_outlier(values: np.ndarray, window: int, threshold: float, contiguous: int) -> float:
-    """Where the sorted values turn flat no longer: the first of ``contiguous`` slopes above the threshold; NaN if none."""
-    v = np.sort(values[~np.isnan(values)])
-    if len(v) <= 2 * window:
-        return float("nan")
-    scale = np.median(np.abs(v - np.median(v))) or 1.0
-    steep = (v[2 * window :] - v[: -2 * window]) / (2 * window * scale) > threshold
-    run = 0
-    for k, s in enumerate(steep):
-        run = run + 1 if s else 0
-        if run >= contiguous:
-            return float(v[k - contiguous + 1 + window])
-    return float("nan")
+    hits = np.zeros(len(v), bool)
+    for k in range(window - 1, len(gaps)):
+        _, med, _, std = sigma_clip_array(gaps[k - window + 1 : k], *clip)
+        hits[k] = gaps[k] - med > sigma * std
+    return hits
+
+
+def flat_hits(v: np.ndarray, previous: int, threshold: float, contiguous: int, clip: tuple[float, float]) -> np.ndarray:
+    """For sorted values, where a run of ``contiguous`` slopes (two values ahead less two behind) begins that
+    each lie more than ``threshold`` clipped deviations above the clipped median of the ``previous`` slopes."""
+    slopes = v[4:] - v[:-4] if len(v) > 4 else np.empty(0)
+    steep = np.zeros(len(v), bool)
+    for k in range(previous, len(slopes)):
+        _, med, _, std = sigma_clip_array(slopes[k - previous : k], *clip)
+        steep[k + 2] = std > 1e-6 and (slopes[k] - med) / std > threshold
+    run = steep.copy()
+    for k in range(1, contiguous):
+        run[:-k] &= steep[k:]
+        run[-k:] = False
+    return run
+
+
+#: Ranks that one task looks through, besides what it sees of its neighbours'.
+BLOCK = 1 << 15
+
+
+def first_hit(df: DataFrame, keys: Sequence[str], value: str, find: Callable[[np.ndarray], np.ndarray], before: int, after: int, block: int = BLOCK) -> DataFrame:
+    """keys, outlier: the first of each group's sorted values that ``find`` marks; NULL if it marks none.
+
+    Ranks are dealt into blocks, each with the ``before`` and ``after`` ranks around it, so groups of any size
+    are looked through in parallel.
+    """
+    keys = list(keys)
+    rows = ranked(df, keys, value).select(*keys, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("rank"))
+    own = F.floor(F.col("rank") / block)
+    span = F.sequence(F.floor(F.greatest(F.col("rank") - after, F.lit(0)) / block), F.floor((F.col("rank") + before) / block))
+    rows = rows.select(*keys, "v", "rank", own.alias("own"), F.explode(span).alias("block"))
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", rank long, v double"
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank")
+        at = np.flatnonzero(find(group["v"].to_numpy()) & (group["own"] == group["block"]).to_numpy())[:1]
+        return group.iloc[at][[*keys, "rank", "v"]]
+
+    hits = rows.groupBy(*keys, "block").applyInPandas(run, schema)
+    first = hits.groupBy(*keys).agg(F.min_by("v", "rank").alias("outlier"))
+    return df.select(*keys).distinct().join(first, keys, "left")
+
+
+def outlier_by_distance(df: DataFrame, keys: Sequence[str], value: str, window: int, sigma: float, clip: tuple[float, float] = (3.0, 0.2)) -> DataFrame:
+    """keys, outlier: the last sorted value before the first gap that is too wide; windows of up to two have none."""
+    find = (lambda v: distance_hits(v, window, sigma, clip)) if window > 2 else (lambda v: np.zeros(len(v), bool))
+    return first_hit(df, keys, value, find, window, 1)
+
+
+def flat_outlier(df: DataFrame, keys: Sequence[str], value: str, previous: int, threshold: float, contiguous: int, clip: tuple[float, float] = (3.0, 0.2)) -> DataFrame:
+    """keys, outlier: where the sorted values stop being flat."""
+    return first_hit(df, keys, value, lambda v: flat_hits(v, previous, threshold, contiguous, clip), previous + 4, contiguous + 2)
+
+
+def is_sorted(df: DataFrame, value: str, order: str) -> DataFrame:
+    """(increasing, decreasing): whether the non-blank values rise, or fall, along ``order``; equal neighbours do both.
+
+    Rows are dealt out by range of ``order``: each range looks at its own neighbours, and the ranges' ends at
+    one another, of which there are as many as partitions.
+    """
+    d = cut(df.select(F.col(order).alias("o"), F.col(value).alias("v")).dropna().repartitionByRange("o").withColumn("_part", F.spark_partition_id()), "ranges")
+    step = F.col("v") - F.lag("v").over(W.partitionBy("_part").orderBy("o"))
+    each = d.withColumn("step", step).groupBy("_part").agg(F.min("step").alias("lo"), F.max("step").alias("hi"), F.min_by("v", "o").alias("first"), F.max_by("v", "o").alias("last"))
+    over = F.col("first") - F.lag("last").over(W.orderBy("_part"))
+    each = each.withColumn("over", over)
+    up = F.coalesce(F.least(F.min("lo"), F.min("over")) >= 0, F.lit(True))
+    return each.agg(up.alias("increasing"), F.coalesce(F.greatest(F.max("hi"), F.max("over")) <= 0, F.lit(True)).alias("decreasing"))
 
 
 def unique(df: DataFrame, value: str, order: str) -> DataFrame:

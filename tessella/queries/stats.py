@@ -14,7 +14,7 @@ from .registry import query, table
     " round(stddev_pop(l_extendedprice), 4) AS std, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY l_returnflag",
 )
 def stat_single_values(spark, sf_dir):
-    out = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*st.single_values(F.col("l_extendedprice")))
+    out = st.summary(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
     return out.withColumns({"sum": F.round("sum", 2), "mean": F.round("mean", 4), "std": F.round("std", 4), "median": F.round("median", 4)})
 
 
@@ -62,13 +62,13 @@ _ROUND = "SELECT k, count(v) AS size, median(v) AS med, avg(v) AS mean, stddev_p
     " SELECT s2.k AS l_returnflag, (SELECT count(*) FROM r3 WHERE r3.k = s2.k) AS number, round(med, 4) AS median, round(mean, 4) AS mean, round(std, 4) AS std FROM s2",
 )
 def stat_sigma_clip_rounds(spark, sf_dir):
-    out = st.sigma_clip(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 1.5, 3)
+    out = st.sigma_clip(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 1.5, 3, crowded=True)
     return out.withColumns({c: F.round(c, 4) for c in ("median", "mean", "std")})
 
 
 @query("stat_sigma_clip_tolerance")
 def stat_sigma_clip_tolerance(spark, sf_dir):
-    return st.sigma_clip(table(spark, sf_dir, "events"), ["event_type"], "value", 3.0, 0.2)
+    return st.sigma_clip(table(spark, sf_dir, "events"), ["event_type"], "value", 3.0, 0.2, crowded=True)
 
 
 @query("stat_mode")
@@ -121,24 +121,24 @@ def stat_unique(spark, sf_dir):
     return st.unique(table(spark, sf_dir, "events"), "event_type", "event_id")
 
 
-def _per_type(spark, sf_dir, find):
-    """``find`` of each event type's values; the types are few and their values many, so only this report groups whole."""
-    import pandas as pd
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"event_type": [g["event_type"].iloc[0]], "outlier": [find(g["value"].to_numpy(dtype=float))]})
-
-    return table(spark, sf_dir, "events").select("event_type", "value").dropna().groupBy("event_type").applyInPandas(run, "event_type string, outlier double")
-
-
 @query("stat_outlier_distance")
 def stat_outlier_distance(spark, sf_dir):
-    return _per_type(spark, sf_dir, lambda v: st.outlier_by_distance(v, 50, 20.0))
+    return st.outlier_by_distance(table(spark, sf_dir, "events"), ["event_type"], "value", 50, 20.0)
 
 
 @query("stat_outlier_flat")
 def stat_outlier_flat(spark, sf_dir):
-    return _per_type(spark, sf_dir, lambda v: st.flat_outlier(v, 10, 0.05, 3))
+    return st.flat_outlier(table(spark, sf_dir, "events"), ["event_type"], "value", 50, 6.0, 3)
+
+
+_DROPS = "SELECT min(d) AS lo, max(d) AS hi FROM (SELECT {v} - lag({v}) OVER (ORDER BY event_id) AS d FROM events)"
+
+
+@query("stat_is_sorted", f"SELECT 'value' AS name, lo >= 0 AS increasing, hi <= 0 AS decreasing FROM ({_DROPS.format(v='value')}) UNION ALL SELECT 'time', lo >= 0, hi <= 0 FROM ({_DROPS.format(v='epoch(ts)')})")
+def stat_is_sorted(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp").cast("double"))
+    each = [st.is_sorted(e, c, "event_id").select(F.lit(n).alias("name"), "increasing", "decreasing") for n, c in (("value", "value"), ("time", "ts"))]
+    return each[0].unionByName(each[1])
 
 
 @query("stat_ascii_histogram")

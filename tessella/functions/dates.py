@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.table import positions
+
 # The accepted date formats.
 FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yy'T'HH:mm:ss", "dd/MM/yy")
 
@@ -25,14 +29,20 @@ def night_of(seconds: Column, hour: int = 11) -> Column:
     return F.floor((seconds - hour * 3600) / 86400)
 
 
-def nights(df: DataFrame, seconds: str, hour: int = 11) -> DataFrame:
-    """Adds night_id, the night's place among those present, and exposure_id, the row's place within its night.
+def nights(df: DataFrame, seconds: str, hour: int = 11, ties: Sequence[str] = ()) -> DataFrame:
+    """Adds night, night_id, the night's place among those present, and exposure_id, the row's place within its
+    night by time (and ``ties``).
 
-    Only the distinct nights meet in one window.
+    Rows are placed by ranges of time, and a night's first place is subtracted; only the distinct nights, of
+    which there are as many as days, meet in one window.
     """
     named = df.withColumn("night", night_of(F.col(seconds), hour))
-    ids = named.select("night").distinct().withColumn("night_id", F.row_number().over(W.orderBy("night")))
-    return named.join(F.broadcast(ids), "night").withColumn("exposure_id", F.row_number().over(W.partitionBy("night").orderBy(seconds)))
+    by_night = W.orderBy("night")
+    sizes = named.where(F.col("night").isNotNull()).groupBy("night").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(by_night.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ids = sizes.select("night", F.row_number().over(by_night).alias("night_id"), before.alias("_before"))
+    placed = positions(named.where(F.col("night").isNotNull()), [seconds, *ties])
+    return placed.join(ids, "night").withColumn("exposure_id", (F.col("_at") - F.col("_before")).cast("int")).drop("_at", "_before")
 
 
 def fill_linear(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -7,14 +7,18 @@ aggregation by coordinate, so no window spans the array and no cell is joined wi
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, discard
+from ..plans.skew import spread_join
+from ..plans.table import positions
 from .statistics import sigma_clip, sigma_clip_array
 
 XY = ("x", "y")
@@ -83,34 +87,91 @@ def opening(cells: DataFrame, depth: int = 1, connectivity: int = 1, dims: Seque
     return cells
 
 
-def label_components(on: DataFrame, connectivity: int | None = None, dims: Sequence[str] = XY) -> DataFrame:
-    """``dims`` and root, the least cell of the component, for the cells of ``on``.
+#: Cells of the blocks that are labelled in one task each, by the number of axes.
+BLOCK_CELLS = 4096
 
-    Roots spread to neighbours and then jump to their root's root, so the rounds grow with the logarithm
-    of a component's length; each round is written, and the next starts from there.
+
+def _block_roots(on: np.ndarray, connectivity: int) -> np.ndarray:
+    """For each cell of a block the place of the least set cell of its component; the array's size where unset.
+
+    Least places spread to neighbours and jump to their place's place.
     """
+    none = on.size
+    root = np.where(on, np.arange(on.size).reshape(on.shape), none)
+    whole = [slice(1, -1)] * on.ndim
+    steps = [tuple(slice(1 + d, n + 1 + d) for d, n in zip(step, on.shape)) for step in offsets(on.ndim, connectivity)]
+    while True:
+        wide = np.full([n + 2 for n in on.shape], none)
+        wide[tuple(whole)] = root
+        low = np.minimum.reduce([root, *(wide[s] for s in steps)])
+        low = np.append(low.ravel(), none)
+        low = np.where(on, low[low[:-1]].reshape(on.shape), none)
+        if (low == root).all():
+            return root
+        root = low
+
+
+def block_components(on: DataFrame, connectivity: int, dims: Sequence[str], side: int) -> DataFrame:
+    """``dims`` and root of the cells of ``on``, each block on its own; blocks are the parallel unit."""
     names = list(dims)
-    cell = F.struct(*reversed(names))  # ordered as the raster, whose first axis runs fastest
-    links = cut(send(on.select(*names).withColumn("from", cell), offsets(len(dims), connectivity), dims, ("from",)).join(on.select(*names), names, "left_semi").select(cell.alias("cell"), "from"), "links")
-    state = cut(on.select(cell.alias("cell"), cell.alias("root")), "roots")
+    kinds = {d: on.schema[d].dataType.simpleString() for d in names}
+    blocks = [f"_b{k}" for k in range(len(names))]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        origin = [int(g[b].iloc[0]) * side for b in blocks]
+        local = tuple(g[d].to_numpy() - o for d, o in zip(reversed(names), reversed(origin)))  # the first axis runs fastest
+        cells = np.zeros([side] * len(names), bool)
+        cells[local] = True
+        place = np.unravel_index(_block_roots(cells, connectivity)[local], cells.shape)
+        return g[names].assign(**{f"_r{k}": p + o for k, (p, o) in enumerate(zip(reversed(place), origin))})
+
+    d = on.select(*names, *[F.floor(F.col(n) / side).cast("int").alias(b) for n, b in zip(names, blocks)])
+    schema = ", ".join([f"`{n}` {kinds[n]}" for n in names] + [f"_r{k} {kinds[n]}" for k, n in enumerate(names)])
+    found = d.groupBy(*blocks).applyInPandas(run, schema)
+    return found.select(*names, F.struct(*[F.col(f"_r{k}").alias(n) for k, n in reversed(list(enumerate(names)))]).alias("root"))
+
+
+def label_components(on: DataFrame, connectivity: int | None = None, dims: Sequence[str] = XY, side: int | None = None) -> DataFrame:
+    """``dims`` and root, the least cell of the component in raster order, for the cells of ``on``.
+
+    Blocks of ``side`` cells along each axis are labelled on their own.  What meets across their rims links
+    the blocks' components: least roots spread along these links and then jump to their root's root, so the
+    rounds grow with the logarithm of a component's length in blocks; each round is written, and the next
+    starts from there.
+    """
+    names = list(dims)
+    side = side or max(2, int(BLOCK_CELLS ** (1 / len(names))))
+    own = cut(block_components(on, connectivity or len(names), names, side), "blocks")
+    at = lambda n: F.pmod(F.col(n), F.lit(side))
+    rim = own.where(reduce(lambda x, y: x | y, [(at(n) == 0) | (at(n) == side - 1) for n in names]))
+    seen = send(rim.withColumnRenamed("root", "from"), offsets(len(names), connectivity), names, ("from",))
+    links = cut(seen.join(rim, names).where("from <> root").select(F.col("root").alias("cell"), "from").distinct(), "links")
+    if links.isEmpty():
+        return own
+    state = cut(links.select("cell").distinct().select("cell", F.col("cell").alias("root")), "roots")
+    total = state.count()
     while True:
         near = links.join(state.select(F.col("cell").alias("from"), F.col("root").alias("near")), "from").groupBy("cell").agg(F.min("near").alias("near"))
         lower = cut(state.join(near, "cell", "left").select("cell", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")), "roots")
         jump = lower.select(F.col("cell").alias("root"), F.col("root").alias("further"))
-        jumped = cut(lower.join(jump, "root").select("cell", "old", F.col("further").alias("root")), "roots")
-        settled = jumped.where("old <> root").isEmpty()
-        state = jumped.select("cell", "root")
-        if settled:
-            return state.select(*[F.col("cell").getField(d).alias(d) for d in names], "root")
+        # one component may hold most cells
+        jumped = cut(spread_join(lower, jump, "root", "cell", total=total).select("cell", "old", F.col("further").alias("root")), "roots")
+        discard(state, lower)
+        state = jumped
+        if state.where("old <> root").isEmpty():
+            break
+    joined = spread_join(own.withColumnRenamed("root", "cell"), state.select("cell", "root"), "cell", names[0], "left")
+    return joined.select(*names, F.coalesce("root", "cell").alias("root"))
 
 
 def connected_components(cells: DataFrame, connectivity: int | None = None, dims: Sequence[str] = XY) -> DataFrame:
     """``dims`` and label: components of the set cells numbered from 1 in raster order, 0 elsewhere."""
+    names = list(dims)
     rooted = label_components(cells.where("v = 1"), connectivity, dims)
     roots = rooted.select("root").distinct()
     raster = [F.col("root").getField(d) for d in reversed(list(dims))]  # the first axis runs fastest
-    numbered = roots.withColumn("label", F.row_number().over(W.orderBy(*raster)))
-    named = rooted.join(numbered, "root").select(*dims, "label")
+    numbered = positions(roots.withColumns({f"_{k}": c for k, c in enumerate(raster)}), [f"_{k}" for k in range(len(raster))]).select("root", F.col("_at").alias("label"))
+    named = spread_join(rooted, numbered, "root", names[0]).select(*dims, "label")
     return cells.select(*dims).join(named, list(dims), "left").select(*dims, F.coalesce("label", F.lit(0)).cast("long").alias("label"))
 
 
@@ -137,28 +198,35 @@ def invert(c: Column, bits: int) -> Column:
 def interpolate_neighbours(cells: DataFrame, number: int, how: str, dims: Sequence[str] = XY, metric: str = "radial", only_blank: bool = True, start: int = 2) -> DataFrame:
     """Blanks become the min, max or median of their ``number`` nearest non-blank cells.
 
-    The search box doubles until a blank has enough cells within the radius that the box is sure to
-    cover; what it then finds are its nearest.
+    The radius doubles until a blank has enough cells within it, or until it spans the array; boxes as
+    wide as the radius make the search an equality.
     """
     names = list(dims)
     agg = {"min": F.min, "max": F.max, "median": F.median}[how]
-    full = cells.where(F.col("v").isNotNull())
-    todo = cells.where(F.col("v").isNull()).select(*names) if only_blank else cells.select(*names)
-    have = full.count()
-    number = min(number, have)
+    full = cut(cells.where(F.col("v").isNotNull()).select(*names, "v"), "full")
+    todo = cut((cells.where(F.col("v").isNull()) if only_blank else cells).select(*names), "blanks")
+    ends = cells.agg(*[(F.max(d) - F.min(d)).alias(d) for d in names]).head()
+    span = sum(int(ends[d] or 0) for d in names) + 1
+    number = min(number, full.count())
     done, half = None, start
-    while number:
-        steps = box([2 * half + 1] * len(names))
-        sent = send(full, steps, names).join(todo, names, "left_semi")
-        far = [float(sum(s * s for s in step) ** 0.5 if metric == "radial" else sum(map(abs, step))) for step in steps]
-        sent = sent.withColumn("r", F.element_at(F.array(*[F.lit(x) for x in far]), F.col("step") + 1)).where(F.col("r") <= half)
-        ranked = sent.withColumn("k", F.row_number().over(W.partitionBy(*names).orderBy("r", "step"))).where(F.col("k") <= number)
-        got = ranked.groupBy(*names).agg(agg("v").alias("v"), F.count("*").alias("n")).where(F.col("n") >= number).drop("n")
-        got = cut(got, "filled")
+    steps = list(product((-1, 0, 1), repeat=len(names)))
+    while number and not todo.isEmpty():
+        # boxes as wide as the radius: what a blank may see lies in its own box and those around
+        at = lambda d: F.floor(F.col(d) / half)  # noqa: E731, B023
+        boxes = F.explode(F.array(*[F.struct(*[(at(d) + F.lit(i)).alias(f"b{k}") for k, (d, i) in enumerate(zip(names, step))]) for step in steps]))
+        seen = todo.withColumn("_b", boxes).select(*names, "_b.*")
+        near = full.select(*[F.col(d).alias(f"s{k}") for k, d in enumerate(names)], "v", *[at(d).alias(f"b{k}") for k, d in enumerate(names)])
+        apart = [F.abs(F.col(d) - F.col(f"s{k}")).cast("double") for k, d in enumerate(names)]
+        r = F.sqrt(sum((x * x for x in apart), F.lit(0.0))) if metric == "radial" else sum(apart, F.lit(0.0))
+        found = seen.join(near, [f"b{k}" for k in range(len(names))]).withColumn("r", r).where(F.col("r") <= half)
+        ranked = found.withColumn("k", F.row_number().over(W.partitionBy(*names).orderBy("r", *[f"s{k}" for k in range(len(names))]))).where(F.col("k") <= number)
+        got = cut(ranked.groupBy(*names).agg(agg("v").alias("v"), F.count("*").alias("n")).where(F.col("n") >= number).drop("n"), "filled")
         done = got if done is None else done.unionByName(got)
-        todo = cut(todo.join(got.select(*names), names, "left_anti"), "blanks")
-        if todo.isEmpty() or half > 1 << 12:
+        if half > span:
             break
+        rest = cut(todo.join(got.select(*names), names, "left_anti"), "blanks")
+        discard(todo)
+        todo = rest
         half *= 2
     if done is None:
         return cells

@@ -1,7 +1,7 @@
 """Positional matching of two catalogues within an aperture.
 
-The first axis is dealt into strips as wide as the aperture, so the range condition becomes an equality
-on strips and the exact distance a condition of the join.  A pair survives if the second row's nearest
+Space is dealt into cells as wide as the aperture along each axis, so the range condition becomes an
+equality on cells and the exact distance a condition of the join.  A pair survives if the second row's nearest
 is the first, and, among the second rows that chose it, the first's nearest is the second.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, discard
+
 
 @dataclass(frozen=True)
 class Aperture:
@@ -52,10 +54,10 @@ class Aperture:
         times = lambda a, b: [[sum(a[i][k] * b[k][j] for k in range(3)) for j in range(3)] for i in range(3)]
         return times(z3, times(z1, x1))
 
-    def half_width(self) -> float:
-        """Of the bounding box along the first axis."""
-        r = self.rotation()
-        return math.sqrt(sum((r[i][0] * self.axes[i]) ** 2 for i in range(len(self.axes))))
+    def half_widths(self) -> list[float]:
+        """Of the bounding box along each axis."""
+        r, n = self.rotation(), len(self.axes)
+        return [math.sqrt(sum((r[i][k] * self.axes[i]) ** 2 for i in range(n))) for k in range(n)]
 
     def distance(self, differences: list[Column]) -> Column:
         """Elliptical distance, in units of the first axis."""
@@ -76,14 +78,15 @@ class Aperture:
 
 def candidates(a: DataFrame, b: DataFrame, cols_a: Sequence[str], cols_b: Sequence[str], id_a: str, id_b: str, aperture: Aperture) -> DataFrame:
     """(a_id, b_id, r, a_first, b_first) of all pairs nearer than the aperture."""
-    width = aperture.half_width()
+    widths, dims = aperture.half_widths(), range(len(cols_a))
     left = a.select(F.col(id_a).alias("a_id"), *[F.col(c).cast("double").alias(f"a{k}") for k, c in enumerate(cols_a)]).dropna()
     right = b.select(F.col(id_b).alias("b_id"), *[F.col(c).cast("double").alias(f"b{k}") for k, c in enumerate(cols_b)]).dropna()
-    strip = lambda c: F.floor(F.col(c) / width)
-    left = left.withColumn("strip", F.explode(F.array(*[strip("a0") + k for k in (-1, 0, 1)])))
-    right = right.withColumn("strip", strip("b0"))
+    cell = lambda side, k: F.floor(F.col(f"{side}{k}") / widths[k])
+    for k in dims:
+        left = left.withColumn(f"cell{k}", F.explode(F.array(*[cell("a", k) + step for step in (-1, 0, 1)])))
+        right = right.withColumn(f"cell{k}", cell("b", k))
     r = aperture.distance([F.col(f"a{k}") - F.col(f"b{k}") for k in range(len(cols_a))])
-    return left.join(right, "strip").withColumn("r", r).where(F.col("r") < aperture.axes[0]).select("a_id", "b_id", "r", F.col("a0").alias("a_first"), F.col("b0").alias("b_first"))
+    return left.join(right, [f"cell{k}" for k in dims]).withColumn("r", r).where(F.col("r") < aperture.axes[0]).select("a_id", "b_id", "r", F.col("a0").alias("a_first"), F.col("b0").alias("b_first"))
 
 
 def match(a: DataFrame, b: DataFrame, cols_a: Sequence[str], cols_b: Sequence[str], id_a: str, id_b: str, aperture: Sequence[float]) -> DataFrame:
@@ -120,19 +123,28 @@ def match_point(a: DataFrame, cols: Sequence[str], key: str, point: Sequence[flo
     return a.select(F.col(key).alias("a_id"), r.alias("dist"), F.col(cols[0]).alias("first")).where(F.col("dist") < ap.axes[0]).orderBy("dist", "first", "a_id").limit(1).select("a_id", "dist")
 
 
-def nearest_neighbour(a: DataFrame, b: DataFrame, cols_a: Sequence[str], cols_b: Sequence[str], id_a: str, id_b: str, start: float, rounds: int = 40) -> DataFrame:
-    """(a_id, b_id, dist): the nearest row of ``b`` for each of ``a``, without an aperture.
+def nearest_neighbour(a: DataFrame, b: DataFrame, cols_a: Sequence[str], cols_b: Sequence[str], id_a: str, id_b: str, start: float) -> DataFrame:
+    """(a_id, b_id, dist): the nearest row of ``b`` for each of ``a``, without an aperture; rows with a blank have none.
 
-    A doubling radius settles rows by strips: what finds a neighbour within it is done, the rest is tried
-    again with twice the radius, so a sparse region costs a few more rounds and never a cross join.
+    A radius that grows eightfold settles rows by cells: what finds a neighbour within it is done, the rest is
+    tried again, until the radius spans both tables.  A sparse region costs a few more rounds; only rows far
+    from all of ``b`` meet large parts of it.
     """
-    left, done, radius = a, None, float(start)
-    for _ in range(rounds):
-        pairs = candidates(left, b, cols_a, cols_b, id_a, id_b, Aperture.of(len(cols_a), [radius]))
-        best = pairs.groupBy("a_id").agg(F.min(F.struct("r", "b_first", "b_id")).alias("m")).select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.r").alias("dist"))
+    points = lambda df, cols, key: df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)]).dropna()
+    names = [f"c{k}" for k in range(len(cols_a))]
+    left, right = cut(points(a, cols_a, id_a), "left"), cut(points(b, cols_b, id_b), "right")
+    ends = left.unionByName(right).agg(*[(F.max(c) - F.min(c)).alias(c) for c in names]).head()
+    span = math.sqrt(sum((ends[c] or 0.0) ** 2 for c in names))
+    done, radius = None, float(start)
+    while True:
+        pairs = candidates(left, right, names, names, "id", "id", Aperture.of(len(names), [radius]))
+        best = cut(pairs.groupBy("a_id").agg(F.min(F.struct("r", "b_first", "b_id")).alias("m")).select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.r").alias("dist")), "nearest")
         done = best if done is None else done.unionByName(best)
-        left = left.join(best.select(F.col("a_id").alias(id_a)), id_a, "left_anti")
+        if radius > span:
+            return done
+        rest = cut(left.join(best.select(F.col("a_id").alias("id")), "id", "left_anti"), "left")
+        discard(left)
+        left = rest
+        if left.isEmpty():
+            return done
         radius *= 8
-        if left.isEmpty() or radius > start * 8**8:
-            break
-    return done

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import rpn, sky
 from ..operators import select
+from .lineage import cut
 
 
 @dataclass
@@ -94,21 +95,23 @@ class TablePipeline:
         return df.select(*out)
 
 
-def positions(df: DataFrame, key: str | None) -> DataFrame:
-    """Adds ``_at``: the position of each row by ``key``, or by the order of the plan's rows.
+def positions(df: DataFrame, key: str | Sequence[str] | None) -> DataFrame:
+    """Adds ``_at``: the position of each row, from 1, by ``key``, or by the order of the plan's rows.
 
     Rows are numbered within ranges of the key and the ranges' sizes added up, so no task sees all rows.
+    Rows of equal keys are dealt out by their hash, which also orders them.
     """
     if key is None:
-        spread = df.withColumn("_row", F.monotonically_increasing_id())
-        key = "_row"
+        df, keys = df.withColumn("_row", F.monotonically_increasing_id()), ["_row"]
     else:
-        spread = df
-    dealt = spread.repartitionByRange(F.col(f"`{key}`")).withColumn("_part", F.spark_partition_id())
+        keys = [key] if isinstance(key, str) else list(key)
+    order = [F.col(f"`{k}`") for k in keys] + [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    # The ranges are drawn once: they would differ between two readings of the plan.
+    dealt = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(F.col(f"`{key}`"))))
-    return numbered.join(before, "_part").withColumn("_at", F.col("_before") + F.col("_k")).drop("_part", "_before", "_k", "_row")
+    numbered = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    return numbered.join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.col("_k")).drop("_part", "_before", "_k", "_row")  # one row a partition
 
 
 def zip_columns(left: DataFrame, right: DataFrame, asked: Iterable[str] = (), key: str | None = None, suffix: str = "-1") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sky import TangentPlane
-from .statistics import sigma_clip
+from .statistics import medians, sigma_clip
 
 PI = math.pi
 
@@ -61,7 +61,6 @@ def sums(dims: Sequence[str], s: Settings) -> dict[str, Column]:
         "cn_v": F.count(F.when(clumped, v)),
         "cs_v": F.sum(F.when(clumped, v)),
         "cs_up": F.sum(F.when(clumped & up, v)),
-        "median": F.median(v),
         "nxy": F.count_distinct("x", "y"),
         "nxy_v": F.count_distinct(F.when(v.isNotNull(), F.struct("x", "y"))),
     }
@@ -103,17 +102,23 @@ def _clumps_center(d: str) -> Column:
     return F.coalesce(F.col(f"cw_{d}") / F.nullif(F.col("cs_up"), F.lit(0.0)), F.col(f"cg_{d}"))
 
 
-def columns(dims: Sequence[str], s: Settings) -> dict[str, Column]:
-    """Requested column -> expression over the partial aggregates and the ordered measurements."""
+def columns(dims: Sequence[str], s: Settings, rivers: bool = False) -> dict[str, Column]:
+    """Requested column -> expression over the partial aggregates and the ordered measurements.
+
+    With ``rivers`` the mean of the river around a clump is taken off each of its pixels.
+    """
     c = F.col
-    error = F.sqrt("s_var")
-    sn = math.sqrt(1 / s.cpscorr) * c("s_v") / F.nullif(error, F.lit(0.0))
+    own = c("s_v") - F.coalesce("riverave", F.lit(0.0)) * c("n_v") if rivers else c("s_v")
+    error = F.sqrt(c("s_var") + F.coalesce("rivervar", F.lit(0.0))) if rivers else F.sqrt("s_var")
+    sn = math.sqrt(1 / s.cpscorr) * own / F.nullif(error, F.lit(0.0))
     ratio = _semi("w", -1) / F.nullif(_semi("w", 1), F.lit(0.0))
     radius = lambda area: F.when(ratio >= 1e-6, F.sqrt(area / (ratio * PI)))
     out: dict[str, Column] = {"objid": c("label"), "numclumps": c("n_clumps"), "area": c("n_v"), "geoarea": c("n_all"), "weightarea": c("n_up"), "clumpsarea": c("cn_v"), "areaxy": c("nxy_v"), "geoareaxy": c("nxy")}
-    out |= {"brightness": c("s_v"), "brightnesserr": error, "clumpbrightness": c("cs_v"), "brightnessnoriver": c("s_v"), "mean": c("s_v") / F.nullif(c("n_v"), F.lit(0)), "median": c("median"), "sky": c("s_sky"), "std": F.sqrt("s_std2")}
-    out |= {"magnitude": magnitude(c("s_v"), s.zeropoint), "clumpsmagnitude": magnitude(c("cs_v"), s.zeropoint), "sn": sn, "magnitudeerr": F.when(sn > 0, 2.5 / (sn * math.log(10)))}
-    out |= {"areaarcsec2": c("n_v") * s.pixel_area, "surfacebrightness": surface_brightness(c("s_v"), c("n_v"), s)}
+    out |= {"brightness": own, "brightnesserr": error, "clumpbrightness": c("cs_v"), "brightnessnoriver": c("s_v"), "mean": own / F.nullif(c("n_v"), F.lit(0)), "median": c("median"), "sky": c("s_sky"), "std": F.sqrt("s_std2")}
+    out |= {"magnitude": magnitude(own, s.zeropoint), "clumpsmagnitude": magnitude(c("cs_v"), s.zeropoint), "sn": sn, "magnitudeerr": F.when(sn > 0, 2.5 / (sn * math.log(10)))}
+    out |= {"areaarcsec2": c("n_v") * s.pixel_area, "surfacebrightness": surface_brightness(own, c("n_v"), s)}
+    if rivers:
+        out |= {"hostobjid": c("label"), "idinhostobj": c("clump"), "rivernum": F.coalesce("rivernum", F.lit(0)), "riverave": c("riverave")}
     for d in dims:
         out |= {d: _center(d), f"geo{d}": c(f"g_{d}"), f"min{d}": c(f"min_{d}"), f"max{d}": c(f"max_{d}"), f"clumps{d}": _clumps_center(d), f"clumpsgeo{d}": c(f"cg_{d}"), f"minv{d}": c(f"at_min_{d}"), f"maxv{d}": c(f"at_max_{d}")}
     for kind, pre in (("w", ""), ("g", "geo")):
@@ -166,18 +171,28 @@ def ordered(pixels: DataFrame, keys: list[str], s: Settings) -> DataFrame:
 
 
 def catalog(pixels: DataFrame, asked: Sequence[str], settings: Settings = Settings(), keys: Sequence[str] = ("label",), inbetween: bool = False) -> DataFrame:
-    """One row per label with the requested columns.  ``inbetween`` keeps labels without pixels."""
+    """One row per label with the requested columns.  ``inbetween`` keeps labels without pixels.
+
+    With the keys label and clump each clump has a row; pixels of clump below 0 are the rivers between them.
+    """
     keys = list(keys)
+    rivers = "clump" in keys
     dims = [d for d in ("x", "y", "z") if d in pixels.columns]
     for name, default in (("sky", 0.0), ("std", 0.0), ("clump", 0)):
         if name not in pixels.columns:
             pixels = pixels.withColumn(name, F.lit(default))
     pixels = pixels.where(F.col(keys[0]) > 0)
-    table = columns(dims, settings)
+    around = clump_rivers(pixels, settings) if rivers else None
+    pixels = pixels.where("clump > 0") if rivers else pixels
+    table = columns(dims, settings, rivers)
     unknown = [a for a in asked if a not in table]
     if unknown:
         raise ValueError(f"unknown columns: {unknown}")
     out = pixels.groupBy(*keys).agg(*[c.alias(n) for n, c in sums(dims, settings).items()])
+    if rivers:
+        out = out.join(around, keys, "left")
+    if "median" in asked:
+        out = out.join(medians(pixels, keys, "v"), keys, "left")
     if any(a in ("areaminv", "areamaxv") or a[:4] in ("minv", "maxv") for a in asked):
         out = out.join(extremes(pixels, keys, dims), keys, "left")
     if ORDERED & set(asked):
@@ -193,11 +208,13 @@ def catalog(pixels: DataFrame, asked: Sequence[str], settings: Settings = Settin
     return out
 
 
-def clump_rivers(pixels: DataFrame) -> DataFrame:
-    """(label, clump, rivernum, riverave): the river pixels (clump below 0) that touch each clump, 8-connected."""
+def clump_rivers(pixels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(label, clump, rivernum, riverave, rivervar): the river pixels (clump below 0) of a label that touch each of its clumps, 8-connected."""
+    std = F.col("std") if "std" in pixels.columns else F.lit(0.0)
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
     reach = pixels.where("clump > 0").select("label", "clump", "x", "y", steps.alias("d")).select("label", "clump", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).distinct()
-    return reach.join(pixels.where("clump < 0").select("x", "y", "v"), ["x", "y"]).groupBy("label", "clump").agg(F.count("v").alias("rivernum"), F.avg("v").alias("riverave"))
+    river = pixels.where("clump < 0").select("label", "x", "y", "v", ((std if s.variance else std * std) + F.abs("v")).alias("_var"))
+    return reach.join(river, ["label", "x", "y"]).groupBy("label", "clump").agg(F.count("v").alias("rivernum"), F.avg("v").alias("riverave"), F.sum("_var").alias("rivervar"))
 
 
 def spectrum(pixels: DataFrame) -> DataFrame:
@@ -205,8 +222,8 @@ def spectrum(pixels: DataFrame) -> DataFrame:
     return pixels.where("label > 0").groupBy("label", "z").agg(F.sum("v").alias("sum"), F.count("v").alias("number"), F.count("*").alias("geonumber"))
 
 
-def upper_limit(pixels: DataFrame, number: int = 100, seed: int = 1, clip: tuple[float, float] = (3.0, 0.2), nsigma: float = 3.0, tries: int = 10) -> DataFrame:
-    """label, upperlimit, upperlimitonesigma, upperlimitsigma, upperlimitquantile, upperlimitskew, placed.
+def upper_limit(pixels: DataFrame, number: int = 100, seed: int = 1, clip: tuple[float, float] = (3.0, 0.2), nsigma: float = 3.0, tries: int = 10, zeropoint: float = 0.0) -> DataFrame:
+    """label, upperlimit, upperlimitmag, upperlimitonesigma, upperlimitsigma, upperlimitquantile, upperlimitskew, placed.
 
     Each label's footprint is placed ``number`` times at random; a placement counts if all of it lies on
     unlabelled, non-blank pixels.  Placements are drawn by a hash of label and trial, so a lost task draws
@@ -230,7 +247,7 @@ def upper_limit(pixels: DataFrame, number: int = 100, seed: int = 1, clip: tuple
     out = corner.join(dist, "label", "left").join(rank, "label", "left")
     enough = F.coalesce(F.col("placed"), F.lit(0)) >= number
     when = lambda c: F.when(enough, c)
-    return out.select("label", when(F.col("std") * nsigma).alias("upperlimit"), when(F.col("std")).alias("upperlimitonesigma"), when(F.try_divide(F.col("own"), F.col("std"))).alias("upperlimitsigma"), when(F.col("below") / number).alias("upperlimitquantile"), when(F.try_divide(F.col("mean") - F.col("median"), F.col("std"))).alias("upperlimitskew"), F.coalesce("placed", F.lit(0)).alias("placed"))
+    return out.select("label", when(F.col("std") * nsigma).alias("upperlimit"), when(magnitude(F.col("std") * nsigma, zeropoint)).alias("upperlimitmag"), when(F.col("std")).alias("upperlimitonesigma"), when(F.try_divide(F.col("own"), F.col("std"))).alias("upperlimitsigma"), when(F.col("below") / number).alias("upperlimitquantile"), when(F.try_divide(F.col("mean") - F.col("median"), F.col("std"))).alias("upperlimitskew"), F.coalesce("placed", F.lit(0)).alias("placed"))
 
 
 Expression = Callable[[Settings], Column]

@@ -12,7 +12,7 @@ from ..streaming.nights import nightly
 from .registry import query, table
 
 
-@query("source_text_table", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 3000")
+@query("source_text_table", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def source_text_table(spark, sf_dir):
     """A text table written and read back."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.txt"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sky import TangentPlane
 from ..operators import catalog as ct
-from .registry import ORACLES, QUERIES, query, table
+from .registry import ORACLES, QUERIES, clip_sql, query, table
 
 #: Labels are suppliers, positions are line numbers and days of the month, values are prices about their middle.
 PIXELS = (
@@ -96,28 +96,89 @@ def catalog_ordered(spark, sf_dir):
     return out.select("objid", *[F.round(c, 4).alias(c) if c == "maximum" else F.round(c, 3).alias(c) if "sum" in c and "area" not in c else F.col(c).cast("long").alias(c) for c in names])
 
 
-@query("catalog_radii")
-def catalog_radii(spark, sf_dir):
-    """fwhmobs, halfradiusobs, fracmaxradius1, fracmaxradius2, halfmaxsb, halfsumsb."""
-    return ct.catalog(pixels(spark, sf_dir), ["fwhmobs", "halfradiusobs", "fracmaxradius1", "fracmaxradius2", "halfmaxsb", "halfsumsb"], SETTINGS)
+_RATIO = f"({_semi(_M, '-')}/{_semi(_M, '+')})"
+_AREAS = (
+    _ORDER + ", a AS (SELECT label, " + _AREA.format(f=0.5) + " AS half, " + _SUM.format(f=0.5) + " AS half_sum, " + _AREA.format(f=0.25) + " AS f1, " + _AREA.format(f=0.75) + " AS f2,"
+    " greatest(coalesce(min(k) FILTER (run > 0.5*total) - 1, max(n)), 1) AS half_total FROM r JOIN t USING (label) GROUP BY label),"
+    f" m AS (SELECT label, sum(v) AS s, {_RATIO} AS q FROM ({PIXELS}) GROUP BY label)"
+)
+_RADIUS = "CASE WHEN q >= 1e-6 THEN sqrt({n} / (q * pi())) END"
+_SB = "CASE WHEN {v} > 0 THEN -2.5*log10(abs({v})) + 25 + 2.5*log10({n}*0.04) END"
 
 
-@query("catalog_world")
+@query(
+    "catalog_radii",
+    _AREAS + f" SELECT label, round(2 * {_RADIUS.format(n='half')}, 4) AS fwhmobs, round({_RADIUS.format(n='half_total')}, 4) AS halfradiusobs, round({_RADIUS.format(n='f1')}, 4) AS fracmaxradius1,"
+    f" round({_RADIUS.format(n='f2')}, 4) AS fracmaxradius2, round({_SB.format(v='half_sum', n='half')}, 4) AS halfmaxsb, round({_SB.format(v='(s / 2)', n='half_total')}, 4) AS halfsumsb FROM a JOIN m USING (label)",
+)
+def catalog_radii(spark, sf_dir):
+    names = ["fwhmobs", "halfradiusobs", "fracmaxradius1", "fracmaxradius2", "halfmaxsb", "halfsumsb"]
+    return ct.catalog(pixels(spark, sf_dir), names, SETTINGS).withColumns({c: F.round(c, 4) for c in names})
+
+
+def _world_sql() -> str:
+    """Centres of each kind on the tangent plane of SETTINGS."""
+    (x0, y0), (ra0, dec0), ((a, _), (_, d)) = SETTINGS.wcs.crpix, SETTINGS.wcs.crval, SETTINGS.wcs.cd
+    out = []
+    for pre, x, y in (("", SQL["x"], SQL["y"]), ("geo", SQL["geox"], SQL["geoy"]), ("clumps", SQL["clumpsx"], SQL["clumpsy"]), ("clumpsgeo", SQL["clumpsgeox"], SQL["clumpsgeoy"])):
+        xi, eta = f"radians(({x} - {x0!r}) * {a!r})", f"radians(({y} - {y0!r}) * {d!r})"
+        below = f"(cos(radians({dec0!r})) - {eta} * sin(radians({dec0!r})))"
+        ra = f"degrees(radians({ra0!r}) + atan2({xi}, {below}))"
+        dec = f"degrees(atan2(sin(radians({dec0!r})) + {eta} * cos(radians({dec0!r})), sqrt({xi} * {xi} + {below} * {below})))"
+        out += [f"round(({ra}) - 360 * floor(({ra}) / 360), 6) AS {pre}w1", f"round({dec}, 6) AS {pre}w2"]
+        if not pre:
+            out += [x.replace(" AS w1", " AS ra").replace(" AS w2", " AS dec") for x in out]
+    return ", ".join(out)
+
+
+@query("catalog_world", f"SELECT label, {_world_sql()} FROM ({PIXELS}) GROUP BY label")
 def catalog_world(spark, sf_dir):
     """Centres on the sky: ra, dec, w1, w2, geow1, geow2, clumpsw1, clumpsw2, clumpsgeow1, clumpsgeow2."""
-    return ct.catalog(pixels(spark, sf_dir), ["ra", "dec", "w1", "w2", "geow1", "geow2", "clumpsw1", "clumpsw2", "clumpsgeow1", "clumpsgeow2"], SETTINGS)
+    names = ["ra", "dec", "w1", "w2", "geow1", "geow2", "clumpsw1", "clumpsw2", "clumpsgeow1", "clumpsgeow2"]
+    return ct.catalog(pixels(spark, sf_dir), names, SETTINGS).withColumns({c: F.round(c, 6) for c in names})
 
 
-@query("catalog_sigclip")
+@query("catalog_sigclip", clip_sql(f"SELECT label, v FROM ({PIXELS})", ["label"], 1.5, 2) + ' SELECT label, number AS "sigclip-number", round(median, 4) AS "sigclip-median", round(mean, 4) AS "sigclip-mean", round(std, 4) AS "sigclip-std" FROM clipped')
 def catalog_sigclip(spark, sf_dir):
-    return ct.catalog(pixels(spark, sf_dir), ["sigclip-number", "sigclip-median", "sigclip-mean", "sigclip-std"], SETTINGS)
+    names = ["sigclip-median", "sigclip-mean", "sigclip-std"]
+    out = ct.catalog(pixels(spark, sf_dir), ["sigclip-number", *names], ct.Settings(sigmaclip=(1.5, 2)))
+    return out.withColumns({c: F.round(F.col(f"`{c}`"), 4) for c in names})
+
+
+#: Moves means of whole hundredths off the ties of rounding.
+OFF = 1e-7
+#: The same pixels, the faintest of each label as rivers between its clumps.
+CLUMPED = PIXELS.replace("ELSE 0 END AS clump", "WHEN l_quantity < 15 THEN -1 ELSE 0 END AS clump")
+_RIVERS = (
+    f"WITH p AS ({CLUMPED}), d AS (SELECT i.range - 1 AS dx, j.range - 1 AS dy FROM range(3) i, range(3) j WHERE i.range <> 1 OR j.range <> 1),"
+    " reach AS (SELECT DISTINCT label, clump, x + dx AS x, y + dy AS y FROM p, d WHERE clump > 0),"
+    " rivers AS (SELECT r.label, r.clump, count(v) AS rivernum, avg(v) AS riverave, sum(std * std + abs(v)) AS rivervar FROM reach r JOIN p USING (label, x, y) WHERE p.clump < 0 GROUP BY 1, 2),"
+    " own AS (SELECT label, clump, count(v) AS n, sum(v) AS s, sum(std * std + abs(v)) AS var FROM p WHERE clump > 0 GROUP BY 1, 2),"
+    " net AS (SELECT *, s - coalesce(riverave, 0) * n AS b, sqrt(var + coalesce(rivervar, 0)) AS err FROM own LEFT JOIN rivers USING (label, clump))"
+)
+
 
+def _clumped(spark, sf_dir):
+    q = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + 1).alias("label"), F.col("l_linenumber").alias("x"), F.dayofmonth("l_shipdate").alias("y"), (F.col("l_extendedprice") - 30000.0).alias("v"), F.col("l_tax").alias("sky"), F.col("l_discount").alias("std"), "l_quantity")
+    return q.withColumn("clump", F.when(F.col("l_quantity") >= 30, F.col("x")).when(F.col("l_quantity") < 15, -1).otherwise(0)).drop("l_quantity")
 
-@query("catalog_clumps", f"SELECT label AS hostobjid, clump AS idinhostobj, count(v) AS area, round(sum(v), 3) AS brightness FROM ({PIXELS}) WHERE clump > 0 GROUP BY label, clump")
+
+@query(
+    "catalog_clumps",
+    _RIVERS + " SELECT label AS hostobjid, clump AS idinhostobj, n AS area, round(b + 1e-7, 3) AS brightness, round(s + 1e-7, 3) AS brightnessnoriver, round(b / n + 1e-7, 4) AS mean, round(err, 4) AS brightnesserr, round(b / err, 6) AS sn,"
+    " round(CASE WHEN b > 0 THEN -2.5*log10(abs(b)) + 25 END, 6) AS magnitude, coalesce(rivernum, 0) AS rivernum, round(riverave + 1e-7, 4) AS riverave FROM net",
+)
 def catalog_clumps(spark, sf_dir):
-    p = pixels(spark, sf_dir).where("clump > 0")
-    out = ct.catalog(p, ["area", "brightness"], SETTINGS, keys=["label", "clump"])
-    return out.select(F.col("label").alias("hostobjid"), F.col("clump").alias("idinhostobj"), "area", F.round("brightness", 3).alias("brightness"))
+    names = ["area", "brightness", "brightnessnoriver", "mean", "brightnesserr", "sn", "magnitude", "rivernum", "riverave"]
+    out = ct.catalog(_clumped(spark, sf_dir), names, SETTINGS, keys=["label", "clump"])
+    places = {"brightness": 3, "brightnessnoriver": 3, "mean": 4, "brightnesserr": 4, "sn": 6, "magnitude": 6, "riverave": 4}
+    return out.withColumns({c: F.round(F.col(c) + (OFF if c in ("brightness", "brightnessnoriver", "mean", "riverave") else 0.0), k) for c, k in places.items()}).withColumnsRenamed({"label": "hostobjid", "clump": "idinhostobj"})
+
+
+@query("catalog_rivers", _RIVERS + " SELECT label, clump, rivernum, round(riverave + 1e-7, 4) AS riverave FROM rivers")
+def catalog_rivers(spark, sf_dir):
+    """rivernum and riverave of each clump that has any river."""
+    return ct.clump_rivers(_clumped(spark, sf_dir)).select("label", "clump", "rivernum", F.round(F.col("riverave") + OFF, 4).alias("riverave"))
 
 
 @query("catalog_inbetween", f"SELECT CAST(range AS BIGINT) AS objid, CAST(area AS BIGINT) AS area FROM range(1, (SELECT max(label) + 1 FROM ({PIXELS}) WHERE label % 3 <> 0)) LEFT JOIN (SELECT label, count(v) AS area FROM ({PIXELS}) WHERE label % 3 <> 0 GROUP BY label) ON label = range")

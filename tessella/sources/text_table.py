@@ -92,14 +92,23 @@ def _declared(f: T.StructField, width: int) -> str:
 
 
 def write_text_table(df: DataFrame, path: str, text_width: int = 32, blank_text: str = "n/a") -> None:
-    """``df`` as a text table: the header is the first part, rows follow in parallel parts."""
+    """``df`` as a text table: the header is the first part, rows follow in parallel parts.
+
+    Text columns are as wide as their longest value, at least ``text_width``; line breaks within a value
+    can't be told from rows and become spaces.
+    """
+    plain = [f for f in df.schema.fields if not _declared(f, 1).startswith("str")]
+    texts = [f.name for f in df.schema.fields if f not in plain]
+    value = lambda n: F.regexp_replace(F.col(f"`{n}`").cast("string"), r"[\r\n]", " ")
+    longest = df.agg(*[F.max(F.length(value(n))).alias(n) for n in texts]).head() if texts else {}
     header, cells = [], []
     for k, f in enumerate(df.schema.fields, 1):
-        text = isinstance(f.dataType, T.StringType)
+        text = f.name in texts
+        width = max(text_width, len(blank_text), longest[f.name] or 0) if text else 0
         blank = blank_text if text else "nan"
-        header.append(f"# Column {k}: {f.name} [{f.metadata.get('unit', '')},{_declared(f, text_width)},{blank}] {f.metadata.get('comment', '')}".rstrip())
-        c = F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit(blank))
-        cells.append(F.rpad(c, text_width, " ") if text else F.lpad(c, 24, " "))
+        header.append(f"# Column {k}: {f.name} [{f.metadata.get('unit', '')},{_declared(f, width)},{blank}] {f.metadata.get('comment', '')}".rstrip())
+        c = F.coalesce(value(f.name) if text else F.col(f"`{f.name}`").cast("string"), F.lit(blank))
+        cells.append(F.rpad(c, width, " ") if text else F.lpad(c, F.greatest(F.length(c), F.lit(24)), F.lit(" ")))
     spark = df.sparkSession
     top = spark.createDataFrame([("\n".join(header),)], "value string").coalesce(1)
     top.union(df.select(F.concat_ws(" ", *cells).alias("value"))).write.text(path)

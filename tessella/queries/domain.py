@@ -10,7 +10,7 @@ from ..functions import dates
 from ..operators import generators as gen
 from .registry import query, table
 
-_Z = "SELECT l_orderkey, l_linenumber, l_discount * 20 + 0.1 AS z FROM lineitem WHERE l_orderkey < 2000"
+_Z = "SELECT l_orderkey, l_linenumber, l_discount * 20 + 0.1 AS z FROM lineitem"
 
 
 def _z(spark, sf_dir):
@@ -51,15 +51,20 @@ for _name in ("proper_distance", "angular_distance", "luminosity_distance", "dis
     _cosmic(f"cosmology_{_name}", getattr(_C, _name))
 
 
-@query("cosmology_critical_density")
+_CUBED = f"({_C.matter0!r}*(1+z)*(1+z)*(1+z) + {_C.curvature0!r}*(1+z)*(1+z) + {_C.lambda0!r})"
+
+
+@query("cosmology_critical_density", f"SELECT l_orderkey, l_linenumber, round(3*{_C.h0_per_second!r}*{_C.h0_per_second!r}*{_CUBED}/(8*pi()*{co.GRAVITY!r})/1000*1e30, 6) AS result FROM (SELECT l_orderkey, l_linenumber, CAST(z AS DOUBLE) AS z FROM ({_Z}))")
 def cosmology_critical_density(spark, sf_dir):
-    return _z(spark, sf_dir).withColumn("result", _C.critical_density(F.col("z")) * 1e30)
+    """In 1e-30 g / cm^3."""
+    return _z(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(_C.critical_density(F.col("z")) * 1e30, 6).alias("result"))
 
 
-@query("cosmology_comoving_volume")
+@query("cosmology_comoving_volume", f"SELECT round(z, 6) AS z, round(4*pi()/3*pow({_cosmic_sql('proper_distance')}, 3)/1e9, 4) AS result FROM (SELECT DISTINCT CAST(z AS DOUBLE) AS z FROM ({_Z}))")
 def cosmology_comoving_volume(spark, sf_dir):
+    """In Gpc^3, of each redshift."""
     own = _z(spark, sf_dir).select("z").distinct()
-    return own.withColumn("result", _C.comoving_volume(F.col("z")))
+    return own.select(F.round("z", 6).alias("z"), F.round(_C.comoving_volume(F.col("z")) / 1e9, 4).alias("result"))
 
 
 @query("cosmology_velocity", f"SELECT l_orderkey, l_linenumber, round(299792458.0*((1+z)*(1+z)-1)/((1+z)*(1+z)+1)/1000, 4) AS result FROM ({_Z})")
@@ -99,11 +104,7 @@ def dates_to_seconds(spark, sf_dir):
 )
 def nights(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
-    named = e.withColumn("key", F.struct("s", "event_id"))
-    out = dates.nights(named.withColumn("sec", F.col("s")), "sec", 9).drop("exposure_id")
-    from pyspark.sql import Window as W
-
-    return out.select("event_id", "night", "night_id", F.row_number().over(W.partitionBy("night").orderBy("s", "event_id")).alias("exposure_id"))
+    return dates.nights(e, "s", 9, ["event_id"]).select("event_id", "night", "night_id", "exposure_id")
 
 
 _NEAR = "last_value(CASE WHEN v IS NOT NULL THEN {c} END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id {o} ROWS UNBOUNDED PRECEDING)"
@@ -146,11 +147,18 @@ def polygon_area(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(gen.polygon_area(box), 6).alias("area"))
 
 
-@query("rgb_to_hsv")
+_RGB = "SELECT l_orderkey, l_linenumber, l_quantity / 50 AS r, l_discount * 10 AS g, l_tax * 12 AS b FROM lineitem"
+
+
+@query(
+    "rgb_to_hsv",
+    "SELECT l_orderkey, l_linenumber, round(CASE WHEN d = 0 THEN 0 WHEN v = r THEN 60 * ((g - b) / d - 6 * floor((g - b) / d / 6)) WHEN v = g THEN 60 * ((b - r) / d + 2) ELSE 60 * ((r - g) / d + 4) END, 6) % 360 AS h,"
+    f" round(CASE WHEN v = 0 THEN 0 ELSE d / v END, 6) AS s, round(v, 6) AS v FROM (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM ({_RGB}))",
+)
 def rgb_to_hsv(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("r"), (F.col("l_discount") * 10).alias("g"), (F.col("l_tax") * 12).alias("b"))
     h, s, v = gen.rgb_to_hsv(F.col("r"), F.col("g"), F.col("b"))
-    return d.select("l_orderkey", "l_linenumber", h.alias("h"), s.alias("s"), v.alias("v"))
+    return d.select("l_orderkey", "l_linenumber", (F.round(h, 6) % 360).alias("h"), F.round(s, 6).alias("s"), F.round(v, 6).alias("v"))
 
 
 @query("upper_limit")

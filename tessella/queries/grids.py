@@ -1,21 +1,25 @@
-"""Grid operators over an image made of events: x is the hour + 1, y the day, v the sum of values."""
+"""Grid operators over an image made of events: 24 columns by user, a row for every 330 events, v the sum of
+values.  The image grows with the table, and its values do not."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import detect, generators as gen, grid
-from .registry import query, table
+from .registry import clip_sql, query, table
 
-IMAGE = "SELECT CAST(hour(ts) + 1 AS INTEGER) AS x, CAST(day(ts) AS INTEGER) AS y, sum(value) AS v FROM events GROUP BY 1, 2"
+IMAGE = "SELECT CAST(user_id % 24 + 1 AS INTEGER) AS x, CAST(event_id // 330 + 1 AS INTEGER) AS y, sum(value) AS v FROM events GROUP BY 1, 2"
 #: The same with blanks, and thresholded.
 HOLED = f"SELECT x, y, CASE WHEN (x * 7 + y * 3) % 11 = 0 THEN NULL ELSE v END AS v FROM ({IMAGE})"
 MASK = f"SELECT x, y, CAST(v > 650 AS INTEGER) AS v FROM ({IMAGE})"
 
 
+def _cell():
+    return (F.col("user_id") % 24 + 1).cast("int").alias("x"), (F.floor(F.col("event_id") / 330) + 1).cast("int").alias("y")
+
+
 def image(spark, sf_dir):
-    t = table(spark, sf_dir, "events")
-    return t.groupBy((F.hour("ts") + 1).alias("x"), F.dayofmonth("ts").alias("y")).agg(F.sum("value").alias("v"))
+    return table(spark, sf_dir, "events").groupBy(*_cell()).agg(F.sum("value").alias("v"))
 
 
 def holed(spark, sf_dir):
@@ -57,14 +61,17 @@ def grid_filter_median(spark, sf_dir):
     return _r(grid.moving_filter(holed(spark, sf_dir), [3, 4], "median"))
 
 
-@query("grid_filter_sigclip_mean")
+_BOX5 = clip_sql(f"SELECT a.x, a.y, b.v FROM ({HOLED}) a JOIN ({HOLED}) b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2", ["x", "y"], 1.5, 2)
+
+
+@query("grid_filter_sigclip_mean", _BOX5 + " SELECT x, y, round(mean, 6) AS v FROM clipped")
 def grid_filter_sigclip_mean(spark, sf_dir):
-    return _r(grid.moving_filter(holed(spark, sf_dir), [5, 5], "sigclip-mean"))
+    return _r(grid.moving_filter(holed(spark, sf_dir), [5, 5], "sigclip-mean", clip=(1.5, 2)))
 
 
-@query("grid_filter_sigclip_median")
+@query("grid_filter_sigclip_median", _BOX5 + " SELECT x, y, round(median, 6) AS v FROM clipped")
 def grid_filter_sigclip_median(spark, sf_dir):
-    return _r(grid.moving_filter(holed(spark, sf_dir), [5, 5], "sigclip-median"))
+    return _r(grid.moving_filter(holed(spark, sf_dir), [5, 5], "sigclip-median", clip=(1.5, 2)))
 
 
 _N4 = "abs(a.x - b.x) + abs(a.y - b.y) = 1"
@@ -111,19 +118,29 @@ def grid_invert(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", grid.invert(F.col("l_linenumber"), 8).cast("int").alias("v"))
 
 
+_NEAREST = f"SELECT a.x, a.y, b.v, row_number() OVER (PARTITION BY a.x, a.y ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.x, b.y) AS k FROM ({HOLED}) a, ({HOLED}) b WHERE a.v IS NULL AND b.v IS NOT NULL"
+#: Blanks some of which touch, so that regions have several cells.
+PATCHED = HOLED.replace("% 11 = 0", "% 11 < 2")
+
 for _how in ("min", "max", "median"):
 
     def _neighbours(spark, sf_dir, how=_how):
         return _r(grid.interpolate_neighbours(holed(spark, sf_dir), 4, how))
 
-    query(f"grid_interpolate_{_how}ngb")(_neighbours)
+    query(f"grid_interpolate_{_how}ngb", f"SELECT x, y, round(coalesce(h.v, n.v), 6) AS v FROM ({HOLED}) h LEFT JOIN (SELECT x, y, {_how}(v) AS v FROM ({_NEAREST}) WHERE k <= 4 GROUP BY x, y) n USING (x, y)")(_neighbours)
 
     if _how != "median":
 
         def _region(spark, sf_dir, how=_how):
-            return _r(grid.interpolate_region(holed(spark, sf_dir), how, 2))
+            patched = image(spark, sf_dir).withColumn("v", F.when((F.col("x") * 7 + F.col("y") * 3) % 11 >= 2, F.col("v")))
+            return _r(grid.interpolate_region(patched, how, 2))
 
-        query(f"grid_interpolate_{_how}ofregion")(_region)
+        query(
+            f"grid_interpolate_{_how}ofregion",
+            _CC.format(mask=f"SELECT x, y, v AS w, CAST(v IS NULL AS INTEGER) AS v FROM ({PATCHED})", on=1, near=_N8)
+            + f", fill AS (SELECT root, {_how}(b.w) AS f FROM c JOIN m a ON c.i = a.y * 1000 + a.x JOIN m b ON {_N8} WHERE b.v = 0 GROUP BY root)"
+            " SELECT m.x, m.y, round(coalesce(m.w, f), 6) AS v FROM m LEFT JOIN c ON i = m.y * 1000 + m.x LEFT JOIN fill USING (root)",
+        )(_region)
 
 
 @query("grid_convolve", f"WITH m AS ({HOLED}) SELECT a.x, a.y, round(sum(b.v * w) / sum(w), 6) AS v FROM m a LEFT JOIN (SELECT *, NULL AS z FROM m WHERE v IS NOT NULL) b ON greatest(abs(a.x-b.x), abs(a.y-b.y)) <= 1 LEFT JOIN (VALUES (0, 4.0::DOUBLE), (1, 2.0), (2, 1.0)) k(d, w) ON d = abs(a.x-b.x) + abs(a.y-b.y) GROUP BY a.x, a.y")
@@ -147,13 +164,13 @@ def grid_contour(spark, sf_dir):
     return _r(grid.contour(image(spark, sf_dir), 400.0))
 
 
-_STACK = "SELECT CAST(hour(ts) + 1 AS INTEGER) AS x, CAST(day(ts) AS INTEGER) AS y, event_type, sum(value) AS v FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 3) GROUP BY 1, 2, 3"
+_STACK = IMAGE.replace("AS y, ", "AS y, event_type, ").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
 
 
 def _images(spark, sf_dir):
     t = table(spark, sf_dir, "events")
     kinds = [r[0] for r in t.select("event_type").distinct().orderBy("event_type").collect()]
-    base = t.groupBy((F.hour("ts") + 1).alias("x"), F.dayofmonth("ts").alias("y"), "event_type").agg(F.sum("value").alias("v"))
+    base = t.groupBy(*_cell(), "event_type").agg(F.sum("value").alias("v"))
     return [base.where(F.col("event_type") == k).drop("event_type") for k in kinds]
 
 
@@ -173,9 +190,10 @@ def stack_number(spark, sf_dir):
 for _how in ("number", "median", "mean", "std"):
 
     def _clip(spark, sf_dir, how=_how):
-        return grid.combine(_images(spark, sf_dir), f"sigclip-{how}", clip=(3.0, 2))
+        out = grid.combine(_images(spark, sf_dir), f"sigclip-{how}", clip=(1.2, 2))
+        return out if how == "number" else _r(out)
 
-    query(f"stack_sigclip_{_how}")(_clip)
+    query(f"stack_sigclip_{_how}", clip_sql(f"SELECT x, y, v FROM ({_STACK})", ["x", "y"], 1.2, 2) + f" SELECT x, y, {'number' if _how == 'number' else f'round({_how}, 6)'} AS v FROM clipped")(_clip)
 
 
 @query("grid_add_dimension", f"SELECT x, y, CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS z, round(v, 6) AS v FROM ({_STACK})")
@@ -188,13 +206,26 @@ def detect_initial(spark, sf_dir):
     return detect.initial_detection(image(spark, sf_dir), [6, 6], q=0.5, erode=0)
 
 
-@query("detect_signal_to_noise")
+_LABELS = _CC.format(mask=MASK, on=1, near=_N8) + f", i AS ({IMAGE}), l AS (SELECT m.x, m.y, CAST(coalesce(k, 0) AS BIGINT) AS label FROM m LEFT JOIN (SELECT i, dense_rank() OVER (ORDER BY root) AS k FROM c) q ON q.i = m.y * 1000 + m.x)"
+
+
+@query(
+    "detect_signal_to_noise",
+    _LABELS + ", g AS (SELECT label, count(v) AS area, avg(v) - 300 AS ave FROM l JOIN i USING (x, y) WHERE label > 0 GROUP BY label)"
+    " SELECT label, area, round(sqrt(area) * ave / sqrt(ave + 2500), 6) AS sn FROM g WHERE area > 1 AND ave > 0",
+)
 def detect_signal_to_noise(spark, sf_dir):
     labels = grid.connected_components(mask(spark, sf_dir), 2)
-    return detect.signal_to_noise(labels.join(image(spark, sf_dir), ["x", "y"]), 300.0, 50.0)
+    return detect.signal_to_noise(labels.join(image(spark, sf_dir), ["x", "y"]), 300.0, 50.0).withColumn("sn", F.round("sn", 6))
+
+
+_STEP = (
+    "{to} AS (SELECT a.x, a.y, CASE WHEN a.label = 0 AND i.v >= 350 THEN coalesce(n.label, 0) ELSE a.label END AS label FROM {of} a JOIN i USING (x, y)"
+    " LEFT JOIN (SELECT a.x, a.y, min(b.label) AS label FROM {of} a JOIN {of} b ON {near} WHERE b.label > 0 GROUP BY 1, 2) n USING (x, y))"
+)
 
 
-@query("detect_grow")
+@query("detect_grow", _LABELS + ", " + _STEP.format(to="g1", of="l", near=_N8) + ", " + _STEP.format(to="g2", of="g1", near=_N8) + " SELECT x, y, label FROM g2")
 def detect_grow(spark, sf_dir):
     return detect.grow(image(spark, sf_dir), grid.connected_components(mask(spark, sf_dir), 2), 350.0, 2)
 
@@ -280,11 +311,3 @@ def warp_rotate(spark, sf_dir):
 @query("warp_project")
 def warp_project(spark, sf_dir):
     return gen.warp(image(spark, sf_dir), [("rotate", 20), ("shear", 0.1, 0.0), ("translate", 3.0, 2.0), ("project", 0.001, 0.0)], covered=0.9)
-
-
-@query("catalog_rivers")
-def catalog_rivers(spark, sf_dir):
-    """rivernum and riverave of each clump."""
-    from ..operators import catalog as ct
-
-    return ct.clump_rivers(_flooded(spark, sf_dir))

@@ -147,6 +147,23 @@ OPERATORS: dict[str, tuple[int, Callable[..., Operand | list[Operand]]]] = {
     **{name: (1, _cast(name)) for name in (*numbers.INTEGER_TYPES, *numbers.FLOAT_TYPES)},
 }
 
+#: Tokens that reduce a whole column to one number, which every row then sees.
+REDUCTIONS = ("minvalue", "maxvalue", "numbervalue", "sumvalue", "meanvalue", "stdvalue", "medianvalue")
+
+
+def reduced(df: DataFrame, a: Operand, name: str) -> Operand:
+    """A reduction of the non-blank values, as a scalar subquery that is worked out once."""
+    from ..operators.statistics import medians
+
+    v = F.col("v")
+    rows = df.select(a.number().alias("v")).where(v.isNotNull())
+    if name == "medianvalue":
+        return Operand(medians(rows, [], "v").select("median").agg(F.first("median")).scalar(), "float")
+    how = {"minvalue": F.min(v), "maxvalue": F.max(v), "numbervalue": F.count(v), "sumvalue": F.sum(v), "meanvalue": F.avg(v), "stdvalue": F.stddev_pop(v)}[name]
+    kind = "int" if name == "numbervalue" or (a.kind == "int" and name in ("minvalue", "maxvalue", "sumvalue")) else "float"
+    return Operand(rows.agg(how).scalar(), kind)
+
+
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
 
 
@@ -186,9 +203,9 @@ def evaluate(df: DataFrame, tokens: str | list[str], wcs: sky.TangentPlane | Non
     stack: list[Operand] = []
     bound: dict[str, Operand] = {}
     last = tokens[-1] if tokens else ""
-    if last not in OPERATORS and last not in ("wcstoimg", "imgtowcs"):
+    if last not in OPERATORS and last not in ("wcstoimg", "imgtowcs", "size", *REDUCTIONS):
         raise ValueError("the last token must be an operator")
-    for token in tokens:
+    for at, token in enumerate(tokens):
         if token.startswith("set-"):
             bound[token[4:]] = stack.pop()
         elif token in bound:
@@ -198,6 +215,14 @@ def evaluate(df: DataFrame, tokens: str | list[str], wcs: sky.TangentPlane | Non
                 raise ValueError(f"{token} needs a projection")
             y, x = stack.pop().column.cast("double"), stack.pop().column.cast("double")
             stack += [Operand(c, "float") for c in (wcs.to_image if token == "wcstoimg" else wcs.to_world)(x, y)]
+        elif token in REDUCTIONS:
+            stack.append(reduced(df, stack.pop(), token))
+        elif token == "size":  # of a column along its only axis, blanks included
+            axis = tokens[at - 1]
+            stack = stack[:-2]
+            if axis != "1":
+                raise ValueError("a column has one axis")
+            stack.append(Operand(df.agg(F.count("*")).scalar(), "int"))
         elif token in OPERATORS:
             n, f = OPERATORS[token]
             if len(stack) < n:

@@ -205,3 +205,71 @@ def warp(cells: DataFrame, steps: Sequence[tuple], covered: float = 1.0) -> Data
     d = d.withColumns({"w": overlap("_px", "_py", "ox", "oy"), "whole": F.abs(polygon_area(F.array(*map(corner, range(4)))))})
     area = F.sum(F.when(F.col("v").isNotNull(), F.col("w")))
     return d.groupBy(F.col("ox").alias("x"), F.col("oy").alias("y")).agg(F.sum("w").alias("_any"), F.when(area >= covered - 1e-9, F.sum(F.col("v") * F.col("w") / F.col("whole"))).alias("v")).where("_any > 1e-9").drop("_any")
+
+
+# new arrays and colours
+
+
+def make_new(spark: SparkSession, sizes: Sequence[int], dims: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """An array of zeros, one row a cell, the first axis running fastest."""
+    if not sizes or any(s < 1 for s in sizes) or len(sizes) > len(dims):
+        raise ValueError("an array has one to three axes of at least one cell")
+    out, below = [], 1
+    for d, n in zip(dims, sizes):
+        out.append((F.floor(F.col("id") / below) % n + 1).cast("int").alias(d))
+        below *= n
+    return spark.range(below).select(*out, F.lit(0.0).alias("v"))
+
+
+def coordinates(index: Column, sizes: Sequence[int]) -> list[Column]:
+    """The coordinates, from 0 and fastest last, of a place in an array counted from 0."""
+    out, below = [], 1
+    for n in reversed(sizes):
+        out.append(F.floor(index / below) % n)
+        below *= n
+    return out[::-1]
+
+
+def index_of(coords: Sequence[Column], sizes: Sequence[int]) -> Column:
+    """The place, from 0, of coordinates from 0 and fastest last."""
+    total = F.lit(0).cast("long")
+    for c, n in zip(coords, sizes):
+        total = total * n + c
+    return total
+
+
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """Colours from 0 to 1 of hue (degrees), saturation and value."""
+
+    def part(k: float) -> Column:
+        m = F.pmod(F.lit(k) + h / 60, F.lit(6.0))
+        return v - v * s * F.greatest(F.least(m, 4 - m, F.lit(1.0)), F.lit(0.0))
+
+    return part(5.0), part(3.0), part(1.0)
+
+
+def color_map(c: Column, low: Column, high: Column, name: str = "gray", hues: tuple[float, float] = (0.0, 360.0)) -> tuple[Column, Column, Column]:
+    """Red, green and blue (0 to 1) of a value between two others: ``gray``, a circle of hues (``hsv``) or ``heat``."""
+    t = F.least(F.greatest((c - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    t = F.coalesce(t, F.lit(0.0))
+    if name == "gray":
+        return t, t, t
+    if name == "hsv":
+        return hsv_to_rgb(hues[0] + t * (hues[1] - hues[0]), F.lit(1.0), F.lit(1.0))
+    if name == "heat":
+        ramp = lambda k: F.least(F.greatest(3 * t - k, F.lit(0.0)), F.lit(1.0))
+        return ramp(0), ramp(1), ramp(2)
+    raise ValueError(f"no colour map {name!r}")
+
+
+def permute(df: DataFrame, at: str, order: DataFrame, inverse: bool = False) -> DataFrame:
+    """Rows moved: where ``order`` (place, source) says so, a place takes the row of its source; or the other way round."""
+    a, b = ("source", "place") if not inverse else ("place", "source")
+    return df.join(order.select(F.col(a).alias(at), F.col(b).alias("_to")), at).withColumn(at, F.col("_to")).drop("_to")
+
+
+def align_steps(cd: Sequence[Sequence[float]]) -> list[tuple]:
+    """Warp steps after which the axes of an image with this matrix run along the sky's, first leftward, at the same scale."""
+    (a, b), (c, d) = cd
+    scale = math.sqrt(abs(a * d - b * c))
+    return [("matrix", [[-a / scale, -b / scale, 0.0], [c / scale, d / scale, 0.0], [0.0, 0.0, 1.0]])]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain, edges, grids, groups, joins, scalars, stats, tables  # noqa: F401  (they register their queries)
+from . import domain, edges, grids, groups, joins, more, scalars, stats, tables  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "table_pipeline"

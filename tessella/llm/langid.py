@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_below, pick, read_table
+from .common import bounded_batches, hash_below, lean, pick, read_table
 
 #: About so many documents of each language are learned from.
 TRAIN_DOCS = 1000
 LONGEST_GRAM = 5
 #: n-grams seen less often say little; words are known from once on.
 LEAST_COUNT = 2
-MEMO = 200_000
+MEMO = 100_000
 #: Very long texts are read in stretches of about so many characters.
 STRETCH = 1 << 20
 
@@ -97,11 +97,11 @@ class Backoff:
     """Scores texts with a fitted model; unseen words are memoised up to a bound."""
 
     def __init__(self, model: dict, memo: int = MEMO):
-        self.m, self.known, self.memo = model, dict(model["index"][0]), memo
+        self.m, self.learned, self.memo = model, model["index"][0], memo
         self.width = len(model["langs"])
-        self.rows = np.zeros((len(self.known) + memo + 1, self.width), dtype=np.float32)
-        self.rows[: len(self.known)] = model["values"][0]
-        self.start = self.next = len(self.known)
+        self.rows = np.zeros((len(self.learned) + memo, self.width), dtype=np.float32)
+        self.rows[: len(self.learned)] = model["values"][0]
+        self.other: dict[str, int] = {}
 
     def unseen(self, word: str) -> np.ndarray | None:
         padded = f"_{word}_"
@@ -114,17 +114,34 @@ class Backoff:
 
     def add(self, word: str) -> int:
         """The row of an unseen word, or -1 without evidence."""
-        if self.next >= len(self.rows):  # forget the unseen words, keep the learned ones
-            self.known = dict(self.m["index"][0])
-            self.next = self.start
         got = self.unseen(word)
         if got is None:
-            self.known[word] = -1
+            self.other[word] = -1
             return -1
-        self.rows[self.next] = got
-        self.known[word] = self.next
-        self.next += 1
-        return self.known[word]
+        at = len(self.learned) + len(self.other)
+        self.rows[at] = got
+        self.other[word] = at
+        return at
+
+    def total(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """The sum of the rows of the words that have any evidence, and their number."""
+        at = list(map(self.learned.get, words))
+        missing = [j for j, k in enumerate(at) if k is None]
+        if missing:
+            if len(self.other) + len(missing) > self.memo:
+                self.other = {}
+            if len(missing) > self.memo:  # more unseen words than the memo holds: one by one
+                scores = [v for j in missing if (v := self.unseen(words[j])) is not None]
+                at = [k for k in at if k is not None]
+                known = self.rows[at].sum(axis=0, dtype=np.float64)
+                return known + (np.sum(scores, axis=0, dtype=np.float64) if scores else 0.0), len(at) + len(scores)
+            other = self.other.get
+            for j in missing:
+                k = other(words[j])
+                at[j] = self.add(words[j]) if k is None else k
+        rows = np.array(at, dtype=np.int64)
+        rows = rows[rows >= 0]
+        return self.rows[rows].sum(axis=0, dtype=np.float64), len(rows)
 
     def stretches(self, text: str) -> Iterator[str]:
         at = 0
@@ -140,25 +157,8 @@ class Backoff:
         for part in self.stretches(text or ""):
             words = WORD.findall(part.lower())
             letters = letters or any(c.isalpha() for w in words[:8] for c in w) or any(c.isalpha() for w in words for c in w)
-            at = list(map(self.known.get, words))
-            if None in at:
-                if self.next + at.count(None) >= len(self.rows):
-                    self.known, self.next = dict(self.m["index"][0]), self.start
-                    at = list(map(self.known.get, words))
-                    if self.next + at.count(None) >= len(self.rows):  # more unseen words than the memo holds: one by one
-                        for w in words:
-                            v = self.rows[k] if (k := self.known.get(w)) is not None else self.unseen(w)
-                            if v is not None:
-                                total, n = total + v, n + 1
-                        continue
-                for j, w in enumerate(words):
-                    if at[j] is None:
-                        seen = self.known.get(w)
-                        at[j] = self.add(w) if seen is None else seen
-            rows = np.array(at, dtype=np.int64)
-            rows = rows[rows >= 0]
-            total += self.rows[rows].sum(axis=0, dtype=np.float64)
-            n += len(rows)
+            own, count = self.total(words)
+            total, n = total + own, n + count
         if not letters:
             return "und", 0.0
         if not n:
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
             got = [scorer.predict(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

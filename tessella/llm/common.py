@@ -77,6 +77,11 @@ def others(df: DataFrame, *names: str) -> list[str]:
     return [n for n in df.columns if n not in names]
 
 
+def hash_bound(share: float) -> int:
+    """The signed 64-bit hash below which about ``share`` (less than 1) of all hashes lie."""
+    return int(share * 2**64) - 2**63
+
+
 def hash_below(share: float, *columns: Column | str) -> Column:
     """True for about ``share`` of all rows: those whose 64-bit hash lies in the lowest part of its range.
 
@@ -84,4 +89,4 @@ def hash_below(share: float, *columns: Column | str) -> Column:
     """
     if share >= 1:
         return F.lit(True)
-    return F.xxhash64(*columns) < F.lit(int(share * 2**64) - 2**63)
+    return F.xxhash64(*columns) < F.lit(hash_bound(share))

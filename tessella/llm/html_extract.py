@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches, read_table
 
 # Names of elements and words in class, id and role.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option p plaintext pre section select summary table tbody tfoot thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option p plaintext pre section select summary table tbody tfoot thead title tr ul xmp".split())
 SPACED = frozenset("br td th img input label wbr".split()) - {"wbr"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never shown, or belongs to a form.

@@ -239,15 +239,18 @@ def segment(detected: DataFrame, widths: Sequence[int], q: float = 0.95, area: i
 # outliers among tiles
 
 
+FEW_TILES = 20
+
+
 def tile_outliers_global(tiles: DataFrame, value: str = "v", sigma: float = 5.0, clip: tuple[float, float] = (3.0, 0.2)) -> DataFrame:
-    """The tiles with those values blanked that lie beyond the first wide gap above the median (or below it).
+    """The tiles with those values blanked that lie beyond the first wide gap above the median, or below it.
 
-    The values' upper half, mirrored for the lower, is looked through for a gap more than ``sigma`` clipped
-    deviations wider than those before it; the window is the quarter of the values, as there are few tiles.
+    A gap is wide if it lies more than ``sigma`` clipped deviations above those of the half of all values before
+    it.  Fewer than ``FEW_TILES`` values say too little and stay.
     """
     n = tiles.where(F.col(value).isNotNull()).count()
-    window = max(n // 4, 3)
-    if n <= window + 1:
+    window = n // 2
+    if n < FEW_TILES:
         return tiles
     d = tiles.withColumn("_g", F.lit(1))
     low = d.withColumn("_v", -F.col(value))

@@ -43,12 +43,13 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
+    if name not in ORACLES:  # recomputed by numpy in test_brute_force.py
+        with open(os.path.join(REPO, "tests", "test_brute_force.py"), encoding="utf-8") as f:
+            assert f'"{name}"' in f.read()
+        return
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     rows = sorted((tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=repr)
-    if name not in ORACLES:
-        assert df.columns
-        return
     got = duck.execute(ORACLES[name])
     names = [d[0] for d in got.description]
     assert sorted(names) == cols

@@ -318,7 +318,7 @@ def test_tile_outliers(spark):
     rows[30] = (*rows[30][:2], 400.0)
     rows[50] = (*rows[50][:2], None)
     d = spark.createDataFrame(rows, "tx int, ty int, v double")
-    for f in (lambda t: detect.tile_outliers_global(t, sigma=15.0), lambda t: detect.tile_outliers_local(t, sigma=30.0)):
+    for f in (lambda t: detect.tile_outliers_global(t, sigma=100.0), lambda t: detect.tile_outliers_local(t, sigma=30.0)):
         got = {(r["tx"], r["ty"]): r["v"] for r in f(d).collect()}
         assert got == {(x, y): None if v == 400.0 else v for x, y, v in rows}
     for name in ("tile_outliers_global", "tile_outliers_local"):

@@ -35,11 +35,12 @@ def profile_value(kind: Column, r: Column, width: Column, n: Column) -> Column:
     return F.when(kind == "gaussian", gauss).when(kind == "moffat", moffat).when(kind == "sersic", sersic).when(kind.isin("flat", "circum"), F.lit(1.0)).when(kind == "distance", r)
 
 
-def profiles(catalogue: DataFrame, nx: int, ny: int, zeropoint: float = 0.0, circum_width: float = 1.0, replace: bool = False) -> DataFrame:
+def profiles(catalogue: DataFrame, nx: int, ny: int, zeropoint: float = 0.0, circum_width: float = 1.0, replace: bool = False, custom: Sequence[tuple[float, float, float]] = ()) -> DataFrame:
     """(x, y, v): the profiles of (id, cx, cy, kind, width, n, pa, q, mag, trunc) merged on a canvas.
 
     Each profile makes its own box of pixels by arithmetic, so no profile meets pixels it doesn't touch.
-    Each is scaled to the brightness of its magnitude; ``trunc`` is in units of the width.
+    Each is scaled to the brightness of its magnitude; ``trunc`` is in units of the width.  The kind custom has
+    the value of the first of the rings ``custom`` (from, to, value) that the radius falls in, and 0 elsewhere.
     """
     reach = F.when(F.col("kind") == "point", F.lit(0.0)).otherwise(F.col("width") * F.col("trunc"))
     c = catalogue.withColumn("reach", reach)
@@ -50,7 +51,11 @@ def profiles(catalogue: DataFrame, nx: int, ny: int, zeropoint: float = 0.0, cir
     p = p.withColumn("r", r)
     point = (F.col("kind") == "point") & (F.col("x") == F.round("cx")) & (F.col("y") == F.round("cy"))
     p = p.where(F.when(F.col("kind") == "point", point).when(F.col("kind") == "circum", (F.col("r") <= F.col("reach")) & (F.col("r") > F.col("reach") - circum_width)).otherwise(F.col("r") <= F.col("reach")))
-    p = p.withColumn("raw", F.coalesce(profile_value(F.col("kind"), F.col("r"), F.col("width"), F.col("n")), F.lit(1.0)))
+    ring = F.lit(0.0)
+    for low, high, value in reversed(custom):
+        ring = F.when((F.col("r") >= low) & (F.col("r") < high), F.lit(float(value))).otherwise(ring)
+    p = p.withColumn("raw", F.when(F.col("kind") == "custom", ring))
+    p = p.withColumn("raw", F.coalesce("raw", profile_value(F.col("kind"), F.col("r"), F.col("width"), F.col("n")), F.lit(1.0)))
     totals = p.groupBy("id").agg(F.sum("raw").alias("total"))
     brightness = F.pow(F.lit(10.0), (zeropoint - F.col("mag")) / 2.5)
     value = F.when(F.col("kind") == "distance", F.col("raw")).otherwise(F.col("raw") * brightness / F.col("total"))

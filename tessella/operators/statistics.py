@@ -175,6 +175,12 @@ def sigma_clip_array(v: np.ndarray, multiple: float, param: float, most: int = 5
     return (float(len(v)), *(old or (np.nan,) * 3))
 
 
+def report(df: DataFrame, value: str) -> DataFrame:
+    """number, minimum, maximum, sum, mean, std, median, mode, modequant, modesym, modesymvalue of a column, in one row."""
+    d = df.select(F.lit(1).alias("_all"), F.col(value).cast("double").alias(value)).dropna()
+    return summary(d, ["_all"], value).join(mode(d, ["_all"], value), "_all", "left").drop("_all")
+
+
 # the mode
 
 GOLDEN = 1.618034

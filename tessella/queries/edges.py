@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..plans.lineage import shared_dir
-from ..sources import headers, registry
+from ..sources import fits, headers, registry, text_table
 from ..streaming.nights import nightly
+from .grids import HOLED, holed
 from .registry import query, table
 
 
@@ -20,6 +22,46 @@ def source_text_table(spark, sf_dir):
     return registry.read(spark, path)
 
 
+@query("source_fits_table", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice FROM orders")
+def source_fits_table(spark, sf_dir):
+    """Binary tables written and read back."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.fits"
+    registry.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("o_totalprice")), path)
+    return registry.read(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query("source_fits_image", f"SELECT x, y, round(v, 6) AS v FROM ({HOLED})")
+def source_fits_image(spark, sf_dir):
+    """An image written in bands and read back; only the cells it had."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    cells = holed(spark, sf_dir)
+    fits.write_image(cells, path, band=7)
+    back = fits.read_image(spark, path).select("x", "y", F.round("v", 6).alias("v"))
+    return back.join(cells.select("x", "y"), ["x", "y"], "left_semi")
+
+
+@query("source_text_image", "SELECT CAST(k AS INTEGER) AS x, CAST(row_number() OVER (PARTITION BY k ORDER BY o_orderkey) AS INTEGER) AS y, CASE k WHEN 1 THEN o_totalprice ELSE CAST(o_custkey AS DOUBLE) END AS v FROM orders, (VALUES (1), (2)) t(k)")
+def source_text_image(spark, sf_dir):
+    """Rows of numbers as the rows of an image."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    table(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.concat_ws("  ", "o_totalprice", "o_custkey").alias("value")).write.text(path)
+    return text_table.read_text_image(spark, path)
+
+
+@query("source_stream", "SELECT CAST(r_regionkey AS DOUBLE) AS k, CAST(length(r_name) AS DOUBLE) AS n FROM region")
+def source_stream(spark, sf_dir):
+    """A table from an open stream of lines."""
+    rows = table(spark, sf_dir, "region").select("r_regionkey", F.length("r_name")).toLocalIterator()
+    return text_table.read_stream(spark, itertools.chain(["# Column 1: k\n", "# Column 2: n\n"], (f"{a} {b}\n" for a, b in rows)), chunk=3)
+
+
+@query("header_notes", "SELECT * FROM (VALUES ('A', '7'), ('DATE', '2024-01-01T00:00:00'), ('HISTORY', repeat('x', 70)), ('HISTORY', repeat('x', 30)), ('COMMENT', 'seen'), ('B', '2')) t(key, value)")
+def header_notes(spark, sf_dir):
+    make = lambda rows: spark.createDataFrame(rows, "key string, value string, comment string")
+    h = headers.copy(make([("A", "1", "")]), make([("A", "7", ""), ("B", "2", ""), ("C", "3", "")]), "A", "B")
+    return headers.note(headers.note(headers.date(h, "2024-01-01T00:00:00"), "x" * 100), "seen", "COMMENT").select("key", "value")
+
+
 @query("header_edit", "SELECT 'A' AS key, '1' AS value UNION ALL SELECT 'C', '3' UNION ALL SELECT 'D', '4'")
 def header_edit(spark, sf_dir):
     h = spark.createDataFrame([("A", "0", ""), ("B", "3", ""), ("X", "9", "")], "key string, value string, comment string")

@@ -131,6 +131,12 @@ def stat_outlier_flat(spark, sf_dir):
     return st.flat_outlier(table(spark, sf_dir, "events"), ["event_type"], "value", 50, 6.0, 3)
 
 
+@query("stat_report")
+def stat_report(spark, sf_dir):
+    """The single values and the mode of one column."""
+    return st.report(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
 _DROPS = "SELECT min(d) AS lo, max(d) AS hi FROM (SELECT {v} - lag({v}) OVER (ORDER BY event_id) AS d FROM events)"
 
 

@@ -19,6 +19,8 @@ BLOCK, CARD = 2880, 80
 
 # TFORM letter -> (numpy type, Spark type).
 FORMS = {"L": ("S1", "boolean"), "B": ("u1", "short"), "I": (">i2", "int"), "J": (">i4", "bigint"), "K": (">i8", "decimal(20,0)"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
+#: Spark type -> (TFORM letter, numpy type, TNULL).
+SINK = {"byte": ("I", ">i2", -(1 << 15)), "short": ("I", ">i2", -(1 << 15)), "integer": ("J", ">i4", -(1 << 31)), "long": ("K", ">i8", -(1 << 63)), "float": ("E", ">f4", None), "double": ("D", ">f8", None), "boolean": ("L", "S1", None)}
 PIXELS = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 
 
@@ -150,8 +152,145 @@ def read_image(spark: SparkSession, path: str, hdu: int = 0) -> DataFrame:
                 v = raw.astype(float) * float(h.get("BSCALE", 1)) + float(h.get("BZERO", 0))
                 v = np.where(raw == int(h["BLANK"]), np.nan, v) if "BLANK" in h and int(h["BITPIX"]) > 0 else v
                 index = np.unravel_index(np.arange(len(v)), shape)
-                columns = {"path": p, **{a: index[naxis - 1 - i] + 1 for i, a in enumerate(axes)}, "v": pd.Series(v, dtype="Float64")}
+                # a band of a larger image says where it begins
+                first = [1 - int(float(h.get(f"LTV{i + 1}", 0))) for i in range(naxis)]
+                columns = {"path": p, **{a: index[naxis - 1 - i] + first[i] for i, a in enumerate(axes)}, "v": pd.Series(v, dtype="Float64")}
                 yield pd.DataFrame(columns).assign(v=lambda t: t["v"].astype(object).where(~np.isnan(v), None))
 
     schema = "path string, " + ", ".join(f"{a} int" for a in axes) + ", v double"
     return files(spark, path).mapInPandas(run, schema)
+
+
+# sinks
+
+#: Rows of a file at most; a task writes as many files as its rows need.
+FILE_ROWS = 500_000
+
+
+def card(key: str, value: object, comment: str = "") -> bytes:
+    """A header record."""
+    if isinstance(value, str):
+        text = "'" + value.replace("'", "''").ljust(8) + "'"
+        field = f"{text:<20}"
+    else:
+        field = f"{('T' if value else 'F') if isinstance(value, bool) else value:>20}"
+    return (f"{key:<8}= {field}" + (f" / {comment}" if comment else "")).ljust(CARD)[:CARD].encode("ascii", "replace")
+
+
+def padded(data: bytes, fill: bytes) -> bytes:
+    return data + fill * (-len(data) % BLOCK)
+
+
+def unit(cards: list[bytes], data: bytes = b"") -> bytes:
+    """A header and its data, each filled up to whole blocks."""
+    return padded(b"".join(cards) + b"END".ljust(CARD), b" ") + padded(data, b"\0")
+
+
+def put(folder: str, name: str, data: bytes) -> None:
+    """Write a file under another name and move it into place: a task that runs again writes the same file."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/_{name}.tmp") as out:
+        out.write(data)
+    store.move(f"{root}/_{name}.tmp", f"{root}/{name}")
+
+
+def _encoded(pdf: pd.DataFrame, fields: list[tuple[str, str, int]]) -> bytes:
+    dtype = np.dtype([(f"c{k}", f"S{width}" if kind == "string" else SINK[kind][1]) for k, (_, kind, width) in enumerate(fields)])
+    rows = np.zeros(len(pdf), dtype)
+    for k, (name, kind, width) in enumerate(fields):
+        c = pdf[name]
+        if kind == "string":
+            rows[f"c{k}"] = [b"" if v is None or v != v else str(v).encode("ascii", "replace")[:width] for v in c]
+        elif kind == "boolean":
+            rows[f"c{k}"] = [b"\0" if v is None or v != v else b"T" if v else b"F" for v in c]
+        elif SINK[kind][2] is None:
+            rows[f"c{k}"] = pd.to_numeric(c).to_numpy(float, na_value=np.nan)
+        else:
+            rows[f"c{k}"] = [SINK[kind][2] if v is None or v != v else int(v) for v in c]
+    return rows.tobytes()
+
+
+def write_table(df: DataFrame, folder: str) -> int:
+    """``df`` as binary tables of one schema in a folder that all executors see, a file or more a partition; returns the rows.
+
+    Blanks are NaN, the least integer or the empty text.  Texts are as wide as the longest one, in ASCII.
+    """
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    longest = df.agg(*[F.max(F.length(F.col(f"`{n}`"))).alias(n) for n in texts]).head() if texts else {}
+    fields = [(f.name, f.dataType.typeName(), max(longest[f.name] or 1, 1) if f.name in texts else 0) for f in df.schema.fields]
+    wrong = [n for n, kind, _ in fields if kind != "string" and kind not in SINK]
+    if wrong:
+        raise ValueError(f"columns without a form in a binary table: {wrong}")
+    width = sum(w if kind == "string" else np.dtype(SINK[kind][1]).itemsize for _, kind, w in fields)
+    about = [(card(f"TTYPE{k}", n), card(f"TFORM{k}", f"{w}A" if kind == "string" else SINK[kind][0]), *([card(f"TNULL{k}", SINK[kind][2])] if kind in SINK and SINK[kind][2] is not None else [])) for k, (n, kind, w) in enumerate(fields, 1)]
+    primary = unit([card("SIMPLE", True), card("BITPIX", 8), card("NAXIS", 0), card("EXTEND", True)])
+
+    def save(part: int, k: int, frames: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(frames)
+        head = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", width), card("NAXIS2", len(pdf)), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(fields))]
+        put(folder, f"part-{part:05d}-{k:03d}.fits", primary + unit([*head, *[c for cs in about for c in cs]], _encoded(pdf, fields)))
+        return pd.DataFrame({"rows": [len(pdf)]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, k, frames = TaskContext.get().partitionId(), 0, []
+        for b in batches:
+            frames.append(b)
+            if sum(map(len, frames)) >= FILE_ROWS:
+                yield save(part, k, frames)
+                k, frames = k + 1, []
+        if frames or (part == 0 and k == 0):
+            yield save(part, k, frames or [pd.DataFrame({n: [] for n, _, _ in fields})])
+
+    return df.mapInPandas(run, "rows long").agg(F.sum("rows")).head()[0] or 0
+
+
+def write_image(cells: DataFrame, folder: str, band: int = 1000) -> int:
+    """(x, y, v) as images of ``band`` rows each, in double precision, in a folder that all executors see; returns the number of bands.
+
+    Each band's header says where it begins, and ``read_image`` puts them together; blanks and cells that are
+    missing are NaN.
+    """
+    nx = cells.agg(F.max("x")).head()[0] or 0
+    ny = cells.agg(F.max("y")).head()[0] or 0
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        k = int(g["band"].iloc[0])
+        rows = min(band, ny - k * band)
+        v = np.full((rows, nx), np.nan)
+        v[g["y"].to_numpy() - 1 - k * band, g["x"].to_numpy() - 1] = g["v"].to_numpy(float, na_value=np.nan)
+        head = [card("SIMPLE", True), card("BITPIX", -64), card("NAXIS", 2), card("NAXIS1", nx), card("NAXIS2", rows), card("LTV2", float(-k * band))]
+        put(folder, f"band-{k:05d}.fits", unit(head, v.astype(">f8").tobytes()))
+        return pd.DataFrame({"band": [k]})
+
+    d = cells.select(F.col("x").cast("int"), F.col("y").cast("int"), F.col("v").cast("double"), F.floor((F.col("y") - 1) / band).alias("band"))
+    return d.groupBy("band").applyInPandas(run, "band long").count()
+
+
+def unit_counts(spark: SparkSession, path: str) -> DataFrame:
+    """path, units, and how many of them are images and tables."""
+    h = headers(spark, path)
+    kind = h.where((F.col("key") == "XTENSION") | (F.col("key") == "SIMPLE")).select("path", "hdu", F.col("value").endswith("TABLE").alias("table")).distinct()
+    return kind.groupBy("path").agg(F.count("*").alias("units"), F.count(F.when(F.col("table"), 1)).alias("tables"), F.count(F.when(~F.col("table"), 1)).alias("images"))
+
+
+def keep_units(spark: SparkSession, path: str, folder: str, keep: list[int]) -> int:
+    """Copies of the files with only the given units; returns the number of files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b["path"], b["content"]):
+                data, begins = bytes(content), [0]
+                found = list(units(data))
+                for _, h, _, start in found:
+                    size = abs(int(h.get("BITPIX", 8))) // 8 * math.prod(int(h.get(f"NAXIS{i}", 0)) for i in range(1, int(h.get("NAXIS", 0)) + 1)) if int(h.get("NAXIS", 0)) else 0
+                    size = (size + int(h.get("PCOUNT", 0))) * int(h.get("GCOUNT", 1))
+                    begins.append(start + -(-size // BLOCK) * BLOCK)
+                put(folder, p.rsplit("/", 1)[-1], b"".join(data[begins[k] : begins[k + 1]] for k in keep if k < len(found)))
+                yield pd.DataFrame({"path": [p]})
+
+    return files(spark, path).mapInPandas(run, "path string").count()

@@ -27,6 +27,8 @@ def write(df: DataFrame, path: str, **options) -> None:
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix in ("txt", "dat", "tbl"):
         write_text_table(df, path, **options)
+    elif suffix in ("fits", "fit", "fts"):
+        fits.write_table(df, path, **options)
     elif suffix in ("parquet", "orc", "json", "csv"):
         df.write.options(**options).format(suffix).save(path)
     else:

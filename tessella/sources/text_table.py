@@ -7,7 +7,10 @@ What is not declared is a float64.
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import INTEGER_TYPES
+from ..plans.lineage import shared_dir
+from ..plans.table import positions
 
 # Short and long names of types.
 SHORT = {"u8": "uint8", "i8": "int8", "u16": "uint16", "i16": "int16", "u32": "uint32", "i32": "int32", "u64": "uint64", "i64": "int64", "f32": "float32", "f64": "float64", "float": "float32", "double": "float64"}
@@ -112,3 +117,24 @@ def write_text_table(df: DataFrame, path: str, text_width: int = 32, blank_text:
     spark = df.sparkSession
     top = spark.createDataFrame([("\n".join(header),)], "value string").coalesce(1)
     top.union(df.select(F.concat_ws(" ", *cells).alias("value"))).write.text(path)
+
+
+def read_text_image(spark: SparkSession, path: str, blank: str = "") -> DataFrame:
+    """(x, y, v) of a text file with a row of numbers a line; comments and empty lines aren't rows; nan and ``blank`` are NULL."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    rows = positions(lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")), ["_file", "_block", "_line"])
+    cells = rows.select(F.col("_at").cast("int").alias("y"), F.posexplode(F.split(F.trim("value"), r"[\s,]+")).alias("_k", "_token"))
+    number = F.when(F.col("_token") != blank, F.col("_token").try_cast("double"))
+    return cells.select((F.col("_k") + 1).alias("x"), "y", F.when(~F.isnan(number), number).alias("v"))
+
+
+def read_stream(spark: SparkSession, stream: Iterable[str], chunk: int = 100_000, **options) -> DataFrame:
+    """A text table from an open stream, such as standard input; it is written to the shared folder a chunk at a time."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    lines = iter(stream)
+    for k in itertools.count():
+        part = [(x.rstrip("\n"),) for x in itertools.islice(lines, chunk)]
+        if part or not k:
+            spark.createDataFrame(part, "value string").coalesce(1).write.mode("append").text(path)
+        if len(part) < chunk:
+            return read_text_table(spark, path, **options)

@@ -15,7 +15,7 @@ from tessella.operators import detect, frequency, generators, grid, match, polyg
 from tessella.plans.skew import spread_join
 from tessella.plans.table import positions
 from tessella.queries import QUERIES
-from tessella.sources import registry
+from tessella.sources import fits, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,6 +79,14 @@ def test_mode(spark):
     assert abs(whole["mode"] - thin["mode"]) < 0.15 and abs(whole["modequant"] - thin["modequant"]) < 0.06 and abs(whole["mode"] - 5) < 0.3
 
 
+def test_report(spark):
+    v = np.sort(table("lineitem")["l_extendedprice"].to_numpy())
+    r = run(spark, "stat_report").iloc[0]
+    want = {"number": len(v), "minimum": v[0], "maximum": v[-1], "sum": v.sum(), "mean": v.mean(), "std": v.std(), "median": np.median(v)}
+    want |= dict(zip(("mode", "modequant", "modesym", "modesymvalue"), statistics.mode_of_sorted(v)))
+    assert set(r.index) == set(want) and all(np.isclose(r[k], x, equal_nan=True) for k, x in want.items())
+
+
 def test_ranks_medians_and_ties(spark):
     rng = np.random.default_rng(1)
     d = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 3000, p=[0.7, 0.29, 0.01]), "v": np.where(rng.random(3000) < 0.4, 2.0, rng.normal(0, 3, 3000).round(1))})
@@ -470,6 +478,26 @@ def test_rounds_of_clipping_read_little(spark):
     assert plan.count("Scan parquet") + plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") < 20
 
 
+def test_units_are_counted_and_kept(spark, tmp_path):
+    fits.write_table(spark.range(10).selectExpr("id", "cast(null as int) n", "id % 2 = 0 even", "'it''s' t"), f"{tmp_path}/a")
+    counts = fits.unit_counts(spark, f"{tmp_path}/a").collect()
+    assert all((r["units"], r["tables"], r["images"]) == (2, 1, 1) for r in counts) and counts
+    rows = fits.read_table(spark, f"{tmp_path}/a").collect()
+    assert sorted(int(r["id"]) for r in rows) == list(range(10)) and {r["n"] for r in rows} == {None} and {r["t"] for r in rows} == {"it's"} and all(r["even"] == (int(r["id"]) % 2 == 0) for r in rows)
+    assert fits.keep_units(spark, f"{tmp_path}/a", f"{tmp_path}/b", [0]) == len(counts)
+    assert {r["units"] for r in fits.unit_counts(spark, f"{tmp_path}/b").collect()} == {1}
+    with pytest.raises(ValueError):
+        fits.write_table(spark.range(1).selectExpr("array(id) a"), f"{tmp_path}/c")
+
+
+def test_custom_rings(spark):
+    one = spark.createDataFrame([(1, 5.0, 5.0, "custom", 4.0, 1.0, 0.0, 1.0, 0.0, 1.0)], "id int, cx double, cy double, kind string, width double, n double, pa double, q double, mag double, trunc double")
+    got = {(r["x"], r["y"]): r["v"] for r in generators.profiles(one, 9, 9, custom=[(0, 1, 5.0), (1, 3, 1.0)]).collect()}
+    inside = {(x, y): math.hypot(x - 5, y - 5) for x in range(1, 10) for y in range(1, 10) if math.hypot(x - 5, y - 5) <= 4}
+    raw = {c: 5.0 if r < 1 else 1.0 if r < 3 else 0.0 for c, r in inside.items()}
+    assert set(got) == set(raw) and all(math.isclose(got[c], v / sum(raw.values())) for c, v in raw.items())
+
+
 def test_sections_and_polygons(spark):
     cells = generators.make_new(spark, [6, 5])
     got = polygons.section(cells, "2:*-1,3:4").toPandas()

@@ -121,9 +121,13 @@ def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) ->
     return spread_join(blobs(pick(docs, "doc_id", "text")), entries, "blob", "doc_id").select("doc_id", "blob", "findings")
 
 
-def own_ledger(spark: SparkSession) -> str:
-    """A ledger of its own in the shared folder, for runs that have no standing one."""
-    return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+#: The setting that names a standing ledger; runs then scan only what none of their predecessors has seen.
+LEDGER_SETTING = "tessella.secrets.ledger"
+
+
+def ledger(spark: SparkSession) -> str:
+    """The session's standing ledger, or a new one in the shared folder where none is set."""
+    return spark.conf.get(LEDGER_SETTING, None) or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
 
 def redact(docs: DataFrame, ledger_path: str, mask: str = "[secret]") -> DataFrame:
@@ -169,7 +173,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(cut(scan(read_table(spark, sf_dir, "documents"), own_ledger(spark)), "findings"))
+    return digest(cut(scan(read_table(spark, sf_dir, "documents"), ledger(spark)), "findings"))
 
 
 def brute_force(text: str | None) -> list[tuple[int, int, int]]:

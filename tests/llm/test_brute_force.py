@@ -498,6 +498,20 @@ def test_a_standing_ledger_is_read_by_version_and_hot_blobs_are_joined(spark, tm
     assert spark.read.parquet(path).count() == 51
 
 
+def test_the_query_and_the_pipeline_share_a_standing_ledger(spark, table, tmp_path):
+    path = f"{tmp_path}/standing"
+    spark.conf.set(secrets.LEDGER_SETTING, path)
+    try:
+        first = {tuple(r) for r in QUERIES["op10_secret_ledger"](spark, SF).collect()}
+        files = set(spark.read.parquet(path).inputFiles())
+        assert {tuple(r) for r in QUERIES["op10_secret_ledger"](spark, SF).collect()} == first
+        dict(corpus_pipeline.STAGES)["secret_scan"](spark, table, SF).count()
+        added = spark.read.parquet(path).inputFiles()
+        assert spark.read.parquet(*[f for f in added if f in files]).count() == spark.read.parquet(path).count() == table.select(F.coalesce("text", F.lit(""))).distinct().count()
+    finally:
+        spark.conf.unset(secrets.LEDGER_SETTING)
+
+
 # columns and ids
 
 

@@ -34,7 +34,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs, secrets.own_ledger(spark))
+    return secrets.redact(docs, secrets.ledger(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: Posterior labels, signatures and the packing fit have no form in SQL; the tests check each stage by brute force.
+#: Posterior labels, signatures and the packing fit have no form in SQL; tests/llm/test_brute_force.py recomputes each stage.
 ORACLE_SQL = None
 
 

@@ -110,13 +110,46 @@ def _decoded(data: bytes, start: int, h: dict[str, str]) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+#: Forms of text tables -> Spark type.
+TEXT_FORMS = {"A": "string", "I": "bigint", "F": "double", "E": "double", "D": "double"}
+
+
+def _text_columns(h: dict[str, str]) -> list[tuple[str, str, int, int, str | None]]:
+    """(name, form letter, first character, width, null) of a text table's columns."""
+    out = []
+    for k in range(1, int(h["TFIELDS"]) + 1):
+        letter, width = re.match(r"([AIFED])(\d+)", h[f"TFORM{k}"]).groups()
+        out.append((h.get(f"TTYPE{k}", f"COLUMN_{k}"), letter, int(h[f"TBCOL{k}"]) - 1, int(width), h.get(f"TNULL{k}")))
+    return out
+
+
+def _decoded_text(data: bytes, start: int, h: dict[str, str]) -> pd.DataFrame:
+    width, n = int(h["NAXIS1"]), int(h["NAXIS2"])
+    rows = [data[start + i * width : start + (i + 1) * width].decode("ascii", "replace") for i in range(n)]
+    out = {}
+    for name, letter, at, w, null in _text_columns(h):
+        cells = [r[at : at + w].strip() for r in rows]
+        number = int if letter == "I" else lambda x: float(x.replace("D", "E").replace("d", "e"))
+        out[name] = pd.Series([None if c == "" or c == (null or "").strip() else c if letter == "A" else number(c) for c in cells], dtype=object)
+    return pd.DataFrame(out)
+
+
 def read_table(spark: SparkSession, path: str, hdu: int = 1) -> DataFrame:
-    """A binary table; blanks are NULL.  Files of one path have one schema."""
+    """A binary or a text table; blanks are NULL.  Files of one path have one schema."""
     found = headers(spark, path).where(F.col("hdu") == hdu)
     one = found.join(found.agg(F.min("path").alias("path")), "path").select("key", "value").collect()
     h = {r["key"]: r["value"] for r in one}
     if "TFIELDS" not in h:
         raise ValueError(f"unit {hdu} of {path} is no table")
+    if h.get("XTENSION") == "TABLE":
+
+        def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for content in b["content"]:
+                    start, own = next((s, x) for k, x, _, s in units(bytes(content)) if k == hdu)
+                    yield _decoded_text(bytes(content), start, own)
+
+        return files(spark, path).mapInPandas(text, ", ".join(f"`{name}` {TEXT_FORMS[letter]}" for name, letter, *_ in _text_columns(h)))
     kind = lambda c, n, scale: "array<double>" if n > 1 and c != "A" else "double" if scale != 1 and c in "BIJK" else FORMS[c][1]
     schema = ", ".join(f"`{name}` {kind(c, n, scale)}" for name, c, n, scale, *_ in _columns(h))
     names = [c[0] for c in _columns(h)]

@@ -35,3 +35,12 @@ def test_units_of_a_file(spark, tmp_path):
     assert cells == {(1, 1): 1.0, (2, 1): 2.0, (3, 1): 3.0, (1, 2): 4.0, (2, 2): None, (3, 2): 6.0}
     keys = {(r["hdu"], r["key"]): r["value"] for r in fits.headers(spark, str(p)).collect()}
     assert keys[0, "BITPIX"] == "16" and keys[1, "TTYPE2"] == "NAME"
+
+
+def test_text_tables(spark, tmp_path):
+    cards = [card("XTENSION", "'TABLE   '"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", 20), card("NAXIS2", 3), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", 3)]
+    cards += [card("TTYPE1", "'ID'"), card("TFORM1", "'I4'"), card("TBCOL1", 1), card("TNULL1", "'-99'"), card("TTYPE2", "'V'"), card("TFORM2", "'E9.2'"), card("TBCOL2", 5), card("TTYPE3", "'T'"), card("TFORM3", "'A6'"), card("TBCOL3", 15)]
+    rows = b"   7 1.50D+01 ab    " + b" -99-2.25E+00        " + b"  12          x y   "
+    p = tmp_path / "t.fits"
+    p.write_bytes(unit([card("SIMPLE", "T"), card("BITPIX", 8), card("NAXIS", 0)], b"") + unit(cards, rows[:20] + rows[20:40] + rows[-20:]))
+    assert [tuple(r) for r in fits.read_table(spark, str(p)).collect()] == [(7, 15.0, "ab"), (None, -2.25, None), (12, None, "x y")]

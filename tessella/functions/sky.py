@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SEXAGESIMAL = r"^\s*([+-]?)(\d+)\s*[:hd ]\s*(\d+)\s*[:m ]\s*(\d+(?:\.\d*)?)s?\s*$"
@@ -118,3 +118,18 @@ class TangentPlane:
     def pixel_area_arcsec2(self) -> float:
         (a, b), (c, d) = self.cd
         return abs(a * d - b * c) * 3600.0**2
+
+
+def coverage(plane: TangentPlane, cells: DataFrame) -> DataFrame:
+    """ra, dec (the middle), width, height and the least and greatest of both, in degrees, of what an image covers.
+
+    Only the cells on its edge are looked at; right ascension is counted from the reference's, so a field
+    across 0 is one.
+    """
+    ends = cells.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+    rim = cells.join(F.broadcast(ends)).where((F.col("x") == F.col("lo_x")) | (F.col("x") == F.col("hi_x")) | (F.col("y") == F.col("lo_y")) | (F.col("y") == F.col("hi_y")))  # one row
+    ra, dec = plane.to_world(F.col("x").cast("double"), F.col("y").cast("double"))
+    from_middle = F.pmod(ra - plane.crval[0] + 180, F.lit(360.0)) - 180
+    at = rim.select(from_middle.alias("a"), dec.alias("d")).agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("d").alias("dec_min"), F.max("d").alias("dec_max"))
+    turned = lambda c: F.pmod(c + plane.crval[0], F.lit(360.0))
+    return at.select(turned((F.col("a0") + F.col("a1")) / 2).alias("ra"), ((F.col("dec_min") + F.col("dec_max")) / 2).alias("dec"), (F.col("a1") - F.col("a0")).alias("width"), (F.col("dec_max") - F.col("dec_min")).alias("height"), turned(F.col("a0")).alias("ra_min"), turned(F.col("a1")).alias("ra_max"), "dec_min", "dec_max")

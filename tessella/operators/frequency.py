@@ -54,3 +54,44 @@ def convolve(cells: DataFrame, kernel: dict[tuple[int, int], float], inverse: bo
     rows = d.groupBy("y").applyInPandas(row, "y int, u int, re double, im double")
     columns = rows.groupBy("u").applyInPandas(column, "u int, y int, re double, im double")
     return columns.groupBy("y").applyInPandas(back, "x int, y int, v double")
+
+
+def kernel(sharp: DataFrame, blurred: DataFrame, reach: int, least: float = 1e-6) -> DataFrame:
+    """(i, j, w) of the kernel, up to ``reach`` from its middle, that turns one image into the other.
+
+    The quotient of the two transforms, column by column, transformed back; both images must fade out toward
+    their edges.  Frequencies that the sharp image lacks count as 0.
+    """
+    box = sharp.agg(F.max("x").alias("w"), F.max("y").alias("h")).head()
+    width, height = (box["w"] or 0) + 2 * reach, (box["h"] or 0) + 2 * reach
+
+    def row(g: pd.DataFrame) -> pd.DataFrame:
+        line = np.zeros(width)
+        line[g["x"].to_numpy()] = g["v"].to_numpy()
+        f = np.fft.fft(line)
+        return pd.DataFrame({"y": g["y"].iloc[0], "u": np.arange(width), "re": f.real, "im": f.imag})
+
+    def lines(cells: DataFrame) -> DataFrame:
+        d = cells.select((F.col("x") - 1).cast("int").alias("x"), (F.col("y") - 1).cast("int").alias("y"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+        return d.groupBy("y").applyInPandas(row, "y int, u int, re double, im double").groupBy("u")
+
+    def column(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        def transformed(g: pd.DataFrame) -> np.ndarray:
+            line = np.zeros(height, complex)
+            line[g["y"].to_numpy()] = g["re"].to_numpy() + 1j * g["im"].to_numpy()
+            return np.fft.fft(line)
+
+        u = int((a if len(a) else b)["u"].iloc[0])
+        f, g = transformed(a), transformed(b)
+        k = np.fft.ifft(np.where(np.abs(f) > least, g / np.where(np.abs(f) > least, f, 1), 0))
+        j = np.arange(-reach, reach + 1)
+        return pd.DataFrame({"u": u, "j": j, "re": k[j % height].real, "im": k[j % height].imag})
+
+    def back(g: pd.DataFrame) -> pd.DataFrame:
+        line = np.zeros(width, complex)
+        line[g["u"].to_numpy()] = g["re"].to_numpy() + 1j * g["im"].to_numpy()
+        i = np.arange(-reach, reach + 1)
+        return pd.DataFrame({"i": i, "j": int(g["j"].iloc[0]), "w": np.fft.ifft(line)[i % width].real})
+
+    columns = lines(sharp).cogroup(lines(blurred)).applyInPandas(column, "u int, j int, re double, im double")
+    return columns.groupBy("j").applyInPandas(back, "i int, j int, w double")

@@ -92,3 +92,12 @@ def polygon(cells: DataFrame, vertices: list[tuple[float, float]], outside: bool
         return cells.withColumn("v", F.when(~inside, F.col("v")))
     box = F.col("x").between(min(xs), max(xs)) & F.col("y").between(min(ys), max(ys))
     return cells.where(box).withColumn("v", F.when(inside, F.col("v")))
+
+
+def mosaic(images: list[tuple[DataFrame, int, int]]) -> DataFrame:
+    """(x, y, v) of images laid on one plane, each moved by its own steps; where several meet, the first that isn't blank is seen."""
+    laid = None
+    for k, (cells, dx, dy) in enumerate(images):
+        own = cells.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), "v", F.lit(k).alias("_k"))
+        laid = own if laid is None else laid.unionByName(own)
+    return laid.groupBy("x", "y").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("_k"))).alias("v"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rpn
+from ..functions import rpn, sky
 from ..operators import detect, frequency, grid, polygons, splines
 from ..operators import generators as gen
 from .grids import HOLED, IMAGE, holed, image
 from .registry import ORACLES, QUERIES, query, table
 
+PLANE = sky.TangentPlane.scaled((12.0, 15.0), (359.99, 30.0), (-0.01, 0.01), ((0.8, -0.6), (0.6, 0.8)))
+
 _REDUCED = {"minvalue": "min(l_quantity)", "maxvalue": "max(l_quantity)", "numbervalue": "count(l_quantity)", "sumvalue": "sum(l_quantity)", "meanvalue": "avg(l_quantity)", "stdvalue": "stddev_pop(l_quantity)", "medianvalue": "median(l_quantity)"}
 
 
@@ -162,6 +164,35 @@ def deconvolve_frequency(spark, sf_dir):
     return back.withColumn("v", F.round("v", 4))
 
 
+@query("frequency_kernel", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(w / 7.0, 6) AS w FROM (VALUES (0, 0, 4.0), (1, 0, 2.0), (0, -1, 1.0)) k(i, j, w) UNION ALL SELECT CAST(a.range - 1 AS INTEGER), CAST(b.range - 1 AS INTEGER), 0.0 FROM range(3) a, range(3) b WHERE (a.range, b.range) NOT IN ((1, 1), (2, 1), (1, 0))")
+def frequency_kernel(spark, sf_dir):
+    """The kernel between an image and its blurred self; the image stands apart from its edges."""
+    i = image(spark, sf_dir).select((F.col("x") + 2).alias("x"), (F.col("y") + 2).alias("y"), "v")
+    ends = i.agg(F.max("x").alias("x"), F.max("y").alias("y")).head()
+    padded = gen.grid(spark, ends["x"] + 2, ends["y"] + 2).join(i, ["x", "y"], "left").select("x", "y", F.coalesce("v", F.lit(0.0)).alias("v"))
+    blurred = frequency.convolve(padded, {(0, 0): 4.0, (1, 0): 2.0, (0, -1): 1.0})
+    k = frequency.kernel(padded, blurred, 1)
+    return k.select("i", "j", (F.round("w", 6) + 0.0).alias("w"))
+
+
+@query("crop_mosaic", f"WITH a AS ({HOLED}), b AS (SELECT x + 10 AS x, y + 1 AS y, v FROM ({IMAGE})) SELECT x, y, round(coalesce(a.v, b.v), 6) AS v FROM a FULL JOIN b USING (x, y)")
+def crop_mosaic(spark, sf_dir):
+    """An image with holes over itself moved."""
+    out = polygons.mosaic([(holed(spark, sf_dir), 0, 0), (image(spark, sf_dir), 10, 1)])
+    return out.withColumn("v", F.round("v", 6))
+
+
+@query("sky_coverage")
+def sky_coverage(spark, sf_dir):
+    return sky.coverage(PLANE, image(spark, sf_dir))
+
+
+@query("warp_align")
+def warp_align(spark, sf_dir):
+    """An image turned so that its axes run along the sky's."""
+    return gen.warp(image(spark, sf_dir), gen.align_steps(PLANE.cd), covered=0.9)
+
+
 _SCALED = "least(greatest((l_quantity - 5) / 40, 0.0), 1.0)"
 
 

@@ -15,6 +15,7 @@ from tessella.operators import detect, frequency, generators, grid, match, polyg
 from tessella.plans.skew import spread_join
 from tessella.plans.table import positions
 from tessella.queries import QUERIES
+from tessella.queries.more import PLANE
 from tessella.sources import fits, registry
 
 SF = "/root/testdata/sf0.001"
@@ -382,6 +383,25 @@ def test_periodic_and_polynomial():
     assert np.allclose(splines.polynomial(np.array([0.0, 1, 2, 4]), np.array([1.0, 0, 5, 61]), np.array([3.0])), np.polyval(np.polyfit([0, 1, 2, 4], [1, 0, 5, 61], 3), 3.0))
 
 
+def test_coverage(spark):
+    cells = image_cells()
+    d = spark.createDataFrame([(float(x), float(y)) for x, y in cells], "x double, y double")
+    points = d.select(*PLANE.to_world(F.col("x"), F.col("y"))).toPandas().to_numpy()
+    a = (points[:, 0] - 359.99 + 180) % 360 - 180
+    r = run(spark, "sky_coverage").iloc[0]
+    assert math.isclose(r["width"], a.max() - a.min()) and math.isclose(r["height"], np.ptp(points[:, 1])) and math.isclose(r["ra_min"], (a.min() + 359.99) % 360) and math.isclose(r["dec_max"], points[:, 1].max())
+    assert r["ra_max"] < r["ra_min"]  # across 0
+
+
+def test_alignment(spark):
+    """On the turned image a step along either axis is one along the sky's, first toward falling right ascension."""
+    m = np.array(generators.align_steps(PLANE.cd)[0][1])[:2, :2]
+    per_step = np.array(PLANE.cd) @ np.linalg.inv(m)
+    assert np.allclose(per_step, [[-0.01, 0], [0, 0.01]])
+    v = run(spark, "warp_align")["v"].dropna()
+    assert len(v) and v.sum() <= sum(image_cells().values()) * 1.0001
+
+
 # frequencies
 
 

@@ -244,20 +244,24 @@ def links(members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) ->
 def crossing(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of nodes (node, comp) in different components that can be alike, by prefix filtering.
 
-    Elements are ordered from rare to common.  Two bags with the similarity share one of the first
-    n - ceil(threshold * n) + 1 elements of either, whatever the order; rare elements first makes those
-    shared prefixes few, as what an edit puts in is rare and what many copies share is not.
+    Elements are ordered from rare to common.  The first element that two bags with the similarity share is
+    among the first n - ceil(threshold * n) + 1 of the larger, and among the first n - ceil(bound * n) + 1 of
+    the smaller, where bound = 2 threshold / (1 + threshold), whatever the order.  Rare elements first makes
+    those shared prefixes few, as what an edit puts in is rare and what many copies share is not: texts that
+    own more than a ninth of themselves, as pages of one template do, don't meet in what they share.
     """
     own = bags.join(nodes, "node").select("node", "comp", F.size("bag").alias("n"), F.explode("bag").alias("e"))
     common = own.groupBy("e").agg(F.count("*").alias("f"))
     rank = F.row_number().over(W.partitionBy("node").orderBy("f", "e"))
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     first = cut(own.join(common.where("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("k", rank).where((F.col("k") <= prefix) & (F.col("f") > 1)).select("e", "k", "node", "comp", "n"), "prefixes")
-    other = first.select("e", F.col("k").alias("k_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
+    bound = 2 * threshold / (1 + threshold)
+    smaller = first.where(F.col("k") <= F.col("n") - F.ceil(F.lit(bound) * F.col("n") - 1e-9) + 1)
+    other = smaller.select("e", F.col("k").alias("k_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
     # If this is the first element both share, no more than what follows it in either can be shared besides.
     reach = 1 + F.least(F.col("n") - F.col("k"), F.col("n_b") - F.col("k_b"))
-    near = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (reach >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-6)
-    return spread_join(first, other, "e", "node").where(near).select(F.col("node").alias("a"), "b").distinct()
+    near = ((F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("node") < F.col("b")))) & (F.col("comp") != F.col("comp_b")) & (reach >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-6)
+    return spread_join(first, other, "e", "node").where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -512,6 +512,26 @@ def test_the_query_and_the_pipeline_share_a_standing_ledger(spark, table, tmp_pa
         spark.conf.unset(secrets.LEDGER_SETTING)
 
 
+# near-duplicates
+
+
+def test_pages_of_a_template_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for share in (0.06, 0.09, 0.11, 0.13, 0.17, 0.25):  # what each page owns of itself, about
+        body = [word() for _ in range(300)]
+        for k in range(14):
+            own = [word() for _ in range(int(share * 300 * (1 + 0.02 * (k % 4))))]
+            at = rng.randrange(250)
+            rows.append((len(rows), " ".join([*body[:at], *own, *body[at:]])))
+    got = {}
+    for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["class_id"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == brute_classes(rows)
+    assert len(got) > 40
+
+
 # columns and ids
 
 

@@ -31,9 +31,8 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 
 # White space between words, and the symbols counted.
-SPACE = " \t\n\u000b\f\r"
 SPACES = r"[ \t-\r]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]+"
 
 WINDOW = 3
 PLACE_BITS = 26
@@ -44,6 +43,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^ \t-\r]")
+
+
 def normalised(line: Column) -> Column:
     folded = F.regexp_replace(F.lower(line), SPACES, " ")
     return F.regexp_replace(F.trim(folded), "[0-9]+", "0")
@@ -111,15 +114,15 @@ def base(docs: DataFrame) -> DataFrame:
     d = d.withColumn("words", words_of(F.col("text")))
     d = d.withColumn("packed", packed_windows("words"))
     d = d.withColumn("starts", repeated_starts("words", "packed"))
-    d = d.withColumn("own_lines", F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0))
+    d = d.withColumn("own_lines", F.filter(F.split("text", "\n", -1), has_word))
     lines = F.transform("own_lines", lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("n")))
     return d.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         "host",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("own_lines") - F.size(F.array_distinct("own_lines"))).cast("long").alias("n_dup_lines"),
         covered("starts").alias("n_repeat_words"),
         lines.alias("lines"),
@@ -169,5 +172,5 @@ def apply(docs: DataFrame) -> DataFrame:
     """``docs`` without its frequent lines and without the documents that are rejected; columns as they were."""
     verdict = judged(docs).where("kept").select("doc_id", "text_hash", "removed").dropDuplicates(["doc_id", "text_hash"])
     d = matched(held(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64(text_or_empty())), verdict, ["doc_id", "text_hash"])
-    cleaned = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: (F.length(F.translate(x, SPACE, "")) == 0) | ~F.array_contains(F.col("removed"), line_hash(x))), "\n")
+    cleaned = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~has_word(x) | ~F.array_contains(F.col("removed"), line_hash(x))), "\n")
     return with_text(d, docs, F.when(F.col("removed").isNull(), F.col("text")).otherwise(cleaned))

@@ -26,7 +26,6 @@ SAMPLE = 4000
 DIMENSIONS = 1 << 18
 KEEP = 0.5
 SPACES = r"[ \t-\r]+"
-WHITE = " \t\n\u000b\f\r"
 #: Densities mean little in shorter texts; the labellers of densities then abstain.
 FEW_WORDS = 8
 
@@ -69,17 +68,17 @@ def measures() -> dict[str, Column]:
     n = F.greatest(F.size(words), F.lit(1))
     n_lines = F.greatest(F.size(lines), F.lit(1))
     # marks are counted in the shapes, which are a quarter as long as the text and keep them
-    count = lambda chars: (F.length(shape) - F.length(F.translate(shape, chars, ""))) / n
+    count = lambda marks: (F.length(shape) - F.length(F.regexp_replace(shape, marks, ""))) / n
     # runs of small letters are one letter there: without letters it is what the text is without letters
     letters = F.length(text) - F.length(F.regexp_replace("_small", r"\p{L}+", ""))
     capitals = F.length("_small") - F.length(F.regexp_replace("_small", r"\p{Lu}+", ""))
     return {
-        "symbols": count("#*$%&<>{}\\"),
-        "exclamations": count("!"),
-        "bars": count("|"),
+        "symbols": count(r"[#*$%&<>{}\\]+"),
+        "exclamations": count("!+"),
+        "bars": count(r"\|+"),
         "capitals": F.when(letters > 0, capitals / letters),
         "plain_words": F.regexp_count(shape, F.lit(PLAIN)) / n,
-        "word_length": F.length(F.translate(text, WHITE, "")) / n,
+        "word_length": F.length(F.array_join(words, "")) / n,
         "function_words": F.size(F.filter("_low", lambda w: w.isin(FUNCTION_WORDS))) / n,
         "line_ends": F.size(F.filter(lines, lambda x: x.rlike(r"[.!?…:;\"'»”)]\s*$"))) / n_lines,
         "repeated_lines": (F.size(lines) - F.size(F.array_distinct(lines))) / n_lines,
@@ -113,7 +112,7 @@ def votes() -> dict[str, Column]:
 def with_parts(docs: DataFrame) -> DataFrame:
     """Adds _text, _words, _low (the words in small letters), _shape, _lines (those with a word) and the measures."""
     d = docs.withColumn("_text", text_or_empty())
-    d = d.withColumns({"_words": words_of(F.col("_text")), "_low": words_of(F.lower("_text")), "_small": small(F.col("_text"))})
+    d = d.withColumns({"_words": words_of(F.col("_text")), "_low": F.transform(words_of(F.col("_text")), F.lower), "_small": small(F.col("_text"))})
     d = d.withColumn("_shape", shapes_of_small(F.col("_small")))
     d = d.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
     return d.withColumns({f"_m_{k}": c for k, c in measures().items()})
@@ -211,8 +210,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     return model
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with quality_score (0 to 1) and kept."""
+def scored(docs: DataFrame, model: dict, carry: list[str] | None = None) -> DataFrame:
+    """``docs``, or only its columns ``carry``, with quality_score (0 to 1) and kept."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model["weights"])  # DIMENSIONS numbers, whatever the corpus
 
@@ -224,18 +223,19 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
 
     # A filter on the score must stay above it: pushed below, it would split the text anew for every word.
     score = score.asNondeterministic()
-    names = others(docs, "quality_score", "kept")
-    words = with_shapes(held(docs, "text").withColumns({"_words": words_of(text_or_empty()), "_low": words_of(F.lower(text_or_empty())), "_shape": shapes(text_or_empty())}))
+    names = others(docs, "quality_score", "kept") if carry is None else carry
+    row = F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")
+    words = with_shapes(docs.select(row, "text").withColumns({"_words": words_of(text_or_empty()), "_low": F.transform(words_of(text_or_empty()), F.lower), "_shape": shapes(text_or_empty())}))
     out = words.withColumn("_slots", features()).withColumn("_score", score("_slots")).select("row", "_score")
     return out.select(*[F.col(f"row.`{n}`") for n in names], F.col("_score").alias("quality_score"), (F.col("_score") >= KEEP).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return scored(docs, fit(docs)).select("doc_id", "quality_score", "kept")
+    return scored(docs, fit(docs), ["doc_id"])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; columns as they were."""
     whole = held(docs, "text", "doc_id")
-    return scored(whole, fit(whole)).where("kept").select("row.*")
+    return scored(whole, fit(whole), ["row"]).where("kept").select("row.*")

@@ -134,7 +134,7 @@ def with_background(cells: DataFrame, detected: DataFrame, widths: Sequence[int]
     return cut(own.join(tiles, ["tx", "ty"], "left").select(*XY, "v", "sky", "std"), "background")
 
 
-def noise_chisel(cells: DataFrame, widths: Sequence[int], q: float = 0.3, no_erode: float = 0.99, erode: int = 2, opening: int = 1, most: float = 0.2, least: float = 0.0, area: int = 3, sn_quantile: float = 0.95, grow_rounds: int = 2, grow_least: float = 1.0, detected_fraction: float = 0.3) -> DataFrame:
+def detections_of(cells: DataFrame, widths: Sequence[int], q: float = 0.3, no_erode: float = 0.99, erode: int = 2, opening: int = 1, most: float = 0.2, least: float = 0.0, area: int = 3, sn_quantile: float = 0.95, grow_rounds: int = 2, grow_least: float = 1.0, detected_fraction: float = 0.3) -> DataFrame:
     """x, y, label, sky, std: the detections of an image, numbered in raster order, and its background.
 
     Cells are detected first by the tiles' thresholds.  What stands above the background where nothing was

@@ -216,14 +216,14 @@ def coordinates_and_index(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", i.alias("i"), j.alias("j"), k.alias("k"), gen.index_of([i, j, k], [11, 7, 5]).alias("back"))
 
 
-@query("detect_noisechisel")
-def detect_noisechisel(spark, sf_dir):
-    return detect.noise_chisel(image(spark, sf_dir), [8, 8], q=0.5, erode=0, most=0.2, area=2, sn_quantile=0.5)
+@query("detect_program")
+def detect_program(spark, sf_dir):
+    return detect.detections_of(image(spark, sf_dir), [8, 8], q=0.5, erode=0, most=0.2, area=2, sn_quantile=0.5)
 
 
 @query("segment_objects")
 def segment_objects(spark, sf_dir):
-    d = detect.noise_chisel(image(spark, sf_dir), [8, 8], q=0.5, erode=0, most=0.2, area=2, sn_quantile=0.5)
+    d = detect.detections_of(image(spark, sf_dir), [8, 8], q=0.5, erode=0, most=0.2, area=2, sn_quantile=0.5)
     return detect.segment(d.join(image(spark, sf_dir), ["x", "y"]), [8, 8], q=0.5)
 
 

@@ -299,7 +299,7 @@ def blobs(seed=2, size=48):
 def test_programs_find_what_was_planted(spark):
     v, spots = blobs()
     cells = spark.createDataFrame(pd.DataFrame([(i + 1, j + 1, v[j, i]) for j in range(48) for i in range(48)], columns=["x", "y", "v"])).selectExpr("cast(x as int) x", "cast(y as int) y", "v")
-    found = detect.noise_chisel(cells, [12, 12], q=0.7, erode=1, most=0.45, area=4, sn_quantile=0.8, grow_least=3.0, grow_rounds=6).cache()
+    found = detect.detections_of(cells, [12, 12], q=0.7, erode=1, most=0.45, area=4, sn_quantile=0.8, grow_least=3.0, grow_rounds=6).cache()
     label = {(r["x"], r["y"]): r["label"] for r in found.collect()}
     at = [label[s] for s in spots]
     assert all(at) and at[0] != at[1] and len({label[s] for s in spots[:2]} | {at[2], at[3]}) in (3, 4)
@@ -315,7 +315,7 @@ def test_programs_find_what_was_planted(spark):
 
 def test_program_queries_keep_their_cells(spark):
     cells = image_cells()
-    d = run(spark, "detect_noisechisel")
+    d = run(spark, "detect_program")
     assert {(r["x"], r["y"]) for _, r in d.iterrows()} == set(cells) and set(d.columns) == {"x", "y", "label", "sky", "std"}
     s = run(spark, "segment_objects")
     assert {(r["x"], r["y"]) for _, r in s.iterrows()} == {(r["x"], r["y"]) for _, r in d.iterrows() if r["label"] > 0}

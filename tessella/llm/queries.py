@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, langid, minhash, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec
+from . import fingerprints, html_extract, langid, minhash, mixing, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,7 @@ QUERIES["op7_feistel_pseudonyms"] = pii.query
 QUERIES["op8_pattern_packing"] = op8_pattern_packing
 QUERIES["op9_weak_labels"] = quality_classifier.query
 QUERIES["op10_secret_ledger"] = secrets.query
+QUERIES["op11_hash_threshold"] = mixing.query
 
 #: The rules' SQL; 15 digits of the MD5 stand for the hash of a line.
 ORACLES["op3_line_frequency"] = r"""
@@ -55,3 +56,26 @@ b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT *, NOT base_failed AND 100 * words_left >= 30 * n_words AS kept FROM v
 """
+
+
+def mixing_sql() -> str:
+    """The mix by sorting: the running size by hash within a source against its budget, a round for each threshold."""
+    head = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, '~') AS key, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0d]+'), lambda x: x <> '')) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(length(coalesce(text, '')) AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size, CAST(2 * sum(size) AS BIGINT) AS bound, [5, 2, 1][CAST((row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS INT)] AS w FROM d GROUP BY key),
+o AS (SELECT *, row_number() OVER r AS k, sum(bound) OVER r - bound AS caps, sum(w) OVER () - (sum(w) OVER r - w) AS free, 1.5 * sum(source_size) OVER () AS goal FROM s WINDOW r AS (ORDER BY bound / w, key ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT (CAST(goal AS DOUBLE) - caps) / free AS level FROM o WHERE (CAST(goal AS DOUBLE) - caps) / free * w <= bound ORDER BY k LIMIT 1),
+t AS (SELECT key, source_size, CASE WHEN level * w > bound THEN CAST(bound AS DOUBLE) ELSE level * w END AS target FROM s, l),
+s0 AS MATERIALIZED (SELECT key, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole, CAST(floor(target) AS BIGINT) - (CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END) * source_size AS budget, CAST(-1 AS BIGINT) AS from_h, false AS ended FROM t)"""
+    turn = """,
+c{k} AS MATERIALIZED (SELECT d.*, budget, sum(size) OVER (PARTITION BY key ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN s{j} USING (key) WHERE NOT ended AND budget > 0 AND budget >= {near} * target AND size BETWEEN 1 AND budget AND h > from_h),
+s{k} AS MATERIALIZED (SELECT key, source_size, target, whole, budget - coalesce(fits, 0) AS budget, coalesce(to_h, from_h) AS from_h, ended OR to_h IS NULL AS ended FROM s{j} LEFT JOIN (SELECT key, min(h) FILTER (upto > budget) AS to_h, max(upto) FILTER (upto <= budget) AS fits FROM c{k} GROUP BY key) USING (key))"""
+    more = " UNION ALL ".join(f"SELECT doc_id, h FROM c{k} WHERE upto <= budget" for k in range(1, mixing.ROUNDS + 1))
+    tail = f"""
+SELECT d.doc_id, d.size, CAST(source_size AS BIGINT) AS source_size, target, CAST(d.size * (whole + CASE WHEN m.h IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
+FROM d JOIN s0 USING (key) LEFT JOIN ({more}) m ON m.doc_id = d.doc_id AND m.h = d.h
+"""
+    return head + "".join(turn.format(j=k - 1, k=k, near=mixing.NEAR) for k in range(1, mixing.ROUNDS + 1)) + tail
+
+
+ORACLES["op11_hash_threshold"] = mixing_sql()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, langid, minhash, mixing, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec
+from . import fill_in_middle, fingerprints, html_extract, langid, minhash, mixing, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,7 @@ QUERIES["op8_pattern_packing"] = op8_pattern_packing
 QUERIES["op9_weak_labels"] = quality_classifier.query
 QUERIES["op10_secret_ledger"] = secrets.query
 QUERIES["op11_hash_threshold"] = mixing.query
+QUERIES["op12_learned_index"] = fill_in_middle.query
 
 #: The rules' SQL; 15 digits of the MD5 stand for the hash of a line.
 ORACLES["op3_line_frequency"] = r"""
@@ -79,3 +80,14 @@ FROM d JOIN s0 USING (key) LEFT JOIN ({more}) m ON m.doc_id = d.doc_id AND m.h =
 
 
 ORACLES["op11_hash_threshold"] = mixing_sql()
+
+ORACLES["op12_learned_index"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN n = 0 OR h3 % 100 >= 90 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fill_in_middle, fingerprints, html_extract, langid, minhash, mixing, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec
+from . import fill_in_middle, fingerprints, html_extract, langid, minhash, mixing, packing, pii, prefix_trie, quality_classifier, quality_rules, secrets, sentencepiece_codec
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,7 @@ QUERIES["op9_weak_labels"] = quality_classifier.query
 QUERIES["op10_secret_ledger"] = secrets.query
 QUERIES["op11_hash_threshold"] = mixing.query
 QUERIES["op12_learned_index"] = fill_in_middle.query
+QUERIES["op13_perfect_hash_trie"] = prefix_trie.query
 
 #: The rules' SQL; 15 digits of the MD5 stand for the hash of a line.
 ORACLES["op3_line_frequency"] = r"""
@@ -91,3 +92,18 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(text) AS restored_sha256
 FROM p
 """
+
+#: A node's sums run over its members' paths, in which each node below counts once, for its smallest member.
+ORACLES["op13_perfect_hash_trie"] = """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, c - c % 20 AS f, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+g AS (SELECT k.c, k.f, k.h, least(k.h, coalesce(n, 0)) AS head FROM k LEFT JOIN (SELECT c, count(*) AS n FROM t GROUP BY c) b ON b.c = k.f),
+r AS (SELECT g.c, p + 1 AS d, role, text FROM g JOIN t ON t.c = g.f WHERE p < head UNION ALL SELECT g.c, p - h + head + 1, role, text FROM g JOIN t ON t.c = g.c WHERE p >= h),
+w AS (SELECT c, d, md5(CAST(list(md5(CAST(length(role) AS VARCHAR) || ':' || role || text)) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS VARCHAR)) AS id, len(list_filter(string_split_regex(text, '[ \\x09-\\x0d]+'), lambda x: x <> '')) AS words FROM r UNION ALL SELECT c, 0, '', 0 FROM g),
+v AS (SELECT *, lag(id) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM w),
+n AS (SELECT id, min(c) AS conv_id, any_value(d) AS depth, any_value(up) AS up, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM v GROUP BY id),
+m AS (SELECT n.*, u.conv_id AS parent_conv_id, coalesce(ch.n, 0) AS n_children FROM n LEFT JOIN n u ON u.id = n.up LEFT JOIN (SELECT up, count(*) AS n FROM n GROUP BY up) ch ON ch.up = n.id),
+s AS (SELECT v.id, sum(CASE WHEN v.c = m.conv_id AND n_children = 0 THEN 1 ELSE 0 END) OVER z AS leaves, sum(CASE WHEN v.c = m.conv_id THEN (n_convs - 1) * m.words ELSE 0 END) OVER z AS saved FROM v JOIN m USING (id) WINDOW z AS (PARTITION BY v.c ORDER BY v.d DESC ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(x.leaves AS BIGINT) AS n_leaves, CAST(x.saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM m JOIN (SELECT id, sum(leaves) AS leaves, sum(saved) AS saved FROM s GROUP BY id) x USING (id)
+"""

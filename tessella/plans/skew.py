@@ -36,3 +36,19 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, deal_by: str, how: s
     left = rows.join(hot, key, "left").withColumn("_deal", F.pmod(F.xxhash64(deal_by), deals).cast("int")).drop("_deals")
     right = side.join(hot, key, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
     return left.join(right, [key, "_deal"], how).drop("_deal")
+
+
+def spread_both(left: DataFrame, right: DataFrame, key: str, by_left: str, by_right: str) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, where either side may crowd on it.
+
+    A hot key's rows are dealt out on a grid, those of ``left`` by rows and those of ``right`` by columns, and repeated
+    along the other axis, so that each pair meets once.  Both sides are read twice and should be cheap to read.
+    """
+    hot = hot_keys(left, key).withColumnRenamed("_deals", "_rows").join(hot_keys(right, key).withColumnRenamed("_deals", "_columns"), key, "full")
+    hot = F.broadcast(hot)  # two bounded lists
+    rows, columns = F.coalesce(F.col("_rows"), F.lit(1)), F.coalesce(F.col("_columns"), F.lit(1))
+    own = lambda by, n: F.pmod(F.xxhash64(by), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = left.join(hot, key, "left").withColumn("_row", own(by_left, rows)).withColumn("_column", every(columns)).drop("_rows", "_columns")
+    b = right.join(hot, key, "left").withColumn("_column", own(by_right, columns)).withColumn("_row", every(rows)).drop("_rows", "_columns")
+    return a.join(b, [key, "_row", "_column"]).drop("_row", "_column")

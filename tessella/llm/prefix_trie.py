@@ -10,7 +10,7 @@ through an array of parents' slots, from the deepest nodes to the shallowest.
 A shard holds whole connected parts of the trie.  A part are neighbouring nodes of one band, the power of
 ``BAND`` in which their number of members lies, and of one block of ``BLOCK`` depths.  Along a path the members
 only fall, so the trie falls apart into parts of at most ``BAND`` paths each, whatever its size, and the parts of a
-band need only what those below them add up to.  There are as many rounds as bands (four for 10^13 conversations)
+band need only what those below them add up to.  There are as many rounds as bands (six for 10^13 conversations)
 times blocks in use (one, unless conversations are longer than ``BLOCK`` turns).
 
 No conversation, node or list of members has to fit in a task: turns are numbered within ranges, digests chained by
@@ -37,7 +37,7 @@ from .common import cut, lean, pick, read_table, spread_join
 from .mixing import n_words
 
 BLOCK = 1 << 14  # depths in a part
-BAND = 1 << 11  # members of a part's top
+BAND = 1 << 8  # members of a part's top
 SHARD_NODES = 1 << 17  # nodes of a shard, on average
 BROADCAST_NODES = 1 << 17  # up to so many nodes above the first band are broadcast, of 20 bytes each
 PIECE = 1 << 12  # ids in a piece of a list
@@ -266,7 +266,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     way = paths(turns, convs)
     counts = way.groupBy("node").agg(F.count("*").alias("_n"))
     band = F.lit(0)
-    for k in range(1, 6):
+    for k in range(1, 8):  # up to 2^64 members
         band = band + (F.col("_n") > BAND**k).cast("int")
     big = cut(counts.where(F.col("_n") > BAND).select("node", band.alias("band"), "_n"), "big")
     if big.count() <= BROADCAST_NODES:

@@ -10,8 +10,10 @@ latest slot.
 
 Signatures are banded.  Equal texts are one node.  In each bucket one pivot is tested against all, and
 the verified links are closed into components.  Nodes of buckets that still hold several components are
-joined across them by the rare elements that alike bags must share, which is exact.  So pairs are never
-spelled out within a group of alike texts, and no link between components is lost.
+joined across them by the rare elements that alike bags must share, which is exact.  Elements of one
+component only are never joined on, and where an element meets several, the nodes of its largest component
+meet those of the others but not one another.  So the work grows with the pairs between components, a group
+of alike texts is met in proportion to its size, and no link between components is lost.
 
 Defined results: a null text is the empty text; texts without words, and texts shorter than five words,
 are alike only if their words are equal; repeated rows and copies share a class; class_id is the least
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, discard, held, lean, matched, pick, read_table, spread_join, text_or_empty
+from .common import bounded_batches, cut, discard, held, lean, matched, pick, read_table, spread_both, spread_join, text_or_empty
 
 K = 5
 THRESHOLD = 0.8
@@ -204,8 +206,11 @@ def similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     left = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
     right = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
     both = F.size(F.array_intersect("bag_a", "bag_b"))
-    # one pivot may be tested against a large part of all nodes, never the other way round
-    return spread_join(pairs, left, "a", "b").join(right, "b").where(both >= threshold * (F.size("bag_a") + F.size("bag_b") - both)).select("a", "b")
+    # a pivot may stand on either side of a large part of all pairs
+    total = pairs.count()
+    known = {n: {"counts": pairs.groupBy(n).agg(F.count("*").alias("_n")), "total": total} for n in "ab"}
+    met = spread_join(spread_join(pairs, left, "a", "b", **known["a"]), right, "b", "a", **known["b"])
+    return met.where(both >= threshold * (F.size("bag_a") + F.size("bag_b") - both)).select("a", "b")
 
 
 def sized(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -241,27 +246,52 @@ def links(members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) ->
     return cut(found.union(similar(pairs, bags, threshold)), "similar")
 
 
-def crossing(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, comp) in different components that can be alike, by prefix filtering.
+def prefixes(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(e, k, node, comp, n, major): the elements by which nodes of different components can meet.
 
-    Elements are ordered from rare to common.  The first element that two bags with the similarity share is
-    among the first n - ceil(threshold * n) + 1 of the larger, and among the first n - ceil(bound * n) + 1 of
-    the smaller, where bound = 2 threshold / (1 + threshold), whatever the order.  Rare elements first makes
-    those shared prefixes few, as what an edit puts in is rare and what many copies share is not: texts that
-    own more than a ninth of themselves, as pages of one template do, don't meet in what they share.
+    Elements are ordered: first those of one component only, which link nothing new, then from rare to common.
+    The first element that two bags with the similarity share is among the first n - ceil(threshold * n) + 1 of the
+    larger, whatever the order.  So only nodes whose other elements are too few to fill that prefix appear here.
+    ``major`` tells whether a node is of the component that holds the element most often.
     """
     own = bags.join(nodes, "node").select("node", "comp", F.size("bag").alias("n"), F.explode("bag").alias("e"))
-    common = own.groupBy("e").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(W.partitionBy("node").orderBy("f", "e"))
+    common = own.groupBy("e").agg(F.count("*").alias("f"), (F.min("comp") != F.max("comp")).alias("several")).where("f > 1")
+    common = cut(common, "elements")
+    ranked = spread_join(own, common, "e", "node", "left", counts=common.select("e", F.col("f").alias("_n")), total=bags.join(nodes, "node").agg(F.sum(F.size("bag"))).first()[0])
+    rank = F.row_number().over(W.partitionBy("node").orderBy("several", "f", "e"))
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    first = cut(own.join(common.where("f > 1"), "e", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("k", rank).where((F.col("k") <= prefix) & (F.col("f") > 1)).select("e", "k", "node", "comp", "n"), "prefixes")
+    ranked = ranked.withColumns({"f": F.coalesce("f", F.lit(1)), "several": F.coalesce("several", F.lit(False))}).withColumn("k", rank)
+    first = cut(ranked.where((F.col("k") <= prefix) & F.col("several")).select("e", "k", "node", "comp", "n"), "prefixes")
+    held_by = cut(first.groupBy("e", "comp").agg(F.count("*").alias("m")), "holders")
+    most = held_by.groupBy("e").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.sum("m").alias("_n"), F.count("*").alias("comps"))
+    most = cut(most, "majors")
+    met = spread_join(first, most.where("comps > 1").select("e", "most"), "e", "node", counts=most.select("e", "_n"))
+    met = cut(met.select("e", "k", "node", "comp", "n", (F.col("comp") == F.col("most")).alias("major")), "meeting")
+    discard(common, first, held_by, most)
+    return met
+
+
+def meetings(met: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``prefixes`` beside one another by their elements: a larger node, and b with its shorter prefix.
+
+    Nodes of an element's major component meet only those of its others.  Among the others pairs within a component
+    come up too, but not more of them than pairs with the major one, which is as large.
+    """
     bound = 2 * threshold / (1 + threshold)
-    smaller = first.where(F.col("k") <= F.col("n") - F.ceil(F.lit(bound) * F.col("n") - 1e-9) + 1)
-    other = smaller.select("e", F.col("k").alias("k_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
+    # among the first n - ceil(bound * n) + 1 of the smaller, where bound = 2 threshold / (1 + threshold)
+    smaller = met.where(F.col("k") <= F.col("n") - F.ceil(F.lit(bound) * F.col("n") - 1e-9) + 1)
+    other = smaller.select("e", F.col("k").alias("k_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("major").alias("major_b"))
+    of_minors = spread_both(met.where("NOT major"), other, "e", "node", "b")
+    return of_minors.unionByName(spread_both(met.where("major"), other.where("NOT major_b"), "e", "node", "b"))
+
+
+def crossing(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, comp) in different components that can be alike, by prefix filtering."""
+    met = prefixes(nodes, bags, threshold)
     # If this is the first element both share, no more than what follows it in either can be shared besides.
     reach = 1 + F.least(F.col("n") - F.col("k"), F.col("n_b") - F.col("k_b"))
     near = ((F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("node") < F.col("b")))) & (F.col("comp") != F.col("comp_b")) & (reach >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-6)
-    return spread_join(first, other, "e", "node").where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    return meetings(met, threshold).where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -281,8 +311,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bags = cut(numbered_elements(texts.select("node", shingles(F.col("text")).alias("shingles"))).dropDuplicates(["node"]), "bags")
     comps = components(links(members, bags, threshold)).select("node", "comp")
     named = comps.join(nodes, "node")
-    least = named.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("head"))
-    of_node = nodes.join(named.select("node", "comp").join(least, "comp").select("node", "head"), "node", "left")
+    least = cut(named.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("head"), F.count("*").alias("_n")), "least")
+    headed = spread_join(named.select("node", "comp"), least.select("comp", "head"), "comp", "node", counts=least.select("comp", "_n"))
+    of_node = nodes.join(headed.select("node", "head"), "node", "left")
     of_node = of_node.select("node", F.coalesce("head.first", "first").alias("class_id"), F.coalesce("head.node", "node").alias("class_node"))
     return spread_join(rows.select("doc_id", "node", F.col("n").alias("n_shingles")), cut(of_node, "classes"), "node", "doc_id").select("doc_id", "class_id", "n_shingles", "node", "class_node")
 

@@ -36,6 +36,8 @@ DROPPED = frozenset("script style template textarea iframe noembed noframes anno
 #: Their content is shown as it stands.
 VERBATIM = frozenset("xmp plaintext".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Captions, cells and terms: short, and content where they aren't linked.
+DATA = frozenset("figcaption caption td th dt dd li".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 OUTSIDE = frozenset("nav footer aside form button select option menu dialog head title legend fieldset".split())
 INSIDE = frozenset("article main".split())
@@ -45,6 +47,12 @@ BAD_WORDS = frozenset(
     " comment comments commentlist disqus reply replies respond discussion share sharing social follow related recommended recommendations more-stories trending popular newsletter"
     " subscribe subscription signup login signin search searchbox form skip hidden complementary contentinfo search-form tags tagcloud cta".split()
 )
+#: What else a compound name may say of a page's parts.  A bad word beside any other word is about something else: follow-up, share-price.
+PART_WORDS = frozenset(
+    "site page main post article entry blog story content body global primary secondary inner outer wrap wrapper container holder box block slot unit zone area region section group set module component panel card pane"
+    " bar col column row grid list links link item items button buttons btn icon icons tools tool actions action label text title head header heading footer top bottom left right center middle fixed sticky mobile desktop"
+    " small large posts articles stories news count feed thread form field fields input message info us me on by more responsive google display native video image wide skyscraper leaderboard rectangle".split()
+)
 GOOD_WORDS = frozenset("article content post entry story main body text body-text article-body entry-content post-content story-body maincontent".split())
 
 # A quote counts only behind an equals sign; one that is never closed doesn't count, so the tag ends at the next >.
@@ -54,14 +62,32 @@ PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
 CUT_OFF = re.compile(r"<[a-zA-Z/][^<>]*+\Z")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORDS = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in DROPPED | VERBATIM}
 NOTICE = re.compile(r"©|\b(?:enable|activate|requires)\s+(?:java\s?script|cookies)", re.I)
 
 # Weights of the classifier; positive speaks for content.
-WEIGHT = {"bias": -0.6, "inside": 4.0, "outside": -8.0, "header": -5.0, "bad": -7.0, "good": 1.5, "links": -4.0, "length": 2.0, "sentence": 0.8, "prose": 0.9, "notice": -1.5}
+WEIGHT = {"bias": -0.6, "inside": 4.0, "outside": -8.0, "header": -5.0, "bad": -9.0, "good": 1.5, "links": -4.0, "length": 2.0, "sentence": 0.8, "prose": 0.9, "data": 0.9, "notice": -1.5}
 #: Smoothness between neighbours; more if they have one parent, and between the children of one parent.
 NEXT_TO, SIBLINGS, SAME_PARENT = 0.3, 0.5, 0.3
 
 
+def names_boilerplate(value: str) -> bool:
+    """Whether a class, id or role names a part beside the article: by a whole name, or by a compound of which nothing speaks against it.
+
+    A first part of up to three letters is a name space (wp-footer); other words than those of page parts make
+    the name one of content (legal-analysis).
+    """
+    for name in value.split():
+        if name.lower() in BAD_WORDS:
+            return True
+        parts = WORDS.findall(CAMEL.sub("-", name).lower())
+        known = [p in BAD_WORDS or p in PART_WORDS or len(p) == 1 for p in parts]
+        if any(p in BAD_WORDS for p in parts) and all(known[1:]) and (known[0] or len(parts[0]) <= 3):
+            return True
+    return False
+
+
 class Node:
     __slots__ = ("tag", "parent", "outside", "bad", "good", "inside", "header")
 
@@ -74,12 +100,11 @@ class Node:
         bad = good = False
         if attributes:
             for name, value in ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), value.strip("\"'").lower()
+                name, plain = name.lower(), value.strip("\"'")
+                value = plain.lower()
                 if name in ("class", "id", "role"):
-                    whole = value.split()
-                    words = {*whole, *WORDS.findall(value)}
-                    bad = bad or bool(words & BAD_WORDS) and not (tag in INSIDE or tag == "body")
-                    good = good or bool(words & GOOD_WORDS)
+                    bad = bad or not (tag in INSIDE or tag == "body") and names_boilerplate(plain)
+                    good = good or not GOOD_WORDS.isdisjoint([*value.split(), *WORDS.findall(value)])
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     bad = True
         self.bad = bad or (up is not None and up.bad)
@@ -87,11 +112,11 @@ class Node:
 
 
 class Block:
-    __slots__ = ("node", "text", "linked", "prose")
+    __slots__ = ("node", "text", "linked", "prose", "data")
 
     def __init__(self, node: Node, text: str, linked: int):
         self.node, self.text, self.linked = node, text, linked
-        self.prose = node.tag in PROSE
+        self.prose, self.data = node.tag in PROSE, node.tag in DATA and not linked
 
 
 class Reader:
@@ -152,7 +177,7 @@ class Reader:
             self.start(tag, attributes)
 
     def read(self, page: str) -> list[Block]:
-        at, end, lowered, pattern = 0, len(page), None, TAG
+        at, end, pattern = 0, len(page), TAG
         while at < end:
             begin = page.find("<", at)
             if begin < 0:
@@ -188,10 +213,8 @@ class Reader:
                     self.parts.append(" ")
                 if closing or m[3].endswith("/"):
                     continue
-                if lowered is None:
-                    lowered = page.lower() if len(page.lower()) == len(page) else page
-                stop = lowered.find(f"</{tag}", at)
-                stop = end if stop < 0 else stop
+                stop = CLOSING[tag].search(page, at)
+                stop = stop.start() if stop else end
                 if tag in VERBATIM:
                     self.text(page[at:stop].replace("&", "&amp;"))
                 at = stop
@@ -210,7 +233,7 @@ def score(b: Block) -> float:
     """The classifier: above 0 for content."""
     n, w = b.node, WEIGHT
     z = w["bias"] + w["length"] * min(len(b.text) / 120, 1.0) + w["links"] * min(b.linked / max(len(b.text), 1), 1.0)
-    z += w["inside"] * n.inside + w["outside"] * n.outside + w["header"] * n.header + w["bad"] * n.bad + w["good"] * n.good + w["prose"] * b.prose
+    z += w["inside"] * n.inside + w["outside"] * n.outside + w["header"] * n.header + w["bad"] * n.bad + w["good"] * n.good + w["prose"] * b.prose + w["data"] * b.data
     z += w["sentence"] * (b.text[-1] in ".!?…:;\"”»)") + w["notice"] * bool(NOTICE.search(b.text[:80]))
     return z
 

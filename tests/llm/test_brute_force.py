@@ -215,6 +215,36 @@ FRAMES = [
 ]
 
 
+#: Names of content that hold words of boilerplate, and names of boilerplate.
+CONTENT_NAMES = ["follow-up", "legal-analysis", "ad-hoc-committee", "share-price", "tags-explained", "related-work", "side-effects", "form-factor", "menu-design", "social-history", "alert-levels", "Search_Methods", "popular-vote", "skipHistory"]
+OTHER_NAMES = ["ad", "ad-slot", "siteFooter", "wp-sidebar", "related-posts", "share-buttons", "cookie_notice", "post__comments", "fb-comments", "navbar-fixed-top", "newsletter-signup", "c-ad__inner", "breadcrumbs", "follow-us"]
+
+
+def test_compound_names_in_many_frames():
+    """Precision and recall of words, with sections named by compounds, captions and tables, with and without an article frame."""
+    rng = random.Random(6)
+    right = kept = total = 0
+    for k, (own, other) in enumerate(zip(CONTENT_NAMES * 4, OTHER_NAMES * 4)):
+        paragraph = lambda: " ".join(rng.choice(SENTENCES[:4]) for _ in range(rng.randrange(2, 5)))
+        a, b, c = paragraph(), paragraph(), paragraph()
+        body = f"<h1>The harbour</h1><p>{a}</p><section class='{own}'><p>{b}</p><figure><figcaption>The harbour in spring</figcaption></figure></section><table><tr><th>Year<th>Ships<tr><td>1999<td>12</table><p>{c}</p>"
+        page = ["<html><body>{}</body></html>", "<html><body><div id=wrap>{}</div></body></html>", "<html><body><article>{}</article></body></html>", "<html><body><main>{}</main></body></html>"][k // len(CONTENT_NAMES)]
+        page = page.format(body + f"<div class='{other}'><p>{paragraph()}</p></div>")
+        got = Counter(html_extract.extract(page).split())
+        want = Counter(f"The harbour {a} {b} The harbour in spring Year Ships 1999 12 {c}".split())
+        right, kept, total = right + sum((got & want).values()), kept + sum(got.values()), total + sum(want.values())
+    assert right / kept > 0.98 and right / total > 0.98, (right / kept, right / total)
+
+
+@pytest.mark.parametrize("name", sorted(html_extract.DROPPED | html_extract.VERBATIM))
+def test_elements_close_in_any_case_whatever_stands_before(name):
+    for opening, closing in ((name.upper(), name.upper()), (name, name.capitalize()), (name.capitalize(), name)):
+        page = f"<article><p>İstanbul and the Kelvin \u212a.</p><{opening} x=1>a<b </{name}s>c</{closing} ><p>It goes on after that.</p></article>"
+        text = html_extract.extract(page)
+        assert text.startswith("İstanbul") and text.endswith("\nIt goes on after that.")
+        assert ("</" in text) == (name in html_extract.VERBATIM)
+
+
 def test_articles_in_many_frames():
     rng = random.Random(1)
     kept = total = right = 0

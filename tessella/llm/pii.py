@@ -7,6 +7,10 @@ permutation is walked along its cycle until it meets a valid value.  So a value
 other value of the same format, equal values stay linked across documents, and the key's holder can
 invert it.  E-mail addresses, which are neither numbers nor dates, get keyed hashes of the same shape.
 
+Dates are year first or year last, with dashes, slashes or dots, and days and months of one or two digits.  Year
+last, the day comes first unless there is no such day; then the month does, as in 12/31/1999, and the pseudonym is
+again a date that can only be read that way.  Other orders (year, day, month) and years of two digits are left.
+
 A candidate that fails validation is looked at again: of the runs of its groups the leftmost, and of these
 the longest, that is valid by any kind is taken, and so on behind it; cards must then have the grouping
 of cards, as a long row of numbers holds many runs with a right check digit.
@@ -32,8 +36,9 @@ from .common import held, others, pick, read_table
 #: The default key; a deployment passes its own.
 KEY = "tessella-demonstration-key"
 ROUNDS = 8
-#: Steps along a cycle; every domain here fills at least half of its network's, so 64 steps fail once in 2^64.
-WALK = 64
+#: Steps along a cycle; the smallest domain, of days that must come after their month, fills a third of its network's,
+#: so that 128 steps fail once in 2^75, the others once in 2^100.
+WALK = 128
 
 # The length of an account number by country.
 IBAN_LENGTHS = (
@@ -51,15 +56,22 @@ def iban_pattern() -> str:
     each = []
     for n, codes in sorted(by_length.items()):
         fours, rest = divmod(n - 4, 4)
-        each.append(f"(?:{'|'.join(codes)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+        either = "|".join([*codes, *(c.lower() for c in codes)])
+        each.append(f"(?:{either})[0-9]{{2}}(?: ?[A-Za-z0-9]{{4}}){{{fours}}}" + (f" ?[A-Za-z0-9]{{{rest}}}" if rest else ""))
     return rf"(?<![0-9A-Za-z])(?:{'|'.join(each)})(?![0-9A-Za-z])"
 
 
+def date_pattern() -> str:
+    """Days with one mark throughout, at the end of no longer row of numbers; a time may follow behind a T."""
+    each = [x for mark in ("-", "/", r"\.") for x in (f"[0-9]{{4}}{mark}[0-9]{{1,2}}{mark}[0-9]{{1,2}}", f"[0-9]{{1,2}}{mark}[0-9]{{1,2}}{mark}[0-9]{{4}}")]
+    return rf"(?<![0-9A-Za-z])(?<![0-9][-/.])(?:{'|'.join(each)})(?!(?!T[0-9])[0-9A-Za-z])(?![-/.][0-9])"
+
+
 # The patterns of candidates, in order of preference.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,30}\.[A-Za-z][A-Za-z0-9-]++",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])",
-    "date": r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])",
+    "date": date_pattern(),
     "iban": iban_pattern(),
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+(])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])",
@@ -68,9 +80,10 @@ PATTERNS = {
 }
 #: How cards are written; asked of the parts of a candidate that failed as a whole.
 CARD_GROUPS = r"^(?:[0-9]{12,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
-#: Groups and single marks of a candidate, and how many of them a part may have.
+#: Groups and single marks of a candidate, each of a character at least.
 PIECE = "([0-9A-Za-z]++|[^0-9A-Za-z])"
-REACH = 20
+#: The characters of the shortest and the longest value of a kind but e-mail addresses (an account number of 33 in groups), which never fail.
+SHORTEST, LONGEST = 7, 42
 ANY = "|".join(PATTERNS.values())
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 
@@ -147,9 +160,9 @@ def card_permuted(m: Column, key: str) -> Column:
 
 
 def mod97(s: Column) -> Column:
-    """The remainder of an account number's characters, letters counting from A = 10."""
+    """The remainder of an account number's characters, letters of either case counting from A = 10."""
     step = lambda r, c: F.when(c.rlike("^[0-9]$"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
-    return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0), step)
+    return F.aggregate(F.filter(F.split(F.upper(s), ""), lambda c: c != ""), F.lit(0), step)
 
 
 def iban_permuted(m: Column, key: str) -> Column:
@@ -174,27 +187,40 @@ def ip_permuted(m: Column, key: str) -> Column:
     return bind(moved, lambda s: F.concat_ws(".", F.shiftright(s["l"], 8), s["l"] % 256, F.shiftright(s["r"], 8), s["r"] % 256))
 
 
-def day_format(m: Column) -> Column:
-    return F.when(F.substring(m, 5, 1) == "-", "yyyy-MM-dd").when(F.substring(m, 3, 1) == "/", "dd/MM/yyyy").otherwise("dd.MM.yyyy")
+def read_day(m: Column) -> Column:
+    """(day, order) of a date: ymd, dmy, or mdy where the day can't come first; the day is null if there is none."""
 
+    def read(p: Column) -> Column:
+        at = lambda i: F.lpad(F.get(p, F.lit(i)), 2, "0")
+        year_first = F.length(F.get(p, F.lit(0))) == 4
+        day = lambda y, mo, d: F.concat_ws("-", F.get(p, F.lit(y)), at(mo), at(d)).try_cast("date")
+        first = F.when(year_first, day(0, 1, 2)).otherwise(day(2, 1, 0))
+        order = F.when(year_first, "ymd").when(first.isNotNull(), "dmy").otherwise("mdy")
+        return F.struct(F.coalesce(first, F.when(~year_first, day(2, 0, 1))).alias("day"), order.alias("order"))
 
-def day_of(m: Column) -> Column:
-    """The date, day first where the format leaves it open; null if there is no such day."""
-    iso = F.when(F.substring(m, 5, 1) == "-", m).otherwise(F.concat(F.substring(m, 7, 4), F.lit("-"), F.substring(m, 4, 2), F.lit("-"), F.substring(m, 1, 2)))
-    return iso.try_cast("date")
+    return bind(F.split(m, "[-/.]"), read)
 
 
-def day_number(m: Column) -> Column:
-    return F.datediff(day_of(m), F.lit(FIRST_DAY).cast("date"))
+def day_number(day: Column) -> Column:
+    return F.datediff(day, F.lit(FIRST_DAY).cast("date"))
 
 
 def date_permuted(m: Column, key: str) -> Column:
     size = F.lit(512).cast("long")
     step = lambda v: bind(feistel(F.shiftright(v, 9), v % 512, F.lit(256).cast("long"), size, F.lit("date"), key), lambda s: s["l"] * 512 + s["r"])
-    moved = walked(day_number(m).cast("long"), step, lambda v: v < DAYS)
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int"))
-    iso = lambda d: F.when(F.substring(m, 5, 1) == "-", d).otherwise(F.concat(F.substring(d, 9, 2), F.substring(m, 3, 1), F.substring(d, 6, 2), F.substring(m, 3, 1), F.substring(d, 1, 4)))
-    return bind(day.cast("string"), iso)
+    date = lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int"))
+    mark = F.regexp_extract(m, "[-/.]", 0)
+    short = m.rlike("(?<![0-9])[0-9](?![0-9])")  # as the value, without leading noughts
+
+    def written(d: Column, order: Column) -> Column:
+        y, mo, da = F.substring(d, 1, 4), *(F.when(short, F.substring(d, k, 2).cast("int").cast("string")).otherwise(F.substring(d, k, 2)) for k in (6, 9))
+        return F.when(order == "ymd", F.concat(y, mark, mo, mark, da)).when(order == "dmy", F.concat(da, mark, mo, mark, y)).otherwise(F.concat(mo, mark, da, mark, y))
+
+    def moved(r: Column) -> Column:
+        fits = lambda v: (v < DAYS) & ((r["order"] != "mdy") | (F.dayofmonth(date(v)) > 12))
+        return bind(date(walked(day_number(r["day"]).cast("long"), step, fits)).cast("string"), lambda d: written(d, r["order"]))
+
+    return bind(read_day(m), moved)
 
 
 def ssn_permuted(m: Column, key: str) -> Column:
@@ -217,7 +243,7 @@ def email_hashed(m: Column, key: str) -> Column:
 VALID: dict[str, Callable[[Column], Column]] = {
     "email": lambda m: F.lit(True),
     "ip": lambda m: ~F.exists(octets(m), lambda o: o > 255),
-    "date": lambda m: F.coalesce(day_number(m).between(0, DAYS - 1), F.lit(False)),
+    "date": lambda m: F.coalesce(day_number(read_day(m)["day"]).between(0, DAYS - 1), F.lit(False)),
     "iban": lambda m: bind(F.regexp_replace(m, " ", ""), lambda v: mod97(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, F.lit(1), F.lit(4)))) == 1),
     "ssn": lambda m: ssn_valid(only_digits(m)),
     "phone": lambda m: F.length(only_digits(m)).between(9, 15),
@@ -249,8 +275,8 @@ def looked_at_again(m: Column) -> Column:
     def parts(t: Column) -> Column:
         def longest(i: Column) -> Column:
             """(last, part) of the longest valid run from ``i``; null if there is none."""
-            ends = F.filter(F.sequence(F.lit(0), F.least(F.lit(REACH), F.size(t) - 1 - i)), lambda n: F.get(t, i + n).rlike("^[0-9A-Za-z]"))
-            run = lambda n: bind(F.array_join(F.slice(t, i + 1, n + 1), ""), lambda x: F.struct((i + n).alias("last"), part(x, F.when(F.length(x).between(7, 42), kind_of(x))).alias("part")))
+            ends = F.filter(F.sequence(F.lit(0), F.least(F.lit(LONGEST - 1), F.size(t) - 1 - i)), lambda n: F.get(t, i + n).rlike("^[0-9A-Za-z]"))
+            run = lambda n: bind(F.array_join(F.slice(t, i + 1, n + 1), ""), lambda x: F.struct((i + n).alias("last"), part(x, F.when(F.length(x).between(SHORTEST, LONGEST), kind_of(x))).alias("part")))
             return F.get(F.filter(F.transform(F.reverse(ends), run), lambda r: r["part"]["kind"].isNotNull() & ((r["part"]["kind"] != "card") | r["part"]["text"].rlike(CARD_GROUPS))), F.lit(0))
 
         def step(s: Column, i: Column) -> Column:

@@ -312,19 +312,20 @@ def in_place(m, digits):
 
 
 def py_mod97(s):
-    return int("".join(str(int(c, 36)) for c in s)) % 97
+    return int("".join(str(int(c, 36)) for c in s)) % 97  # either case
 
 
 def day_of(m):
-    if m[4] == "-":
-        y, mo, d = m[:4], m[5:7], m[8:]
-    else:
-        d, mo, y = m[:2], m[3:5], m[6:]
-    try:
-        n = (datetime.date(int(y), int(mo), int(d)) - datetime.date(1900, 1, 1)).days
-    except ValueError:
-        return None
-    return n if 0 <= n < pii.DAYS else None
+    """(number of the day, order)"""
+    p = re.split("[-/.]", m)
+    for order in ["ymd"] if len(p[0]) == 4 else ["dmy", "mdy"]:
+        part = dict(zip(order, p))
+        try:
+            n = (datetime.date(int(part["y"]), int(part["m"]), int(part["d"])) - datetime.date(1900, 1, 1)).days
+        except ValueError:
+            continue
+        return (n, order) if 0 <= n < pii.DAYS else None
+    return None
 
 
 def py_valid(kind, m):
@@ -359,14 +360,16 @@ def py_pseudonym(kind, m):
         a, b = py_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
         return f"{a >> 8}.{a % 256}.{b >> 8}.{b % 256}"
     if kind == "date":
-        v = day_of(m)
+        v, order = day_of(m)
         while True:
             a, b = py_feistel(v >> 9, v % 512, 256, 512, "date")
             v = a * 512 + b
-            if v < pii.DAYS:
+            new = datetime.date(1900, 1, 1) + datetime.timedelta(v) if v < pii.DAYS else None
+            if new and (order != "mdy" or new.day > 12):
                 break
-        new = datetime.date(1900, 1, 1) + datetime.timedelta(v)
-        return new.isoformat() if m[4] == "-" else new.strftime(f"%d{m[2]}%m{m[2]}%Y")
+        short = re.search(r"\b\d\b", m)
+        part = {"y": str(new.year), "m": f"{new.month:{'' if short else '02'}}", "d": f"{new.day:{'' if short else '02'}}"}
+        return re.search("[-/.]", m)[0].join(part[x] for x in order)
     if kind == "ssn":
         while True:
             d = py_digits(d, "ssn")
@@ -396,7 +399,7 @@ def py_parts(m):
     out, i = [], 0
     while i < len(t):
         if re.match("[0-9A-Za-z+(]", t[i]):
-            for n in range(min(pii.REACH, len(t) - 1 - i), -1, -1):
+            for n in range(len(t) - 1 - i, -1, -1):
                 run = "".join(t[i : i + n + 1])
                 kind = py_kind(run) if re.match("[0-9A-Za-z]", t[i + n]) and 7 <= len(run) <= 42 else None
                 if kind and (kind != "card" or re.match(pii.CARD_GROUPS, run)):
@@ -429,6 +432,8 @@ PRIVATE = [
     "AT611904300234573201 2024 and AT611904300234573201 2024-02-03", "ES9121000418450200051332 PAID", "GB82 WEST 1234 5698 7654 32, GB82WEST12345698765432, GB82 WEST 1234 5698 7654 33",
     "2024 4111 1111 1111 1111 x 24 4111 1111 1111 1111 99", "4111 1111 1111 1111 22a", "1111 2222 3333 29/02/2020", "1234 123-45-6789 999-12-3456", "999.1.1.1 4111-1111-1111-1111 10.0.0.1 1.2.3.4.5",
     "31.02.2020 +1 (988) 555-2485 or 988-555-2485, 01/01/1900 31.12.2099 1899-12-31", "a.b+c@Mail.example.com and A.B+C@mail.EXAMPLE.com x@y", "0" * 60, "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "+49 30 1234 5678 9, +1 22, 000-00-0000",
+    "12/31/1999 03/04/2020 12-31-1999 1999/12/31 12.31.1999 3/4/2020 1.2.2003 2003-1-2 31-12-1999", "1999-12-31T10:00 and 1999-12-31Th, 13/13/2000 2000-13-01 2000/31/12 12.31.99", "gb82west12345698765432 and gb82 west 1234 5698 7654 32, de00 0000 0000 0000 0000 00",
+    "12-34-5678-9012-34 1-2-3-4-5-6-7-8-9-0-1-2-3-4-5 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "9 9 9 9 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 7",
     "5500 0000 0000 0004 378282246310005 3782 822463 10005", "12-34-56-78-90-12-34 2020-02-29", "(030) 123 4567", "", "no digits at all", "MT84MALT011000012345MTLCAST001S NO9386011117947",
 ]
 
@@ -443,6 +448,17 @@ def test_pseudonyms_by_brute_force(spark):
         assert (got[i]["text"], [tuple(f) for f in got[i]["found"] or []]) == (text, found), t
 
 
+def test_dates_in_every_order_are_replaced_and_linked(spark):
+    days = ["12/31/1999", "03/04/2020", "12-31-1999", "1999/12/31", "12.31.1999", "1999-12-31", "31.12.1999", "9/14/2001", "2/3/2004", "gb82west12345698765432"]
+    got = [r["text"] for r in pii.pseudonymised(spark.createDataFrame([(i, f"on {d}.") for i, d in enumerate(days)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    for before, after in zip(days, got):
+        assert before not in after
+        assert re.sub("[0-9]+", "0", after) == f"on {re.sub('[0-9]+', '0', before)}."
+    new = [day_of(t[3:-1]) for t in got[:9]]
+    assert [n[1] for n in new] == [day_of(d)[1] for d in days[:9]]
+    assert new[0][0] == new[2][0] == new[4][0] and new[3][0] == new[5][0] == new[6][0]  # one day, linked within its order
+
+
 # weak labels
 
 

@@ -1,5 +1,5 @@
-"""Detection of signal on a grid and its segmentation: thresholds by tiles, morphology, true and false
-detections by signal to noise, watershed clumps and their significance, and objects."""
+"""Steps of detection on a grid of single cells: thresholds by tiles, signal to noise, growth, clumps' significance and
+pairs, and outliers among tiles.  The watershed and the whole programs work on blocks."""
 
 from __future__ import annotations
 
@@ -67,29 +67,6 @@ def grow(cells: DataFrame, labels: DataFrame, least: float, rounds: int) -> Data
     return labels
 
 
-def _flood(group: pd.DataFrame) -> pd.DataFrame:
-    """Watershed of one detection: cells from bright to faint take a neighbour's clump, start one, or become river (-1)."""
-    g = group.sort_values(["v", "y", "x"], ascending=[False, True, True])
-    at: dict[tuple[int, int], int] = {}
-    clumps, count = [], 0
-    for x, y in zip(g["x"].tolist(), g["y"].tolist()):
-        near = {at[p] for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (p := (x + i, y + j)) in at and at[p] > 0}
-        if not near:
-            count += 1
-            own = count
-        else:
-            own = near.pop() if len(near) == 1 else -1
-        at[x, y] = own
-        clumps.append(own)
-    return g.assign(clump=clumps)[["label", "x", "y", "v", "clump"]]
-
-
-def watershed(labelled: DataFrame) -> DataFrame:
-    """(label, x, y, v, clump): each detection is flooded on its own; detections are the parallel unit."""
-    d = labelled.where("label > 0").select(F.col("label").cast("long"), F.col("x").cast("long"), F.col("y").cast("long"), F.col("v").cast("double")).dropna()
-    return d.groupBy("label").applyInPandas(_flood, "label long, x long, y long, v double, clump long")
-
-
 def clump_significance(flooded: DataFrame, std: float, area: int = 1) -> DataFrame:
     """(label, clump, area, peak, river, significance): how far a peak stands above the river around it."""
     size = flooded.where("clump > 0").groupBy("label", "clump").agg(F.count("*").alias("area"), F.max("v").alias("peak"))
@@ -110,132 +87,6 @@ def clump_pairs(flooded: DataFrame, var: float, least: int = 2, sn: float = 1.0,
     return edge.where((F.col("n") > least) & (strong > sn)).select("label", "a", "b")
 
 
-# the programs
-
-
-def pseudo_detections(cells: DataFrame, within: DataFrame, least: float = 0.0, area: int = 1, cpscorr: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Connected cells of a region that exceed ``least`` deviations of the background, their holes filled.
-
-    cells: x, y, v, sky, std; within: x, y of the region.  Returns (x, y, label) and (label, area, sn).
-    """
-    inside = within.select(*XY).distinct().withColumn("_in", F.lit(1))
-    on = cells.join(inside, XY, "left").select(*XY, F.when((F.col("_in") == 1) & (F.col("v") - F.col("sky") > least * F.col("std")), 1).otherwise(0).alias("v"))
-    labels = cut(grid.connected_components(grid.fill_holes(on, 1), 1).where("label > 0"), "pseudo")
-    each = labels.join(cells, XY).groupBy("label").agg(F.count("v").alias("area"), F.avg(F.col("v") - F.col("sky")).alias("ave"), F.max_by("std", "v").alias("std"))
-    good = each.where((F.col("area") > area) & (F.col("ave") > 0))
-    return labels, good.select("label", "area", (F.sqrt(F.col("area") / cpscorr) * F.col("ave") / F.sqrt(F.col("ave") + F.col("std") * F.col("std"))).alias("sn"))
-
-
-def with_background(cells: DataFrame, detected: DataFrame, widths: Sequence[int], least_fraction: float = 0.3) -> DataFrame:
-    """x, y, v, sky, std: the background of each cell's tile, from its undetected cells."""
-    marked = cells.join(detected.select(*XY).distinct().withColumn("detected", F.lit(True)), XY, "left").withColumn("detected", F.coalesce("detected", F.lit(False)))
-    tiles = grid.sky(marked, widths, least_fraction=least_fraction)
-    own = cells.withColumns({f"t{d}": F.floor((F.col(d) - 1) / w) for d, w in zip(XY, widths)})
-    return cut(own.join(tiles, ["tx", "ty"], "left").select(*XY, "v", "sky", "std"), "background")
-
-
-def detections_of(cells: DataFrame, widths: Sequence[int], q: float = 0.3, no_erode: float = 0.99, erode: int = 2, opening: int = 1, most: float = 0.2, least: float = 0.0, area: int = 3, sn_quantile: float = 0.95, grow_rounds: int = 2, grow_least: float = 1.0, detected_fraction: float = 0.3) -> DataFrame:
-    """x, y, label, sky, std: the detections of an image, numbered in raster order, and its background.
-
-    Cells are detected first by the tiles' thresholds.  What stands above the background where nothing was
-    detected gives the signal to noise that chance makes; a first detection stays if it holds something
-    above the ``sn_quantile`` of that.  What stays grows into touching cells ``grow_least`` deviations above the
-    background, and its holes are filled.
-    """
-    cells = cut(cells.select(*XY, "v"), "cells")
-    first = cut(initial_detection(cells, widths, q, no_erode, erode, opening, most), "initial")
-    back = with_background(cells, first.where("label > 0"), widths, detected_fraction)
-    _, noise = pseudo_detections(back, first.where("label = 0"), least, area)
-    bound = statistics.quantiles(noise, "sn", [sn_quantile]).head()
-    labels, signal = pseudo_detections(back, first.where("label > 0"), least, area)
-    true_ones = signal if bound is None or bound["value"] is None else signal.where(F.col("sn") > bound["value"])
-    kept = cut(remove_false(first, labels.join(true_ones, "label", "left_semi")), "true")
-    bright = back.select(*XY, ((F.col("v") - F.col("sky")) / F.nullif(F.col("std"), F.lit(0.0))).alias("v"))
-    grown = grow(bright, kept, grow_least, grow_rounds)
-    whole = grid.fill_holes(grown.select(*XY, (F.col("label") > 0).cast("int").alias("v")), 1)
-    final = cut(grid.connected_components(whole, 2), "detections")
-    return final.join(with_background(cells, final.where("label > 0"), widths, detected_fraction).drop("v"), XY, "left")
-
-
-def noise_clump_bound(detected: DataFrame, widths: Sequence[int], q: float, area: int = 1) -> float | None:
-    """The quantile of the significance of clumps in what isn't detected, flooded tile by tile; None without any.
-
-    detected: x, y, v, label, std of the whole image.
-    """
-    tile = F.concat_ws(",", *[F.floor((F.col(d) - 1) / w).cast("string") for d, w in zip(XY, widths)])
-    free = detected.where("label = 0").withColumn("tile", tile)
-    numbers = positions(free.select("tile").distinct(), "tile")
-    flooded = watershed(free.join(numbers, "tile").select(F.col("_at").alias("label"), *XY, "v"))
-    std = detected.agg(F.avg("std")).head()[0]
-    found = statistics.quantiles(clump_significance(flooded, std or 1.0, area), "significance", [q]).head()
-    return None if found is None else found["value"]
-
-
-def true_clumps(flooded: DataFrame, std: float, bound: float | None, area: int = 1, near_river: bool = False) -> DataFrame:
-    """(label, clump) of clumps more significant than the bound; without ``near_river`` those whose peak touches a river go."""
-    good = clump_significance(flooded, std, area)
-    good = good if bound is None else good.where(F.col("significance") > bound)
-    if near_river:
-        return good.select("label", "clump")
-    peak = flooded.where("clump > 0").groupBy("label", "clump").agg(F.max_by(F.struct(*XY), "v").alias("p")).select("label", "clump", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    rivers = flooded.where("clump < 0").select("label", *XY).distinct()
-    touched = grid.send(peak, grid.offsets(2, 2), XY, ("label", "clump")).join(rivers, ["label", *XY]).select("label", "clump").distinct()
-    return good.select("label", "clump").join(touched, ["label", "clump"], "left_anti")
-
-
-def _joined(group: pd.DataFrame) -> pd.DataFrame:
-    """The clumps of one detection with the least clump of the object they belong to; rows (label, a, b) link, a alone stands."""
-    up: dict[int, int] = {}
-
-    def root(c: int) -> int:
-        while up.setdefault(c, c) != c:
-            up[c] = c = up[up[c]]
-        return c
-
-    for a, b in zip(group["a"].tolist(), group["b"].tolist()):
-        x, y = root(int(a)), root(int(b))
-        up[max(x, y)] = min(x, y)
-    return pd.DataFrame({"label": group["label"].iloc[0], "clump": list(up), "part": [root(c) for c in up]})
-
-
-def objects(flooded: DataFrame, clumps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(label, clump, part): true clumps joined into parts by the pairs between them; detections are the parallel unit."""
-    true_ones = clumps.select("label", F.col("clump").alias("a"))
-    linked = pairs.join(true_ones, ["label", "a"], "left_semi").join(true_ones.withColumnRenamed("a", "b"), ["label", "b"], "left_semi")
-    rows = true_ones.select("label", "a", F.col("a").alias("b")).unionByName(linked.select("label", "a", "b"))
-    return rows.select("label", F.col("a").cast("long"), F.col("b").cast("long")).groupBy("label").applyInPandas(_joined, "label long, clump long, part long")
-
-
-def segment(detected: DataFrame, widths: Sequence[int], q: float = 0.95, area: int = 1, object_sn: float = 1.0, river: int = 2, near_river: bool = True) -> DataFrame:
-    """x, y, object, clump of every detected cell: objects are numbered from 1, clumps within each from 1, 0 outside them.
-
-    detected: x, y, v, label, std.  A detection with at most one true clump is one object; else true clumps
-    joined by bright rivers make an object, and the other cells go to the object that reaches them first.
-    """
-    detected = cut(detected.select(*XY, "v", "label", "std"), "detected")
-    std = detected.agg(F.avg("std")).head()[0] or 1.0
-    flooded = cut(watershed(detected), "flooded")
-    bound = noise_clump_bound(detected, widths, q, area)
-    clumps = cut(true_clumps(flooded, std, bound, area, near_river), "clumps")
-    parts = cut(objects(flooded, clumps, clump_pairs(flooded, std * std, river, object_sn)), "parts")
-    inside = flooded.join(parts, ["label", "clump"], "left")
-    several = parts.groupBy("label").agg(F.count_distinct("part").alias("n")).where("n > 1").select("label").withColumn("_several", F.lit(1))
-    seeds = inside.join(several, "label", "left").select("label", *XY, F.when(F.col("part").isNotNull(), F.col("clump")).otherwise(0).alias("clump"), F.when(F.col("_several").isNull(), F.lit(-1)).otherwise(F.col("part")).alias("part"))
-    numbers = positions(seeds.where("part IS NOT NULL").select("label", "part").distinct(), ["label", "part"]).withColumnRenamed("_at", "object")
-    state = cut(seeds.join(numbers, ["label", "part"], "left").select(F.col("label").alias("own"), *XY, "clump", F.coalesce("object", F.lit(0)).alias("object")), "objects")
-    while True:
-        reach = grid.send(state.where("object > 0"), grid.offsets(2, 2), XY, ("own", "object")).groupBy("own", *XY).agg(F.min("object").alias("_new"))
-        grown = cut(state.join(reach, ["own", *XY], "left").select("own", *XY, "clump", F.col("object").alias("_old"), F.when(F.col("object") == 0, F.coalesce("_new", F.lit(0))).otherwise(F.col("object")).alias("object")), "objects")
-        done = grown.where("_old <> object").isEmpty()
-        state = grown.drop("_old")
-        if done:
-            break
-    order = positions(state.where("clump > 0").select("object", "clump").distinct(), ["object", "clump"])
-    first = order.groupBy("object").agg(F.min("_at").alias("_first"))
-    named = order.join(first, "object").select("object", "clump", (F.col("_at") - F.col("_first") + 1).alias("_k"))
-    return state.join(named, ["object", "clump"], "left").select(*XY, "object", F.coalesce("_k", F.lit(0)).alias("clump"))
-
-
 # outliers among tiles
 
 

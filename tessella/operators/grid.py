@@ -131,13 +131,31 @@ def block_components(on: DataFrame, connectivity: int, dims: Sequence[str], side
     return found.select(*names, F.struct(*[F.col(f"_r{k}").alias(n) for k, n in reversed(list(enumerate(names)))]).alias("root"))
 
 
+def least_linked(links: DataFrame) -> DataFrame:
+    """(cell, root): the least cell that each is linked to; ``links`` (cell, from) holds every link both ways.
+
+    Least roots spread along the links and then jump to their root's root, so the rounds grow with the
+    logarithm of a chain's length; each round is written, and the next starts from there.
+    """
+    state = cut(links.select("cell").distinct().select("cell", F.col("cell").alias("root")), "roots")
+    total = state.count()
+    while True:
+        near = links.join(state.select(F.col("cell").alias("from"), F.col("root").alias("near")), "from").groupBy("cell").agg(F.min("near").alias("near"))
+        lower = cut(state.join(near, "cell", "left").select("cell", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")), "roots")
+        jump = lower.select(F.col("cell").alias("root"), F.col("root").alias("further"))
+        # one component may hold most cells
+        jumped = cut(spread_join(lower, jump, "root", "cell", total=total).select("cell", "old", F.col("further").alias("root")), "roots")
+        discard(state, lower)
+        state = jumped
+        if state.where("old <> root").isEmpty():
+            return state.select("cell", "root")
+
+
 def label_components(on: DataFrame, connectivity: int | None = None, dims: Sequence[str] = XY, side: int | None = None) -> DataFrame:
     """``dims`` and root, the least cell of the component in raster order, for the cells of ``on``.
 
     Blocks of ``side`` cells along each axis are labelled on their own.  What meets across their rims links
-    the blocks' components: least roots spread along these links and then jump to their root's root, so the
-    rounds grow with the logarithm of a component's length in blocks; each round is written, and the next
-    starts from there.
+    the blocks' components.
     """
     names = list(dims)
     side = side or max(2, int(BLOCK_CELLS ** (1 / len(names))))
@@ -148,18 +166,7 @@ def label_components(on: DataFrame, connectivity: int | None = None, dims: Seque
     links = cut(seen.join(rim, names).where("from <> root").select(F.col("root").alias("cell"), "from").distinct(), "links")
     if links.isEmpty():
         return own
-    state = cut(links.select("cell").distinct().select("cell", F.col("cell").alias("root")), "roots")
-    total = state.count()
-    while True:
-        near = links.join(state.select(F.col("cell").alias("from"), F.col("root").alias("near")), "from").groupBy("cell").agg(F.min("near").alias("near"))
-        lower = cut(state.join(near, "cell", "left").select("cell", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")), "roots")
-        jump = lower.select(F.col("cell").alias("root"), F.col("root").alias("further"))
-        # one component may hold most cells
-        jumped = cut(spread_join(lower, jump, "root", "cell", total=total).select("cell", "old", F.col("further").alias("root")), "roots")
-        discard(state, lower)
-        state = jumped
-        if state.where("old <> root").isEmpty():
-            break
+    state = least_linked(links)
     joined = spread_join(own.withColumnRenamed("root", "cell"), state.select("cell", "root"), "cell", names[0], "left")
     return joined.select(*names, F.coalesce("root", "cell").alias("root"))
 
@@ -195,16 +202,18 @@ def invert(c: Column, bits: int) -> Column:
     return F.lit(2**bits - 1) - c
 
 
-def interpolate_neighbours(cells: DataFrame, number: int, how: str, dims: Sequence[str] = XY, metric: str = "radial", only_blank: bool = True, start: int = 2) -> DataFrame:
+def interpolate_neighbours(cells: DataFrame, number: int, how: str, dims: Sequence[str] = XY, metric: str = "radial", only_blank: bool = True, start: int = 2, values: Sequence[str] = ("v",)) -> DataFrame:
     """Blanks become the min, max or median of their ``number`` nearest non-blank cells.
 
+    All of ``values`` are blank where the first is, and filled from the same cells.
+
     The radius doubles until a blank has enough cells within it, or until it spans the array; boxes as
     wide as the radius make the search an equality.
     """
     names = list(dims)
     agg = {"min": F.min, "max": F.max, "median": F.median}[how]
-    full = cut(cells.where(F.col("v").isNotNull()).select(*names, "v"), "full")
-    todo = cut((cells.where(F.col("v").isNull()) if only_blank else cells).select(*names), "blanks")
+    full = cut(cells.where(F.col(values[0]).isNotNull()).select(*names, *values), "full")
+    todo = cut((cells.where(F.col(values[0]).isNull()) if only_blank else cells).select(*names), "blanks")
     ends = cells.agg(*[(F.max(d) - F.min(d)).alias(d) for d in names]).head()
     span = sum(int(ends[d] or 0) for d in names) + 1
     number = min(number, full.count())
@@ -215,12 +224,12 @@ def interpolate_neighbours(cells: DataFrame, number: int, how: str, dims: Sequen
         at = lambda d: F.floor(F.col(d) / half)  # noqa: E731, B023
         boxes = F.explode(F.array(*[F.struct(*[(at(d) + F.lit(i)).alias(f"b{k}") for k, (d, i) in enumerate(zip(names, step))]) for step in steps]))
         seen = todo.withColumn("_b", boxes).select(*names, "_b.*")
-        near = full.select(*[F.col(d).alias(f"s{k}") for k, d in enumerate(names)], "v", *[at(d).alias(f"b{k}") for k, d in enumerate(names)])
+        near = full.select(*[F.col(d).alias(f"s{k}") for k, d in enumerate(names)], *values, *[at(d).alias(f"b{k}") for k, d in enumerate(names)])
         apart = [F.abs(F.col(d) - F.col(f"s{k}")).cast("double") for k, d in enumerate(names)]
         r = F.sqrt(sum((x * x for x in apart), F.lit(0.0))) if metric == "radial" else sum(apart, F.lit(0.0))
         found = seen.join(near, [f"b{k}" for k in range(len(names))]).withColumn("r", r).where(F.col("r") <= half)
         ranked = found.withColumn("k", F.row_number().over(W.partitionBy(*names).orderBy("r", *[f"s{k}" for k in range(len(names))]))).where(F.col("k") <= number)
-        got = cut(ranked.groupBy(*names).agg(agg("v").alias("v"), F.count("*").alias("n")).where(F.col("n") >= number).drop("n"), "filled")
+        got = cut(ranked.groupBy(*names).agg(*[agg(v).alias(v) for v in values], F.count("*").alias("n")).where(F.col("n") >= number).drop("n"), "filled")
         done = got if done is None else done.unionByName(got)
         if half > span:
             break
@@ -230,9 +239,9 @@ def interpolate_neighbours(cells: DataFrame, number: int, how: str, dims: Sequen
         half *= 2
     if done is None:
         return cells
-    fill = done.withColumnRenamed("v", "_f")
+    fill = done.withColumnsRenamed({v: f"_{v}" for v in values})
     out = cells.join(fill, names, "left")
-    return out.select(*names, (F.coalesce("v", "_f") if only_blank else F.coalesce("_f", "v")).alias("v"))
+    return out.select(*names, *[(F.coalesce(v, f"_{v}") if only_blank else F.coalesce(f"_{v}", v)).alias(v) for v in values])
 
 
 def interpolate_region(cells: DataFrame, how: str, connectivity: int | None = None, dims: Sequence[str] = XY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detect, generators as gen, grid
+from ..operators import detect, generators as gen, grid, watershed
 from .registry import clip_sql, query, table
 
 IMAGE = "SELECT CAST(user_id % 24 + 1 AS INTEGER) AS x, CAST(event_id // 330 + 1 AS INTEGER) AS y, sum(value) AS v FROM events GROUP BY 1, 2"
@@ -232,7 +232,7 @@ def detect_grow(spark, sf_dir):
 
 def _flooded(spark, sf_dir):
     labels = grid.connected_components(mask(spark, sf_dir), 2)
-    return detect.watershed(labels.join(image(spark, sf_dir), ["x", "y"]))
+    return watershed.watershed(labels.join(image(spark, sf_dir), ["x", "y"]))
 
 
 @query("segment_watershed")

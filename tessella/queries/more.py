@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rpn, sky
-from ..operators import detect, frequency, grid, polygons, splines
+from ..operators import detect, frequency, grid, polygons, programs, splines
 from ..operators import generators as gen
 from .grids import HOLED, IMAGE, holed, image
 from .registry import ORACLES, QUERIES, query, table
@@ -219,15 +219,20 @@ def coordinates_and_index(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", i.alias("i"), j.alias("j"), k.alias("k"), gen.index_of([i, j, k], [11, 7, 5]).alias("back"))
 
 
+SHARP = {(0, 0): 4.0, (1, 0): 1.0, (-1, 0): 1.0, (0, 1): 1.0, (0, -1): 1.0}
+DETECTION = programs.Detection(tile=[8, 8], large=[24, 16], kernel=SHARP, most=0.2, q=0.5, no_erode=0.95, grow_q=0.85, neighbours=9, erode=1, opening=1, opening_reach=1, pseudo_opening_reach=1, area=2, sn_q=0.5, free=0.3, hole_cells=20)
+SEGMENTATION = programs.Segmentation(large=[24, 16], kernel=SHARP, area=1, q=0.5, near_river=True)
+
+
 @query("detect_program")
 def detect_program(spark, sf_dir):
-    return detect.detections_of(image(spark, sf_dir), [8, 8], q=0.5, erode=0, most=0.2, area=2, sn_quantile=0.5)
+    return programs.detections(image(spark, sf_dir), DETECTION)
 
 
 @query("segment_objects")
 def segment_objects(spark, sf_dir):
-    d = detect.detections_of(image(spark, sf_dir), [8, 8], q=0.5, erode=0, most=0.2, area=2, sn_quantile=0.5)
-    return detect.segment(d.join(image(spark, sf_dir), ["x", "y"]), [8, 8], q=0.5)
+    d = programs.detections(image(spark, sf_dir), DETECTION)
+    return programs.segment(d.join(image(spark, sf_dir), ["x", "y"]), SEGMENTATION)
 
 
 def _tiles(spark, sf_dir):

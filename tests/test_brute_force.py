@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.operators import detect, frequency, generators, grid, match, polygons, splines, statistics
+from tessella.operators import blocks, detect, frequency, generators, grid, match, polygons, programs, splines, statistics, watershed
 from tessella.plans.skew import spread_join
 from tessella.plans.table import positions
-from tessella.queries import QUERIES
+from tessella.queries import QUERIES, more
 from tessella.queries.more import PLANE
 from tessella.sources import fits, registry
 
@@ -299,7 +300,7 @@ def blobs(seed=2, size=48):
 def test_programs_find_what_was_planted(spark):
     v, spots = blobs()
     cells = spark.createDataFrame(pd.DataFrame([(i + 1, j + 1, v[j, i]) for j in range(48) for i in range(48)], columns=["x", "y", "v"])).selectExpr("cast(x as int) x", "cast(y as int) y", "v")
-    found = detect.detections_of(cells, [12, 12], q=0.7, erode=1, most=0.45, area=4, sn_quantile=0.8, grow_least=3.0, grow_rounds=6).cache()
+    found = programs.detections(cells, programs.Detection(tile=[12, 12], large=[24, 24], q=0.7, erode=1, most=0.45, area=4, sn_q=0.8, grow_q=0.95, neighbours=5, free=0.3)).cache()
     label = {(r["x"], r["y"]): r["label"] for r in found.collect()}
     at = [label[s] for s in spots]
     assert all(at) and at[0] != at[1] and len({label[s] for s in spots[:2]} | {at[2], at[3]}) in (3, 4)
@@ -307,20 +308,12 @@ def test_programs_find_what_was_planted(spark):
     assert all(label[c] for c in bright) and sum(x > 0 for x in label.values()) < 6 * len(bright)
     background = found.agg(F.avg("sky")).head()[0]
     assert abs(background - 100) < 2
-    parts = detect.segment(found.join(cells, ["x", "y"]), [12, 12], q=0.9, object_sn=1000.0).collect()
+    parts = programs.segment(found.join(cells, ["x", "y"]), programs.Segmentation(large=[24, 24], q=0.9, area=1, near_river=True, object_sn=1000.0)).collect()
     assert {(r["x"], r["y"]) for r in parts} == {c for c, k in label.items() if k}
     own = {(r["x"], r["y"]): (r["object"], r["clump"]) for r in parts}
     assert len({own[s][0] for s in spots}) == 4 and all(k[0] > 0 for k in own.values())
 
 
-def test_program_queries_keep_their_cells(spark):
-    cells = image_cells()
-    d = run(spark, "detect_program")
-    assert {(r["x"], r["y"]) for _, r in d.iterrows()} == set(cells) and set(d.columns) == {"x", "y", "label", "sky", "std"}
-    s = run(spark, "segment_objects")
-    assert {(r["x"], r["y"]) for _, r in s.iterrows()} == {(r["x"], r["y"]) for _, r in d.iterrows() if r["label"] > 0}
-
-
 def test_tile_outliers(spark):
     rng = np.random.default_rng(5)
     rows = [(x, y, float(rng.normal(10, 1))) for x in range(9) for y in range(8)]
@@ -528,3 +521,329 @@ def test_sections_and_polygons(spark):
     assert outside["v"].isna().sum() == 9
     with pytest.raises(ValueError):
         generators.make_new(spark, [])
+
+
+# detection and segmentation on blocks
+
+
+def np_labels(on, connectivity):
+    """Components numbered by their first cell in raster order, from 1."""
+    lab, n = np.zeros(on.shape, int), 0
+    for y, x in zip(*np.nonzero(on)):
+        if lab[y, x]:
+            continue
+        n += 1
+        todo = [(y, x)]
+        lab[y, x] = n
+        while todo:
+            j, i = todo.pop()
+            for dx, dy in grid.offsets(2, connectivity):
+                b, a = j + dy, i + dx
+                if 0 <= b < on.shape[0] and 0 <= a < on.shape[1] and on[b, a] and not lab[b, a]:
+                    lab[b, a] = n
+                    todo.append((b, a))
+    return lab
+
+
+def np_around(a, connectivity, fill):
+    wide = np.pad(a, 1, constant_values=fill)
+    return [wide[1 + dy : wide.shape[0] - 1 + dy, 1 + dx : wide.shape[1] - 1 + dx] for dx, dy in grid.offsets(2, connectivity)]
+
+
+def np_erode(on, connectivity, firm=None):
+    gone = np.any([~s for s in np_around(on, connectivity, True)], axis=0)
+    return on & (~gone if firm is None else ~gone | firm)
+
+
+def np_open(on, depth, connectivity):
+    for _ in range(depth):
+        on = np_erode(on, connectivity)
+    for _ in range(depth):
+        on = on | np.any(np_around(on, connectivity, False), axis=0)
+    return on
+
+
+def np_fill(on, connectivity, most=None):
+    lab = np_labels(~on, connectivity)
+    edge = set(np.concatenate([lab[0], lab[-1], lab[:, 0], lab[:, -1]]))
+    return on | np.isin(lab, [k for k in range(1, lab.max() + 1) if k not in edge and (most is None or (lab == k).sum() <= most)])
+
+
+def np_convolved(v, kernel):
+    out = np.full(v.shape, np.nan)
+    for y in range(v.shape[0]):
+        for x in range(v.shape[1]):
+            got = [(w, v[y - b, x - a]) for (a, b), w in kernel.items() if 0 <= y - b < v.shape[0] and 0 <= x - a < v.shape[1] and not np.isnan(v[y - b, x - a])]
+            if got:
+                out[y, x] = sum(w * u for w, u in got) / sum(w for w, _ in got)
+    return out
+
+
+def np_tiles(shape, tile):
+    return {(i, j): (slice(j * tile[1], (j + 1) * tile[1]), slice(i * tile[0], (i + 1) * tile[0])) for j in range(-(-shape[0] // tile[1])) for i in range(-(-shape[1] // tile[0]))}
+
+
+def np_filled_tiles(values, s):
+    """Blank tiles by the median of the nearest, then smoothed."""
+    known = {k: v for k, v in values.items() if v is not None}
+    full = {}
+    for k in values:
+        near = sorted(known, key=lambda o: (math.hypot(o[0] - k[0], o[1] - k[1]), o))[: s.neighbours]
+        full[k] = values[k] if values[k] is not None else [float(np.median([known[o][c] for o in near])) for c in range(len(known[near[0]]))]
+    h = range(-(s.smooth // 2), s.smooth - s.smooth // 2)
+    return {k: [float(np.mean([full[k[0] + a, k[1] + b][c] for a in h for b in h if (k[0] + a, k[1] + b) in full])) for c in range(len(full[k]))] for k in full}
+
+
+def np_cells(tiles, shape, tile, c):
+    out = np.zeros(shape)
+    for k, at in np_tiles(shape, tile).items():
+        out[at] = tiles[k][c]
+    return out
+
+
+def np_detections(v, s):
+    """The whole program on one array, step by step."""
+    blank = np.isnan(v)
+    conv = np_convolved(v, s.kernel) if s.kernel else v
+    quantile = lambda a, q: np.sort(a)[statistics.rank_of_quantile(len(a), q)]
+    th = {}
+    for k, at in np_tiles(v.shape, s.tile).items():
+        a = np.sort(conv[at][~np.isnan(conv[at])])
+        m = a.mean()
+        near = min(range(len(a)), key=lambda i: (abs(a[i] - m), -a[i], -i))
+        th[k] = [quantile(a, q) for q in (s.q, s.no_erode, s.grow_q)] if abs(near / (len(a) - 1) - 0.5) < s.most else None
+    for k in [k for k in th if th[k]]:  # outliers among the nearest tiles
+        reach = int(np.ceil(np.sqrt(s.neighbours))) + 1
+        near = sorted((o for o in th if o != k and th[o] and max(abs(o[0] - k[0]), abs(o[1] - k[1])) <= reach), key=lambda o: (math.hypot(o[0] - k[0], o[1] - k[1]), k[0] - o[0], k[1] - o[1]))[: s.neighbours]
+        assert len(near) < s.neighbours or abs(th[k][0] - np.median([th[o][0] for o in near])) < s.outlier_sigma * np.std([th[o][0] for o in near])
+    th = np_filled_tiles(th, s)
+    low, firm, grow = (np_cells(th, v.shape, s.tile, c) for c in range(3))
+    on = conv > low
+    for _ in range(s.erode):
+        on = np_erode(on, s.erode_reach, conv > firm)
+    on = np_open(on, s.opening, s.opening_reach) & ~blank
+    label = np_labels(on, 2)
+
+    def background(mask):
+        back = {}
+        for k, at in np_tiles(v.shape, s.tile).items():
+            a = v[at][~mask[at] & ~blank[at]]
+            _, _, mean, std = statistics.sigma_clip_array(a, *s.clip) if len(a) > s.free * v[at].size else (0, 0, 0, 0)
+            back[k] = [mean, std] if std > 0 else None
+        return np_filled_tiles(back, s)
+
+    back = background(on)
+    sky, std = (np_cells(back, v.shape, s.tile, c) for c in range(2))
+
+    def sn(lab, but=None):
+        out = {}
+        for k in range(1, lab.max() + 1):
+            at = lab == k
+            if but is not None and (but[at] > 0).any():
+                continue
+            at &= ~blank
+            y, x = np.nonzero(at)
+            over = v[at] - sky[at]
+            up = np.maximum(over, 0)
+            if at.sum() > s.area and over.mean() > 0 and up.sum() > 0:
+                cx, cy = ((c := (up * d).sum() / up.sum()) // 1 + (c % 1 > 0.5) for d in (x, y))
+                err = back[int(cx) // s.tile[0], int(cy) // s.tile[1]][1]
+                out[k] = math.sqrt(at.sum() / s.cpscorr) * over.mean() / math.sqrt(over.mean() + err**2)
+        return out
+
+    def pseudo(on_sky):
+        bright = v - sky > s.least * std
+        mask = (bright | (label > 0) if on_sky else bright & (label > 0)) & ~blank
+        for at in np_tiles(v.shape, s.large).values():
+            mask[at] = np_open(np_fill(mask[at], s.hole_reach), s.pseudo_opening, s.pseudo_opening_reach)
+        return np_labels(mask, s.pseudo_reach)
+
+    chance = sorted(sn(pseudo(True), label).values())
+    bound = chance[statistics.rank_of_quantile(len(chance), s.sn_q)] if chance else -np.inf
+    lab = pseudo(False)
+    true = np.isin(lab, [k for k, x in sn(lab).items() if x > bound])
+    kept = np.isin(label, [k for k in np.unique(label[true]) if k])
+    out = np.where(kept, label, 0)
+    if s.grow_q < 1 and ((conv > grow) & ~kept & ~blank).any():
+        region = np_labels(kept | (conv > grow), 2)
+        mask = np.isin(region, np.unique(region[kept])) & (region > 0)
+        mask = mask | np.any(np_around(mask, 1, False), axis=0)
+        out = np.where(blank, 0, np_labels(np_fill(mask, 1, s.hole_cells), 2))
+    else:
+        out = np_labels(out > 0, 2)
+    good = [k for k, x in sn(out).items() if x > bound] if s.clean else [k for k in np.unique(out) if k]
+    final = np.zeros(v.shape, int)
+    for n, k in enumerate(good, 1):
+        final[out == k] = n
+    back = background(final > 0)
+    return final, np_cells(back, v.shape, s.tile, 0), np_cells(back, v.shape, s.tile, 1), len(chance)
+
+
+def as_array(rows, column, shape, fill=0):
+    a = np.full(shape, fill, float)
+    for r in rows:
+        if r[column] is not None:
+            a[r["y"] - 1, r["x"] - 1] = r[column]
+    return a
+
+
+def as_cells(spark, v):
+    return spark.createDataFrame(pd.DataFrame([(i + 1, j + 1, None if np.isnan(v[j, i]) else float(v[j, i])) for j in range(v.shape[0]) for i in range(v.shape[1])], columns=["x", "y", "v"])).selectExpr("cast(x as int) x", "cast(y as int) y", "case when isnan(v) then null else v end v")
+
+
+def test_detect_program_equals_numpy(spark):
+    cells = image_cells()
+    shape = (max(y for _, y in cells), max(x for x, _ in cells))
+    v = np.full(shape, np.nan)
+    for (x, y), value in cells.items():
+        v[y - 1, x - 1] = value
+    label, sky, std, _ = np_detections(v, more.DETECTION)
+    rows = [r for _, r in run(spark, "detect_program").iterrows()]
+    rows = [{**r, "x": int(r["x"]), "y": int(r["y"])} for r in rows]
+    assert {(r["x"], r["y"]) for r in rows} == set(cells)
+    assert (as_array(rows, "label", shape) == np.where(np.isnan(v), 0, label)).all()
+    assert all(math.isclose(r["sky"], sky[r["y"] - 1, r["x"] - 1], rel_tol=1e-9) and math.isclose(r["std"], std[r["y"] - 1, r["x"] - 1], rel_tol=1e-9) for r in rows)
+
+
+@pytest.mark.parametrize("change", [{}, {"grow_q": 1.0, "clean": False}, {"kernel": None, "erode": 2, "opening": 2, "hole_reach": 1, "pseudo_reach": 1}])
+def test_detections_across_blocks_equal_numpy(spark, monkeypatch, change):
+    rng = np.random.default_rng(11)
+    v = rng.normal(100, 3, (60, 44))
+    for x, y, w, f in ((10, 12, 6, 40), (31, 30, 3, 90), (22, 47, 8, 30), (40, 5, 2, 200)):
+        j, i = np.mgrid[0:60, 0:44]
+        v += f * np.exp(-((i - x) ** 2 + (j - y) ** 2) / (2 * w * w))
+    v[29:32, 20:24] = np.nan
+    s = replace(programs.Detection(tile=[6, 5], large=[12, 10], kernel=more.SHARP, most=0.3, q=0.6, no_erode=0.95, grow_q=0.8, neighbours=7, outlier_sigma=1e9, erode=1, area=3, sn_q=0.8, free=0.3, hole_cells=8), **change)
+    monkeypatch.setattr(blocks, "SIDE", 12)
+    monkeypatch.setattr(programs, "of_cells", lambda cells, values=("v",), multiples=(), kinds=None: blocks.of_cells(cells, values, multiples, kinds, 12))
+    label, sky, std, chance = np_detections(v, s)
+    rows = programs.detections(as_cells(spark, v), s).collect()
+    assert chance and label.max() >= 2 and len(rows) == v.size
+    assert (as_array(rows, "label", v.shape) == label).all()
+    assert np.allclose(as_array(rows, "sky", v.shape), sky) and np.allclose(as_array(rows, "std", v.shape), std)
+
+
+def np_flood(v, label):
+    """Clumps by the number of their peak (from 1), rivers -1, 0 outside."""
+    out = np.zeros(v.shape, int)
+    on = (label > 0) & ~np.isnan(v)
+    for n in sorted(np.flatnonzero(on.ravel()), key=lambda n: (-v.flat[n], n)):
+        y, x = divmod(int(n), v.shape[1])
+        near = {out[b, a] for dx, dy in grid.offsets(2, 2) if 0 <= (b := y + dy) < v.shape[0] and 0 <= (a := x + dx) < v.shape[1] and label[b, a] == label[y, x] and out[b, a] > 0}
+        out[y, x] = n + 1 if not near else near.pop() if len(near) == 1 else -1
+    return out
+
+
+@pytest.mark.parametrize("levels", [4, 1000])
+def test_watershed_across_blocks(spark, levels):
+    rng = np.random.default_rng(levels)
+    v = rng.integers(0, levels, (34, 29)).astype(float)
+    v[rng.random(v.shape) < 0.05] = np.nan
+    label = np_labels((np.indices(v.shape).sum(axis=0) % 17 > 1), 1)
+    want = np_flood(v, label)
+    d = as_cells(spark, v).join(spark.createDataFrame([(i + 1, j + 1, int(label[j, i])) for j in range(34) for i in range(29)], "x int, y int, label long"), ["x", "y"])
+    for side in (5, 100):
+        got = {(r["x"] - 1, r["y"] - 1): (r["label"], r["clump"]) for r in watershed.watershed(d, side).collect()}
+        assert set(got) == {(i, j) for j, i in zip(*np.nonzero(want))}
+        peaks = {}
+        for n in sorted((n for n in np.unique(want) if n > 0), key=lambda n: -v.flat[n - 1]):
+            peaks.setdefault(label.flat[n - 1], []).append(n)
+        for (i, j), (own, clump) in got.items():
+            assert own == label[j, i] and clump == (-1 if want[j, i] < 0 else peaks[own].index(want[j, i]) + 1)
+
+
+def np_segment(v, label, std, s):
+    """(object, clump) of detected cells."""
+    conv = np.where(np.isnan(v), np.nan, np_convolved(v, s.kernel)) if s.kernel else v
+    near = lambda y, x: [(y + dy, x + dx) for dx, dy in grid.offsets(2, 2) if 0 <= y + dy < v.shape[0] and 0 <= x + dx < v.shape[1]]
+
+    def significance(flooded):
+        rim = {}
+        for y, x in zip(*np.nonzero(flooded == -1)):
+            for k in {flooded[c] for c in near(y, x) if flooded[c] > 0}:
+                rim[k] = max(rim.get(k, (-np.inf, 0)), (conv[y, x], std[y, x]))
+        return {k: (conv.flat[k - 1] - rim[k][0]) / rim[k][1] for k in rim if (flooded == k).sum() > s.area}
+
+    noise = np.zeros(v.shape, int)
+    for n, at in enumerate(np_tiles(v.shape, s.large).values(), 1):
+        noise[at] = n
+    chance = sorted(significance(np_flood(conv, np.where((label == 0) & ~np.isnan(conv), noise, 0))).values())
+    bound = chance[statistics.rank_of_quantile(len(chance), s.q)] if chance else -np.inf
+    flooded = np_flood(conv, label)
+    sure = {k for k, x in significance(flooded).items() if x > bound}
+    if not s.near_river:
+        sure = {k for k in sure if not any(flooded[c] == -1 for c in near(*divmod(k - 1, v.shape[1])))}
+    links = {}
+    for y, x in zip(*np.nonzero(flooded == -1)):
+        seen = [(flooded[c], conv[c]) for c in near(y, x) if flooded[c] > 0]
+        ave = (sum(w for _, w in seen) + conv[y, x]) / (len(seen) + 1)
+        for a in {k for k, _ in seen}:
+            for b in {k for k, _ in seen}:
+                if a < b:
+                    links.setdefault((a, b), []).append((ave, std[y, x] ** 2))
+    up = {k: k for k in sure}
+    root = lambda k: k if up[k] == k else root(up[k])
+    for (a, b), e in links.items():
+        ave, var = np.mean([x for x, _ in e]), np.mean([x for _, x in e])
+        if a in sure and b in sure and len(e) > s.river and math.sqrt(1 / s.cpscorr) * ave / math.sqrt(max(abs(ave) + var, 1e-12)) > s.object_sn:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    out, number, clumps = np.zeros(v.shape, int), 0, np.zeros(v.shape, int)
+    for d in range(1, label.max() + 1):
+        own = sorted(k for k in sure if label.flat[k - 1] == d)
+        roots = sorted({root(k) for k in own})
+        if len(roots) < 2:
+            number += 1
+            out[label == d] = number
+            for n, k in enumerate(own, 1):
+                clumps[flooded == k] = n
+            continue
+        for r in roots:
+            number += 1
+            for n, k in enumerate([k for k in own if root(k) == r], 1):
+                out[flooded == k], clumps[flooded == k] = number, n
+        while True:
+            new = out.copy()
+            for y, x in zip(*np.nonzero((label == d) & (out == 0))):
+                near_by = [out[c] for c in near(y, x) if label[c] == d and out[c] > 0]
+                new[y, x] = min(near_by) if near_by else 0
+            if (new == out).all():
+                break
+            out = new
+    return out, clumps
+
+
+@pytest.mark.parametrize("near_river", [True, False])
+def test_segment_across_blocks_equals_numpy(spark, monkeypatch, near_river):
+    rng = np.random.default_rng(21)
+    v = rng.normal(10, 1, (40, 37))
+    for x, y, f in ((8, 8, 30), (14, 10, 25), (26, 28, 40), (31, 24, 35), (28, 34, 30), (6, 30, 12)):
+        j, i = np.mgrid[0:40, 0:37]
+        v += f * np.exp(-((i - x) ** 2 + (j - y) ** 2) / 8)
+    label = np_labels(np_open(v > 14, 1, 1), 2)
+    std = np.where(np.indices(v.shape)[1] < 20, 1.0, 1.3)
+    d = as_cells(spark, v).join(spark.createDataFrame([(i + 1, j + 1, int(label[j, i]), float(std[j, i])) for j in range(40) for i in range(37)], "x int, y int, label long, std double"), ["x", "y"])
+    monkeypatch.setattr(programs, "of_cells", lambda cells, values=("v",), multiples=(), kinds=None: blocks.of_cells(cells, values, multiples, kinds, 10))
+    for s in (programs.Segmentation(large=[10, 10], area=2, q=0.9, near_river=near_river, object_sn=1e6), programs.Segmentation(large=[5, 5], area=1, q=0.5, near_river=near_river, river=1, object_sn=3.0, kernel=more.SHARP)):
+        want, clumps = np_segment(v, label, std, s)
+        rows = programs.segment(d, s).collect()
+        assert {(r["x"], r["y"]) for r in rows} == {(x + 1, y + 1) for y, x in zip(*np.nonzero(label))} and want.max() > label.max() - 1
+        assert (as_array(rows, "object", v.shape) == want).all() and (as_array(rows, "clump", v.shape) == clumps).all()
+
+
+def test_segment_objects_equals_numpy(spark):
+    d = run(spark, "detect_program")
+    cells = image_cells()
+    shape = (max(y for _, y in cells), max(x for x, _ in cells))
+    v, label, std = np.full(shape, np.nan), np.zeros(shape, int), np.ones(shape)
+    for _, r in d.iterrows():
+        at = int(r["y"]) - 1, int(r["x"]) - 1
+        v[at], label[at], std[at] = cells[at[1] + 1, at[0] + 1], r["label"], r["std"]
+    want, clumps = np_segment(v, label, std, more.SEGMENTATION)
+    got = {(int(r["x"]), int(r["y"])): (r["object"], r["clump"]) for _, r in run(spark, "segment_objects").iterrows()}
+    assert got == {(x + 1, y + 1): (want[y, x], clumps[y, x]) for y, x in zip(*np.nonzero(label))}
+
+
+def test_programs_without_cells(spark):
+    none = spark.createDataFrame([], "x int, y int, v double, label long, std double")
+    assert programs.detections(none.drop("label", "std")).count() == programs.segment(none).count() == watershed.watershed(none).count() == 0

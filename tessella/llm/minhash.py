@@ -242,32 +242,33 @@ def links(members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) ->
     nodes = cut(spread_join(left, open_, "key", "node", "left_semi", **known).select("node", "comp").distinct(), "unsettled")
     if nodes.isEmpty():
         return found
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
+    nodes = spread_join(nodes, sizes, "comp", "node", counts=sizes.withColumnRenamed("size", "_n"))
     pairs = cut(crossing(nodes, bags, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
     return cut(found.union(similar(pairs, bags, threshold)), "similar")
 
 
 def prefixes(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """(e, k, node, comp, n, major): the elements by which nodes of different components can meet.
+    """(e, k, node, comp, n, major): the elements by which nodes (node, comp, size of it) of different components can meet.
 
     Elements are ordered: first those of one component only, which link nothing new, then from rare to common.
     The first element that two bags with the similarity share is among the first n - ceil(threshold * n) + 1 of the
     larger, whatever the order.  So only nodes whose other elements are too few to fill that prefix appear here.
-    ``major`` tells whether a node is of the component that holds the element most often.
+    ``major`` tells whether a node is of the largest component that holds the element.
     """
-    own = bags.join(nodes, "node").select("node", "comp", F.size("bag").alias("n"), F.explode("bag").alias("e"))
+    own = bags.join(nodes, "node").select("node", "comp", "size", F.size("bag").alias("n"), F.explode("bag").alias("e"))
     common = own.groupBy("e").agg(F.count("*").alias("f"), (F.min("comp") != F.max("comp")).alias("several")).where("f > 1")
     common = cut(common, "elements")
     ranked = spread_join(own, common, "e", "node", "left", counts=common.select("e", F.col("f").alias("_n")), total=bags.join(nodes, "node").agg(F.sum(F.size("bag"))).first()[0])
     rank = F.row_number().over(W.partitionBy("node").orderBy("several", "f", "e"))
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     ranked = ranked.withColumns({"f": F.coalesce("f", F.lit(1)), "several": F.coalesce("several", F.lit(False))}).withColumn("k", rank)
-    first = cut(ranked.where((F.col("k") <= prefix) & F.col("several")).select("e", "k", "node", "comp", "n"), "prefixes")
-    held_by = cut(first.groupBy("e", "comp").agg(F.count("*").alias("m")), "holders")
-    most = held_by.groupBy("e").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.sum("m").alias("_n"), F.count("*").alias("comps"))
+    first = cut(ranked.where((F.col("k") <= prefix) & F.col("several")).select("e", "k", "node", "comp", "size", "n"), "prefixes")
+    most = first.groupBy("e").agg(F.max(F.struct("size", "comp"))["comp"].alias("most"), (F.min("comp") != F.max("comp")).alias("several"), F.count("*").alias("_n"))
     most = cut(most, "majors")
-    met = spread_join(first, most.where("comps > 1").select("e", "most"), "e", "node", counts=most.select("e", "_n"))
+    met = spread_join(first, most.where("several").select("e", "most"), "e", "node", counts=most.select("e", "_n"))
     met = cut(met.select("e", "k", "node", "comp", "n", (F.col("comp") == F.col("most")).alias("major")), "meeting")
-    discard(common, first, held_by, most)
+    discard(common, first, most)
     return met
 
 
@@ -280,13 +281,15 @@ def meetings(met: DataFrame, threshold: float) -> DataFrame:
     bound = 2 * threshold / (1 + threshold)
     # among the first n - ceil(bound * n) + 1 of the smaller, where bound = 2 threshold / (1 + threshold)
     smaller = met.where(F.col("k") <= F.col("n") - F.ceil(F.lit(bound) * F.col("n") - 1e-9) + 1)
-    other = smaller.select("e", F.col("k").alias("k_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("major").alias("major_b"))
-    of_minors = spread_both(met.where("NOT major"), other, "e", "node", "b")
-    return of_minors.unionByName(spread_both(met.where("major"), other.where("NOT major_b"), "e", "node", "b"))
+    # each element is two keys: one for the larger nodes of the major component, one for those of others
+    sides = F.explode(F.when(F.col("major"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    key = lambda side: F.xxhash64("e", side).alias("key")
+    other = smaller.withColumn("side", sides).select(key("side"), F.col("k").alias("k_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
+    return spread_both(met.select(key("major"), "k", "node", "comp", "n"), other, "key", "node", "b")
 
 
 def crossing(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, comp) in different components that can be alike, by prefix filtering."""
+    """Pairs (a, b) of nodes (node, comp, size) in different components that can be alike, by prefix filtering."""
     met = prefixes(nodes, bags, threshold)
     # If this is the first element both share, no more than what follows it in either can be shared besides.
     reach = 1 + F.least(F.col("n") - F.col("k"), F.col("n_b") - F.col("k_b"))

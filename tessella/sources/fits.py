@@ -1,18 +1,20 @@
 """FITS files: headers, binary tables and images.
 
-A file is the unit of work: ``binaryFile`` deals files to tasks, and each is decoded with numpy dtypes
-there.  The driver sees only the header records it needs for the schema.
+Files are listed by Spark and never read whole.  A task reads the headers of its files, skipping their data; rows
+and pixels are then dealt out as ranges of about ``RANGE`` bytes, so one file of any size is read by many tasks, and
+only the asked columns are decoded.  The driver sees only the header records it needs for the schema.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK, CARD = 2880, 80
@@ -50,20 +52,45 @@ def header_at(data: bytes, at: int) -> tuple[list[tuple[str, str, str]], int]:
     return records, at
 
 
-def units(data: bytes) -> Iterator[tuple[int, dict[str, str], list[tuple[str, str, str]], int]]:
-    """(number, header, records, where the data begin) of every unit of a file."""
-    at, k = 0, 0
-    while at + CARD <= len(data):
-        records, start = header_at(data, at)
+#: Bytes of rows or pixels that a task reads at a time.
+RANGE = 32 << 20
+
+
+def opened(path: str):
+    """A file for reading by ranges, in any store that Arrow knows."""
+    from pyarrow import fs
+
+    path = re.sub("^file:/(?!/)", "file:///", path)
+    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return store.open_input_file(name)
+
+
+def data_size(h: dict[str, str]) -> int:
+    """Bytes of a unit's data, without the fill of its last block."""
+    naxis = int(h.get("NAXIS", 0))
+    size = abs(int(h.get("BITPIX", 8))) // 8 * math.prod(int(h.get(f"NAXIS{i}", 0)) for i in range(1, naxis + 1)) if naxis else 0
+    return (size + int(h.get("PCOUNT", 0))) * int(h.get("GCOUNT", 1))
+
+
+def units(f) -> Iterator[tuple[int, dict[str, str], list[tuple[str, str, str]], int, int]]:
+    """(number, header, records, where the unit begins, where its data begin) of an open file's units; data are skipped."""
+    at, k, end = 0, 0, f.size()
+    while at + CARD <= end:
+        data, blocks = b"", 0
+        while True:
+            block = f.read_at(BLOCK, at + blocks * BLOCK)
+            data, blocks = data + block, blocks + 1
+            if len(block) < BLOCK or any(block[c : c + 8] == b"END     " for c in range(0, len(block), CARD)):
+                break
+        records, length = header_at(data, 0)
         h = {key: v for key, v, _ in records}
-        size = abs(int(h.get("BITPIX", 8))) // 8 * math.prod(int(h.get(f"NAXIS{i}", 0)) for i in range(1, int(h.get("NAXIS", 0)) + 1)) if int(h.get("NAXIS", 0)) else 0
-        size = (size + int(h.get("PCOUNT", 0))) * int(h.get("GCOUNT", 1))
-        yield k, h, records, start
-        at, k = start + -(-size // BLOCK) * BLOCK, k + 1
+        yield k, h, records, at, at + length
+        at, k = at + length + -(-data_size(h) // BLOCK) * BLOCK, k + 1
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """The paths of the files; their content isn't read."""
+    return spark.read.format("binaryFile").load(path).select("path")
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
@@ -71,13 +98,36 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, content in zip(b["path"], b["content"]):
-                rows = [(p, k, i, *r) for k, _, records, _ in units(bytes(content)) for i, r in enumerate(records)]
+            for p in b["path"]:
+                with opened(p) as f:
+                    rows = [(p, k, i, *r) for k, _, records, *_ in units(f) for i, r in enumerate(records)]
                 yield pd.DataFrame(rows, columns=["path", "hdu", "place", "key", "value", "comment"])
 
     return files(spark, path).mapInPandas(run, "path string, hdu int, place int, key string, value string, comment string")
 
 
+def layout(spark: SparkSession, path: str, hdu: int) -> DataFrame:
+    """path, start of the data and header (a map) of the files that have the unit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                with opened(p) as f:
+                    rows = [(p, start, h) for k, h, _, _, start in units(f) if k == hdu]
+                yield pd.DataFrame(rows, columns=["path", "start", "header"])
+
+    return files(spark, path).mapInPandas(run, "path string, start long, header map<string,string>")
+
+
+def ranges(found: DataFrame, width: Column, number: Column) -> DataFrame:
+    """``found`` with first, n and width: ranges of its files' rows of ``width`` bytes each, dealt out evenly."""
+    d = found.withColumn("width", width.cast("long")).withColumn("_n", number.cast("long")).where("_n > 0")
+    step = F.greatest(F.lit(1), F.floor(F.lit(RANGE) / F.greatest(F.col("width"), F.lit(1)))).cast("long")
+    parts = d.withColumn("_step", step).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.col("_step"))))
+    total = d.agg(F.sum(F.ceil(F.col("_n") / step))).head()[0] or 1
+    return parts.select("path", "start", "header", "width", "first", F.least("_step", F.col("_n") - F.col("first")).alias("n")).repartition(int(total))
+
+
 def _columns(h: dict[str, str]) -> list[tuple[str, str, int, float, float, str | None]]:
     """(name, form letter, repeat, scale, zero, null) of a table's columns."""
     out = []
@@ -87,12 +137,15 @@ def _columns(h: dict[str, str]) -> list[tuple[str, str, int, float, float, str |
     return out
 
 
-def _decoded(data: bytes, start: int, h: dict[str, str]) -> pd.DataFrame:
+def _decoded(data: bytes, n_rows: int, h: dict[str, str], asked: list[str]) -> pd.DataFrame:
+    """The asked columns of some rows of a binary table."""
     cols = _columns(h)
     dtype = np.dtype([(f"c{k}", f"S{n}" if c == "A" else (FORMS[c][0], (n,)) if n > 1 else FORMS[c][0]) for k, (_, c, n, *_) in enumerate(cols)])
-    rows = np.frombuffer(data, dtype, int(h["NAXIS2"]), start)
+    rows = np.frombuffer(data, dtype, n_rows)
     out = {}
     for k, (name, c, n, scale, zero, null) in enumerate(cols):
+        if name not in asked:
+            continue
         v = rows[f"c{k}"]
         if c == "A":
             text = [x.decode("ascii", "replace").rstrip("\0 ") for x in v.tolist()]
@@ -106,8 +159,9 @@ def _decoded(data: bytes, start: int, h: dict[str, str]) -> pd.DataFrame:
             continue
         blank = v == int(null) if null is not None and c in "BIJK" else np.isnan(v) if c in "ED" else np.zeros(len(v), bool)
         exact = [int(x) + int(zero) for x in v.tolist()] if c in "BIJK" and scale == 1 else (v * scale + zero).astype(float).tolist()
+        exact = map(Decimal, exact) if c == "K" and scale == 1 else exact
         out[name] = pd.Series([None if b else x for x, b in zip(exact, blank.tolist())], dtype=object)
-    return pd.DataFrame(out)
+    return pd.DataFrame(out, columns=asked)
 
 
 #: Forms of text tables -> Spark type.
@@ -123,75 +177,77 @@ def _text_columns(h: dict[str, str]) -> list[tuple[str, str, int, int, str | Non
     return out
 
 
-def _decoded_text(data: bytes, start: int, h: dict[str, str]) -> pd.DataFrame:
-    width, n = int(h["NAXIS1"]), int(h["NAXIS2"])
-    rows = [data[start + i * width : start + (i + 1) * width].decode("ascii", "replace") for i in range(n)]
+def _decoded_text(data: bytes, n_rows: int, h: dict[str, str], asked: list[str]) -> pd.DataFrame:
+    width = int(h["NAXIS1"])
+    rows = [data[i * width : (i + 1) * width].decode("ascii", "replace") for i in range(n_rows)]
     out = {}
     for name, letter, at, w, null in _text_columns(h):
+        if name not in asked:
+            continue
         cells = [r[at : at + w].strip() for r in rows]
         number = int if letter == "I" else lambda x: float(x.replace("D", "E").replace("d", "e"))
         out[name] = pd.Series([None if c == "" or c == (null or "").strip() else c if letter == "A" else number(c) for c in cells], dtype=object)
-    return pd.DataFrame(out)
+    return pd.DataFrame(out, columns=asked)
 
 
-def read_table(spark: SparkSession, path: str, hdu: int = 1) -> DataFrame:
-    """A binary or a text table; blanks are NULL.  Files of one path have one schema."""
-    found = headers(spark, path).where(F.col("hdu") == hdu)
-    one = found.join(found.agg(F.min("path").alias("path")), "path").select("key", "value").collect()
-    h = {r["key"]: r["value"] for r in one}
+def read_table(spark: SparkSession, path: str, hdu: int = 1, columns: Sequence[str] | None = None) -> DataFrame:
+    """A binary or a text table, or only its named columns; blanks are NULL.  Files of one path have one schema."""
+    found = layout(spark, path, hdu)
+    one = found.agg(F.min_by("header", "path").alias("h")).head()
+    h = (one and one["h"]) or {}
     if "TFIELDS" not in h:
         raise ValueError(f"unit {hdu} of {path} is no table")
     if h.get("XTENSION") == "TABLE":
-
-        def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for content in b["content"]:
-                    start, own = next((s, x) for k, x, _, s in units(bytes(content)) if k == hdu)
-                    yield _decoded_text(bytes(content), start, own)
-
-        return files(spark, path).mapInPandas(text, ", ".join(f"`{name}` {TEXT_FORMS[letter]}" for name, letter, *_ in _text_columns(h)))
-    kind = lambda c, n, scale: "array<double>" if n > 1 and c != "A" else "double" if scale != 1 and c in "BIJK" else FORMS[c][1]
-    schema = ", ".join(f"`{name}` {kind(c, n, scale)}" for name, c, n, scale, *_ in _columns(h))
-    names = [c[0] for c in _columns(h)]
-    exact = [name for name, c, n, scale, *_ in _columns(h) if c == "K" and n == 1 and scale == 1]
+        kinds = {name: TEXT_FORMS[letter] for name, letter, *_ in _text_columns(h)}
+        decoded = _decoded_text
+    else:
+        kind = lambda c, n, scale: "array<double>" if n > 1 and c != "A" else "double" if scale != 1 and c in "BIJK" else FORMS[c][1]
+        kinds = {name: kind(c, n, scale) for name, c, n, scale, *_ in _columns(h)}
+        decoded = _decoded
+    asked = list(kinds) if columns is None else list(columns)
+    missing = [n for n in asked if n not in kinds]
+    if missing:
+        raise ValueError(f"unit {hdu} of {path} has no columns {missing}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from decimal import Decimal
-
         for b in batches:
-            for content in b["content"]:
-                data = bytes(content)
-                start, own = next((s, x) for k, x, _, s in units(data) if k == hdu)
-                t = _decoded(data, start, own)[names]
-                for name in exact:
-                    t[name] = [None if x is None else Decimal(x) for x in t[name]]
-                yield t
+            for r in b.to_dict("records"):
+                with opened(r["path"]) as f:
+                    data = f.read_at(r["n"] * r["width"], r["start"] + r["first"] * r["width"])
+                yield decoded(data, r["n"], dict(r["header"]), asked)
 
-    return files(spark, path).mapInPandas(run, schema)
+    rows = ranges(found, F.col("header")["NAXIS1"], F.col("header")["NAXIS2"])
+    return rows.mapInPandas(run, ", ".join(f"`{n}` {kinds[n]}" for n in asked))
 
 
 def read_image(spark: SparkSession, path: str, hdu: int = 0) -> DataFrame:
     """path, x, y[, z], v of every pixel, from 1; blanks are NULL."""
-    naxis = headers(spark, path).where((F.col("hdu") == hdu) & (F.col("key") == "NAXIS")).agg(F.max(F.col("value").cast("int"))).head()[0] or 0
+    found = layout(spark, path, hdu)
+    naxis = found.agg(F.max(F.col("header")["NAXIS"].cast("int"))).head()[0] or 0
     axes = ["x", "y", "z"][:naxis]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, content in zip(b["path"], b["content"]):
-                data = bytes(content)
-                start, h = next((s, x) for k, x, _, s in units(data) if k == hdu)
+            for r in b.to_dict("records"):
+                h = dict(r["header"])
                 shape = [int(h[f"NAXIS{i}"]) for i in range(naxis, 0, -1)]
-                raw = np.frombuffer(data, PIXELS[int(h["BITPIX"])], math.prod(shape), start)
+                with opened(r["path"]) as f:
+                    data = f.read_at(r["n"] * r["width"], r["start"] + r["first"] * r["width"])
+                raw = np.frombuffer(data, PIXELS[int(h["BITPIX"])])
                 v = raw.astype(float) * float(h.get("BSCALE", 1)) + float(h.get("BZERO", 0))
                 v = np.where(raw == int(h["BLANK"]), np.nan, v) if "BLANK" in h and int(h["BITPIX"]) > 0 else v
-                index = np.unravel_index(np.arange(len(v)), shape)
+                index = np.unravel_index(r["first"] * shape[-1] + np.arange(len(v)), shape)
                 # a band of a larger image says where it begins
                 first = [1 - int(float(h.get(f"LTV{i + 1}", 0))) for i in range(naxis)]
-                columns = {"path": p, **{a: index[naxis - 1 - i] + first[i] for i, a in enumerate(axes)}, "v": pd.Series(v, dtype="Float64")}
+                columns = {"path": r["path"], **{a: index[naxis - 1 - i] + first[i] for i, a in enumerate(axes)}, "v": pd.Series(v, dtype="Float64")}
                 yield pd.DataFrame(columns).assign(v=lambda t: t["v"].astype(object).where(~np.isnan(v), None))
 
-    schema = "path string, " + ", ".join(f"{a} int" for a in axes) + ", v double"
-    return files(spark, path).mapInPandas(run, schema)
+    at = lambda k: F.col("header")[k].cast("long")
+    lines = F.lit(1)
+    for i in range(2, naxis + 1):
+        lines = lines * at(f"NAXIS{i}")
+    rows = ranges(found, F.abs(at("BITPIX")) / 8 * at("NAXIS1"), lines if naxis else F.lit(0))
+    return rows.mapInPandas(run, "path string, " + ", ".join(f"{a} int" for a in axes) + ", v double")
 
 
 # sinks
@@ -219,14 +275,15 @@ def unit(cards: list[bytes], data: bytes = b"") -> bytes:
     return padded(b"".join(cards) + b"END".ljust(CARD), b" ") + padded(data, b"\0")
 
 
-def put(folder: str, name: str, data: bytes) -> None:
-    """Write a file under another name and move it into place: a task that runs again writes the same file."""
+def put(folder: str, name: str, data: bytes | Iterable[bytes]) -> None:
+    """Write a file, whole or by parts, under another name and move it into place: a task that runs again writes the same file."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/_{name}.tmp") as out:
-        out.write(data)
+        for part in [data] if isinstance(data, bytes) else data:
+            out.write(part)
     store.move(f"{root}/_{name}.tmp", f"{root}/{name}")
 
 
@@ -316,14 +373,11 @@ def keep_units(spark: SparkSession, path: str, folder: str, keep: list[int]) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, content in zip(b["path"], b["content"]):
-                data, begins = bytes(content), [0]
-                found = list(units(data))
-                for _, h, _, start in found:
-                    size = abs(int(h.get("BITPIX", 8))) // 8 * math.prod(int(h.get(f"NAXIS{i}", 0)) for i in range(1, int(h.get("NAXIS", 0)) + 1)) if int(h.get("NAXIS", 0)) else 0
-                    size = (size + int(h.get("PCOUNT", 0))) * int(h.get("GCOUNT", 1))
-                    begins.append(start + -(-size // BLOCK) * BLOCK)
-                put(folder, p.rsplit("/", 1)[-1], b"".join(data[begins[k] : begins[k + 1]] for k in keep if k < len(found)))
+            for p in b["path"]:
+                with opened(p) as f:
+                    found = [(at, start + -(-data_size(h) // BLOCK) * BLOCK) for _, h, _, at, start in units(f)]
+                    spans = [found[k] for k in keep if k < len(found)]
+                    put(folder, p.rsplit("/", 1)[-1], (f.read_at(min(RANGE, end - at), at) for begin, end in spans for at in range(begin, end, RANGE)))
                 yield pd.DataFrame({"path": [p]})
 
     return files(spark, path).mapInPandas(run, "path string").count()

@@ -71,11 +71,21 @@ def _is_blank(token: Column, info: ColumnInfo) -> Column:
     return wrong | (number == float(info.blank)) if info.blank and re.fullmatch(r"[+-]?[\d.]+(e[+-]?\d+)?", info.blank, re.I) else wrong
 
 
+#: A header lies within so many lines.
+HEADER_LINES = 10_000
+
+
+def head(spark: SparkSession, path: str) -> list[str]:
+    """The first lines of the first file, by name, that isn't empty; Spark reads no more of it than it must."""
+    names = spark.read.format("binaryFile").load(path).where("length > 0").agg(F.min("path")).head()
+    return [] if names is None or names[0] is None else [r[0] for r in spark.read.text(names[0]).limit(HEADER_LINES).collect()]
+
+
 def read_text_table(spark: SparkSession, path: str, columns: int | None = None) -> DataFrame:
-    """The table at ``path``.  Only header lines, and one data line to count columns, come to the driver."""
+    """The table at ``path``.  Only the ``HEADER_LINES`` first lines of its first file that isn't empty, of which the
+    comments are the header, and one data line to count columns come to the driver."""
     lines = spark.read.text(path)
-    header = [r[0] for r in lines.where(F.col("value").startswith("#")).collect()]
-    info = parse_header(header)
+    info = parse_header([line for line in head(spark, path) if line.startswith("#")])
     data = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     if columns is None:
         first = data.head()

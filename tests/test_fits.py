@@ -44,3 +44,32 @@ def test_text_tables(spark, tmp_path):
     p = tmp_path / "t.fits"
     p.write_bytes(unit([card("SIMPLE", "T"), card("BITPIX", 8), card("NAXIS", 0)], b"") + unit(cards, rows[:20] + rows[20:40] + rows[-20:]))
     assert [tuple(r) for r in fits.read_table(spark, str(p)).collect()] == [(7, 15.0, "ab"), (None, -2.25, None), (12, None, "x y")]
+
+
+def test_large_units_are_read_by_ranges_and_columns(spark, tmp_path, monkeypatch):
+    d = spark.range(1000).selectExpr("id", "double(id) / 2 v", "concat('n', id) t").coalesce(1)
+    fits.write_table(d, f"{tmp_path}/t")
+    monkeypatch.setattr(fits, "RANGE", 700)
+    back = fits.read_table(spark, f"{tmp_path}/t", columns=["t", "v"])
+    assert back.columns == ["t", "v"] and back.rdd.getNumPartitions() > 20
+    assert {(r["t"], r["v"]) for r in back.collect()} == {(f"n{k}", k / 2) for k in range(1000)}
+    cells = spark.range(600).selectExpr("cast(id % 20 + 1 as int) x", "cast(floor(id / 20) + 1 as int) y", "cast(id as double) v")
+    fits.write_image(cells, f"{tmp_path}/i")
+    image = fits.read_image(spark, f"{tmp_path}/i")
+    assert image.rdd.getNumPartitions() == 8
+    assert {(r["x"], r["y"], r["v"]) for r in image.collect()} == {(k % 20 + 1, k // 20 + 1, float(k)) for k in range(600)}
+    fits.keep_units(spark, f"{tmp_path}/t", f"{tmp_path}/k", [0, 1])
+    assert {r["id"] for r in fits.read_table(spark, f"{tmp_path}/k", columns=["id"]).collect()} == set(range(1000))
+
+
+def test_a_header_is_read_by_its_data_alone(spark, tmp_path):
+    """A unit of 3 GB, of which only the headers and the last rows are there."""
+    p = tmp_path / "big.fits"
+    n = 3 * 10**9 // 8
+    cards = [card("XTENSION", "'BINTABLE'"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", 8), card("NAXIS2", n), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", 1), card("TTYPE1", "'V'"), card("TFORM1", "'D'")]
+    with open(p, "wb") as f:
+        f.write(unit([card("SIMPLE", "T"), card("BITPIX", 8), card("NAXIS", 0)], b"") + unit(cards, b""))
+        f.seek(-(-(f.tell() + 8 * n) // 2880) * 2880)
+        f.write(unit([card("XTENSION", "'IMAGE'"), card("BITPIX", 8), card("NAXIS", 0)], b""))
+    assert {(r["hdu"], r["value"]) for r in fits.headers(spark, str(p)).where("key = 'XTENSION'").collect()} == {(1, "BINTABLE"), (2, "IMAGE")}
+    assert fits.read_table(spark, str(p)).rdd.getNumPartitions() == -(-8 * n // fits.RANGE)

@@ -11,9 +11,9 @@ repeated word windows are found by sorting primitive arrays within a row and no
 
 Defined results: a null text has no words and fails the base rule; a null host is a host of its own;
 repeated rows get the same verdict each and count as one document; a line in exactly ``MAX_DOCS`` texts
-stays, and so does a document that loses exactly ``DEPLETED`` per cent of its words; a text may have
-2^26 words, as positions are packed in as many bits; an empty table gives no rows; other columns pass
-unread, whatever their names.
+stays, and so does a document that loses exactly ``DEPLETED`` per cent of its words; positions are packed
+in 27 bits, and a row can't hold more words, at 16 bytes each in its 2 GB; an empty table gives no rows;
+other columns pass unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held, matched, pick, read_table, text_or_empty, with_text
+from .common import cut, held, matched, pick, read_table, spread_join, text_or_empty, with_text
 
 #: A line in more distinct documents of one host is frequent.
 MAX_DOCS = 20
@@ -35,7 +35,7 @@ SPACES = r"[ \t-\r]+"
 SYMBOLS = "[#*$%&|<>]+"
 
 WINDOW = 3
-PLACE_BITS = 26
+PLACE_BITS = 27
 PLACE_MASK = (1 << PLACE_BITS) - 1
 
 
@@ -129,21 +129,34 @@ def base(docs: DataFrame) -> DataFrame:
     )
 
 
+#: So many frequent lines at most are broadcast, of about 60 bytes each; more are joined with hot ones dealt out.
+BROADCAST_LINES = 100_000
+
+
+def own_lines(counted: DataFrame) -> DataFrame:
+    """doc_id, text_hash, and a key of host and hash for each different line."""
+    host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("~"))
+    return counted.select("doc_id", "text_hash", host.alias("host"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).select("doc_id", "text_hash", "h", F.concat_ws(" ", "h", "host").alias("key"))
+
+
 def frequent_lines(counted: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """host, h of the lines to remove.
+    """key and _n (rows that hold it) of the lines to remove.
 
-    The distinct rows are dealt out by text as well, so one line in a third of all documents meets
+    Rows are first counted by text as well, so one line in a third of all documents meets
     map-side combined and spread.
     """
-    own = counted.select("text_hash", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    lines = own.distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
-    return lines.where(F.col("docs") > max_docs).select("host", "h")
+    texts = own_lines(counted).groupBy("key", "text_hash").agg(F.count("*").alias("_n"))
+    return texts.groupBy("key").agg(F.count("*").alias("docs"), F.sum("_n").alias("_n")).where(F.col("docs") > max_docs).select("key", "_n")
 
 
 def removals(counted: DataFrame, frequent: DataFrame) -> DataFrame:
     """doc_id, text_hash, removed: the hashes of frequent lines in each document that has any."""
-    own = counted.select("doc_id", "text_hash", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    hit = matched(own, frequent, ["h", "host"], "left_semi")
+    own = own_lines(counted)
+    if frequent.count() <= BROADCAST_LINES:
+        hit = own.join(F.broadcast(frequent.select("key")), "key", "left_semi")
+    else:
+        total = counted.agg(F.sum(F.size("lines"))).first()[0] or 0
+        hit = spread_join(own, frequent.select("key"), "key", "text_hash", "left_semi", counts=frequent, total=total)
     return hit.groupBy("doc_id", "text_hash").agg(F.collect_set("h").alias("removed"))
 
 
@@ -152,7 +165,7 @@ def judged(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     names = [n for n in ("doc_id", "text", "source") if n in docs.columns]
     counted = cut(base(pick(docs, *names)), "lines")
     distinct = counted.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "host", "lines")
-    gone = removals(distinct, frequent_lines(distinct, max_docs))
+    gone = removals(distinct, cut(frequent_lines(distinct, max_docs), "frequent"))
     joined = matched(counted, gone, ["doc_id", "text_hash"], "left")
     kept_lines = F.filter("lines", lambda x: ~F.array_contains(F.col("removed"), x["h"]))
     left = F.when(F.col("removed").isNull(), F.col("n_words")).otherwise(F.aggregate(kept_lines, F.lit(0).cast("long"), lambda s, x: s + x["n"]))

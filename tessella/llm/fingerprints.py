@@ -1,9 +1,12 @@
 """Order MinHash fingerprints.
 
-A text's k-mers are its runs of five words, each numbered by how often it occurred before.  One hash
-deals the numbered k-mers into ``GROUPS`` groups.  In each group the two of least hash are taken, put
-back into the order in which the text has them, and hashed as a tuple.  Two texts agree in a group
-only if they share the k-mers and their order, so the share of agreeing groups follows edit distance.
+A text's k-mers are its runs of five words, each numbered by how often it occurred before.  For each of ``GROUPS``
+tuples they have an order of their own: one hash deals them into as many groups, and those of the tuple's group come
+first, by that hash, then all others by a hash of k-mer and tuple.  The two first are taken, put back into the
+order in which the text has them, and hashed.  As the groups are dealt by chance, each order is a random one, as
+Order MinHash asks for; yet only texts of a few hundred words or less, whose groups don't hold two each, need
+more than one hash of a k-mer.  Two texts agree in a tuple only if they share the k-mers and their order, so the share
+of agreeing tuples follows edit distance.
 
 Only DataFrame functions are used.  Hash and position are packed in one long, so that the selection is
 a sort of primitive arrays within a row; occurrence numbers are found by binary search in the sorted
@@ -12,8 +15,8 @@ array.  No word is ever shuffled.
 Defined results: a null text is the empty text; a text of fewer than five words has one k-mer of all
 its words, one without words has the empty fingerprint; two empty fingerprints are alike (1), an empty
 and another are not (0); equal texts have equal fingerprints.  Rows of one doc_id follow one another by
-the hash of their text; ids that aren't integers are ordered as texts; a text may have 2^26 words, as
-positions are packed in as many bits; an empty table gives no rows; other columns pass unread.
+the hash of their text; ids that aren't integers are ordered as texts; positions are packed in 27 bits, and
+a row can't hold more words, at 16 bytes each in its 2 GB; an empty table gives no rows; other columns pass unread.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ K = 5
 TUPLE = 2
 GROUP_BITS = 6
 GROUPS = 1 << GROUP_BITS
-PLACE_BITS = 26
+PLACE_BITS = 27
 PLACE_MASK = (1 << PLACE_BITS) - 1
 #: Steps of the binary search for the start of a run of equal k-mers.
 STEPS = [1 << b for b in range(PLACE_BITS - 1, -1, -1)]
@@ -41,7 +44,7 @@ def _high(x: Column) -> Column:
 
 
 def signature(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: array<long>, for each group that isn't empty the group and a 32-bit hash of its tuple."""
+    """Adds ``out``: array<long>, for each tuple its number and a 32-bit hash, sorted; empty for a text without words."""
     w, a, b, c = (f"_{out}_{x}" for x in ("words", "kmers", "numbered", "chosen"))
     df = df.withColumn(w, F.filter(F.split(F.col(text), SPACES), lambda x: x != ""))
     at = lambda i: F.get(F.col(w), i)
@@ -63,27 +66,39 @@ def signature(df: DataFrame, text: str, out: str) -> DataFrame:
     other = lambda x, k: F.coalesce(group(F.get(F.col(b), k)) != group(x), F.lit(True))
     df = df.withColumn(c, F.filter(b, lambda x, k: other(x, k - TUPLE)))
 
-    def tuple_hash(x: Column, k: Column) -> Column:
-        y = F.get(F.col(c), k + 1)
-        alone = F.coalesce(group(y) != group(x), F.lit(True))
-        ordered = F.when(x.bitwiseAND(F.lit(PLACE_MASK)) < y.bitwiseAND(F.lit(PLACE_MASK)), F.xxhash64(_high(x), _high(y))).otherwise(F.xxhash64(_high(y), _high(x)))
-        h = F.when(alone, F.xxhash64(_high(x))).otherwise(ordered)
-        return group(x).bitwiseAND(F.lit(GROUPS - 1)) * F.lit(1 << 32) + F.shiftrightunsigned(h, 32)
+    def hashed(g: Column, x: Column, y: Column) -> Column:
+        """The tuple of the k-mers x and y, y null if there is one only; of place and identity ``_high``."""
+        first = x.bitwiseAND(F.lit(PLACE_MASK)) < y.bitwiseAND(F.lit(PLACE_MASK))
+        ordered = F.when(first, F.xxhash64(_high(x), _high(y))).otherwise(F.xxhash64(_high(y), _high(x)))
+        h = F.when(y.isNull(), F.xxhash64(_high(x))).otherwise(ordered)
+        return g.bitwiseAND(F.lit(GROUPS - 1)) * F.lit(1 << 32) + F.shiftrightunsigned(h, 32)
 
-    leads = F.transform(c, lambda x, k: F.when(F.coalesce(group(F.get(F.col(c), k - 1)) != group(x), F.lit(True)), tuple_hash(x, k)))
-    df = df.withColumn(out, F.filter(leads, lambda x: x.isNotNull()))
-    return df.drop(w, a, b, c)
+    nth = lambda k: F.get(F.col(c), k)
+    begins = lambda x, k: F.coalesce(group(nth(k - 1)) != group(x), F.lit(True)) & F.coalesce(group(nth(k + 1)) == group(x), F.lit(False))
+    full = F.filter(F.transform(c, lambda x, k: F.when(begins(x, k), hashed(group(x), x, nth(k + 1)))), lambda x: x.isNotNull())
+    df = df.withColumn(f"{c}_full", full)
+    numbers = lambda s: F.transform(s, lambda x: F.shiftright(x, 32))
+
+    def filled(g: Column) -> Column:
+        """The tuple of a group without two k-mers of its own: all k-mers in the tuple's order, their indices in the low bits."""
+        key = lambda x, k: pack(F.when(group(x).bitwiseAND(F.lit(GROUPS - 1)) == g, F.lit(-(1 << 63))).otherwise(F.shiftrightunsigned(F.xxhash64(_high(x), g), 1)), k.cast("long"))
+        place = lambda o, i: F.get(F.col(b), F.get(o, F.lit(i)).bitwiseAND(F.lit(PLACE_MASK)).cast("int"))
+        two = F.slice(F.sort_array(F.transform(b, key)), 1, TUPLE)
+        return F.element_at(F.transform(F.array(two), lambda o: hashed(g, place(o, 0), place(o, 1))), 1)
+
+    lacking = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long")), numbers(f"{c}_full"))
+    df = df.withColumn(out, F.when(F.size(b) > 0, F.sort_array(F.concat(F.col(f"{c}_full"), F.transform(lacking, filled)))).otherwise(F.array().cast("array<long>")))
+    return df.drop(w, a, b, c, f"{c}_full")
 
 
 def fingerprint(sig: Column) -> Column:
-    """The signature as text: ten hexadecimal digits for each group in use."""
+    """The signature as text: ten hexadecimal digits for each tuple."""
     return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 10, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Agreeing groups over the groups that either uses."""
-    groups = lambda s: F.transform(s, lambda x: F.shiftright(x, 32))
-    used = F.size(F.array_union(groups(a), groups(b)))
+    """The share of agreeing tuples."""
+    used = F.greatest(F.size(a), F.size(b))
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(used, F.lit(1)))
 
 

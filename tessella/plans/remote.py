@@ -14,6 +14,16 @@ from ..functions import sky
 DATASETS = {"edr3": "gaiaedr3.gaia_source", "dr2": "gaiadr2.gaia_source", "dr1": "gaiadr1.gaia_source", "hipparcos": "public.hipparcos", "tyco2": "public.tyco2"}
 
 
+def around(df: DataFrame, dataset: str, ra: str, dec: str, columns: Sequence[str] = (), ranges: Sequence[str] = ()) -> RemoteQuery:
+    """The query for what overlaps with a table: the box about its positions, and its own range of each of ``ranges``."""
+    ends = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in (ra, dec, *ranges) for n, f in (("lo", F.min), ("hi", F.max))]).head()
+    if ends is None or ends[0] is None:
+        raise ValueError("a table without positions overlaps with nothing")
+    span = {c: (ends[f"lo_{c}"], ends[f"hi_{c}"]) for c in (ra, dec, *ranges)}
+    middle = tuple(sum(span[c]) / 2 for c in (ra, dec))
+    return RemoteQuery(dataset, middle, None, [span[c][1] - span[c][0] for c in (ra, dec)], columns, [(c, *span[c]) for c in ranges])
+
+
 @dataclass(frozen=True)
 class RemoteQuery:
     dataset: str

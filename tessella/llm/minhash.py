@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, discard, held, lean, matched, pick, read_table, spread_both, spread_join, text_or_empty
+from .common import bounded_batches, cut, discard, held, hot_keys, lean, matched, pick, read_table, spread_both, spread_join, text_or_empty
 
 K = 5
 THRESHOLD = 0.8
@@ -188,12 +188,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct(), "links")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
+    hot, total = hot_keys(both, "b"), labels.count()
     while True:
-        near = spread_join(both, labels.select(F.col("node").alias("b"), "comp"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "comp"), "b", "a", hot=hot).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         lower = cut(lower, "labels")
         target = lower.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        jumped = cut(spread_join(lower, target, "comp", "node").select("node", "old", F.col("further").alias("comp")), "labels")
+        jumped = cut(spread_join(lower, target, "comp", "node", total=total).select("node", "old", F.col("further").alias("comp")), "labels")
         discard(labels, lower)
         if jumped.where("old <> comp").isEmpty():
             discard(both)

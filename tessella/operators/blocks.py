@@ -169,6 +169,19 @@ class Blocks:
 
         return Blocks(cut(self.df.groupBy("bx", "by").cogroup(table.groupBy("bx", "by")).applyInPandas(run, new.schema), tag), new)
 
+    def asked(self, table: DataFrame, each: Callable[[Arrays, Place, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        """What ``each`` makes of every block's arrays and its rows of ``table`` (bx, by and more)."""
+        lay = self.layout
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def run(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(told):
+                return pd.DataFrame(columns=names)
+            row = own.to_dict("records")[0]
+            return each(lay.read(row, list(lay.layers)), lay.place(row["bx"], row["by"]), told)
+
+        return self.df.groupBy("bx", "by").cogroup(table.groupBy("bx", "by")).applyInPandas(run, schema)
+
     def cells(self, **columns: tuple[str, str]) -> DataFrame:
         """x, y and the named layers (name = (layer, type)) of the cells that the table had."""
 

@@ -11,11 +11,15 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sky import TangentPlane
+from ..plans.lineage import cut
+from . import blocks
 from .statistics import medians, sigma_clip
 
 PI = math.pi
@@ -228,19 +232,55 @@ def upper_limit(pixels: DataFrame, number: int = 100, seed: int = 1, clip: tuple
     Each label's footprint is placed ``number`` times at random; a placement counts if all of it lies on
     unlabelled, non-blank pixels.  Placements are drawn by a hash of label and trial, so a lost task draws
     the same again; a label with too few of ``number`` * ``tries`` trials has blanks.
+
+    The image lies in blocks, and footprints in pieces, one for each block that holds some of them.  A trial sends its
+    shift to the blocks that a shifted piece may touch, four at most, and a piece's pixels go to a block once, whatever the
+    number of trials there.
     """
-    box = pixels.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
-    if box[0] is None:
+    b = blocks.of_cells(pixels, ["v", "label"], kinds={"label": "i8"})
+    if b is None:
         raise ValueError("no pixels")
-    x0, x1, y0, y1 = box
+    lay = b.layout
+    x0, x1, y0, y1 = lay.x0, lay.x0 + lay.nx - 1, lay.y0, lay.y0 + lay.ny - 1
     foot = pixels.where("label > 0")
-    corner = foot.groupBy("label").agg(F.min("x").alias("fx"), F.min("y").alias("fy"), F.max("x").alias("gx"), F.max("y").alias("gy"), F.count("*").alias("size"), F.sum("v").alias("own"))
+    corner = cut(foot.groupBy("label").agg(F.min("x").alias("fx"), F.min("y").alias("fy"), F.max("x").alias("gx"), F.max("y").alias("gy"), F.count("*").alias("size"), F.sum("v").alias("own")), "corners")
     draw = lambda k, low, high: low + F.pmod(F.xxhash64("label", "trial", F.lit(seed), F.lit(k)), F.greatest(high - low + 1, F.lit(1)))
     trials = corner.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(number * tries))))
-    trials = trials.select("label", "trial", "size", (draw(0, F.lit(x0), F.lit(x1) - (F.col("gx") - F.col("fx"))) - F.col("fx")).alias("dx"), (draw(1, F.lit(y0), F.lit(y1) - (F.col("gy") - F.col("fy"))) - F.col("fy")).alias("dy"))
-    placed = foot.select("label", "x", "y").join(trials, "label").select("label", "trial", "size", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    free = pixels.where((F.col("label") == 0) & F.col("v").isNotNull()).select("x", "y", "v")
-    sums_ = placed.join(free, ["x", "y"]).groupBy("label", "trial").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.sum("v").alias("s")).where("n = size")
+    trials = trials.select("label", "trial", (draw(0, F.lit(x0), F.lit(x1) - (F.col("gx") - F.col("fx"))) - F.col("fx")).alias("dx"), (draw(1, F.lit(y0), F.lit(y1) - (F.col("gy") - F.col("fy"))) - F.col("fy")).alias("dy"))
+
+    def pieces_of(a: blocks.Arrays, p: blocks.Place) -> pd.DataFrame:
+        out = []
+        ys, xs = np.nonzero(a["label"] > 0)
+        order = np.argsort(a["label"][ys, xs], kind="stable")
+        ys, xs = ys[order] + p.y, xs[order] + p.x
+        labels, first = np.unique(a["label"][ys - p.y, xs - p.x], return_index=True)
+        for label, x, y in zip(labels.tolist(), np.split(xs, first[1:]), np.split(ys, first[1:])):
+            out.append((label, p.x // lay.sx, p.y // lay.sy, int(x.min()), int(x.max()), int(y.min()), int(y.max()), x.astype("i4").tobytes(), y.astype("i4").tobytes()))
+        return pd.DataFrame(out, columns=["label", "px", "py", "lx", "hx", "ly", "hy", "xs", "ys"])
+
+    pieces = cut(b.rows(pieces_of, "label long, px int, py int, lx int, hx int, ly int, hy int, xs binary, ys binary"), "pieces")
+    at = lambda low, high, shift, side, most: F.sequence(F.greatest(F.floor((F.col(low) + F.col(shift)) / side), F.lit(0)).cast("int"), F.least(F.floor((F.col(high) + F.col(shift)) / side), F.lit(most)).cast("int"))
+    sent = trials.join(pieces.drop("xs", "ys"), "label").withColumn("bx", F.explode(at("lx", "hx", "dx", lay.sx, (lay.nx - 1) // lay.sx))).withColumn("by", F.explode(at("ly", "hy", "dy", lay.sy, (lay.ny - 1) // lay.sy)))
+    sent = cut(sent.select("bx", "by", "label", "px", "py", "trial", "dx", "dy"), "sent")
+    shapes = sent.select("bx", "by", "label", "px", "py").distinct().join(pieces.select("label", "px", "py", "xs", "ys"), ["label", "px", "py"])
+    table = sent.unionByName(shapes, allowMissingColumns=True)
+
+    def measured(a: blocks.Arrays, p: blocks.Place, told: pd.DataFrame) -> pd.DataFrame:
+        free = (a["label"] == 0) & ~np.isnan(a["v"])
+        v, (h, w) = np.where(free, a["v"], 0.0), free.shape
+        has = told["xs"].notna()
+        shape = {(r.label, r.px, r.py): (np.frombuffer(r.xs, "i4"), np.frombuffer(r.ys, "i4")) for r in told[has].itertuples()}
+        out = []
+        for r in told[~has].itertuples():
+            xs, ys = shape[r.label, r.px, r.py]
+            x, y = xs + int(r.dx) - p.x, ys + int(r.dy) - p.y
+            own = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+            x, y = x[own], y[own]
+            out.append((r.label, int(r.trial), int(free[y, x].sum()), float(v[y, x].sum())))
+        return pd.DataFrame(out, columns=["label", "trial", "n", "s"])
+
+    parts = b.asked(table, measured, "label long, trial int, n long, s double").groupBy("label", "trial").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    sums_ = parts.join(corner.select("label", "size"), "label").where("n = size")
     kept = sums_.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy("trial"))).where(F.col("k") <= number)
     dist = sigma_clip(kept, ["label"], "s", *clip).withColumnsRenamed({"number": "clipped"})
     rank = kept.join(corner.select("label", "own"), "label").groupBy("label").agg(F.count("*").alias("placed"), F.count(F.when(F.col("s") <= F.col("own"), 1)).alias("below"))

@@ -1,7 +1,10 @@
 """Interpolation between the known values of groups, along an ordered column.
 
-Steffen's and Akima's splines have slopes that depend on a few neighbours alone, which windows reach; the
-natural and periodic cubic splines and the polynomial solve a system over a whole group, in one task each.
+Steffen's and Akima's splines have slopes that depend on a few neighbours alone, which windows reach.  The natural and
+periodic cubic splines solve a system of three diagonals over a group of any size: blocks of known points are
+solved side by side, each up to the two values beyond its ends; these, two for each block, make a small system, and its
+solution gives every block its own.  The periodic system differs from one of three diagonals by a rank of one.
+The polynomial goes through all points of a group and is for few.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def _slope(how: str, at) -> Column:
     """The derivative at a known point from its neighbours; ``at(k)`` is the k-th (x, y) after it, a NULL struct beyond the ends."""
@@ -99,21 +104,193 @@ def polynomial(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def fill_whole(df: DataFrame, x: str, y: str, by: Sequence[str], how: str = "cspline") -> DataFrame:
-    """Blanks of ``y`` between known values by cspline, periodic or polynomial; groups with too few points keep theirs."""
-    least = {"cspline": 3, "periodic": 3, "polynomial": 2}[how]
+def fill_polynomial(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """Blanks of ``y`` between known values on the polynomial through all of them; a group must fit in a task."""
     out = df.withColumn(y, F.col(y).cast("double"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(x)
-        known = g[y].notna().to_numpy()
-        xs, ys = g[x].to_numpy(float)[known], g[y].to_numpy(float)[known]
-        free = ~known & (g[x].to_numpy(float) > (xs[0] if len(xs) else np.inf)) & (g[x].to_numpy(float) < (xs[-1] if len(xs) else -np.inf))
-        if len(xs) >= least and free.any():
-            at = g[x].to_numpy(float)[free]
-            values = g[y].to_numpy(float).copy()
-            values[free] = polynomial(xs, ys, at) if how == "polynomial" else cubic(xs, ys, at, how == "periodic")
-            g = g.assign(**{y: values})
-        return g
+        at, values = g[x].to_numpy(float), g[y].to_numpy(float).copy()
+        known = ~np.isnan(values)
+        if known.sum() >= 2:
+            free = ~known & (at > at[known][0]) & (at < at[known][-1])
+            values[free] = polynomial(at[known], values[known], at[free])
+        return g.assign(**{y: values})
 
     return out.groupBy(*by).applyInPandas(run, out.schema)
+
+
+#: Known points of a block that is solved in one task.
+BLOCK = 1 << 14
+
+
+def _placed(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """``df`` with ``_k``, the number from 0 of the last known point up to each row (-1 before the first).
+
+    Rows are dealt out by range and the ranges' sums added up, so no task sees a whole group.
+    """
+    dealt = cut(df.repartitionByRange(*[F.col(f"`{c}`") for c in (*by, x)]).withColumn("_part", F.spark_partition_id()), "ranges")
+    known = F.col(y).isNotNull().cast("long")
+    sums = dealt.groupBy("_part", *by).agg(F.sum(known).alias("_s"))
+    ahead = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(F.col("_part").alias("_p"), *[F.col(f"`{b}`").alias(f"_by{i}") for i, b in enumerate(by)], F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_before"))
+    on = F.col("_part") == F.col("_p")
+    for i, b in enumerate(by):
+        on = on & F.col(f"`{b}`").eqNullSafe(F.col(f"_by{i}"))
+    own = dealt.withColumn("_own", F.sum(known).over(W.partitionBy("_part", *by).orderBy(x).rowsBetween(W.unboundedPreceding, 0)))
+    return own.join(before, on).select(*df.columns, (F.col("_before") + F.col("_own") - 1).alias("_k"))
+
+
+ENDS = ["n", "x0", "y0", "x1", "xa", "ya", "xb", "yb"]  # the number of points, the first two and the last two
+
+
+def _parts(k: np.ndarray, x: np.ndarray, y: np.ndarray, first: int, last: int, e: dict, periodic: bool) -> np.ndarray:
+    """The unknowns first .. last of a block as p + w * factor + q * before + r * behind: columns p, w, q, r.
+
+    k, x, y: the block's known points and those beside it, in order.
+    """
+    n, rows = int(e["n"]), last - first + 1
+    j = np.searchsorted(k, np.arange(first, last + 1))
+    low, mid, high, right = np.zeros(rows), np.ones(rows), np.zeros(rows), np.zeros((rows, 4))
+    inner = np.ones(rows, bool) if periodic else (k[j] > 0) & (k[j] < n - 1)  # a natural spline is straight at its ends
+    i = j[inner]
+    left = np.maximum(i - 1, 0)
+    h, rise = x[i + 1] - x[i], (y[i + 1] - y[i]) / (x[i + 1] - x[i])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        h0, rise0 = x[i] - x[left], (y[i] - y[left]) / (x[i] - x[left])
+    if periodic:
+        corner = e["xb"] - e["xa"]
+        diagonal = 2 * (corner + e["x1"] - e["x0"])  # of the first row
+        start, end = k[i] == 0, k[i] == n - 2
+        h0, rise0 = np.where(start, corner, h0), np.where(start, (e["yb"] - e["ya"]) / corner, rise0)
+    low[inner], mid[inner], high[inner], right[inner, 0] = h0, 2 * (h0 + h), h, 6 * (rise - rise0)
+    if periodic:  # the corners are the product of (-diagonal, 0 .., corner) and (1, 0 .., -corner / diagonal)
+        low[start], high[end] = 0, 0
+        mid[start] += diagonal
+        mid[end] += corner**2 / diagonal
+        right[start, 1] -= diagonal
+        right[end, 1] += corner
+    right[0, 2], right[-1, 3] = -low[0], -high[-1]
+    for r in range(1, rows):
+        f = low[r] / mid[r - 1]
+        mid[r] -= f * high[r - 1]
+        right[r] -= f * right[r - 1]
+    for r in range(rows - 1, -1, -1):
+        right[r] = (right[r] - (high[r] * right[r + 1] if r < rows - 1 else 0)) / mid[r]
+    return right
+
+
+def _reduced(g: pd.DataFrame, e: dict, periodic: bool) -> pd.DataFrame:
+    """What each block takes from beside it: its rows' first and last unknowns as affine parts become a system of five diagonals."""
+    m = len(g)
+    a, right = np.zeros((2 * m, 7)), np.zeros((2 * m, 2))  # diagonals -3 .. 3
+    for b, r in enumerate(g.itertuples()):
+        for row, (p, w, q, v) in ((2 * b, (r.pf, r.wf, r.qf, r.rf)), (2 * b + 1, (r.pl, r.wl, r.ql, r.rl))):
+            a[row, 3] = 1
+            if b:
+                a[row, 3 + 2 * b - 1 - row] = -q
+            if b < m - 1:
+                a[row, 3 + 2 * b + 2 - row] = -v
+            right[row] = p, w
+    for row in range(2 * m):
+        for below in range(row + 1, min(row + 4, 2 * m)):
+            f = a[below, 3 + row - below] / a[row, 3]
+            if f:
+                for c in range(row, min(row + 4, 2 * m)):
+                    a[below, 3 + c - below] -= f * a[row, 3 + c - row]
+                right[below] -= f * right[row]
+    for row in range(2 * m - 1, -1, -1):
+        for c in range(row + 1, min(row + 4, 2 * m)):
+            right[row] -= a[row, 3 + c - row] * right[c]
+        right[row] /= a[row, 3]
+    factor = 0.0
+    if periodic:
+        corner = e["xb"] - e["xa"]
+        slope = -corner / (2 * (corner + e["x1"] - e["x0"]))
+        factor = -(right[0, 0] + slope * right[-1, 0]) / (1 + right[0, 1] + slope * right[-1, 1])
+    whole = right[:, 0] + factor * right[:, 1]
+    lasts, firsts = whole[1::2], whole[0::2]
+    return pd.DataFrame({"_b": g["_b"].to_numpy(), "before": np.append(0.0, lasts[:-1]), "behind": np.append(firsts[1:], firsts[0] if periodic else 0.0), "factor": factor})
+
+
+def fill_cubic(df: DataFrame, x: str, y: str, by: Sequence[str], periodic: bool = False, block: int | None = None) -> DataFrame:
+    """Blanks of ``y`` between known values on the natural cubic spline, or on the periodic one, whose last point repeats the first.
+
+    Groups with fewer than three known points keep theirs, and what lies beyond the known ones stays blank.
+    """
+    block, by = block or BLOCK, list(by)
+    out = df.withColumn(y, F.col(y).cast("double"))
+    columns, placed = out.columns, _placed(out, x, y, by)
+    counts = out.groupBy(*by).agg(F.count(y).alias("n"))
+    keys = [F.col(f"`{b}`").alias(f"_by{i}") for i, b in enumerate(by)]
+    renamed = [f"_by{i}" for i in range(len(by))]
+    known = placed.select("*", *keys)
+    same = lambda l, r, names: [l[n].eqNullSafe(r[f"_{n}"]) for n in names]  # noqa: E731, E741
+    ns = cut(counts.select(*[F.col(f"`{b}`").alias(f"__by{i}") for i, b in enumerate(by)], "n"), "points")
+    own = F.floor(F.greatest(F.col("_k"), F.lit(0)) / block).cast("long")
+    # a point at a block's end is also beside the next block
+    is_known = F.col(y).isNotNull()
+    beside = F.array_compact(F.array(F.when(is_known & (F.col("_k") % block == 0) & (F.col("_k") > 0), own - 1), F.when(is_known & (F.col("_k") % block == block - 1), own + 1)))
+    rows = cut(known.withColumn("_b", F.explode(F.concat(F.array(own), beside))).withColumn("_beside", F.col("_b") != own), "rows")
+    # the first and last two points of each group, by the numbers of its points
+    edge = known.where(is_known).select(*renamed, "_k", F.col(x).cast("double").alias("_x"), F.col(y).alias("_y"))
+    joined = edge.join(F.broadcast(ns), same(edge, ns, renamed)) if ns.count() <= 100_000 else edge.join(ns, same(edge, ns, renamed))
+    pick = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
+    ends = joined.groupBy(*renamed).agg(F.first("n").alias("n"), pick(0, "_x").alias("x0"), pick(0, "_y").alias("y0"), pick(1, "_x").alias("x1"), pick(F.col("n") - 2, "_x").alias("xa"), pick(F.col("n") - 2, "_y").alias("ya"), pick(F.col("n") - 1, "_x").alias("xb"), pick(F.col("n") - 1, "_y").alias("yb"))
+    ends = cut(ends.where("n >= 3"), "ends")
+    each = rows.where("NOT _beside").select(*renamed, "_b").distinct()
+    others = ends.withColumnsRenamed({n: f"_{n}" for n in renamed})
+    told = cut(each.join(others, same(each, others, renamed)).select(*renamed, "_b", *ENDS), "told")
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in renamed)
+
+    def points(g: pd.DataFrame, t: pd.DataFrame):
+        """(k, x, y, first, last) of a block's known points; None if it has no unknowns."""
+        e = t.iloc[0].to_dict()
+        d = g[g[y].notna()].sort_values("_k")
+        first = int(t["_b"].iloc[0]) * block
+        last = min(first + block, int(e["n"]) - (1 if periodic else 0)) - 1
+        return None if last < first else (d["_k"].to_numpy(), d[x].to_numpy(float), d[y].to_numpy(float), first, last, e)
+
+    def reduce(g: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        got = points(g, t) if len(g) and len(t) else None
+        if got is None:
+            return pd.DataFrame(columns=[*renamed, "_b", *ENDS, "pf", "wf", "qf", "rf", "pl", "wl", "ql", "rl"])
+        parts = _parts(*got, periodic)
+        return t.assign(**dict(zip(("pf", "wf", "qf", "rf"), parts[0])), **dict(zip(("pl", "wl", "ql", "rl"), parts[-1])))
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_b").reset_index(drop=True)
+        got = _reduced(g, g.iloc[0].to_dict(), periodic)
+        return pd.concat([g[renamed], got, g[ENDS]], axis=1)
+
+    def fill(g: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        mine = g[~g["_beside"].astype(bool)]
+        got = points(g, t) if len(mine) and len(t) else None
+        if got is None:
+            return mine[columns]
+        k, xs, ys, first, last, e = got
+        parts = _parts(*got, periodic)
+        m = parts @ np.array([1.0, e["factor"], e["before"], e["behind"]])
+        m = np.append(m, e["behind"])
+        values, at_x, at_k = mine[y].to_numpy(float).copy(), mine[x].to_numpy(float), mine["_k"].to_numpy()
+        free = np.isnan(values) & (at_k >= 0) & (at_k < e["n"] - 1)
+        i = np.searchsorted(k, at_k[free])
+        h = xs[i + 1] - xs[i]
+        a, b = (xs[i + 1] - at_x[free]) / h, (at_x[free] - xs[i]) / h
+        m0, m1 = m[at_k[free] - first], m[at_k[free] - first + 1]
+        values[free] = a * ys[i] + b * ys[i + 1] + ((a**3 - a) * m0 + (b**3 - b) * m1) * h**2 / 6
+        return mine.assign(**{y: values})[columns]
+
+    numbers = ", ".join(f"{n} {'long' if n == 'n' else 'double'}" for n in ENDS)
+    block_keys = [*renamed, "_b"]
+    parts = rows.groupBy(*block_keys).cogroup(told.groupBy(*block_keys)).applyInPandas(reduce, f"{kinds}, _b long, {numbers}, pf double, wf double, qf double, rf double, pl double, wl double, ql double, rl double")
+    # a row for each block of a group
+    beyond = cut(parts.groupBy(*renamed).applyInPandas(solve, f"{kinds}, _b long, before double, behind double, factor double, {numbers}"), "beyond")
+    return rows.groupBy(*block_keys).cogroup(beyond.groupBy(*block_keys)).applyInPandas(fill, out.schema)
+
+
+def fill_whole(df: DataFrame, x: str, y: str, by: Sequence[str], how: str = "cspline") -> DataFrame:
+    """Blanks of ``y`` between known values by cspline, periodic or polynomial; groups with too few points keep theirs."""
+    if how not in ("cspline", "periodic", "polynomial"):
+        raise ValueError(f"no spline {how!r}")
+    return fill_polynomial(df, x, y, by) if how == "polynomial" else fill_cubic(df, x, y, by, how == "periodic")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cosmology as co
 from ..functions import dates
+from ..operators import catalog, grid
 from ..operators import generators as gen
+from .grids import image
 from .registry import query, table
 
 _Z = "SELECT l_orderkey, l_linenumber, l_discount * 20 + 0.1 AS z FROM lineitem"
@@ -82,9 +84,15 @@ def line_redshift(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(co.line_redshift(5000.0 + F.col("l_extendedprice") / 50, F.lit(co.LINES["lyalpha"])), 9).alias("result"))
 
 
-@query("line_list_at_z", "SELECT name, wavelength, wavelength * 3.5 AS observed FROM (VALUES " + ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in co.LINES.items()) + ") t(name, wavelength)")
+_LINES = "(VALUES " + ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in co.LINES.items()) + ") t(name, wavelength)"
+
+
+@query("line_list_at_z", f"SELECT s_suppkey, name, wavelength, round(wavelength * (1 + s_suppkey % 50 / 10.0), 6) AS observed FROM supplier, {_LINES}")
 def line_list_at_z(spark, sf_dir):
-    return co.line_table(spark).withColumn("observed", co.line_observed(F.lit(2.5), F.col("wavelength")))
+    """Every line as it is seen at a redshift of each supplier."""
+    lines = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("wavelength")) for k, v in co.LINES.items()]))
+    at = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50 / 10.0).alias("z"), lines.alias("l")).select("s_suppkey", "z", "l.*")
+    return at.select("s_suppkey", "name", "wavelength", F.round(co.line_observed(F.col("z"), F.col("wavelength")), 6).alias("observed"))
 
 
 _S = "SELECT event_id, CAST(epoch(ts) AS BIGINT) AS s FROM events"
@@ -125,17 +133,20 @@ def _catalogue(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("gaussian", "moffat", "sersic", "flat", "circum", "point", "distance")]), (k % 7 + 1).cast("int"))
-    return c.select(k.alias("id"), (k * 7 % 50 + 1.0).alias("cx"), (k * 11 % 40 + 1.0).alias("cy"), kinds.alias("kind"), F.lit(3.0).alias("width"), F.lit(2.5).alias("n"), (k * 13 % 180).cast("double").alias("pa"), F.lit(0.7).alias("q"), F.lit(20.0).alias("mag"), F.lit(2.0).alias("trunc"))
+    return c.select(k.alias("id"), (k * 7 % 50 + 1.0).alias("cx"), (F.floor(k / 5) + 1.0).alias("cy"), kinds.alias("kind"), F.lit(3.0).alias("width"), F.lit(2.5).alias("n"), (k * 13 % 180).cast("double").alias("pa"), F.lit(0.7).alias("q"), F.lit(20.0).alias("mag"), F.lit(2.0).alias("trunc"))
 
 
 @query("generate_profiles")
 def generate_profiles(spark, sf_dir):
-    return gen.profiles(_catalogue(spark, sf_dir), 50, 40, zeropoint=25.0)
+    """A canvas of 50 columns, with a row for every five customers."""
+    c = _catalogue(spark, sf_dir)
+    rows = c.agg(F.max("cy")).head()[0] or 0
+    return gen.profiles(c, 50, int(rows), zeropoint=25.0)
 
 
 @query("generate_noise")
 def generate_noise(spark, sf_dir):
-    return gen.add_noise(gen.grid(spark, 50, 40).withColumn("v", F.lit(0.0)), sigma=1.0)
+    return gen.add_noise(image(spark, sf_dir), sigma=25.0)
 
 
 @query("polygon_area", "SELECT p_partkey, round((p_size * p_retailprice), 6) AS area FROM part")
@@ -163,8 +174,7 @@ def rgb_to_hsv(spark, sf_dir):
 
 @query("upper_limit")
 def upper_limit(spark, sf_dir):
-    from ..operators import catalog as ct
-
-    g = gen.grid(spark, 60, 60).withColumn("v", F.randn(3))
-    label = F.when((F.col("x").between(10, 13)) & (F.col("y").between(10, 12)), 1).when((F.col("x").between(40, 42)) & (F.col("y").between(30, 34)), 2).otherwise(0)
-    return ct.upper_limit(g.withColumn("label", label.cast("long")), number=50)
+    """Of the bright regions of the events' image."""
+    bright = image(spark, sf_dir).withColumn("b", (F.col("v") > 900).cast("int"))
+    labels = grid.connected_components(bright.select("x", "y", F.col("b").alias("v")), 2)
+    return catalog.upper_limit(image(spark, sf_dir).join(labels, ["x", "y"]), number=50)

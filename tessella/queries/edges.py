@@ -55,17 +55,24 @@ def source_stream(spark, sf_dir):
     return text_table.read_stream(spark, itertools.chain(["# Column 1: k\n", "# Column 2: n\n"], (f"{a} {b}\n" for a, b in rows)), chunk=3)
 
 
-@query("header_notes", "SELECT * FROM (VALUES ('A', '7'), ('DATE', '2024-01-01T00:00:00'), ('HISTORY', repeat('x', 70)), ('HISTORY', repeat('x', 30)), ('COMMENT', 'seen'), ('B', '2')) t(key, value)")
+def _records(spark, sf_dir, name, letter, key, value):
+    """A header with a record for each row of a table."""
+    return table(spark, sf_dir, name).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("key"), F.col(value).cast("string").alias("value"), F.lit("").alias("comment"))
+
+
+@query("header_notes", "SELECT CASE WHEN p_partkey = 7 THEN 'S3' ELSE 'P' || p_partkey END AS key, CASE WHEN p_partkey = 7 THEN (SELECT s_name FROM supplier WHERE s_suppkey = 3) ELSE p_brand END AS value FROM part UNION ALL SELECT * FROM (VALUES ('DATE', '2024-01-01T00:00:00'), ('HISTORY', repeat('x', 70)), ('HISTORY', repeat('x', 30)), ('COMMENT', 'seen')) t(key, value)")
 def header_notes(spark, sf_dir):
-    make = lambda rows: spark.createDataFrame(rows, "key string, value string, comment string")
-    h = headers.copy(make([("A", "1", "")]), make([("A", "7", ""), ("B", "2", ""), ("C", "3", "")]), "A", "B")
+    """A record of one header in another's, the date, and notes longer than a record."""
+    h = headers.delete(_records(spark, sf_dir, "part", "P", "p_partkey", "p_brand"), "P7")
+    h = headers.copy(h, _records(spark, sf_dir, "supplier", "S", "s_suppkey", "s_name"), "S3")
     return headers.note(headers.note(headers.date(h, "2024-01-01T00:00:00"), "x" * 100), "seen", "COMMENT").select("key", "value")
 
 
-@query("header_edit", "SELECT 'A' AS key, '1' AS value UNION ALL SELECT 'C', '3' UNION ALL SELECT 'D', '4'")
+@query("header_edit", "SELECT CASE p_partkey WHEN 4 THEN 'Q4' ELSE 'P' || p_partkey END AS key, CASE p_partkey WHEN 5 THEN 'seen' ELSE p_brand END AS value FROM part WHERE p_partkey <> 3 UNION ALL SELECT 'D', '4'")
 def header_edit(spark, sf_dir):
-    h = spark.createDataFrame([("A", "0", ""), ("B", "3", ""), ("X", "9", "")], "key string, value string, comment string")
-    h = headers.update(headers.rename(headers.delete(h, "X"), "B", "C"), "A", "1")
+    """A record deleted, one renamed, one changed and one added."""
+    h = _records(spark, sf_dir, "part", "P", "p_partkey", "p_brand")
+    h = headers.update(headers.rename(headers.delete(h, "P3"), "P4", "Q4"), "P5", "seen")
     return headers.write(h, "D", "4").select("key", "value")
 
 

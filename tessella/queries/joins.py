@@ -129,7 +129,11 @@ def remote_query_on_table(spark, sf_dir):
     return q.on(_positions(spark, sf_dir)).withColumn("ra", F.round("ra", 6))
 
 
-@query("remote_query_text", "SELECT 'SELECT ra, dec FROM gaiaedr3.gaia_source WHERE 1=CONTAINS(POINT(''ICRS'', ra, dec), BOX(''ICRS'', 10, 20, 1, 1)) AND parallax>=0.5 AND parallax<=2' AS text")
+@query("remote_query_text", "SELECT 'SELECT ra, dec FROM gaiaedr3.gaia_source WHERE 1=CONTAINS(POINT(''ICRS'', ra, dec), BOX(''ICRS'', 180, 45, 360, 90)) AND parallax>=' || CAST(min(c_nationkey) AS VARCHAR) || ' AND parallax<=' || CAST(max(c_nationkey) AS VARCHAR) AS text FROM customer")
 def remote_query_text(spark, sf_dir):
-    q = RemoteQuery("edr3", center=(10, 20), width=[1], columns=["ra", "dec"], ranges=[("parallax", 0.5, 2)])
+    """The query for what lies around a table's own positions and values."""
+    from ..plans.remote import around
+
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 0 + F.when(F.col("c_custkey") % 2 == 0, 0.0).otherwise(360.0)).alias("ra"), F.when(F.col("c_custkey") % 3 == 0, 0.0).otherwise(90.0).alias("dec"), F.col("c_nationkey").alias("parallax"))
+    q = around(c, "edr3", "ra", "dec", columns=["ra", "dec"], ranges=["parallax"])
     return spark.createDataFrame([(q.text(),)], "text string")

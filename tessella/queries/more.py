@@ -38,9 +38,11 @@ def rpn_size(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", rpn.evaluate(df, "l_quantity 1 size")[-1].alias("result"))
 
 
-@query("rpn_makenew", "SELECT CAST(i.range AS INTEGER) AS x, CAST(j.range AS INTEGER) AS y, CAST(k.range AS INTEGER) AS z, CAST(0 AS DOUBLE) AS v FROM range(1, 31) i, range(1, 21) j, range(1, 6) k")
+@query("rpn_makenew", f"SELECT CAST(i.range AS INTEGER) AS x, CAST(j.range AS INTEGER) AS y, CAST(k.range AS INTEGER) AS z, CAST(0 AS DOUBLE) AS v FROM range(1, (SELECT max(x) FROM ({IMAGE})) + 1) i, range(1, (SELECT max(y) FROM ({IMAGE})) + 1) j, range(1, 4) k")
 def rpn_makenew(spark, sf_dir):
-    return gen.make_new(spark, [30, 20, 5])
+    """An empty cube as wide and high as the events' image."""
+    nx, ny = image(spark, sf_dir).agg(F.max("x"), F.max("y")).head()
+    return gen.make_new(spark, [nx, ny, 3])
 
 
 @query("crop_section", f"SELECT CAST(x - 4 AS INTEGER) AS x, CAST(y - 2 AS INTEGER) AS y, round(v, 6) AS v FROM ({IMAGE}) WHERE x BETWEEN 5 AND (SELECT max(x) FROM ({IMAGE})) - 3 AND y >= 3")
@@ -93,15 +95,15 @@ def polygon_clip(spark, sf_dir):
     return both.select("p_partkey", F.round(F.when(F.size("p") > 0, gen.polygon_area(F.col("p"))).otherwise(0.0), 4).alias("area"))
 
 
-@query("polygon_sort", "SELECT p_partkey, true AS sorted FROM part")
+@query("polygon_sort", "SELECT p_partkey, k AS corner, CASE WHEN k IN (2, 3) THEN CAST(p_size AS DOUBLE) ELSE 0 END AS x, CASE WHEN k IN (3, 4) THEN p_retailprice ELSE 0 END AS y FROM part, (VALUES (1), (2), (3), (4)) t(k)")
 def polygon_sort(spark, sf_dir):
     """Corners in disorder come back counter-clockwise."""
     w, h = F.col("p_size").cast("double"), F.col("p_retailprice")
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     zero = F.lit(0.0)
     mixed = F.array(at(w, h), at(zero, zero), at(zero, h), at(w, zero))
-    s = polygons.sort_counterclockwise(mixed)
-    return table(spark, sf_dir, "part").select("p_partkey", (polygons.is_counterclockwise(s) & polygons.is_convex(s)).alias("sorted"))
+    s = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(polygons.sort_counterclockwise(mixed)).alias("k", "p"))
+    return s.select("p_partkey", (F.col("k") + 1).alias("corner"), "p.x", "p.y")
 
 
 _GAPS = "SELECT event_type, event_id, CASE WHEN event_id % 7 <> 3 THEN value END AS v FROM events"
@@ -136,11 +138,23 @@ def interpolate_cspline(spark, sf_dir):
     return splines.fill_whole(_gaps(spark, sf_dir), "event_id", "value", ["event_type"], "cspline")
 
 
-@query("interpolate_polynomial", f"SELECT event_id, round(coalesce(y, (l * 2 + r) / 3), 6) AS value FROM (SELECT event_id, CASE WHEN event_id % 4 <> 1 THEN value END AS y, value AS v, lag(value) OVER w AS l, CASE WHEN event_id % 4 = 1 THEN lead(value, 2) OVER w END AS r FROM events WINDOW w AS (ORDER BY event_id)) WHERE event_id % 4 IN (0, 1, 3)")
+@query("interpolate_periodic")
+def interpolate_periodic(spark, sf_dir):
+    """The last known value of each type stands for the first, as a period asks for."""
+    e = _gaps(spark, sf_dir)
+    known = e.where(F.col("value").isNotNull()).groupBy("event_type").agg(F.max("event_id").alias("last"), F.min_by("value", "event_id").alias("start"))
+    closed = e.join(F.broadcast(known), "event_type")  # a row for each of five types
+    return splines.fill_whole(closed.select("event_type", "event_id", F.when(F.col("event_id") == F.col("last"), F.col("start")).otherwise(F.col("value")).alias("value")), "event_id", "value", ["event_type"], "periodic")
+
+
+@query(
+    "interpolate_polynomial",
+    "SELECT event_id, round(CASE WHEN k <> 1 THEN value WHEN n = 3 THEN a / 3 + c - d / 3 WHEN a IS NOT NULL AND c IS NOT NULL THEN (a + c) / 2 END, 6) AS value FROM"
+    " (SELECT event_id, value, event_id % 4 AS k, count(*) FILTER (event_id % 4 <> 1) OVER w AS n, max(CASE WHEN event_id % 4 = 0 THEN value END) OVER w AS a, max(CASE WHEN event_id % 4 = 2 THEN value END) OVER w AS c, max(CASE WHEN event_id % 4 = 3 THEN value END) OVER w AS d FROM events WINDOW w AS (PARTITION BY event_id // 4))",
+)
 def interpolate_polynomial(spark, sf_dir):
-    """Lines through the two known of every three events of four."""
-    e = table(spark, sf_dir, "events").where("event_id % 4 <> 2").withColumn("block", F.floor(F.col("event_id") / 4))
-    e = e.select("block", "event_id", F.when(F.col("event_id") % 4 != 1, F.col("value")).alias("value"))
+    """Parabolas through the three known of every four events."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("block"), "event_id", F.when(F.col("event_id") % 4 != 1, F.col("value")).alias("value"))
     return splines.fill_whole(e, "event_id", "value", ["block"], "polynomial").select("event_id", F.round("value", 6).alias("value"))
 
 

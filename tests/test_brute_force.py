@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.operators import blocks, detect, frequency, generators, grid, match, polygons, programs, splines, statistics, watershed
+from tessella.operators import blocks, catalog, detect, frequency, generators, grid, match, polygons, programs, splines, statistics, watershed
 from tessella.plans.skew import spread_join
 from tessella.plans.table import positions
 from tessella.queries import QUERIES, more
@@ -369,6 +369,46 @@ def test_splines(spark, name, spline):
         assert np.allclose(got[got["event_type"] == kind]["value"].to_numpy(float), want, equal_nan=True, atol=1e-9), kind
 
 
+@pytest.mark.parametrize("periodic", [False, True])
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_cubic_splines_by_blocks(spark, periodic, block):
+    rng = np.random.default_rng(block)
+    rows = []
+    for g, n in ((None, 40), ("a", 29), ("b", 2), ("c", 3), ("d", 22), ("e", 1)):
+        x = np.cumsum(rng.uniform(0.2, 2, n))
+        y = rng.normal(0, 1, n)
+        y[-1] = y[0] if periodic else y[-1]
+        rows += [(g, float(a), float(b)) for a, b in zip(x, y)]
+        rows += [(g, float(a), None) for a in rng.uniform(x[0] - 1, x[-1] + 1, 30)]
+    got = splines.fill_cubic(spark.createDataFrame(rows, "g string, x double, y double").repartition(5), "x", "y", ["g"], periodic, block).collect()
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        known = sorted((r[1], r[2]) for r in rows if r[0] == g and r[2] is not None)
+        x, y = map(np.array, zip(*known))
+        for r in got:
+            if r["g"] != g:
+                continue
+            if r["x"] in x:
+                assert r["y"] == y[list(x).index(r["x"])]
+            elif len(x) < 3 or not x[0] < r["x"] < x[-1]:
+                assert r["y"] is None
+            else:
+                assert math.isclose(r["y"], splines.cubic(x, y, np.array([r["x"]]), periodic)[0], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_periodic_query(spark):
+    got = run(spark, "interpolate_periodic")
+    e = table("events")
+    for kind, g in e.groupby("event_type"):
+        g = g.sort_values("event_id")
+        known = (g["event_id"] % 7 != 3).to_numpy()
+        x, y = g["event_id"].to_numpy(float)[known], g["value"].to_numpy()[known].copy()
+        y[-1] = y[0]
+        own = got[got["event_type"] == kind].set_index("event_id")["value"]
+        free = [i for i in g["event_id"] if i % 7 == 3 and x[0] < i < x[-1]]
+        assert np.allclose(own[free].to_numpy(float), splines.cubic(x, y, np.array(free, float), True), atol=1e-9)
+
+
 def test_periodic_and_polynomial():
     x = np.linspace(0, 2 * np.pi, 41)
     at = np.linspace(0.05, 6.2, 50)
@@ -398,7 +438,9 @@ def test_alignment(spark):
 # frequencies
 
 
-def test_frequencies(spark):
+@pytest.mark.parametrize("line", [1 << 14, 6])
+def test_frequencies(spark, monkeypatch, line):
+    monkeypatch.setattr(frequency, "LINE", line)
     rng = np.random.default_rng(8)
     v = rng.random((7, 9))
     cells = spark.createDataFrame([(i + 1, j + 1, float(v[j, i])) for j in range(7) for i in range(9)], "x int, y int, v double")
@@ -406,20 +448,27 @@ def test_frequencies(spark):
     want = {(i + 1, j + 1): sum(w * v[j - b, i - a] for (a, b), w in kernel.items() if 0 <= j - b < 7 and 0 <= i - a < 9) / 3.5 for j in range(7) for i in range(9)}
     got = {(r["x"], r["y"]): r["v"] for r in frequency.convolve(cells, kernel).collect()}
     assert all(math.isclose(got[c], w, abs_tol=1e-9) for c, w in want.items()) and len(got) == 63
+    if line < 10:
+        long = spark.createDataFrame([(0, k, float(z), 0.0) for k, z in enumerate(rng.random(37))], "y long, x long, re double, im double")
+        n1, n2 = frequency.padded(37)
+        assert n2 > 1 and n1 <= 10 and n1 * n2 >= 37
+        f = {r["u"]: complex(r["re"], r["im"]) for r in frequency.lines(long, "y", "x", (n1, n2), "u").collect()}
+        z = np.fft.fft([r["re"] for r in long.orderBy("x").collect()], n1 * n2)
+        assert len(f) == n1 * n2 and np.allclose([f[k] for k in range(n1 * n2)], z)
 
 
 # generators
 
 
 def test_profiles(spark):
-    want = {}
+    want, rows = {}, table("customer")["c_custkey"].max() // 5 + 1
     for k in table("customer")["c_custkey"]:
         kind = ("gaussian", "moffat", "sersic", "flat", "circum", "point", "distance")[k % 7]
-        cx, cy, pa, q, width, n = k * 7 % 50 + 1.0, k * 11 % 40 + 1.0, math.radians(k * 13 % 180), 0.7, 3.0, 2.5
+        cx, cy, pa, q, width, n = k * 7 % 50 + 1.0, k // 5 + 1.0, math.radians(k * 13 % 180), 0.7, 3.0, 2.5
         reach = 0.0 if kind == "point" else 6.0
         own = {}
         for x in range(max(math.ceil(cx - reach - 0.5), 1), min(math.floor(cx + reach + 0.5), 50) + 1):
-            for y in range(max(math.ceil(cy - reach - 0.5), 1), min(math.floor(cy + reach + 0.5), 40) + 1):
+            for y in range(max(math.ceil(cy - reach - 0.5), 1), min(math.floor(cy + reach + 0.5), rows) + 1):
                 dx, dy = x - cx, y - cy
                 r = math.hypot(dx * math.cos(pa) + dy * math.sin(pa), (dy * math.cos(pa) - dx * math.sin(pa)) / q)
                 if kind == "point":
@@ -436,9 +485,17 @@ def test_profiles(spark):
 
 
 def test_noise_and_upper_limits(spark):
-    v = run(spark, "generate_noise")["v"]
-    assert len(v) == 2000 and abs(v.mean()) < 0.1 and abs(v.std() - 1) < 0.06
+    d, cells = run(spark, "generate_noise"), image_cells()
+    z = np.array([(r["v"] - cells[r["x"], r["y"]]) / 25 for _, r in d.iterrows()])
+    assert len(z) == len(cells) and abs(z.mean()) < 0.35 and abs(z.std() - 1) < 0.3
     u = run(spark, "upper_limit").set_index("label")
+    assert len(u) and (u["placed"] <= 50).all() and u["upperlimitquantile"].dropna().between(0, 1).all()
+
+
+def test_upper_limits_of_noise(spark):
+    g = generators.grid(spark, 60, 60).withColumn("v", F.randn(3))
+    label = F.when((F.col("x").between(10, 13)) & (F.col("y").between(10, 12)), 1).when((F.col("x").between(40, 42)) & (F.col("y").between(30, 34)), 2).otherwise(0)
+    u = catalog.upper_limit(g.withColumn("label", label.cast("long")), number=50).toPandas().set_index("label")
     assert list(u["placed"]) == [50, 50] and set(u.index) == {1, 2}
     for label, cells in ((1, 12), (2, 15)):  # a sum of so many deviates
         assert 0.6 < u.loc[label, "upperlimitonesigma"] / math.sqrt(cells) < 1.5
@@ -446,6 +503,26 @@ def test_noise_and_upper_limits(spark):
         assert math.isclose(u.loc[label, "upperlimitmag"], -2.5 * math.log10(u.loc[label, "upperlimit"]))
 
 
+def test_placements_across_blocks_equal_single_ones(spark, monkeypatch):
+    """Each trial's sum, cell by cell, with footprints in several blocks."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (23, 31))
+    v[5, 7] = np.nan
+    lab = np.zeros(v.shape, int)
+    lab[2:9, 3:12], lab[15:17, 20], lab[10:20, 25:28] = 1, 2, 7
+    d = as_cells(spark, v).join(spark.createDataFrame([(i + 1, j + 1, int(lab[j, i])) for j in range(23) for i in range(31)], "x int, y int, label long"), ["x", "y"])
+    whole = {r["label"]: r for r in catalog.upper_limit(d, number=12, tries=40).collect()}
+    of_cells = blocks.of_cells
+    monkeypatch.setattr(blocks, "of_cells", lambda cells, values, kinds=None: of_cells(cells, values, (), kinds, 6))
+    parts = {r["label"]: r for r in catalog.upper_limit(d, number=12, tries=40).collect()}
+    assert set(whole) == set(parts) == {1, 2, 7}
+    for k in whole:
+        assert all(a == b or math.isclose(a, b, rel_tol=1e-9) for a, b in zip(whole[k], parts[k])), k
+    free = (lab == 0) & ~np.isnan(v)
+    fits = sum(free[j : j + 2, i].all() for j in range(22) for i in range(31))
+    assert whole[2]["placed"] == 12 and fits > 300
+
+
 def test_data_sum(spark):
     total = 0
     for r in table("nation").itertuples(index=False):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Generator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -184,6 +184,7 @@ def report(df: DataFrame, value: str) -> DataFrame:
 # the mode
 
 GOLDEN = 1.618034
+SECTION = 0.38197
 LEAST_SYMMETRY = 0.2
 
 
@@ -196,85 +197,224 @@ def _nearest(a: np.ndarray, m: int, i: np.ndarray) -> np.ndarray:
     return np.where(inside & ~(up - mirrored < mirrored - a[m + j - 1]), j - 1, j)
 
 
-def mode_of_sorted(a: np.ndarray, mirror: float = 1.5, step_of: int = 1) -> tuple[float, float, float, float]:
-    """(mode, its quantile, symmetricity, value where symmetry ends) of sorted values, or of every ``step_of``-th of them.
+def _bracket(n: int) -> Generator[int, float, int]:
+    """Yields the ranks to be probed, is sent their departures, and returns the rank about which the mirror departs least.
 
-    The mode is the index at which the distribution mirrored about it departs least from the actual one,
-    found by golden sections between the quantiles 0.01 and 0.55.  Too little symmetry gives blanks.
+    A golden section between the quantiles 0.01 and 0.55, over probes at ranks; it ends when the bracket is narrower than
+    a hundredth of its middle.
     """
-    n = len(a)
-    none = (np.nan,) * 4
-    if not n:
-        return none
-    check = n // 2
-    step = check // 1000 if check > 1000 else 1
-
-    def allowed(m: int) -> int:
-        return int(mirror * (m * step_of) ** 0.5 / step_of)
-
-    def departure(m: int) -> float:
-        i = np.arange(1, min(check, m + 1, n - m), step)
-        if not len(i):
-            return 0
-        j, error = _nearest(a, m, i), allowed(m)
-        return np.inf if (i > j + error).any() else int(np.abs(i - j).max())
-
     low, high = rank_of_quantile(n, 0.01), rank_of_quantile(n, 0.55)
-    mid = int((high + GOLDEN * low) / (1 + GOLDEN))
-    at_mid = departure(mid)
-    while True:
-        right = high - mid > mid - low
-        probe = int(mid + 0.38197 * (high - mid)) if right else int(mid - 0.38197 * (mid - low))
-        if high - low < 0.01 * (mid + probe) or high - low <= 3:
+    best = int((high + GOLDEN * low) / (1 + GOLDEN))
+    least = yield best
+    while high - low > 3:
+        wider = high - best > best - low
+        probe = int(best + SECTION * (high - best)) if wider else int(best - SECTION * (best - low))
+        if high - low < 0.01 * (best + probe):
             break
-        d = departure(probe)
-        if d == np.inf:  # the mirror lies beyond the distribution: look lower
-            if mid < probe:
-                high = probe
-            else:
-                high, mid, at_mid = mid, probe, d
-        elif d < at_mid:
-            low, high = (mid, high) if right else (low, mid)
-            mid, at_mid = probe, d
-        elif right:
-            high = probe
+        found = yield probe
+        if found == np.inf:  # the mirror reaches beyond the distribution: look lower
+            high, better = max(best, probe), probe < best
         else:
-            low = probe
-    m = (low + high) // 2
+            better = found < least
+            if better == wider:
+                low = min(best, probe)
+            else:
+                high = max(best, probe)
+        if better:
+            best, least = probe, found
+    return (low + high) // 2
+
+
+def _probes(n: int, m: int) -> np.ndarray:
+    """How far below rank m the mirror is looked at: about a thousand places of a large distribution."""
+    half = n // 2
+    return np.arange(1, min(half, m + 1, n - m), half // 1000 if half > 1000 else 1)
+
+
+def _departure(i: np.ndarray, j: np.ndarray, m: int, mirror: float) -> float:
+    """The greatest difference of a rank and its mirror's; infinite if a mirror lies too far within."""
+    if not len(i):
+        return 0
+    return np.inf if (i > j + int(mirror * m**0.5)).any() else int(np.abs(i - j).max())
+
+
+def _symmetry(n: int, m: int, middle: float, start: float, end: float) -> tuple[float, float, float, float]:
+    symmetry = 0.0 if end == start else (end - middle) / (middle - start)
+    return (float(middle), m / (n - 1), float(symmetry), float(end)) if symmetry > LEAST_SYMMETRY else (np.nan,) * 4
+
+
+def mode_of_sorted(a: np.ndarray, mirror: float = 1.5) -> tuple[float, float, float, float]:
+    """(mode, its quantile, symmetricity, value where symmetry ends) of sorted values.
+
+    The mode is the rank at which the distribution mirrored about it departs least from the actual one.  Too
+    little symmetry gives blanks.
+    """
+    n = len(a)
+    if not n:
+        return (np.nan,) * 4
+    search = _bracket(n)
+    try:
+        m = next(search)
+        while True:
+            i = _probes(n, m)
+            m = search.send(_departure(i, _nearest(a, m, i), m, mirror))
+    except StopIteration as done:
+        m = done.value
     top = min(2 * m, n - 1)
     start = a[rank_of_quantile(2 * m + 1, 0.01)]
     if a[m] <= start:
-        return none
+        return (np.nan,) * 4
     i = np.arange(1, max(top - m, 1))
-    apart = np.flatnonzero(np.abs(i - _nearest(a, m, i)) > allowed(m)) if len(i) else []
-    end = a[m + i[apart[0]]] if len(apart) else a[top]
-    symmetry = 0.0 if end == start else (end - a[m]) / (a[m] - start)
-    return (float(a[m]), m / (n - 1), float(symmetry), float(end)) if symmetry > LEAST_SYMMETRY else none
+    apart = np.flatnonzero(np.abs(i - _nearest(a, m, i)) > int(mirror * m**0.5)) if len(i) else []
+    return _symmetry(n, m, a[m], start, a[m + i[apart[0]]] if len(apart) else a[top])
 
 
-#: A group with more values is searched on as many of them, evenly spaced in rank.
+#: A larger group is searched by probes on its ranked values, the same search with the same result.
 MODE_VALUES = 1 << 20
 
 
+def _asked(rows: DataFrame, keys: list[str], wanted: dict[tuple, np.ndarray], by_rank: bool) -> dict[tuple, dict[int, tuple]]:
+    """For each group and place in its sorted ``wanted``: the value at that rank; or of a value, how many lie at or below it, the last
+    of these and the first above.
+
+    rows: keys, v, n, upto of ``ranked``.  One pass; what is wanted has about a thousand places for each group.
+    """
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(frames):
+        for d in frames:
+            out = []
+            for key, g in d.groupby(keys, dropna=False, sort=False):
+                w = wanted.get(tuple(None if x != x else x for x in key))
+                if w is None:
+                    continue
+                v, n, upto = g["v"].to_numpy(), g["n"].to_numpy(), g["upto"].to_numpy()
+                if by_rank:
+                    first, last = np.searchsorted(w, upto - n, "left"), np.searchsorted(w, upto, "left")
+                    hit = np.repeat(np.arange(len(v)), last - first)
+                    place = np.arange(len(hit)) - np.repeat(np.cumsum(last - first) - last, last - first)
+                    part = pd.DataFrame({"place": place, "most": v[hit], "upto": 0, "least": 0.0})
+                else:  # a value counts for the first wanted one at or above it, and so for all behind
+                    at = pd.DataFrame({"place": np.searchsorted(w, v, "left"), "most": v, "upto": upto, "least": v})
+                    part = at.groupby("place", as_index=False).agg(most=("most", "max"), upto=("upto", "max"), least=("least", "min"))
+                out.append(part.assign(**dict(zip(keys, key))))
+            if out:
+                yield pd.concat(out)[[*keys, "place", "most", "upto", "least"]]
+
+    got = rows.mapInPandas(run, f"{kinds}, place long, most double, upto long, least double").groupBy(*keys, "place").agg(F.max("most").alias("most"), F.max("upto").alias("upto"), F.min("least").alias("least"))
+    out: dict[tuple, dict[int, tuple]] = {}
+    for r in got.collect():
+        out.setdefault(tuple(r[k] for k in keys), {})[r["place"]] = (r["most"], r["upto"], r["least"])
+    return out
+
+
+def _values_at(rows: DataFrame, keys: list[str], ranks: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
+    """The values at ranks (from 0, in any order) of each group."""
+    unique = {k: np.unique(r) for k, r in ranks.items()}
+    got = _asked(rows, keys, unique, True)
+    return {k: np.array([got[k][p][0] for p in range(len(unique[k]))])[np.searchsorted(unique[k], r)] for k, r in ranks.items()}
+
+
+def _ranks_near(rows: DataFrame, keys: list[str], mirrored: dict[tuple, np.ndarray], middles: dict[tuple, int], sizes: dict[tuple, int]) -> dict[tuple, np.ndarray]:
+    """How far above each group's middle rank the element nearest to each mirrored value lies."""
+    unique = {k: np.unique(v) for k, v in mirrored.items()}
+    got, out = _asked(rows, keys, unique, False), {}
+    for k, v in mirrored.items():
+        size, mine = len(unique[k]), got.get(k, {})
+        most, upto, least = (np.array([mine.get(p, (-np.inf, 0, np.inf))[c] for p in range(size + 1)], float) for c in range(3))
+        below, count = np.maximum.accumulate(most)[:size], np.maximum.accumulate(upto)[:size]
+        above = np.minimum.accumulate(least[::-1])[::-1][1:]
+        at = np.searchsorted(unique[k], v)
+        j = count[at] - middles[k]
+        inside = j < sizes[k] - middles[k]
+        out[k] = np.where(inside & ~(above[at] - v < v - below[at]), j - 1, j)
+    return out
+
+
+def _first_apart(rows: DataFrame, keys: list[str], state: dict[tuple, tuple[int, int, float]], mirror: float) -> dict[tuple, int]:
+    """The first step i from each group's middle rank at which the mirror is further from its rank than is allowed, if any.
+
+    state: rank, number and value of the middle.  The values below it, mirrored, are laid among those above; how many of
+    these lie at or below each comes from sums over ranges, and a run of equal values is decided as a whole.
+    """
+    spark = rows.sparkSession
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    known = F.broadcast(spark.createDataFrame([(*k, m, n, v) for k, (m, n, v) in state.items()], f"{kinds}, _m long, _size long, _mid double"))  # large groups only
+    named = known.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`_{k}`"))
+    d = rows.join(named, on).drop(*[f"_{k}" for k in keys])
+    reach = F.least(2 * F.col("_m"), F.col("_size") - 1) - F.col("_m") - 1  # steps looked at
+    lower = d.where((F.col("upto") - F.col("n") < F.col("_m")) & (F.col("upto") > F.col("_m") - reach) & (reach > 0)).select(
+        *keys, (2 * F.col("_mid") - F.col("v")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("upto"), F.lit(None).cast("double").alias("own"),
+        F.greatest(F.lit(1), F.col("_m") - F.col("upto") + 1).alias("from"), F.least(reach, F.col("_m") - F.col("upto") + F.col("n")).alias("to"), "_m", "_size",
+    )
+    upper = d.where(F.col("upto") > F.col("_m")).select(*keys, F.col("v").alias("at"), F.lit(0).alias("kind"), "upto", F.col("v").alias("own"), F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("to"), "_m", "_size")
+    dealt = cut(upper.unionByName(lower).repartitionByRange(*keys, "at", "kind").withColumn("_part", F.spark_partition_id()), "mirrors")
+    ends = dealt.groupBy(*keys, "_part").agg(F.max("upto").alias("_u"), F.max("own").alias("_last"), F.min("own").alias("_next"))
+    order = W.partitionBy(*keys).orderBy("_part")
+    before, behind = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    ends = ends.select(*[F.col(f"`{k}`").alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), F.max("_u").over(before).alias("_bu"), F.max("_last").over(before).alias("_bl"), F.min("_next").over(behind).alias("_bn"))
+    on = F.col("_part") == F.col("_p")
+    for k in keys:
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`_{k}`"))
+    own = W.partitionBy(*keys, "_part").orderBy("at", "kind")
+    back, ahead = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(0, W.unboundedFollowing)
+    laid = dealt.withColumns({"_u": F.max("upto").over(back), "_l": F.max("own").over(back), "_n": F.min("own").over(ahead)}).where("kind = 1").join(ends, on)
+    count, low, up = F.coalesce("_u", "_bu", F.col("_m") + 0), F.coalesce("_l", "_bl"), F.coalesce("_n", "_bn")
+    j = count - F.col("_m")
+    near = F.when((j < F.col("_size") - F.col("_m")) & ~F.coalesce(up - F.col("at") < F.col("at") - low, F.lit(False)), j - 1).otherwise(j)
+    allowed = F.floor(F.lit(mirror) * F.sqrt(F.col("_m").cast("double")))
+    first = F.when(F.abs(F.col("from") - near) > allowed, F.col("from")).when(F.col("to") > near + allowed, F.greatest(F.col("from"), near + allowed + 1))
+    return {tuple(r[k] for k in keys): r["i"] for r in laid.groupBy(*keys).agg(F.min(first).alias("i")).where("i IS NOT NULL").collect()}
+
+
+def _modes_of_large(rows: DataFrame, keys: list[str], sizes: dict[tuple, int], mirror: float) -> list[tuple]:
+    """(keys, mode, modequant, modesym, modesymvalue) of large groups, whose searches go on side by side."""
+    searches = {k: _bracket(n) for k, n in sizes.items()}
+    asked, middles = {k: next(s) for k, s in searches.items()}, {}
+    while asked:
+        steps = {k: _probes(sizes[k], m) for k, m in asked.items()}
+        values = _values_at(rows, keys, {k: np.append(m, m - steps[k]) for k, m in asked.items()})
+        near = _ranks_near(rows, keys, {k: 2 * v[0] - v[1:] for k, v in values.items()}, asked, sizes)
+        following = {}
+        for k, m in asked.items():
+            try:
+                following[k] = searches[k].send(_departure(steps[k], near[k], m, mirror))
+            except StopIteration as done:
+                middles[k] = done.value
+        asked = following
+    places = _values_at(rows, keys, {k: np.array([m, rank_of_quantile(2 * m + 1, 0.01), min(2 * m, sizes[k] - 1)]) for k, m in middles.items()})
+    rising = {k: v for k, v in places.items() if v[0] > v[1]}
+    apart = _first_apart(rows, keys, {k: (middles[k], sizes[k], float(v[0])) for k, v in rising.items()}, mirror) if rising else {}
+    ends = _values_at(rows, keys, {k: np.array([middles[k] + i]) for k, i in apart.items()}) if apart else {}
+    return [(*k, *(_symmetry(sizes[k], middles[k], v[0], v[1], float(ends[k][0]) if k in ends else v[2]) if k in rising else (np.nan,) * 4)) for k, v in places.items()]
+
+
 def mode(df: DataFrame, keys: list[str], value: str, mirror: float = 1.5, most: int = MODE_VALUES) -> DataFrame:
     """keys, mode, modequant, modesym, modesymvalue of each group.
 
-    The search looks at ranks only, so of a group with more than ``most`` values every k-th by rank stands
-    for all, and the mirror's tolerance is that of the whole group; no task holds more than ``most`` values.
+    Groups of up to ``most`` values are searched in one task each.  The search of a larger one looks at about a thousand
+    ranks at a time, each time in two passes over its ranked values; its bracket, of which there is one for
+    ``most`` values at least, is held by the driver.
     """
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", mode double, modequant double, modesym double, modesymvalue double"
-    rows = ranked(df, keys, value).withColumn("step", F.ceil(F.col("total") / most))
-    # ranks 1, 1 + step, ... that fall on the row
-    ticks = F.floor((F.col("upto") - 1) / F.col("step")) - F.floor((F.col("upto") - F.col("n") - 1) / F.col("step"))
-    rows = rows.withColumn("ticks", ticks).where("ticks > 0").select(*keys, F.col(value).cast("double").alias("v"), "ticks", "step")
+    rows = cut(ranked(df, keys, value).select(*keys, F.col(value).cast("double").alias("v"), "n", "upto", "total"), "ranked")
+    large = {tuple(r[k] for k in keys): r["total"] for r in rows.where(F.col("total") > most).select(*keys, "total").distinct().collect()}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("v")
-        got = mode_of_sorted(np.repeat(group["v"].to_numpy(), group["ticks"].to_numpy()), mirror, int(group["step"].iloc[0]))
+        got = mode_of_sorted(np.repeat(group["v"].to_numpy(), group["n"].to_numpy()), mirror)
         head = group[keys].iloc[:1].reset_index(drop=True)
         return head.assign(**dict(zip(("mode", "modequant", "modesym", "modesymvalue"), got)))
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    out = rows.where(F.col("total") <= most).groupBy(*keys).applyInPandas(run, schema)
+    if not large:
+        return out
+    found = _modes_of_large(rows.where(F.col("total") > most), list(keys), large, mirror)
+    blank = lambda x: None if isinstance(x, float) and x != x else x
+    return out.unionByName(df.sparkSession.createDataFrame([tuple(map(blank, r)) for r in found], schema))
 
 
 # histograms

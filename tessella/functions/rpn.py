@@ -197,17 +197,30 @@ def column_operand(df: DataFrame, token: str) -> Operand:
     return Operand(c, "int" if numbers.is_integer(kind) else "text")
 
 
-def evaluate(df: DataFrame, tokens: str | list[str], wcs: sky.TangentPlane | None = None) -> list[Column]:
-    """The columns that the tokens leave on the stack, first pushed first.  The last token must be an operator."""
+FILE_TOKENS = ("tofile-", "tofilefree-")
+
+
+def evaluate(df: DataFrame, tokens: str | list[str], wcs: sky.TangentPlane | None = None, files: dict[str, Column] | None = None) -> list[Column]:
+    """The columns that the tokens leave on the stack, first pushed first.  The last token must be an operator.
+
+    With ``files``, tofile-NAME puts the top of the stack there under its name and tofilefree-NAME also takes it off;
+    ``plans.side_files`` writes them.
+    """
     tokens = tokens.split() if isinstance(tokens, str) else list(tokens)
     stack: list[Operand] = []
     bound: dict[str, Operand] = {}
     last = tokens[-1] if tokens else ""
-    if last not in OPERATORS and last not in ("wcstoimg", "imgtowcs", "size", *REDUCTIONS):
+    if last not in OPERATORS and last not in ("wcstoimg", "imgtowcs", "size", *REDUCTIONS) and not (files is not None and last.startswith(FILE_TOKENS)):
         raise ValueError("the last token must be an operator")
     for at, token in enumerate(tokens):
         if token.startswith("set-"):
             bound[token[4:]] = stack.pop()
+        elif token.startswith(FILE_TOKENS):
+            name = token.partition("-")[2]
+            if files is None or not stack or not name or "/" in name or name in files:
+                raise ValueError(f"{token} needs an operand, and a name of its own among files that are to be written")
+            files[name] = stack[-1].column
+            stack = stack[:-1] if token.startswith("tofilefree-") else stack
         elif token in bound:
             stack.append(bound[token])
         elif token in ("wcstoimg", "imgtowcs"):

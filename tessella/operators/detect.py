@@ -90,18 +90,15 @@ def clump_pairs(flooded: DataFrame, var: float, least: int = 2, sn: float = 1.0,
 # outliers among tiles
 
 
-FEW_TILES = 20
-
-
 def tile_outliers_global(tiles: DataFrame, value: str = "v", sigma: float = 5.0, clip: tuple[float, float] = (3.0, 0.2)) -> DataFrame:
     """The tiles with those values blanked that lie beyond the first wide gap above the median, or below it.
 
     A gap is wide if it lies more than ``sigma`` clipped deviations above those of the half of all values before
-    it.  Fewer than ``FEW_TILES`` values say too little and stay.
+    it.  Windows of up to two tiles say nothing, and all stay.
     """
     n = tiles.where(F.col(value).isNotNull()).count()
     window = n // 2
-    if n < FEW_TILES:
+    if window <= 2:
         return tiles
     d = tiles.withColumn("_g", F.lit(1))
     low = d.withColumn("_v", -F.col(value))

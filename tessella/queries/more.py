@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rpn, sky
 from ..operators import detect, frequency, grid, polygons, programs, splines
 from ..operators import generators as gen
+from ..plans import side_files
+from ..plans.lineage import shared_dir
+from ..sources import registry
 from .grids import HOLED, IMAGE, holed, image
 from .registry import ORACLES, QUERIES, query, table
 
@@ -38,6 +43,16 @@ def rpn_size(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", rpn.evaluate(df, "l_quantity 1 size")[-1].alias("result"))
 
 
+@query("rpn_tofile", "SELECT l_orderkey, l_linenumber, 'result' AS kind, l_extendedprice * l_discount / l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'file', l_extendedprice * l_discount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'freed', l_tax + l_quantity FROM lineitem")
+def rpn_tofile(spark, sf_dir):
+    """An expression's result, and the files that it writes on the way, read back."""
+    folder, keys = f"{shared_dir(spark)}/{uuid.uuid4().hex}", ["l_orderkey", "l_linenumber"]
+    out = side_files.evaluate(table(spark, sf_dir, "lineitem"), "l_tax l_quantity + tofilefree-freed.fits l_extendedprice l_discount x tofile-product.parquet l_quantity /", folder, keys)
+    parts = [out.withColumnRenamed("ARITH_1", "v"), spark.read.parquet(f"{folder}/product.parquet").withColumnRenamed("value", "v"), registry.read(spark, f"{folder}/freed.fits").withColumnRenamed("value", "v")]
+    named = [d.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), F.lit(kind).alias("kind"), "v") for d, kind in zip(parts, ("result", "file", "freed"))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 @query("rpn_makenew", f"SELECT CAST(i.range AS INTEGER) AS x, CAST(j.range AS INTEGER) AS y, CAST(k.range AS INTEGER) AS z, CAST(0 AS DOUBLE) AS v FROM range(1, (SELECT max(x) FROM ({IMAGE})) + 1) i, range(1, (SELECT max(y) FROM ({IMAGE})) + 1) j, range(1, 4) k")
 def rpn_makenew(spark, sf_dir):
     """An empty cube as wide and high as the events' image."""

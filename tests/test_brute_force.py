@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessella.operators import blocks, catalog, detect, frequency, generators, grid, match, polygons, programs, splines, statistics, watershed
+from tessella.plans import side_files
 from tessella.plans.skew import spread_join
 from tessella.plans.table import positions
 from tessella.queries import QUERIES, more
@@ -331,9 +332,21 @@ def test_tile_outliers(spark):
     for f in (lambda t: detect.tile_outliers_global(t, sigma=100.0), lambda t: detect.tile_outliers_local(t, sigma=30.0)):
         got = {(r["tx"], r["ty"]): r["v"] for r in f(d).collect()}
         assert got == {(x, y): None if v == 400.0 else v for x, y, v in rows}
-    for name in ("tile_outliers_global", "tile_outliers_local"):
-        t = run(spark, name)
-        assert t["v"].isna().sum() == t[(t["tx"] * 7 + t["ty"] * 5 == 24)].shape[0]
+    few = spark.createDataFrame([(k, 0, 1000.0 if k == 2 else float(k)) for k in range(5)], "tx int, ty int, v double")
+    assert detect.tile_outliers_global(few, sigma=0.1).where("v IS NULL").count() == 0
+    cells = image_cells()
+    tiles = {}
+    for (x, y), v in cells.items():
+        if (x * 7 + y * 3) % 11:
+            tiles.setdefault(((x - 1) // 4, (y - 1) // 3), []).append(v)
+    tiles = {k: np.mean(v) * (40 if k[0] * 7 + k[1] * 5 == 24 else 1) for k, v in tiles.items()}
+    v = np.sort(list(tiles.values()))
+    high, low = (np.flatnonzero(statistics.distance_hits(a, len(v) // 2, 20.0, (3.0, 0.2))) for a in (v, np.sort(-v)))
+    want = {k: None if (len(high) and x > v[high[0]]) or (len(low) and x < v[::-1][low[0]]) else x for k, x in tiles.items()}
+    got = {(int(r["tx"]), int(r["ty"])): None if np.isnan(r["v"]) else r["v"] for _, r in run(spark, "tile_outliers_global").iterrows()}
+    assert set(got) == set(want) and all((got[k] is None) == (x is None) and (x is None or math.isclose(got[k], x)) for k, x in want.items())
+    t = run(spark, "tile_outliers_local")
+    assert t["v"].isna().sum() == t[(t["tx"] * 7 + t["ty"] * 5 == 24)].shape[0]
 
 
 # interpolation along a column
@@ -546,6 +559,20 @@ def test_data_sum(spark):
 # matching, joins and sinks
 
 
+def test_files_on_the_way(spark, tmp_path):
+    d = spark.createDataFrame([(1, 2.0, 3.0), (2, None, 5.0)], "k long, a double, b double")
+    out = side_files.evaluate(d, "a b + tofile-sum.parquet b x", str(tmp_path), ["k"])
+    assert sorted(map(tuple, out.collect())) == [(1, 15.0), (2, None)]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/sum.parquet").collect())) == [(1, 5.0), (2, None)]
+    with pytest.raises(ValueError):  # it is there already
+        side_files.evaluate(d, "a b + tofile-other.parquet tofile-sum.parquet b x", str(tmp_path), ["k"])
+    assert not (tmp_path / "other.parquet").exists()
+    assert side_files.evaluate(d, "a tofilefree-a.txt", str(tmp_path), ["k"]).columns == ["k"]
+    for tokens in ("tofile-x.parquet a b +", "a b + tofile-", "a b + tofile-../y b x"):
+        with pytest.raises(ValueError):
+            side_files.evaluate(d, tokens, str(tmp_path))
+
+
 def test_nearest_is_never_lost(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e9, 1e9), (3, None, 0.0), (4, 3.0, 4.0)], "id long, x double, y double")
     b = spark.createDataFrame([(10, 3.0, 4.0), (11, -1e6, 0.0)], "id long, x double, y double")

@@ -81,11 +81,11 @@ def head(spark: SparkSession, path: str) -> list[str]:
     return [] if names is None or names[0] is None else [r[0] for r in spark.read.text(names[0]).limit(HEADER_LINES).collect()]
 
 
-def read_text_table(spark: SparkSession, path: str, columns: int | None = None) -> DataFrame:
+def read_text_table(spark: SparkSession, path: str, columns: int | None = None, header: list[str] | None = None) -> DataFrame:
     """The table at ``path``.  Only the ``HEADER_LINES`` first lines of its first file that isn't empty, of which the
-    comments are the header, and one data line to count columns come to the driver."""
+    comments are the header, and one data line to count columns come to the driver; the former only without ``header``."""
     lines = spark.read.text(path)
-    info = parse_header([line for line in head(spark, path) if line.startswith("#")])
+    info = parse_header([line for line in (head(spark, path) if header is None else header) if line.startswith("#")])
     data = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     if columns is None:
         first = data.head()
@@ -141,10 +141,11 @@ def read_text_image(spark: SparkSession, path: str, blank: str = "") -> DataFram
 def read_stream(spark: SparkSession, stream: Iterable[str], chunk: int = 100_000, **options) -> DataFrame:
     """A text table from an open stream, such as standard input; it is written to the shared folder a chunk at a time."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    lines = iter(stream)
+    lines, header = iter(stream), []
     for k in itertools.count():
         part = [(x.rstrip("\n"),) for x in itertools.islice(lines, chunk)]
+        header += [x for (x,) in part if x.startswith("#")][: HEADER_LINES - len(header)]
         if part or not k:
             spark.createDataFrame(part, "value string").coalesce(1).write.mode("append").text(path)
         if len(part) < chunk:
-            return read_text_table(spark, path, **options)
+            return read_text_table(spark, path, header=header, **options)

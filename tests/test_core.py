@@ -253,7 +253,7 @@ def test_stacks_hold_every_event_type(spark, tmp_path):
     want |= {"sigclip_number": len(left), "sigclip_median": np.median(kept), "sigclip_mean": kept.mean(), "sigclip_std": kept.std()}
     got = {k: QUERIES[f"stack_{k}"](spark, str(tmp_path)).collect() for k in want}
     for k, x in want.items():
-        assert [(r["x"], r["y"]) for r in got[k]] == [(4, 2)] and math.isclose(got[k][0]["v"], x, abs_tol=1e-9), (k, got[k])
+        assert [(r["x"], r["y"]) for r in got[k]] == [(4, 2)] and math.isclose(got[k][0]["v"], x, abs_tol=1e-6), (k, got[k])
     assert sorted((r["z"], r["v"]) for r in QUERIES["grid_add_dimension"](spark, str(tmp_path)).collect()) == list(zip(range(1, 7), v))
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import rpn, sky
-from ..operators import detect, frequency, grid, polygons, programs, splines
+from ..operators import detect, frequency, grid, polygons, programs, splines, tessellation
 from ..operators import generators as gen
 from ..plans import side_files
 from ..plans.lineage import shared_dir
@@ -277,3 +277,50 @@ def tile_outliers_global(spark, sf_dir):
 @query("tile_outliers_local")
 def tile_outliers_local(spark, sf_dir):
     return detect.tile_outliers_local(_tiles(spark, sf_dir), sigma=8.0)
+
+
+def _tessellation(spark, sf_dir):
+    """Three channels of eight columns each, in tiles of 3 x 7."""
+    return tessellation.Tessellation([24, image(spark, sf_dir).agg(F.max("y")).head()[0]], [3, 7], [3, 1], 0.3)
+
+
+# 8 columns a channel leave 2, more than 0.3 of 3: 2 + 3 + 3.  The rows' remainder depends on their number.
+_ROWS = f"r AS (SELECT ny, ny % 7 AS rest, CASE WHEN 7 >= ny THEN ny WHEN ny % 7 = 0 THEN 7 WHEN ny % 7 > 2.1 THEN (ny % 7 + 7) // 2 ELSE ny % 7 + 7 END AS first, CASE WHEN 7 >= ny THEN 1 WHEN ny % 7 > 2.1 THEN ny // 7 + 1 ELSE ny // 7 END AS n FROM (SELECT CAST(max(y) AS BIGINT) AS ny FROM ({IMAGE})))"
+_TILED = f"WITH {_ROWS}, c AS (SELECT x, y, v, (x - 1) // 8 AS channel, CASE WHEN (x - 1) % 8 < 2 THEN 0 ELSE ((x - 1) % 8 - 2) // 3 + 1 END AS tx, CASE WHEN y - 1 < first THEN 0 ELSE least((y - 1 - first) // 7 + 1, n - 1) END AS ty, n FROM ({IMAGE}), r)"
+_PLACED = "CAST(channel * 3 * n + ty * 3 + tx AS BIGINT) AS tile, CAST(ty * 9 + channel * 3 + tx AS BIGINT) AS place"
+
+
+@query("tessellation_ids", f"{_TILED} SELECT x, y, CAST(channel AS BIGINT) AS channel, {_PLACED} FROM c")
+def tessellation_ids(spark, sf_dir):
+    t = _tessellation(spark, sf_dir)
+    d = image(spark, sf_dir).select("x", "y", t.channel().alias("channel"), t.tile().cast("long").alias("tile"))
+    return d.withColumn("place", t.place(F.col("tile")).cast("long"))
+
+
+@query("tessellation_statistics", f"{_TILED} SELECT tile, place, count(*) AS number, round(sum(v), 4) AS sum, max(v) AS top FROM (SELECT {_PLACED}, v FROM c) GROUP BY tile, place")
+def tessellation_statistics(spark, sf_dir):
+    got = _tessellation(spark, sf_dir).statistics(image(spark, sf_dir), [F.count("*").alias("number"), F.round(F.sum("v"), 4).alias("sum"), F.max("v").alias("top")])
+    return got.withColumns({n: F.col(n).cast("long") for n in ("tile", "place")})
+
+
+@query("tessellation_permutation", f"WITH {_ROWS} SELECT CAST(ty * 9 + channel * 3 + tx AS BIGINT) AS place, CAST(channel * 3 * n + ty * 3 + tx AS BIGINT) AS tile FROM r, (SELECT range AS channel FROM range(3)), (SELECT range AS tx FROM range(3)), (SELECT range AS ty FROM range((SELECT n FROM r)))")
+def tessellation_permutation(spark, sf_dir):
+    return _tessellation(spark, sf_dir).permutation(spark).select(F.col("place").cast("long"), "tile")
+
+
+# Weights whose sums are no round numbers, so that no mean lies half way between two roundings.
+_SLOPED = {(i, j): 1.0 / (1.37 + 1.13 * abs(i) + 2.21 * abs(j)) for i in (-2, -1, 0, 1, 2) for j in (-1, 0, 1)}
+_SLOPED_WEIGHTS = ", ".join(f"({i}, {j}, CAST({w!r} AS DOUBLE))" for (i, j), w in _SLOPED.items())
+_BY_CHANNEL = f"WITH m AS ({HOLED}) SELECT a.x, a.y, round(sum(b.v * k.w) / sum(k.w) FILTER (b.v IS NOT NULL), 6) AS v FROM m a JOIN (VALUES {_SLOPED_WEIGHTS}) k(i, j, w) ON true LEFT JOIN m b ON b.x = a.x - k.i AND b.y = a.y - k.j{{}} GROUP BY a.x, a.y"
+
+
+@query("convolve_channels", _BY_CHANNEL.format(" AND (b.x - 1) // 8 = (a.x - 1) // 8"))
+def convolve_channels(spark, sf_dir):
+    return _tessellation(spark, sf_dir).convolve(holed(spark, sf_dir), _SLOPED).withColumn("v", F.round("v", 6))
+
+
+@query("convolve_channel_edges", _BY_CHANNEL.format(""))
+def convolve_channel_edges(spark, sf_dir):
+    """Convolved by channels and corrected at their edges: as if there were none."""
+    t, cells = _tessellation(spark, sf_dir), holed(spark, sf_dir)
+    return t.correct_edges(cells, t.convolve(cells, _SLOPED), _SLOPED).withColumn("v", F.round("v", 6))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.operators import blocks, catalog, detect, frequency, generators, grid, match, polygons, programs, splines, statistics, watershed
+from tessella.operators import blocks, catalog, detect, frequency, generators, grid, match, polygons, programs, splines, statistics, tessellation, watershed
 from tessella.plans import side_files
 from tessella.plans.skew import spread_join
 from tessella.plans.table import positions
@@ -349,6 +349,37 @@ def test_tile_outliers(spark):
     assert t["v"].isna().sum() == t[(t["tx"] * 7 + t["ty"] * 5 == 24)].shape[0]
 
 
+@pytest.mark.parametrize("sizes, widths, channels, remainder", [((24, 30), (3, 7), (3, 1), 0.3), ((12, 20), (5, 30), (2, 4), 0.1), ((10, 9), (4, 4), (1, 3), 0.9), ((6, 6), (2, 2), (6, 2), 0.5)])
+def test_two_layers_by_brute_force(spark, sizes, widths, channels, remainder):
+    """Tiles laid out one by one, channel after channel."""
+    t = tessellation.Tessellation(sizes, widths, channels, remainder)
+    want, starts, number = {}, [], 0
+    spans = []
+    for k in (0, 1):
+        size = sizes[k] // channels[k]
+        first, count = tessellation.along(size, widths[k], remainder)
+        cuts = [0, *range(first, size, widths[k])][:count] + [size]
+        assert len(cuts) == count + 1 and all(b - a == widths[k] for a, b in zip(cuts[1:-2], cuts[2:-1]))
+        spans.append((size, cuts))
+    for cy in range(channels[1]):
+        for cx in range(channels[0]):
+            for j in range(len(spans[1][1]) - 1):
+                for i in range(len(spans[0][1]) - 1):
+                    (sx, xs), (sy, ys) = spans
+                    for y in range(cy * sy + ys[j], cy * sy + ys[j + 1]):
+                        for x in range(cx * sx + xs[i], cx * sx + xs[i + 1]):
+                            want[x + 1, y + 1] = (cy * channels[0] + cx, number)
+                    starts.append((cy * sy + ys[j], cx * sx + xs[i]))
+                    number += 1
+    d = generators.grid(spark, *sizes).select("x", "y", t.channel().alias("c"), t.tile().alias("t"))
+    assert {(r["x"], r["y"]): (r["c"], r["t"]) for r in d.collect()} == want and t.tiles == number
+    places = {r["tile"]: r["place"] for r in t.permutation(spark).collect()}
+    rows = sorted({y for y, _ in starts})
+    assert [k for k in sorted(range(number), key=lambda k: (rows.index(starts[k][0]), starts[k][1]))] == sorted(places, key=places.get)
+    with pytest.raises(ValueError):
+        tessellation.Tessellation((10, 10), (2, 2), (3, 1))
+
+
 # interpolation along a column
 
 

@@ -14,7 +14,8 @@ All paths meet there, so texts are cut at these boundaries and stretches between
 
 Defined results: a null text is the empty text and has no ids; characters that are in no piece become
 their bytes, or the unknown id where the model has none; decoding restores the normalised text; repeated
-rows are encoded alike; an empty table gives no rows; other columns pass unread.
+rows are encoded alike; an empty table gives no rows; other columns pass unread; a very long text is encoded whole, in
+one row, and needs memory for its ids and for one stretch between meeting points.
 """
 
 from __future__ import annotations

@@ -8,6 +8,13 @@ again as the next stage's documents, so a lost executor never costs more than th
 3. near-duplicates: the first document of each class stays
 4. secret scans: found secrets are masked
 5. packing: the documents' tokens are laid into sequences; returns the pieces
+
+Defined results of every stage: a null text is the empty text, which has too few words to pass the quality rules, but
+is packed as one end mark where a caller packs it; a null doc_id stays null, and a null source is a source of its
+own; repeated rows get one verdict each in stages 1 and 2, are one document to stage 3, of which the first row stays
+(of equal texts the one of the least doc_id, null ids last), and are masked and packed row by row in stages 4 and 5; an empty
+table gives an empty table; very long texts are read whole; further columns, whatever their names, come out as
+they were, until the last stage returns pieces.
 """
 
 from __future__ import annotations

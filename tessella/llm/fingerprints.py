@@ -1,12 +1,10 @@
 """Order MinHash fingerprints.
 
-A text's k-mers are its runs of five words, each numbered by how often it occurred before.  For each of ``GROUPS``
-tuples they have an order of their own: one hash deals them into as many groups, and those of the tuple's group come
-first, by that hash, then all others by a hash of k-mer and tuple.  The two first are taken, put back into the
-order in which the text has them, and hashed.  As the groups are dealt by chance, each order is a random one, as
-Order MinHash asks for; yet only texts of a few hundred words or less, whose groups don't hold two each, need
-more than one hash of a k-mer.  Two texts agree in a tuple only if they share the k-mers and their order, so the share
-of agreeing tuples follows edit distance.
+A text's k-mers are its runs of five words, each numbered by how often it occurred before.  One hash
+deals them into ``GROUPS`` groups, and each group makes a tuple of its two k-mers of least hash, put back into the order in
+which the text has them, and hashed.  A group without two of its own borrows the least k-mers of other groups, which it
+asks in an order of its own, so that texts of a few hundred words or less keep their order too.  Two texts agree in a
+tuple only if they share the k-mers and their order, so the share of agreeing tuples follows edit distance.
 
 Only DataFrame functions are used.  Hash and position are packed in one long, so that the selection is
 a sort of primitive arrays within a row; occurrence numbers are found by binary search in the sorted
@@ -21,6 +19,8 @@ a row can't hold more words, at 16 bytes each in its 2 GB; an empty table gives
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +39,15 @@ STEPS = [1 << b for b in range(PLACE_BITS - 1, -1, -1)]
 SPACES = r"[ \t-\r]+"
 
 
+def turns_of(g: int) -> list[int]:
+    """When the group ``g`` asks each group for a k-mer: itself first, the others in an order drawn by a hash."""
+    order = sorted(range(GROUPS), key=lambda d: (d != g, hashlib.md5(f"{g}, {d}".encode()).digest()))
+    return [order.index(d) for d in range(GROUPS)]
+
+
+TURNS = [turns_of(g) for g in range(GROUPS)]
+
+
 def _high(x: Column) -> Column:
     return F.shiftright(x, PLACE_BITS)
 
@@ -79,15 +88,20 @@ def signature(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(f"{c}_full", full)
     numbers = lambda s: F.transform(s, lambda x: F.shiftright(x, 32))
 
+    heads, owners = f"{c}_heads", f"{c}_owners"
+    df = df.withColumn(heads, F.filter(c, lambda x, k: F.coalesce(group(nth(k - 1)) != group(x), F.lit(True))))
+    df = df.withColumn(owners, F.transform(heads, lambda x: group(x).bitwiseAND(F.lit(GROUPS - 1)).cast("int")))
+    turns = F.expr("array(" + ", ".join(f"array({', '.join(map(str, row))})" for row in TURNS) + ")")
+    head = lambda o, i: F.get(F.col(heads), F.get(o, F.lit(i)) % 128)
+
     def filled(g: Column) -> Column:
-        """The tuple of a group without two k-mers of its own: all k-mers in the tuple's order, their indices in the low bits."""
-        key = lambda x, k: pack(F.when(group(x).bitwiseAND(F.lit(GROUPS - 1)) == g, F.lit(-(1 << 63))).otherwise(F.shiftrightunsigned(F.xxhash64(_high(x), g), 1)), k.cast("long"))
-        place = lambda o, i: F.get(F.col(b), F.get(o, F.lit(i)).bitwiseAND(F.lit(PLACE_MASK)).cast("int"))
-        two = F.slice(F.sort_array(F.transform(b, key)), 1, TUPLE)
-        return F.element_at(F.transform(F.array(two), lambda o: hashed(g, place(o, 0), place(o, 1))), 1)
+        """The tuple of a group without two k-mers of its own: the heads of the groups that come first by its turns."""
+        first = lambda turn: F.slice(F.sort_array(F.transform(owners, lambda d, k: F.get(turn, d) * 128 + k)), 1, TUPLE)
+        return F.element_at(F.transform(F.transform(F.array(F.get(turns, g.cast("int"))), first), lambda o: hashed(g, head(o, 0), head(o, 1))), 1)
 
     lacking = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long")), numbers(f"{c}_full"))
     df = df.withColumn(out, F.when(F.size(b) > 0, F.sort_array(F.concat(F.col(f"{c}_full"), F.transform(lacking, filled)))).otherwise(F.array().cast("array<long>")))
+    df = df.drop(heads, owners)
     return df.drop(w, a, b, c, f"{c}_full")
 
 

@@ -223,7 +223,7 @@ def detections(cells: DataFrame, s: Detection = Detection()) -> DataFrame:
             on = eroded(on, s.erode_reach, outside, firm)
         return {"first": p.core(opened(on, s.opening, s.opening_reach, outside)) & ~np.isnan(a["v"])}
 
-    b = b.mapped(first, {"first": "u1"}, s.erode * 1 + 2 * s.opening or 1, ["over"], drop=["over", *(["c"] if s.kernel else [])], tag="first")
+    b = b.mapped(first, {"first": "u1"}, max(1, s.erode + 2 * s.opening), ["over"], drop=["over", *(["c"] if s.kernel else [])], tag="first")
     b = b.labelled(lambda a: a["first"] > 0, 2, "label")
     b, tiles = with_background(b, "first", s)
     noise = cut(signal_to_noise(pseudo_detections(b, "label", True, s), "pseudo", tiles, s, but="label"), "noise")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessella.operators import blocks, catalog, detect, frequency, generators, grid, match, polygons, programs, splines, statistics, tessellation, watershed
-from tessella.plans import side_files
+from tessella.plans import lineage, side_files
 from tessella.plans.skew import spread_join
 from tessella.plans.table import positions
 from tessella.queries import QUERIES, more
@@ -590,6 +590,20 @@ def test_data_sum(spark):
 # matching, joins and sinks
 
 
+def test_scratch_deletes_all_but_what_is_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "shared_dir", lambda spark: str(tmp_path))
+    with lineage.scratch() as keep:
+        gone = lineage.cut(spark.range(3), "gone")
+        with lineage.scratch() as inner:
+            kept = keep(inner(lineage.cut(gone, "kept")))
+            lineage.cut(gone, "inner")
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"] and kept.count() == 3
+    with pytest.raises(RuntimeError), lineage.scratch():
+        lineage.cut(spark.range(3), "lost")
+        raise RuntimeError
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_files_on_the_way(spark, tmp_path):
     d = spark.createDataFrame([(1, 2.0, 3.0), (2, None, 5.0)], "k long, a double, b double")
     out = side_files.evaluate(d, "a b + tofile-sum.parquet b x", str(tmp_path), ["k"])

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import minhash, packing, quality_classifier, quality_rules, secrets
-from tessella.llm.common import cut, read_table
+from tessella.llm.common import cut, discard, read_table, scratch
 from tessella.llm.queries import tokenizer
 
 
@@ -63,10 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents, one after another."""
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, name)
-    return docs
+    """The stages over the documents, one after another; what a stage has written besides its result goes when that is there."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES[:-1]:
+        with scratch() as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir), name))
+        discard(*before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)

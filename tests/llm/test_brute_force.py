@@ -578,6 +578,31 @@ def test_pages_of_a_template_equal_brute_force(spark):
     assert len(got) > 40
 
 
+def test_a_group_of_copies_is_met_in_proportion_and_loses_no_link(spark):
+    """Near copies in one component beside single texts: join rows by the size of the group, links by brute force."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(120)]
+
+    def changed(times):
+        w = list(base)
+        for k in rng.sample(range(120), times):
+            w[k] = word()
+        return w
+
+    rows = []
+    for n in (100, 200, 400):
+        texts = [changed(1) for _ in range(n)] + [changed(2 + k % 4) for k in range(24)]
+        bags = minhash.numbered_elements(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "node long, text string").select("node", minhash.shingles(F.col("text")).alias("shingles"))).cache()
+        nodes = spark.createDataFrame([(k, 0 if k < n else k, n if k < n else 1) for k in range(len(texts))], "node long, comp long, size long")
+        rows.append(minhash.meetings(minhash.prefixes(nodes, bags, 0.8), 0.8).count())
+        got = {(r["a"], r["b"]) for r in minhash.similar(minhash.crossing(nodes, bags, 0.8), bags, 0.8).collect()}
+        bag = [Counter(zip(*(w[i:] for i in range(5)))) for w in texts]
+        like = lambda a, b: sum((bag[a] & bag[b]).values()) >= 0.8 * sum((bag[a] | bag[b]).values())  # noqa: B023, E731
+        assert got == {(a, b) for b in range(n, len(texts)) for a in range(b) if like(a, b)} and len(got) > n // 4
+    assert rows[1] < 2.6 * rows[0] and rows[2] < 2.6 * rows[1]
+
+
 # columns and ids
 
 

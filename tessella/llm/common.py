@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, discard, scratch, shared_dir  # noqa: F401  (the operators take them from here)
-from ..plans.skew import hot_keys, spread_both, spread_join  # noqa: F401
+from ..plans.skew import counted_join, hot_keys, spread_both, spread_join  # noqa: F401
 
 #: Rows in an Arrow batch.  With texts of a few KB a batch stays near 1 MB, and near 30 MB when every text is very long.
 BATCH_ROWS = 256

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, discard, held, hot_keys, lean, matched, pick, read_table, spread_both, spread_join, text_or_empty
+from .common import bounded_batches, counted_join, cut, discard, held, hot_keys, lean, matched, pick, read_table, spread_both, spread_join, text_or_empty
 
 K = 5
 THRESHOLD = 0.8
@@ -221,26 +221,24 @@ def sized(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(members: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b) that connect all alike nodes; members: (key, node, n) of buckets with several nodes.
+    """Verified links (a, b) that connect all alike nodes; members: (key, node, n, _n) of buckets with several nodes, _n of them.
 
     The first pivot of a bucket is the node whose buckets are fullest: the copies of an original meet it
     in more bands than one another, so most groups close at once.  A bucket is settled when its members
     other than the pivot lie in one component; those of the others are joined exactly.
     """
-    sizes = cut(members.groupBy("key").agg(F.count("*").alias("_n")), "sizes")
-    known = {"counts": sizes, "total": members.count()}
-    fullness = spread_join(members, sizes.withColumnRenamed("_n", "size"), "key", "node", **known).groupBy("node").agg(F.sum("size").alias("full"))
-    members = cut(members.join(fullness, "node"), "members")
-    pivot = members.groupBy("key").agg(F.max(F.struct("full", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"))
-    pairs = spread_join(members, pivot, "key", "node", **known).where("node <> a").select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    total = members.count()
+    members = cut(members.withColumn("full", F.sum("_n").over(W.partitionBy("node"))), "members")
+    pivot = members.groupBy("key").agg(F.max(F.struct("full", "node", "n")).alias("p"), F.max("_n").alias("_n")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), "_n")
+    pairs = counted_join(members, pivot, "key", "node", total).where("node <> a").select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
     tested = cut(sized(pairs, threshold), "pairs")
     found = cut(similar(tested, bags, threshold), "similar")
     done = pivot.select("key", F.col("a").alias("node"))
     comps = components(found).select("node", "comp")
     left = members.join(done, ["key", "node"], "left_anti").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     left = cut(left, "left")
-    open_ = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    nodes = cut(spread_join(left, open_, "key", "node", "left_semi", **known).select("node", "comp").distinct(), "unsettled")
+    open_ = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("_n").alias("_n")).where("x <> y").select("key", "_n")
+    nodes = cut(counted_join(left, open_, "key", "node", total, "left_semi").select("node", "comp").distinct(), "unsettled")
     if nodes.isEmpty():
         return found
     sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
@@ -301,15 +299,13 @@ def crossing(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, n_shingles, node, class_node: one row per row of ``docs``; a class without any id is known by its class_node."""
     docs = pick(docs, "doc_id", "text")
-    rows = cut(signed(docs), "signatures")
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-    # Each text's bands enter once, by its first row; copies are never dealt out by bucket.
-    lead = nodes.select("node", F.col("first").alias("doc_id"))
-    banded = matched(rows, lead, ["node", "doc_id"], "left_semi").select("node", "n", F.explode("bands").alias("key"))
-    several = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("_n")).where("x <> y")
-    several = cut(several.select("key", "_n"), "several")
-    members = cut(spread_join(banded, several.select("key"), "key", "node", "left_semi", counts=several, total=BANDS * nodes.count()).distinct(), "members")
-    wanted = members.select("node").distinct().join(lead, "node")
+    rows = cut(signed(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")), "nodes")
+    # Each text's bands enter once, by one of its rows; copies and repeated rows are never dealt out by bucket.
+    banded = rows.join(nodes.select("row"), "row", "left_semi").select("node", "n", F.explode("bands").alias("key"))
+    several = cut(banded.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "several")
+    members = cut(spread_join(banded, several, "key", "node", counts=several, total=BANDS * nodes.count()), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("first").alias("doc_id")), "node")
     texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text"))
     texts = matched(texts, wanted, ["node", "doc_id"], "left_semi")
     bags = cut(numbered_elements(texts.select("node", shingles(F.col("text")).alias("shingles"))).dropDuplicates(["node"]), "bags")

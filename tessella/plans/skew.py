@@ -44,6 +44,19 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, deal_by: str, how: s
     return left.join(right, [key, "_deal"], how).drop("_deal")
 
 
+def counted_join(rows: DataFrame, side: DataFrame, key: str, deal_by: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` on ``key``, where both tell in ``_n`` how many of ``total`` rows have had their key.
+
+    Hot keys of ``rows`` are dealt out by ``deal_by`` as in ``spread_join``, but each row knows its deals by itself, so
+    none meets a list of hot keys.  ``rows`` may have lost rows since they were counted.
+    """
+    parts = max(HOT, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deals = F.greatest(F.ceil(F.col("_n") * parts / F.lit(max(total, 1))), F.lit(1)).cast("int")
+    left = rows.withColumn("_deal", F.pmod(F.xxhash64(deal_by), deals).cast("int"))
+    right = side.withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_n")
+    return left.join(right, [key, "_deal"], how).drop("_deal")
+
+
 def spread_both(left: DataFrame, right: DataFrame, key: str, by_left: str, by_right: str) -> DataFrame:
     """``left`` joined with ``right`` on ``key``, where either side may crowd on it.
 

@@ -20,6 +20,7 @@ import corpus_pipeline
 from tessella.llm import common, fingerprints, html_extract, langid, minhash, packing, pii, quality_classifier, quality_rules, secrets
 from tessella.llm.common import read_table
 from tessella.llm.queries import QUERIES
+from tessella.plans import skew
 
 from .test_operators import SF, awkward_rows, brute_classes, chained, words
 
@@ -603,6 +604,42 @@ def test_a_group_of_copies_is_met_in_proportion_and_loses_no_link(spark):
     assert rows[1] < 2.6 * rows[0] and rows[2] < 2.6 * rows[1]
 
 
+def test_members_of_crowded_buckets_know_their_deals(spark, monkeypatch):
+    """Bucket members meet a list of hot buckets once at most, and classes equal brute force with repeated rows."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, rows, met, listed = [word() for _ in range(200)], [], [], skew._listed
+    for i in range(150):
+        w = list(base)
+        for _ in range(1 + i % 6):
+            w[rng.randrange(200)] = word()
+        rows += [(i, " ".join(w))] * (40 if i == 3 else 1)
+    rows += [(200 + i, " ".join([*(word() for _ in range(60)), *base[:40]])) for i in range(20)] + [(300, rows[0][1])] * 30
+
+    def seen(frame, key, hot, name):
+        if key == "key" and "node" in frame.columns and "k" not in frame.columns:
+            met.append(frame.count())
+        return listed(frame, key, hot, name)
+
+    monkeypatch.setattr(skew, "_listed", seen)
+    got = {}
+    for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == brute_classes(rows) and sum(map(len, got.values())) == len(rows)
+    assert sum(met) <= minhash.BANDS * len({t for _, t in rows})
+
+
+def test_rows_that_know_their_count_join_as_plain_ones(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 400).alias("key"), F.col("id").alias("v"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("_n"), F.max("v").alias("w"))
+    counted = rows.join(counts.select("key", "_n"), "key")
+    got = skew.counted_join(counted, counts, "key", "v", 3000)
+    assert sorted(map(tuple, got.select("key", "v", "w").collect())) == sorted(map(tuple, rows.join(counts, "key").select("key", "v", "w").collect()))
+    some = counts.where("key < 100")
+    semi = skew.counted_join(counted.where("v % 3 = 0"), some, "key", "v", 3000, "left_semi")
+    assert sorted(r["v"] for r in semi.collect()) == sorted(r["v"] for r in rows.where("v % 3 = 0 and key < 100").collect())
+
+
 # columns and ids
 
 

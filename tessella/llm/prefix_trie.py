@@ -266,8 +266,9 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     way = paths(turns, convs)
     counts = way.groupBy("node").agg(F.count("*").alias("_n"))
     band = F.lit(0)
-    for k in range(1, 8):  # up to 2^64 members
-        band = band + (F.col("_n") > BAND**k).cast("int")
+    for k in range(1, 8):
+        if BAND**k < 1 << 63:  # no more members can be counted
+            band = band + (F.col("_n") > BAND**k).cast("int")
     big = cut(counts.where(F.col("_n") > BAND).select("node", band.alias("band"), "_n"), "big")
     if big.count() <= BROADCAST_NODES:
         banded = way.join(F.broadcast(big.drop("_n")), "node", "left")

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,12 +169,13 @@ def with_shapes(df: DataFrame) -> DataFrame:
 def counted(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """slots, values and row numbers: each row's distinct slots with their share of the row."""
     if not rows:
-        return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-    lengths = np.array([len(r) for r in rows])
-    key = np.repeat(np.arange(len(rows)), lengths).astype(np.int64) * DIMENSIONS + np.concatenate(rows).astype(np.int64)
-    key, n = np.unique(key, return_counts=True)
-    row = key // DIMENSIONS
-    return key % DIMENSIONS, n / np.maximum(lengths, 1)[row], row
+        return np.empty(0, np.int32), np.empty(0), np.empty(0, np.int32)
+    parts = []
+    for at, own in enumerate(rows):  # one after another: beside the counts only one row's slots are sorted
+        slots, n = np.unique(own, return_counts=True)
+        parts.append((slots.astype(np.int32), n / max(len(own), 1), np.full(len(slots), at, np.int32)))
+    slots, values, row = map(np.concatenate, zip(*parts))
+    return slots, values, row
 
 
 def train_scorer(rows: list[np.ndarray], target: np.ndarray, rounds: int = 60, rate: float = 4.0) -> np.ndarray:
@@ -196,6 +198,15 @@ def train_scorer(rows: list[np.ndarray], target: np.ndarray, rounds: int = 60, r
     return w
 
 
+def listed(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as they lie in its buffers, so that none of their numbers is a Python object on the driver."""
+    found = []
+    for chunk in column.chunks:
+        ends = chunk.offsets.to_numpy()
+        found += np.split(chunk.values.to_numpy(), ends[1:-1]) if len(chunk) else []
+    return found
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The label model over all documents and the scorer over the sample."""
     d = with_parts(pick(docs, "doc_id", "text"))
@@ -205,8 +216,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     # equal rows have one hash and are learned from once; the limit binds even a sample that chance made large
     chosen = pick(docs, "doc_id", "text").where(hash_below(sample / total, "doc_id", "text", F.lit(7)))
     chosen = chosen.withColumn("h", F.xxhash64("doc_id", "text")).dropDuplicates(["h"]).drop("h").limit(2 * sample)
-    rows = with_shapes(with_parts(chosen)).where(F.size("_words") > 0).select(pattern().alias("pattern"), features().alias("slots")).toPandas()
-    model["weights"] = train_scorer(list(rows["slots"].map(np.asarray)), rows["pattern"].map(model["posterior"]).to_numpy(dtype=float) if len(rows) else np.empty(0))
+    rows = with_shapes(with_parts(chosen)).where(F.size("_words") > 0).select(pattern().alias("pattern"), features().alias("slots")).toArrow()
+    target = np.array([model["posterior"][p] for p in rows.column("pattern").to_pylist()], dtype=float)
+    model["weights"] = train_scorer(listed(rows.column("slots")), target)
     return model
 
 

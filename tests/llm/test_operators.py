@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -486,6 +487,26 @@ def test_weak_labels_find_junk(spark, docs, empty):
     assert quality_classifier.scored(empty, quality_classifier.fit(empty)).count() == 0
 
 
+def test_quality_sample_is_no_heap_of_python_numbers(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(10_000))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    tracemalloc.start()
+    model = quality_classifier.fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 1.2 million slots: as Python's numbers they alone are some 40 MB
+    assert peak < 25e6
+    assert np.isfinite(model["weights"]).all() and model["weights"].any()
+
+
+def test_counted_slots():
+    rows = [np.array(r, dtype=np.int32) for r in ([5, 3, 5, 5], [], [3], [9, 9])]
+    slots, values, row = quality_classifier.counted(rows)
+    assert (slots.tolist(), values.tolist(), row.tolist()) == ([3, 5, 3, 9], [0.25, 0.75, 1.0, 1.0], [0, 0, 2, 3])
+
+
 def test_measures_by_brute_force(spark, docs):
     extra = ["Every Word Here Has Only One Capital Letter Of Many", "THE OF AND to In iS it thAT for", "a  \n\n   b \t\t  c d e f g h i", "中文 ABC Ǆǅ ª 12 Éé ß ŉ .. !! ÀÉ", "1 2 3 4 5 6 7 8 9"]
     d = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.along import fill_between
 from ..plans.table import positions
 
 # The accepted date formats.
@@ -47,10 +48,4 @@ def nights(df: DataFrame, seconds: str, hour: int = 11, ties: Sequence[str] = ()
 
 def fill_linear(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Blanks of ``y`` on the straight line between the nearest values before and after along ``x``, within groups."""
-    back = W.partitionBy(*by).orderBy(x).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*by).orderBy(x).rowsBetween(0, W.unboundedFollowing)
-    known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-    a, b = F.last(known, True).over(back), F.first(known, True).over(ahead)
-    d = df.withColumns({"_a": a, "_b": b})
-    line = F.col("_a.y") + (F.col(x) - F.col("_a.x")) * (F.col("_b.y") - F.col("_a.y")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0.0))
-    return d.withColumn(y, F.coalesce(F.col(y).cast("double"), line)).drop("_a", "_b")
+    return fill_between(df, x, y, by, lambda at, a, b: a["y"] + (at - a["x"]) * (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0)))

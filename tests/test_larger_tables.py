@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from tessella.functions import dates
+from tessella.operators import splines
 from tessella.queries import ORACLES, QUERIES
 
 
@@ -26,3 +31,46 @@ def test_nights_of_events_out_of_order(spark, tmp_path):
     events = pd.DataFrame({"event_id": [5, 4, 3, 2, 1, 0], "ts": ts})
     got, want = against_sql(spark, tmp_path, "nights", events=events)
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def local_spline(x, y, at, how):
+    """Steffen's or Akima's spline through sorted points."""
+    m = np.diff(y) / np.diff(x)
+    if how == "linear":
+        return np.interp(at, x, y)
+    if how == "steffen":
+        h, s = np.diff(x), np.append(m[0], m[-1]).repeat([1, len(x) - 1])
+        for i in range(1, len(x) - 1):
+            p = (m[i - 1] * h[i] + m[i] * h[i - 1]) / (h[i - 1] + h[i])
+            s[i] = (np.sign(m[i - 1]) + np.sign(m[i])) * min(abs(m[i - 1]), abs(m[i]), 0.5 * abs(p))
+    else:
+        e = np.concatenate([[3 * m[0] - 2 * m[1], 2 * m[0] - m[1]], m, [2 * m[-1] - m[-2], 3 * m[-1] - 2 * m[-2]]])
+        left, right = abs(e[3:] - e[2:-1]), abs(e[1:-2] - e[:-3])
+        s = np.where(left + right > 0, (left * e[1:-2] + right * e[2:-1]) / np.where(left + right > 0, left + right, 1), (e[1:-2] + e[2:-1]) / 2)
+    k = np.clip(np.searchsorted(x, at) - 1, 0, len(x) - 2)
+    h, t = x[k + 1] - x[k], (at - x[k]) / (x[k + 1] - x[k])
+    return y[k] * (1 + 2 * t) * (1 - t) ** 2 + s[k] * h * t * (1 - t) ** 2 + y[k + 1] * t * t * (3 - 2 * t) - s[k + 1] * h * t * t * (1 - t)
+
+
+@pytest.mark.parametrize("how", ["linear"])
+def test_gaps_are_filled_without_looking_through_a_group_for_each_row(spark, how):
+    """Runs of blanks over blocks' ends, one group of blanks alone, one with a single value, and a nameless one."""
+    rng = np.random.default_rng(3)
+    d = pd.DataFrame({"g": ["a"] * 400 + [None] * 200 + ["b"] * 20 + ["c"] * 20, "x": [*range(400), *range(200), *range(20), *range(20)]})
+    blank = (rng.random(640) < 0.4) | ((d.g == "a") & d.x.between(90, 140)) | (d.g == "b") | ((d.g == "c") & (d.x != 7))
+    d["y"] = [None if b else float(v) for b, v in zip(blank, rng.normal(0, 5, 640).round(1) * (d.x % 5 > 1))]
+    df = spark.createDataFrame([tuple(r) for r in d.astype(object).where(d.notna(), None).itertuples(index=False)], "g string, x long, y double")
+    fill = (lambda block: dates.fill_linear(df, "x", "y", ["g"])) if how == "linear" else (lambda block: splines.fill_local(df, "x", "y", ["g"], how, block))
+    got = fill(None)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().replace(" ", "").lower()
+    for out in (got, fill(4)):
+        out = out.select(F.coalesce("g", F.lit("-")).alias("g"), "x", "y").toPandas()
+        assert len(out) == 640
+        for g, rows in d.assign(g=d.g.fillna("-")).groupby("g"):
+            mine, y = out[out.g == g].set_index("x").y.astype(float), rows.set_index("x").y.astype(float)
+            k = y.dropna()
+            want = y.copy()
+            if len(k) > 1:
+                free = [x for x in y.index if np.isnan(y[x]) and k.index[0] < x < k.index[-1]]
+                want[free] = local_spline(k.index.to_numpy(float), k.to_numpy(), np.array(free, float), how)
+            assert np.allclose(mine.loc[want.index], want, equal_nan=True), g

@@ -1,6 +1,6 @@
 """Interpolation between the known values of groups, along an ordered column.
 
-Steffen's and Akima's splines have slopes that depend on a few neighbours alone, which windows reach.  The natural and
+Steffen's and Akima's splines have slopes that depend on a few neighbours alone, which windows over blocks reach.  The natural and
 periodic cubic splines solve a system of three diagonals over a group of any size: blocks of known points are
 solved side by side, each up to the two values beyond its ends; these, two for each block, make a small system, and its
 solution gives every block its own.  The periodic system differs from one of three diagonals by a rank of one.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.along import BLOCK, fill_between, placed
 from ..plans.lineage import cut
 
 
@@ -40,31 +41,15 @@ def _slope(how: str, at) -> Column:
     return F.coalesce(F.when(left + right > 0, F.try_divide(left * m1 + right * m0, left + right)).otherwise((m1 + m0) / 2), m0, m1, F.lit(0.0))
 
 
-def fill_local(df: DataFrame, x: str, y: str, by: Sequence[str], how: str = "steffen") -> DataFrame:
+def fill_local(df: DataFrame, x: str, y: str, by: Sequence[str], how: str = "steffen", block: int | None = None) -> DataFrame:
     """Blanks of ``y`` between known values on a spline of local slopes; those beyond the known ones stay blank."""
-    by = list(by)
-    known = df.where(F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    order = W.partitionBy(*by).orderBy("x")
-    here = F.struct("x", "y")
-    near = known.withColumns({f"n{k}": (F.lead(here, k) if k > 0 else F.lag(here, -k)).over(order) for k in (-3, -2, -1, 1, 2, 3)}).withColumn("n0", here)
-    slopes = near.select(*by, "x", _slope(how, lambda k: F.col(f"n{k}")).alias("s"))
-    d = _with_slopes(df, slopes, x, by)
-    back = W.partitionBy(*by).orderBy(x).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*by).orderBy(x).rowsBetween(0, W.unboundedFollowing)
-    point = F.when(F.col(y).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col("_s").alias("s")))
-    d = d.withColumns({"_a": F.last(point, True).over(back), "_b": F.first(point, True).over(ahead)})
-    h = F.col("_b.x") - F.col("_a.x")
-    t = (F.col(x) - F.col("_a.x")) / F.nullif(h, F.lit(0.0))
-    value = F.col("_a.y") * (1 + 2 * t) * (1 - t) * (1 - t) + F.col("_a.s") * h * t * (1 - t) * (1 - t) + F.col("_b.y") * t * t * (3 - 2 * t) - F.col("_b.s") * h * t * t * (1 - t)
-    return d.withColumn(y, F.coalesce(F.col(y).cast("double"), value)).drop("_a", "_b", "_s")
-
-
-def _with_slopes(df: DataFrame, slopes: DataFrame, x: str, by: list[str]) -> DataFrame:
-    renamed = slopes.withColumnsRenamed({"x": "_x", "s": "_s", **{b: f"_{b}" for b in by}})
-    on = F.col(x).cast("double") == F.col("_x")
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
-    return df.join(renamed, on, "left").drop("_x", *[f"_{b}" for b in by])
+
+    def value(at: Column, a: Column, b: Column) -> Column:
+        h = b["x"] - a["x"]
+        t = (at - a["x"]) / F.nullif(h, F.lit(0.0))
+        return a["y"] * (1 + 2 * t) * (1 - t) * (1 - t) + a["s"] * h * t * (1 - t) * (1 - t) + b["y"] * t * t * (3 - 2 * t) - b["s"] * h * t * t * (1 - t)
+
+    return fill_between(df, x, y, by, value, lambda at: _slope(how, at), 2, block)
 
 
 def cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray, periodic: bool = False) -> np.ndarray:
@@ -120,27 +105,6 @@ def fill_polynomial(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFra
     return out.groupBy(*by).applyInPandas(run, out.schema)
 
 
-#: Known points of a block that is solved in one task.
-BLOCK = 1 << 14
-
-
-def _placed(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """``df`` with ``_k``, the number from 0 of the last known point up to each row (-1 before the first).
-
-    Rows are dealt out by range and the ranges' sums added up, so no task sees a whole group.
-    """
-    dealt = cut(df.repartitionByRange(*[F.col(f"`{c}`") for c in (*by, x)]).withColumn("_part", F.spark_partition_id()), "ranges")
-    known = F.col(y).isNotNull().cast("long")
-    sums = dealt.groupBy("_part", *by).agg(F.sum(known).alias("_s"))
-    ahead = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(F.col("_part").alias("_p"), *[F.col(f"`{b}`").alias(f"_by{i}") for i, b in enumerate(by)], F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_before"))
-    on = F.col("_part") == F.col("_p")
-    for i, b in enumerate(by):
-        on = on & F.col(f"`{b}`").eqNullSafe(F.col(f"_by{i}"))
-    own = dealt.withColumn("_own", F.sum(known).over(W.partitionBy("_part", *by).orderBy(x).rowsBetween(W.unboundedPreceding, 0)))
-    return own.join(before, on).select(*df.columns, (F.col("_before") + F.col("_own") - 1).alias("_k"))
-
-
 ENDS = ["n", "x0", "y0", "x1", "xa", "ya", "xb", "yb"]  # the number of points, the first two and the last two
 
 
@@ -220,7 +184,7 @@ def fill_cubic(df: DataFrame, x: str, y: str, by: Sequence[str], periodic: bool
     """
     block, by = block or BLOCK, list(by)
     out = df.withColumn(y, F.col(y).cast("double"))
-    columns, placed = out.columns, _placed(out, x, y, by)
+    columns, placed = out.columns, placed(out, x, y, by)
     counts = out.groupBy(*by).agg(F.count(y).alias("n"))
     keys = [F.col(f"`{b}`").alias(f"_by{i}") for i, b in enumerate(by)]
     renamed = [f"_by{i}" for i in range(len(by))]

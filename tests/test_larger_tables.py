@@ -52,7 +52,7 @@ def local_spline(x, y, at, how):
     return y[k] * (1 + 2 * t) * (1 - t) ** 2 + s[k] * h * t * (1 - t) ** 2 + y[k + 1] * t * t * (3 - 2 * t) - s[k + 1] * h * t * t * (1 - t)
 
 
-@pytest.mark.parametrize("how", ["linear", "steffen"])
+@pytest.mark.parametrize("how", ["linear", "steffen", "akima"])
 def test_gaps_are_filled_without_looking_through_a_group_for_each_row(spark, how):
     """Runs of blanks over blocks' ends, one group of blanks alone, one with a single value, and a nameless one."""
     rng = np.random.default_rng(3)

@@ -1,7 +1,7 @@
 """Positional matching of two catalogues within an aperture.
 
-Space is dealt into cells as wide as the aperture along each axis, so the range condition becomes an
-equality on cells and the exact distance a condition of the join.  A pair survives if the second row's nearest
+Space is dealt into cells twice as wide as the aperture, or as a small share of it where rows are crowded, so the
+range condition becomes an equality on cells and the exact distance a condition of the join.  A pair survives if the second row's nearest
 is the first, and, among the second rows that chose it, the first's nearest is the second.
 """
 
@@ -76,26 +76,77 @@ class Aperture:
         return F.abs(differences[0]) if len(differences) == 1 else F.sqrt(total)
 
 
-def candidates(a: DataFrame, b: DataFrame, cols_a: Sequence[str], cols_b: Sequence[str], id_a: str, id_b: str, aperture: Aperture) -> DataFrame:
-    """(a_id, b_id, r, a_first, b_first) of all pairs nearer than the aperture."""
-    widths, dims = aperture.half_widths(), range(len(cols_a))
-    left = a.select(F.col(id_a).alias("a_id"), *[F.col(c).cast("double").alias(f"a{k}") for k, c in enumerate(cols_a)]).dropna()
-    right = b.select(F.col(id_b).alias("b_id"), *[F.col(c).cast("double").alias(f"b{k}") for k, c in enumerate(cols_b)]).dropna()
-    cell = lambda side, k: F.floor(F.col(f"{side}{k}") / widths[k])
-    for k in dims:
-        left = left.withColumn(f"cell{k}", F.explode(F.array(*[cell("a", k) + step for step in (-1, 0, 1)])))
-        right = right.withColumn(f"cell{k}", cell("b", k))
-    r = aperture.distance([F.col(f"a{k}") - F.col(f"b{k}") for k in range(len(cols_a))])
-    return left.join(right, [f"cell{k}" for k in dims]).withColumn("r", r).where(F.col("r") < aperture.axes[0]).select("a_id", "b_id", "r", F.col("a0").alias("a_first"), F.col("b0").alias("b_first"))
+def _spots(df: DataFrame, cols: Sequence[str], key: str) -> tuple[DataFrame, list[str]]:
+    """(id, c0 ..) of the rows without a blank, and the names of the coordinates."""
+    return df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)]).dropna(), [f"c{k}" for k in range(len(cols))]
+
+
+def _cells(names: Sequence[str], widths: Sequence[float], reach: float) -> list[Column]:
+    """The cells, twice as wide as ``widths``, that hold what lies up to ``reach`` widths away along each axis."""
+    at = lambda c, w, k: F.floor((F.col(c) + k * w) / (2 * w))
+    return [F.explode(F.sequence(at(c, w, -reach), at(c, w, reach))) if reach else at(c, w, 0) for c, w in zip(names, widths)]
+
+
+def _crowding(left: DataFrame, right: DataFrame, names: list[str], widths: Sequence[float]) -> int:
+    """How many pairs share a cell."""
+    cells = [f"_{n}" for n in names]
+    count = lambda df, n: df.groupBy(*[c.alias(k) for c, k in zip(_cells(names, widths, 0), cells)]).agg(F.count("*").alias(n))
+    return count(left, "n").join(count(right, "m"), cells).agg(F.sum(F.col("n").cast("double") * F.col("m"))).head()[0] or 0
+
+
+#: A search begins where a row shares its cell with not many more than so many others.
+FEW = 4
+
+
+def _nearest(left: DataFrame, right: DataFrame, names: list[str], aperture: Aperture, most: float = 1.0) -> DataFrame:
+    """(c0 .., m), m of (r, first, id), for each position of ``left``: the row of ``right`` that is nearest, ties by its first coordinate and id.
+
+    left: positions, each once; right: positions, each once, with an id; ``most``: up to how many apertures are looked at.  The
+    search begins with so small a share of the aperture that few rows share a cell, and doubles: what has
+    found a neighbour within it is done, so the pairs don't grow with the square of the density.
+    """
+    size, share = left.count() + right.count(), 1.0
+    widths = lambda: [w * share * (1 + 1e-9) for w in aperture.half_widths()]
+    while share > 1e-9 and _crowding(left, right, names, widths()) > FEW * size:
+        share /= 4
+    cells, done = [f"_{n}" for n in names], None
+    theirs = [f"o{k}" for k in range(len(names))]
+    r = aperture.distance([F.col(n) - F.col(o) for n, o in zip(names, theirs)])
+    while True:
+        near = left
+        for c, name in zip(_cells(names, widths(), 1), cells):
+            near = near.withColumn(name, c)
+        far = right.select(F.col("id").alias("_id"), *[F.col(n).alias(o) for n, o in zip(names, theirs)], *[c.alias(name) for c, name in zip(_cells(names, widths(), 0), cells)])
+        pairs = near.join(far, cells).withColumn("r", r).where(F.col("r") < aperture.axes[0] * share)
+        best = pairs.groupBy(*names).agg(F.min(F.struct("r", F.col("o0").alias("first"), F.col("_id").alias("id"))).alias("m"))
+        if share >= most and done is None:
+            return best
+        best = cut(best, "nearest")
+        done = best if done is None else done.unionByName(best)
+        if share >= most:
+            return done
+        rest = cut(left.join(best, names, "left_anti"), "left")
+        discard(left)
+        left = rest
+        if left.isEmpty():
+            return done
+        share *= 2
 
 
 def match(a: DataFrame, b: DataFrame, cols_a: Sequence[str], cols_b: Sequence[str], id_a: str, id_b: str, aperture: Sequence[float]) -> DataFrame:
-    """(a_id, b_id, dist): one to one."""
-    pairs = candidates(a, b, cols_a, cols_b, id_a, id_b, Aperture.of(len(cols_a), aperture))
-    of_b = W.partitionBy("b_id").orderBy("r", "a_first", "a_id")
-    of_a = W.partitionBy("a_id").orderBy("r", "b_first", "b_id")
-    chosen = pairs.withColumn("k", F.row_number().over(of_b)).where("k = 1")
-    return chosen.withColumn("k", F.row_number().over(of_a)).where("k = 1").select("a_id", "b_id", F.col("r").alias("dist"))
+    """(a_id, b_id, dist): one to one.
+
+    Of rows at one place only that of the least id can be chosen, so each place is looked at once; a row of ``b`` whose id
+    is at several places keeps all of them, for the id chooses once.
+    """
+    (left, names), (right, _) = _spots(a, cols_a, id_a), _spots(b, cols_b, id_b)
+    moving = right.groupBy("id").agg(*[(F.min(c) != F.max(c)).alias(c) for c in names]).where(" OR ".join(names)).select("id", F.col("id").alias("_own"))
+    right = cut(right.join(moving, "id", "left").groupBy(*names, "_own").agg(F.min("id").alias("id")).drop("_own"), "right")
+    left = cut(left.groupBy(*names).agg(F.min("id").alias("id")), "left")
+    found = _nearest(cut(right.select(*names).distinct(), "places"), left, names, Aperture.of(len(cols_a), aperture))
+    pairs = right.join(found, names).groupBy(F.col("id").alias("b_id")).agg(F.min(F.struct("m.r", "m.first", "m.id", "c0")).alias("m"))
+    chosen = pairs.groupBy(F.col("m.id").alias("a_id")).agg(F.min(F.struct("m.r", "m.c0", "b_id")).alias("m"))
+    return chosen.select("a_id", "m.b_id", F.col("m.r").alias("dist"))
 
 
 def not_matched(df: DataFrame, key: str, matched: DataFrame, side: str) -> DataFrame:
@@ -126,25 +177,15 @@ def match_point(a: DataFrame, cols: Sequence[str], key: str, point: Sequence[flo
 def nearest_neighbour(a: DataFrame, b: DataFrame, cols_a: Sequence[str], cols_b: Sequence[str], id_a: str, id_b: str, start: float) -> DataFrame:
     """(a_id, b_id, dist): the nearest row of ``b`` for each of ``a``, without an aperture; rows with a blank have none.
 
-    A radius that grows eightfold settles rows by cells: what finds a neighbour within it is done, the rest is
-    tried again, until the radius spans both tables.  A sparse region costs a few more rounds; only rows far
-    from all of ``b`` meet large parts of it.
+    A radius that doubles, from ``start`` or less where rows are crowded, settles rows by cells: what finds a
+    neighbour within it is done, the rest is tried again, until the radius spans both tables.  A sparse region costs a
+    few more rounds; only rows far from all of ``b`` meet large parts of it.
     """
-    points = lambda df, cols, key: df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)]).dropna()
-    names = [f"c{k}" for k in range(len(cols_a))]
-    left, right = cut(points(a, cols_a, id_a), "left"), cut(points(b, cols_b, id_b), "right")
-    ends = left.unionByName(right).agg(*[(F.max(c) - F.min(c)).alias(c) for c in names]).head()
+    (own, names), (other, _) = _spots(a, cols_a, id_a), _spots(b, cols_b, id_b)
+    own = cut(own, "own")
+    left, right = cut(own.select(*names).distinct(), "left"), cut(other.groupBy(*names).agg(F.min("id").alias("id")), "right")
+    ends = left.unionByName(right.select(*names)).agg(*[(F.max(c) - F.min(c)).alias(c) for c in names]).head()
     span = math.sqrt(sum((ends[c] or 0.0) ** 2 for c in names))
-    done, radius = None, float(start)
-    while True:
-        pairs = candidates(left, right, names, names, "id", "id", Aperture.of(len(names), [radius]))
-        best = cut(pairs.groupBy("a_id").agg(F.min(F.struct("r", "b_first", "b_id")).alias("m")).select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.r").alias("dist")), "nearest")
-        done = best if done is None else done.unionByName(best)
-        if radius > span:
-            return done
-        rest = cut(left.join(best.select(F.col("a_id").alias("id")), "id", "left_anti"), "left")
-        discard(left)
-        left = rest
-        if left.isEmpty():
-            return done
-        radius *= 8
+    found = _nearest(left, right, names, Aperture.of(len(names), [start]), span * (1 + 1e-9) / start)
+    best = own.join(found, names).groupBy(F.col("id").alias("a_id")).agg(F.min("m").alias("m"))
+    return best.select("a_id", F.col("m.id").alias("b_id"), F.col("m.r").alias("dist"))

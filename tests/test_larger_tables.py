@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import dates
-from tessella.operators import splines
+from tessella.operators import match, splines
 from tessella.queries import ORACLES, QUERIES
 
 
@@ -74,3 +74,45 @@ def test_gaps_are_filled_without_looking_through_a_group_for_each_row(spark, how
                 free = [x for x in y.index if np.isnan(y[x]) and k.index[0] < x < k.index[-1]]
                 want[free] = local_spline(k.index.to_numpy(float), k.to_numpy(), np.array(free, float), how)
             assert np.allclose(mine.loc[want.index], want, equal_nan=True), g
+
+
+def paired(a, b, limit):
+    """The one-to-one match of (id, x, y) rows by plain loops: each id of b chooses the nearest of a, then each of a among these."""
+    chose = {}
+    for j, x, y in b:
+        for i, u, v in a:
+            r = np.sqrt((u - x) * (u - x) + (v - y) * (v - y))
+            if r < limit:
+                chose[j] = min(chose.get(j, (np.inf,)), (r, u, i, x))
+    kept = {}
+    for j, (r, _, i, x) in chose.items():
+        kept[i] = min(kept.get(i, (np.inf,)), (r, x, j))
+    return {(i, j): r for i, (r, _, j) in kept.items()}
+
+
+@pytest.mark.parametrize("spread, limit", [(1.0, 0.9), (1.0, 0.05), (50.0, 0.9)])
+def test_match_of_crowded_rows(spark, spread, limit):
+    """Many places within one aperture, some of them twice; ids that come again elsewhere; a lone row far off."""
+    rng = np.random.default_rng(5)
+    rows = lambda n, first: [(first + k % (n - 9), *map(float, p)) for k, p in enumerate(np.round(rng.random((n, 2)) * spread, 2))]
+    a, b = rows(300, 0), rows(320, 1000) + [(5000, spread + 0.04, spread + 0.02)]
+    frames = [spark.createDataFrame(r, "id long, x double, y double") for r in (a, b)]
+    got = match.match(*frames, ["x", "y"], ["x", "y"], "id", "id", [limit]).collect()
+    want = paired(a, b, limit)
+    assert {(r["a_id"], r["b_id"]) for r in got} == set(want) and len(got) == len(want)
+    assert all(np.isclose(r["dist"], want[r["a_id"], r["b_id"]]) for r in got)
+    near = {}
+    for i, u, v in a:
+        near[i] = min([near.get(i, (np.inf,))] + [(np.sqrt((u - x) * (u - x) + (v - y) * (v - y)), x, j) for j, x, y in b])
+    got = {r["a_id"]: r["b_id"] for r in match.nearest_neighbour(*frames, ["x", "y"], ["x", "y"], "id", "id", 1.0).collect()}
+    assert got == {i: m[2] for i, m in near.items()}
+
+
+def test_match_of_many_rows_at_few_places(spark):
+    """100,000 rows a side at ten places: ten pairs, not ten thousand million."""
+    side = lambda first: spark.range(first, first + 100_000).select("id", (F.col("id") % 10).cast("double").alias("x"), F.lit(0.25).alias("y"))
+    a, b = side(0), side(1_000_000)
+    got = sorted(tuple(r) for r in match.match(a, b, ["x", "y"], ["x", "y"], "id", "id", [0.9]).collect())
+    assert got == [(k, 1_000_000 + k, 0.0) for k in range(10)]
+    near = match.nearest_neighbour(a, b, ["x", "y"], ["x", "y"], "id", "id", 1.0)
+    assert near.count() == 100_000 and near.where("b_id <> 1000000 + a_id % 10 OR dist <> 0").isEmpty()

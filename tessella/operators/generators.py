@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def grid(spark: SparkSession, nx: int, ny: int) -> DataFrame:
     """All cells (x, y) from 1, made by one range."""
@@ -46,20 +48,26 @@ def profiles(catalogue: DataFrame, nx: int, ny: int, zeropoint: float = 0.0, cir
     c = catalogue.withColumn("reach", reach)
     span = lambda mid, most: F.sequence(F.greatest(F.ceil(F.col(mid) - F.col("reach") - 0.5), F.lit(1)).cast("int"), F.least(F.floor(F.col(mid) + F.col("reach") + 0.5), F.lit(most)).cast("int"))
     inside = c.where((F.col("cx") + F.col("reach") + 0.5 >= 1) & (F.col("cx") - F.col("reach") - 0.5 <= nx) & (F.col("cy") + F.col("reach") + 0.5 >= 1) & (F.col("cy") - F.col("reach") - 0.5 <= ny))
-    p = inside.withColumn("x", F.explode(span("cx", nx))).withColumn("y", F.explode(span("cy", ny)))
-    r = elliptical_radius(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("q"), F.col("pa"))
-    p = p.withColumn("r", r)
-    point = (F.col("kind") == "point") & (F.col("x") == F.round("cx")) & (F.col("y") == F.round("cy"))
-    p = p.where(F.when(F.col("kind") == "point", point).when(F.col("kind") == "circum", (F.col("r") <= F.col("reach")) & (F.col("r") > F.col("reach") - circum_width)).otherwise(F.col("r") <= F.col("reach")))
-    ring = F.lit(0.0)
-    for low, high, value in reversed(custom):
-        ring = F.when((F.col("r") >= low) & (F.col("r") < high), F.lit(float(value))).otherwise(ring)
-    p = p.withColumn("raw", F.when(F.col("kind") == "custom", ring))
-    p = p.withColumn("raw", F.coalesce("raw", profile_value(F.col("kind"), F.col("r"), F.col("width"), F.col("n")), F.lit(1.0)))
-    totals = p.groupBy("id").agg(F.sum("raw").alias("total"))
+
+    def pixels(c: DataFrame) -> DataFrame:
+        """Each profile's pixels, with their unnormalised values."""
+        p = c.withColumn("x", F.explode(span("cx", nx))).withColumn("y", F.explode(span("cy", ny)))
+        p = p.withColumn("r", elliptical_radius(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("q"), F.col("pa")))
+        point = (F.col("kind") == "point") & (F.col("x") == F.round("cx")) & (F.col("y") == F.round("cy"))
+        p = p.where(F.when(F.col("kind") == "point", point).when(F.col("kind") == "circum", (F.col("r") <= F.col("reach")) & (F.col("r") > F.col("reach") - circum_width)).otherwise(F.col("r") <= F.col("reach")))
+        ring = F.lit(0.0)
+        for low, high, value in reversed(custom):
+            ring = F.when((F.col("r") >= low) & (F.col("r") < high), F.lit(float(value))).otherwise(ring)
+        p = p.withColumn("raw", F.when(F.col("kind") == "custom", ring))
+        return p.withColumn("raw", F.coalesce("raw", profile_value(F.col("kind"), F.col("r"), F.col("width"), F.col("n")), F.lit(1.0)))
+
+    parts = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few profiles make many pixels
+    totals = pixels(inside.repartition(parts, "id")).groupBy("id").agg(F.sum("raw").alias("total"))
     brightness = F.pow(F.lit(10.0), (zeropoint - F.col("mag")) / 2.5)
-    value = F.when(F.col("kind") == "distance", F.col("raw")).otherwise(F.col("raw") * brightness / F.col("total"))
-    each = p.join(totals, "id").select("x", "y", "id", value.alias("v"))
+    value = F.when(F.col("kind") == "distance", F.col("raw")).otherwise(F.col("raw") * F.col("scale"))
+    # the catalogue meets the totals, not its pixels, and lies by place, so that overlapping pixels are summed where they are made
+    scaled = cut(inside.join(totals, "id").withColumn("scale", brightness / F.col("total")).repartitionByRange(parts, "cy", "cx"), "profiles")
+    each = pixels(scaled).select("x", "y", "id", value.alias("v"))
     return each.groupBy("x", "y").agg((F.max_by("v", "id") if replace else F.sum("v")).alias("v"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import dates
-from tessella.operators import match, splines
+from tessella.operators import generators, match, splines
 from tessella.queries import ORACLES, QUERIES
 
 
@@ -116,3 +116,13 @@ def test_match_of_many_rows_at_few_places(spark):
     assert got == [(k, 1_000_000 + k, 0.0) for k in range(10)]
     near = match.nearest_neighbour(a, b, ["x", "y"], ["x", "y"], "id", "id", 1.0)
     assert near.count() == 100_000 and near.where("b_id <> 1000000 + a_id % 10 OR dist <> 0").isEmpty()
+
+
+def test_profiles_meet_their_totals_before_their_pixels(spark):
+    """A large profile and two ids over one another: sums of brightness, and no join of pixels."""
+    rows = [(1, 30.0, 30.0, "gaussian", 8.0), (2, 31.0, 29.0, "flat", 3.0), (3, 31.0, 29.0, "sersic", 3.0), (4, 200.0, 1.0, "flat", 3.0)]
+    c = spark.createDataFrame(rows, "id long, cx double, cy double, kind string, width double").select("*", F.lit(2.5).alias("n"), F.lit(20.0).alias("pa"), F.lit(0.7).alias("q"), F.lit(20.0).alias("mag"), F.lit(2.0).alias("trunc"))
+    out = generators.profiles(c, 60, 60, zeropoint=25.0)
+    assert "Join" not in out._jdf.queryExecution().toString()  # of what is left to do, only the sums by pixel
+    assert np.isclose(out.agg(F.sum("v")).head()[0], 3 * 100.0)
+    assert generators.profiles(c, 60, 60, zeropoint=25.0, replace=True).count() == out.count()

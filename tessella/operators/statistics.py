@@ -55,16 +55,16 @@ def holds(rank: Column) -> Column:
     return (F.col("upto") - F.col("n") < rank) & (rank <= F.col("upto"))
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, median, for groups of any size."""
+def medians(df: DataFrame, keys: Sequence[str], value: str, rows: DataFrame | None = None) -> DataFrame:
+    """keys, median, for groups of any size; ``rows`` are the ``ranked`` ones, if they are at hand."""
     middle = holds(F.floor((F.col("total") + 1) / 2)) | holds(F.floor(F.col("total") / 2) + 1)
-    return ranked(df, keys, value).where(middle).groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("median"))
+    return (ranked(df, keys, value) if rows is None else rows).where(middle).groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("median"))
 
 
-def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``single_values`` of each group, for groups of any size."""
+def summary(df: DataFrame, keys: Sequence[str], value: str, rows: DataFrame | None = None) -> DataFrame:
+    """``single_values`` of each group, for groups of any size; ``rows`` as for ``medians``."""
     d = df.where(F.col(value).isNotNull())
-    return d.groupBy(*keys).agg(*single_values(F.col(value))[:-1]).join(medians(d, keys, value), list(keys), "left")
+    return d.groupBy(*keys).agg(*single_values(F.col(value))[:-1]).join(medians(d, keys, value, rows), list(keys), "left")
 
 
 def quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame:
@@ -178,7 +178,8 @@ def sigma_clip_array(v: np.ndarray, multiple: float, param: float, most: int = 5
 def report(df: DataFrame, value: str) -> DataFrame:
     """number, minimum, maximum, sum, mean, std, median, mode, modequant, modesym, modesymvalue of a column, in one row."""
     d = df.select(F.lit(1).alias("_all"), F.col(value).cast("double").alias(value)).dropna()
-    return summary(d, ["_all"], value).join(mode(d, ["_all"], value), "_all", "left").drop("_all")
+    rows = cut(ranked(d, ["_all"], value), "ranked")
+    return summary(d, ["_all"], value, rows).join(mode(d, ["_all"], value, rows=rows), "_all", "left").drop("_all")
 
 
 # the mode
@@ -273,52 +274,74 @@ def mode_of_sorted(a: np.ndarray, mirror: float = 1.5) -> tuple[float, float, fl
 MODE_VALUES = 1 << 20
 
 
-def _asked(rows: DataFrame, keys: list[str], wanted: dict[tuple, np.ndarray], by_rank: bool) -> dict[tuple, dict[int, tuple]]:
+#: Ranks of a block of ``_packed``.
+PACKED = 1 << 16
+
+
+def _packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, v, n, upto of ``ranked``) by blocks of ranks: keys, vs, uptos (sorted arrays as bytes) and first, the ranks before.
+
+    What is looked up again and again needs a few places of a block then, not a pass over its rows.
+    """
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("upto")
+        head = g[keys].iloc[:1].reset_index(drop=True)
+        return head.assign(first=int(g["upto"].iloc[0] - g["n"].iloc[0]), vs=g["v"].to_numpy("f8").tobytes(), uptos=g["upto"].to_numpy("i8").tobytes())
+
+    blocks = rows.withColumn("_block", F.floor((F.col("upto") - 1) / PACKED))
+    return cut(blocks.groupBy(*keys, "_block").applyInPandas(run, f"{kinds}, first long, vs binary, uptos binary"), "packed")
+
+
+def _asked(packed: DataFrame, keys: list[str], wanted: dict[tuple, np.ndarray], by_rank: bool) -> dict[tuple, dict[int, tuple]]:
     """For each group and place in its sorted ``wanted``: the value at that rank; or of a value, how many lie at or below it, the last
     of these and the first above.
 
-    rows: keys, v, n, upto of ``ranked``.  One pass; what is wanted has about a thousand places for each group.
+    One pass over the blocks; what is wanted has about a thousand places for each group.
     """
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = ", ".join(f"`{k}` {packed.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(frames):
         for d in frames:
             out = []
-            for key, g in d.groupby(keys, dropna=False, sort=False):
-                w = wanted.get(tuple(None if x != x else x for x in key))
+            for r in d.to_dict("records"):
+                key = tuple(None if x != x else x for x in (r[k] for k in keys))
+                w = wanted.get(key)
                 if w is None:
                     continue
-                v, n, upto = g["v"].to_numpy(), g["n"].to_numpy(), g["upto"].to_numpy()
+                v, upto = np.frombuffer(r["vs"], "f8"), np.frombuffer(r["uptos"], "i8")
                 if by_rank:
-                    first, last = np.searchsorted(w, upto - n, "left"), np.searchsorted(w, upto, "left")
-                    hit = np.repeat(np.arange(len(v)), last - first)
-                    place = np.arange(len(hit)) - np.repeat(np.cumsum(last - first) - last, last - first)
-                    part = pd.DataFrame({"place": place, "most": v[hit], "upto": 0, "least": 0.0})
+                    place = np.arange(*np.searchsorted(w, [r["first"], upto[-1]], "left"))
+                    part = pd.DataFrame({"place": place, "most": v[np.searchsorted(upto, w[place], "right")], "upto": 0, "least": 0.0})
                 else:  # a value counts for the first wanted one at or above it, and so for all behind
-                    at = pd.DataFrame({"place": np.searchsorted(w, v, "left"), "most": v, "upto": upto, "least": v})
-                    part = at.groupby("place", as_index=False).agg(most=("most", "max"), upto=("upto", "max"), least=("least", "min"))
-                out.append(part.assign(**dict(zip(keys, key))))
+                    ends = np.append(np.searchsorted(v, w, "right"), len(v))
+                    starts = np.append(0, ends[:-1])
+                    place = np.flatnonzero(ends > starts)
+                    part = pd.DataFrame({"place": place, "most": v[ends[place] - 1], "upto": upto[ends[place] - 1], "least": v[starts[place]]})
+                if len(part):
+                    out.append(part.assign(**dict(zip(keys, key))))
             if out:
                 yield pd.concat(out)[[*keys, "place", "most", "upto", "least"]]
 
-    got = rows.mapInPandas(run, f"{kinds}, place long, most double, upto long, least double").groupBy(*keys, "place").agg(F.max("most").alias("most"), F.max("upto").alias("upto"), F.min("least").alias("least"))
+    got = packed.mapInPandas(run, f"{kinds}, place long, most double, upto long, least double").groupBy(*keys, "place").agg(F.max("most").alias("most"), F.max("upto").alias("upto"), F.min("least").alias("least"))
     out: dict[tuple, dict[int, tuple]] = {}
     for r in got.collect():
         out.setdefault(tuple(r[k] for k in keys), {})[r["place"]] = (r["most"], r["upto"], r["least"])
     return out
 
 
-def _values_at(rows: DataFrame, keys: list[str], ranks: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
+def _values_at(packed: DataFrame, keys: list[str], ranks: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
     """The values at ranks (from 0, in any order) of each group."""
     unique = {k: np.unique(r) for k, r in ranks.items()}
-    got = _asked(rows, keys, unique, True)
+    got = _asked(packed, keys, unique, True)
     return {k: np.array([got[k][p][0] for p in range(len(unique[k]))])[np.searchsorted(unique[k], r)] for k, r in ranks.items()}
 
 
-def _ranks_near(rows: DataFrame, keys: list[str], mirrored: dict[tuple, np.ndarray], middles: dict[tuple, int], sizes: dict[tuple, int]) -> dict[tuple, np.ndarray]:
+def _ranks_near(packed: DataFrame, keys: list[str], mirrored: dict[tuple, np.ndarray], middles: dict[tuple, int], sizes: dict[tuple, int]) -> dict[tuple, np.ndarray]:
     """How far above each group's middle rank the element nearest to each mirrored value lies."""
     unique = {k: np.unique(v) for k, v in mirrored.items()}
-    got, out = _asked(rows, keys, unique, False), {}
+    got, out = _asked(packed, keys, unique, False), {}
     for k, v in mirrored.items():
         size, mine = len(unique[k]), got.get(k, {})
         most, upto, least = (np.array([mine.get(p, (-np.inf, 0, np.inf))[c] for p in range(size + 1)], float) for c in range(3))
@@ -359,8 +382,9 @@ def _first_apart(rows: DataFrame, keys: list[str], state: dict[tuple, tuple[int,
     on = F.col("_part") == F.col("_p")
     for k in keys:
         on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`_{k}`"))
-    own = W.partitionBy(*keys, "_part").orderBy("at", "kind")
-    back, ahead = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(0, W.unboundedFollowing)
+    own = W.partitionBy(*keys, "_part")
+    back = own.orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    ahead = own.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)  # a frame to the end would be worked out anew for each row
     laid = dealt.withColumns({"_u": F.max("upto").over(back), "_l": F.max("own").over(back), "_n": F.min("own").over(ahead)}).where("kind = 1").join(ends, on)
     count, low, up = F.coalesce("_u", "_bu", F.col("_m") + 0), F.coalesce("_l", "_bl"), F.coalesce("_n", "_bn")
     j = count - F.col("_m")
@@ -372,12 +396,13 @@ def _first_apart(rows: DataFrame, keys: list[str], state: dict[tuple, tuple[int,
 
 def _modes_of_large(rows: DataFrame, keys: list[str], sizes: dict[tuple, int], mirror: float) -> list[tuple]:
     """(keys, mode, modequant, modesym, modesymvalue) of large groups, whose searches go on side by side."""
+    packed = _packed(rows, keys)
     searches = {k: _bracket(n) for k, n in sizes.items()}
     asked, middles = {k: next(s) for k, s in searches.items()}, {}
     while asked:
         steps = {k: _probes(sizes[k], m) for k, m in asked.items()}
-        values = _values_at(rows, keys, {k: np.append(m, m - steps[k]) for k, m in asked.items()})
-        near = _ranks_near(rows, keys, {k: 2 * v[0] - v[1:] for k, v in values.items()}, asked, sizes)
+        values = _values_at(packed, keys, {k: np.append(m, m - steps[k]) for k, m in asked.items()})
+        near = _ranks_near(packed, keys, {k: 2 * v[0] - v[1:] for k, v in values.items()}, asked, sizes)
         following = {}
         for k, m in asked.items():
             try:
@@ -385,22 +410,23 @@ def _modes_of_large(rows: DataFrame, keys: list[str], sizes: dict[tuple, int], m
             except StopIteration as done:
                 middles[k] = done.value
         asked = following
-    places = _values_at(rows, keys, {k: np.array([m, rank_of_quantile(2 * m + 1, 0.01), min(2 * m, sizes[k] - 1)]) for k, m in middles.items()})
+    places = _values_at(packed, keys, {k: np.array([m, rank_of_quantile(2 * m + 1, 0.01), min(2 * m, sizes[k] - 1)]) for k, m in middles.items()})
     rising = {k: v for k, v in places.items() if v[0] > v[1]}
     apart = _first_apart(rows, keys, {k: (middles[k], sizes[k], float(v[0])) for k, v in rising.items()}, mirror) if rising else {}
-    ends = _values_at(rows, keys, {k: np.array([middles[k] + i]) for k, i in apart.items()}) if apart else {}
+    ends = _values_at(packed, keys, {k: np.array([middles[k] + i]) for k, i in apart.items()}) if apart else {}
     return [(*k, *(_symmetry(sizes[k], middles[k], v[0], v[1], float(ends[k][0]) if k in ends else v[2]) if k in rising else (np.nan,) * 4)) for k, v in places.items()]
 
 
-def mode(df: DataFrame, keys: list[str], value: str, mirror: float = 1.5, most: int = MODE_VALUES) -> DataFrame:
+def mode(df: DataFrame, keys: list[str], value: str, mirror: float = 1.5, most: int = MODE_VALUES, rows: DataFrame | None = None) -> DataFrame:
     """keys, mode, modequant, modesym, modesymvalue of each group.
 
     Groups of up to ``most`` values are searched in one task each.  The search of a larger one looks at about a thousand
-    ranks at a time, each time in two passes over its ranked values; its bracket, of which there is one for
+    ranks at a time, each time in two passes over blocks of its ranked values; its bracket, of which there is one for
     ``most`` values at least, is held by the driver.
     """
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", mode double, modequant double, modesym double, modesymvalue double"
-    rows = cut(ranked(df, keys, value).select(*keys, F.col(value).cast("double").alias("v"), "n", "upto", "total"), "ranked")
+    rows = cut(ranked(df, keys, value), "ranked") if rows is None else rows
+    rows = rows.select(*keys, F.col(value).cast("double").alias("v"), "n", "upto", "total")
     large = {tuple(r[k] for k in keys): r["total"] for r in rows.where(F.col("total") > most).select(*keys, "total").distinct().collect()}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

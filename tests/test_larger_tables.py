@@ -7,9 +7,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame as ClassicDataFrame
 
 from tessella.functions import dates
-from tessella.operators import generators, match, splines
+from tessella.operators import generators, match, splines, statistics
 from tessella.queries import ORACLES, QUERIES
 
 
@@ -126,3 +127,20 @@ def test_profiles_meet_their_totals_before_their_pixels(spark):
     assert "Join" not in out._jdf.queryExecution().toString()  # of what is left to do, only the sums by pixel
     assert np.isclose(out.agg(F.sum("v")).head()[0], 3 * 100.0)
     assert generators.profiles(c, 60, 60, zeropoint=25.0, replace=True).count() == out.count()
+
+
+def test_mode_of_large_groups(spark, monkeypatch):
+    """By blocks of ranked values, with runs of equal ones over their ends; nothing looks to the end of a range for each row."""
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.gamma(3.0, 2.0, 3000).round(2), "b": rng.normal(5, 1, 2500).round(1), "c": rng.exponential(1.0, 2000)}
+    df = spark.createDataFrame([(k, float(v)) for k, g in groups.items() for v in g], "k string, v double")
+    plans, collect = [], ClassicDataFrame.collect
+    monkeypatch.setattr(ClassicDataFrame, "collect", lambda d: plans.append(d._jdf.queryExecution().toString()) or collect(d))
+    monkeypatch.setattr(statistics, "PACKED", 128)
+    got = {r["k"]: tuple(r)[1:] for r in statistics.mode(df, ["k"], "v", most=100).collect()}
+    for k, v in groups.items():
+        assert np.allclose(np.array(got[k], float), statistics.mode_of_sorted(np.sort(v)), equal_nan=True), k
+    wide = [line for p in plans for line in p.lower().splitlines() if "unboundedfollowing" in line.replace(" ", "").replace("$", "")]
+    assert plans and all("_bn" in line for line in wide)  # the ranges' ends alone do
+    one = statistics.report(df.where("k = 'a'"), "v").head()
+    assert one["number"] == 3000 and np.isclose(one["median"], np.median(groups["a"])) and np.isclose(one["mean"], groups["a"].mean())

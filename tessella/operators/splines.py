@@ -78,31 +78,74 @@ def cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray, periodic: bool = False)
     return a * y[k] + b * y[k + 1] + ((a**3 - a) * m[k] + (b**3 - b) * m[k + 1]) * h[k] ** 2 / 6
 
 
-def polynomial(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The polynomial through all points, by divided differences; for few points."""
+def polynomial(x: np.ndarray, y: np.ndarray, at: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """The polynomial through all points, by divided differences; for few points.
+
+    x, y: the points along the first axis; with ``of``, those of one group a column, and of which of them each place asks.
+    """
     c = y.astype(float).copy()
     for k in range(1, len(x)):
         c[k:] = (c[k:] - c[k - 1 : -1]) / (x[k:] - x[:-k])
-    out = np.full(len(at), c[-1])
+    mine = (lambda a: a) if of is None else (lambda a: a[of])
+    out = np.full(len(at), mine(c[-1]))
     for k in range(len(x) - 2, -1, -1):
-        out = out * (at - x[k]) + c[k]
+        out = out * (at - mine(x[k])) + mine(c[k])
     return out
 
 
 def fill_polynomial(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """Blanks of ``y`` between known values on the polynomial through all of them; a group must fit in a task."""
-    out = df.withColumn(y, F.col(y).cast("double"))
+    """Blanks of ``y`` between known values on the polynomial through all of them; a group must fit in a task.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(x)
-        at, values = g[x].to_numpy(float), g[y].to_numpy(float).copy()
-        known = ~np.isnan(values)
-        if known.sum() >= 2:
-            free = ~known & (at > at[known][0]) & (at < at[known][-1])
-            values[free] = polynomial(at[known], values[known], at[free])
-        return g.assign(**{y: values})
-
-    return out.groupBy(*by).applyInPandas(run, out.schema)
+    Groups lie one behind the other, so many small ones are worked out at once.
+    """
+    out, by = df.withColumn(y, F.col(y).cast("double")), list(by)
+    quoted = [F.col(f"`{b}`") for b in by]
+    dealt = out.repartition(*quoted).sortWithinPartitions(*quoted, x)
+
+    def starts(d: pd.DataFrame) -> np.ndarray:
+        """Whether each row begins a group."""
+        new = np.ones(len(d), bool)
+        new[1:] = False
+        for b in by:
+            now, old = d[b].iloc[1:].reset_index(drop=True), d[b].iloc[:-1].reset_index(drop=True)
+            new[1:] |= ~((now == old) | (now.isna() & old.isna())).to_numpy(bool)
+        return new
+
+    def run(frames):
+        kept: list[pd.DataFrame] = []  # the last group so far, which may go on
+        for d in frames:
+            if not len(d):
+                continue
+            joined = pd.concat([kept[-1].iloc[-1:], d], ignore_index=True) if kept else d
+            first = np.flatnonzero(starts(joined)[1:] if kept else starts(joined))
+            first = first[first > 0] if not kept else first
+            if len(first):
+                yield filled(pd.concat([*kept, d.iloc[: first[-1]]], ignore_index=True))
+                kept = []
+            kept.append(d.iloc[first[-1] :] if len(first) else d)
+        if kept:
+            yield filled(pd.concat(kept, ignore_index=True))
+
+    def filled(d: pd.DataFrame) -> pd.DataFrame:
+        if not len(d):
+            return d
+        group = np.cumsum(starts(d)) - 1
+        at, values = d[x].to_numpy(float), d[y].to_numpy(float).copy()
+        known = np.flatnonzero(~np.isnan(values))
+        count = np.bincount(group[known], minlength=group[-1] + 1)
+        first = np.cumsum(count) - count  # of each group, among the known
+        xs, ys = at[known], values[known]
+        free = np.flatnonzero(np.isnan(values) & (count[group] >= 2))
+        low, high = xs[first[group[free]]], xs[first[group[free]] + count[group[free]] - 1]
+        free = free[(at[free] > low) & (at[free] < high)]
+        for m in np.unique(count[group[free]]):
+            rows = free[count[group[free]] == m]
+            own, of = np.unique(group[rows], return_inverse=True)
+            places = first[own][:, None] + np.arange(m)
+            values[rows] = polynomial(xs[places].T, ys[places].T, at[rows], of)
+        return d.assign(**{y: values})
+
+    return dealt.mapInPandas(run, out.schema)
 
 
 ENDS = ["n", "x0", "y0", "x1", "xa", "ya", "xb", "yb"]  # the number of points, the first two and the last two

@@ -144,3 +144,32 @@ def test_mode_of_large_groups(spark, monkeypatch):
     assert plans and all("_bn" in line for line in wide)  # the ranges' ends alone do
     one = statistics.report(df.where("k = 'a'"), "v").head()
     assert one["number"] == 3000 and np.isclose(one["median"], np.median(groups["a"])) and np.isclose(one["mean"], groups["a"].mean())
+
+
+def test_polynomials_of_many_groups(spark):
+    """Groups over batches' ends, of one to nine known points, a nameless one and names that only differ in the second key."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(300):
+        n = int(rng.integers(1, 14))
+        for x in range(n):
+            rows.append((None if g == 7 else g // 2, "uv"[g % 2], x, None if rng.random() < 0.35 else float(rng.normal())))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        df = spark.createDataFrame(rows, "g long, h string, x long, y double")
+        out = splines.fill_polynomial(df, "x", "y", ["g", "h"])
+        assert "Window" not in out._jdf.queryExecution().toString() and "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        got = {(r["g"], r["h"], r["x"]): r["y"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(rows)
+    groups = {}
+    for g, h, x, y in rows:
+        groups.setdefault((g, h), []).append((x, y))
+    for key, points in groups.items():
+        known = [(x, y) for x, y in points if y is not None]
+        for x, y in points:
+            inside = y is None and len(known) >= 2 and known[0][0] < x < known[-1][0]
+            want = sum(v * np.prod([(x - b) / (a - b) for b, _ in known if b != a]) for a, v in known) if inside else y
+            assert got[(*key, x)] == want if want is None else np.isclose(got[(*key, x)], want), (key, x)

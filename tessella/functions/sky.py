@@ -8,53 +8,49 @@ from pyspark.sql import functions as F
 _SEXAGESIMAL = r"^\s*([+-]?)(\d+)\s*[:hd ]\s*(\d+)\s*[:m ]\s*(\d+(?:\.\d*)?)s?\s*$"
 
 
-def _parts(text: Column) -> list[Column]:
-    return [F.regexp_extract(text, _SEXAGESIMAL, 1), *(F.nullif(F.regexp_extract(text, _SEXAGESIMAL, k), F.lit("")).cast("double") for k in (2, 3, 4))]
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once and stays one node of the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _degrees(text: Column, body) -> Column:
+    """``body(sign, units, minutes, seconds)`` of a text, which is evaluated once; NULL if it isn't one."""
+    pieces = lambda t: F.split(F.regexp_replace(t, _SEXAGESIMAL, "$1,$2,$3,$4"), ",")
+    number = lambda p, k: F.get(p, k).cast("double")
+    return _bound(text, lambda t: F.when(t.rlike(_SEXAGESIMAL), _bound(pieces(t), lambda p: body(F.get(p, 0), number(p, 1), number(p, 2), number(p, 3)))))
 
 
 def ra_to_degree(text: Column) -> Column:
     """``H:M:S`` or ``HhMmSs`` in degrees; NULL outside 0..24 hours or 0..60 minutes and seconds."""
-    sign, h, m, s = _parts(text)
-    fine = (sign != "-") & h.between(0, 24) & m.between(0, 60) & s.between(0, 60)
-    return F.when(fine, (h + m / 60 + s / 3600) * 15)
+    return _degrees(text, lambda sign, h, m, s: F.when((sign != "-") & h.between(0, 24) & m.between(0, 60) & s.between(0, 60), (h + m / 60 + s / 3600) * 15))
 
 
 def dec_to_degree(text: Column) -> Column:
     """``D:M:S`` or ``DdMmSs`` in degrees; the sign is that of the text, so -0d30m is negative."""
-    sign, d, m, s = _parts(text)
-    fine = d.between(0, 90) & m.between(0, 60) & s.between(0, 60)
-    return F.when(fine, F.when(sign == "-", -1.0).otherwise(1.0) * (d + m / 60 + s / 3600))
+    return _degrees(text, lambda sign, d, m, s: F.when(d.between(0, 90) & m.between(0, 60) & s.between(0, 60), F.when(sign == "-", -1.0).otherwise(1.0) * (d + m / 60 + s / 3600)))
 
 
 def _general(x: Column) -> Column:
     """Up to six significant digits without trailing zeros, for values from 0 to 60."""
-    digits = F.when(x >= 10, F.format_string("%.4f", x)).otherwise(F.format_string("%.5f", x))
-    return F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.$", "")
-
-
-def _bound(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once and stays one node of the expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _sexagesimal(units: Column, form: str) -> Column:
-    """Whole units and minutes by ``form``, then the seconds."""
+    digits = F.when(x >= 10, x.cast("decimal(9,4)").cast("string")).otherwise(x.cast("decimal(9,5)").cast("string"))
+    return F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
 
-    def text(u: Column) -> Column:
-        minutes = lambda m: F.concat(F.format_string(form, F.floor(u), F.floor(m)), _bound((m - F.floor(m)) * 60, _general), F.lit("s"))
-        return _bound((u - F.floor(u)) * 60, minutes)
 
-    return _bound(units, text)
+def _sexagesimal(units: Column, after: str) -> Column:
+    """Whole units, ``after`` and whole minutes in two digits each, then the seconds."""
+    two = lambda n: F.substring((F.floor(n) + 100).cast("string"), 2, 2)
+    rest = lambda n: (n - F.floor(n)) * 60
+    return _bound(units, lambda u: F.concat(two(u), F.lit(after), two(rest(u)), F.lit("m"), _general(rest(rest(u))), F.lit("s")))
 
 
 def degree_to_ra(c: Column) -> Column:
     """Degrees as ``HHhMMmSs``; NULL outside 0..360."""
-    return F.when(c.between(0, 360), _sexagesimal(c / 15, "%02dh%02dm"))
+    return F.when(c.between(0, 360), _sexagesimal(c / 15, "h"))
 
 
 def degree_to_dec(c: Column) -> Column:
     """Degrees as ``+DDdMMmSs``; NULL outside -90..90."""
-    return F.when(c.between(-90, 90), F.concat(F.when(c < 0, "-").otherwise("+"), _sexagesimal(F.abs(c), "%02dd%02dm")))
+    return F.when(c.between(-90, 90), F.concat(F.when(c < 0, "-").otherwise("+"), _sexagesimal(F.abs(c), "d")))
 
 
 def distance_flat(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

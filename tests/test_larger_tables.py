@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame as ClassicDataFrame
 
-from tessella.functions import dates
+from tessella.functions import dates, sky
 from tessella.operators import generators, match, splines, statistics
 from tessella.queries import ORACLES, QUERIES
 
@@ -173,3 +173,22 @@ def test_polynomials_of_many_groups(spark):
             inside = y is None and len(known) >= 2 and known[0][0] < x < known[-1][0]
             want = sum(v * np.prod([(x - b) / (a - b) for b, _ in known if b != a]) for a, v in known) if inside else y
             assert got[(*key, x)] == want if want is None else np.isclose(got[(*key, x)], want), (key, x)
+
+
+@pytest.mark.parametrize("name", ["ra", "dec"])
+def test_texts_of_angles_are_evaluated_once(spark, name):
+    """There and back, to the digits of the text; an angle's text isn't made again for each of its parts."""
+    to_degree, to_text = getattr(sky, f"{name}_to_degree"), getattr(sky, f"degree_to_{name}")
+    d = spark.range(2000).select((F.col("id") * 0.0437 + 1e-4).alias("c"))
+    out = d.select("c", to_text(F.col("c")).alias("t"), to_degree(F.reverse(F.reverse(to_text(F.col("c"))))).alias("back"))
+    assert out._jdf.queryExecution().analyzed().toString().count("reverse(") == 2
+    rows = out.collect()
+    assert all(abs(r["c"] - r["back"]) < 1e-6 for r in rows)
+    for r in rows[:300]:
+        whole = r["c"] / (15 if name == "ra" else 1)
+        minutes = (whole - int(whole)) * 60
+        seconds = (minutes - int(minutes)) * 60
+        digits = f"{seconds:.{4 if seconds >= 10 else 5}f}".rstrip("0").rstrip(".")
+        assert r["t"] == ("" if name == "ra" else "+") + f"{int(whole):02d}{'h' if name == 'ra' else 'd'}{int(minutes):02d}m{digits}s"
+    odd = spark.createDataFrame([(t,) for t in ("+,1,2,3", "x", "", None, "1:61:2", "91:0:0", "1:2:3")], "t string").select(to_degree(F.col("t")).alias("v"))
+    assert [r["v"] is None for r in odd.collect()] == [True] * 6 + [False]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame as ClassicDataFrame
 
 from tessella.functions import dates, sky
-from tessella.operators import generators, match, splines, statistics
+from tessella.operators import catalog, generators, match, splines, statistics
 from tessella.queries import ORACLES, QUERIES
 
 
@@ -192,3 +192,17 @@ def test_texts_of_angles_are_evaluated_once(spark, name):
         assert r["t"] == ("" if name == "ra" else "+") + f"{int(whole):02d}{'h' if name == 'ra' else 'd'}{int(minutes):02d}m{digits}s"
     odd = spark.createDataFrame([(t,) for t in ("+,1,2,3", "x", "", None, "1:61:2", "91:0:0", "1:2:3")], "t string").select(to_degree(F.col("t")).alias("v"))
     assert [r["v"] is None for r in odd.collect()] == [True] * 6 + [False]
+
+
+def test_upper_limits_draw_the_rest_of_the_trials_where_they_lack(spark, monkeypatch):
+    """Labels that find enough places among a few trials draw no more; a label as wide as the free strip draws all."""
+    label = lambda x, y: 2 if y == 1 and 3 <= x <= 30 else 1 if (x, y) == (20, 12) else 3 if y % 2 == 0 and x > 2 and y > 14 else 0
+    cells = [(x, y, float(x * 7 % 5 + y), label(x, y)) for x in range(1, 31) for y in range(1, 31)]
+    d = spark.createDataFrame(cells, "x int, y int, v double, label long")
+    sent, cut = [], catalog.cut
+    monkeypatch.setattr(catalog, "cut", lambda df, tag: (sent.append(df.groupBy("label").agg(F.countDistinct("trial")).collect()) if tag == "sent" else None) or cut(df, tag))
+    got = {r["label"]: r for r in catalog.upper_limit(d, number=6, tries=20).collect()}
+    assert [max(n for _, n in map(tuple, s)) for s in sent] == [12, 108] and 1 not in {r["label"] for r in sent[1]}
+    monkeypatch.setattr(catalog, "SHIFTED", 1)  # a shift at a time
+    again = {r["label"]: r for r in catalog.upper_limit(d, number=6, tries=20).collect()}
+    assert got[1]["placed"] == 6 and got == again

@@ -227,11 +227,11 @@ def fill_cubic(df: DataFrame, x: str, y: str, by: Sequence[str], periodic: bool
     """
     block, by = block or BLOCK, list(by)
     out = df.withColumn(y, F.col(y).cast("double"))
-    columns, placed = out.columns, placed(out, x, y, by)
+    columns, numbered = out.columns, placed(out, x, y, by)
     counts = out.groupBy(*by).agg(F.count(y).alias("n"))
     keys = [F.col(f"`{b}`").alias(f"_by{i}") for i, b in enumerate(by)]
     renamed = [f"_by{i}" for i in range(len(by))]
-    known = placed.select("*", *keys)
+    known = numbered.select("*", *keys)
     same = lambda l, r, names: [l[n].eqNullSafe(r[f"_{n}"]) for n in names]  # noqa: E731, E741
     ns = cut(counts.select(*[F.col(f"`{b}`").alias(f"__by{i}") for i, b in enumerate(by)], "n"), "points")
     own = F.floor(F.greatest(F.col("_k"), F.lit(0)) / block).cast("long")
